@@ -40,21 +40,21 @@ s AS (
 l AS (
   SELECT *, (1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE
              - coalesce(sum(2 * source_size) OVER before_it, 0)::DOUBLE) / (sum(w) OVER onward)::DOUBLE AS level,
-         row_number() OVER (ORDER BY 2 * source_size / w::DOUBLE, source NULLS LAST) AS at
+         row_number() OVER (ORDER BY 2 * source_size / w::DOUBLE, source NULLS LAST) AS pos
   FROM s
   WINDOW before_it AS (ORDER BY 2 * source_size / w::DOUBLE, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
          onward AS (ORDER BY 2 * source_size / w::DOUBLE, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 t AS (
   SELECT source, source_size,
          CASE WHEN 2 * source_size <= level * w THEN CAST(2 * source_size AS DOUBLE)
-              ELSE w * (SELECT arg_min(level, at) FROM l WHERE NOT 2 * source_size <= level * w) END AS target
+              ELSE w * (SELECT arg_min(level, pos) FROM l WHERE NOT 2 * source_size <= level * w) END AS target
   FROM l),
 d AS (
   SELECT b.doc_id, b.size, t.source_size, t.target, least(CAST(floor(t.target + 0.5) AS BIGINT), 2 * t.source_size) AS quota,
-         CAST(coalesce(sum(b.size) OVER (PARTITION BY b.source ORDER BY b.ord, b.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at
+         CAST(coalesce(sum(b.size) OVER (PARTITION BY b.source ORDER BY b.ord, b.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos
   FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
-       CAST(greatest(0, least(at + size, quota) - at) + greatest(0, least(source_size + at + size, quota) - source_size - at) AS BIGINT) AS taken
+       CAST(greatest(0, least(pos + size, quota) - pos) + greatest(0, least(source_size + pos + size, quota) - source_size - pos) AS BIGINT) AS taken
 FROM d
 """
 
