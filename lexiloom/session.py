@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -29,13 +31,14 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_lexiloom_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    with tempfile.TemporaryDirectory() as folder:
-        path = os.path.join(folder, f"lexiloom-{context.applicationId}.zip")
-        with zipfile.ZipFile(path, "w") as archive:
-            for where, _, names in os.walk(root):
-                for name in names:
-                    if name.endswith(".py"):
-                        full = os.path.join(where, name)
-                        archive.write(full, os.path.relpath(full, os.path.dirname(root)))
-        context.addPyFile(path)
+    folder = tempfile.mkdtemp(prefix="lexiloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # executors fetch the file at any time until then
+    path = os.path.join(folder, "lexiloom.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for where, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(where, name)
+                    archive.write(full, os.path.relpath(full, os.path.dirname(root)))
+    context.addPyFile(path)
     context._lexiloom_shipped = True
