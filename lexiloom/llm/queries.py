@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import mixing, packing
+from lexiloom.llm import mixing, packing, simhash
 
 
 def _tokenizer() -> str:
@@ -20,6 +20,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    # bytes are little-endian, digits start with the highest
+    return found.select("doc_id", F.lower(F.concat(*(F.substring(F.hex("fp"), k, 2) for k in range(15, 0, -2)))).alias("fingerprint"), "component_id")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer())
 
@@ -61,6 +67,7 @@ FROM d
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_simhash": op3_simhash,
         "op4_packing": op4_packing,
         "op10_mixing": op10_mixing,
     }
