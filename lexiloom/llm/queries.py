@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import mixing, packing, simhash, toxicity
+from lexiloom.llm import mixing, packing, secret_scan, simhash, toxicity
 
 
 def _tokenizer() -> str:
@@ -34,6 +34,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.document_secrets(_table(spark, sf_dir, "documents"))
+    number = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.sha2(secret_scan.joined("base_spans"), 256).alias("base_sha256")
+    return found.select("doc_id", number("assign"), number("access"), number("hex"), base, secret_scan.joined("spans").alias("spans"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents"))
 
@@ -74,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": op3_simhash,
         "op4_packing": op4_packing,
         "op5_toxicity": op5_toxicity,
+        "op6_secrets": op6_secrets,
         "op10_mixing": op10_mixing,
     }
 
