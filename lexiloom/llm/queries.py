@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import chat, html_extract, mixing, packing, secret_scan, simhash, toxicity
+from lexiloom.llm import ann, chat, embedding_dedup, html_extract, mixing, packing, secret_scan, simhash, toxicity, training_order
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
@@ -24,6 +24,10 @@ def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(_table(spark, sf_dir, "pages"))
 
 
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     # bytes are little-endian, digits start with the highest
@@ -31,7 +35,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer())
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,10 +56,32 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(chat.canonical_turns(chat.turn_records(turns))))
 
 
+def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.token_order(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents"))
 
 
+_OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT *, sqrt(list_reduce(list_transform(e, lambda x: x * x), lambda x, y: x + y)) AS norm FROM v),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_reduce(list_transform(list_zip(c.e, q.e), lambda p: p[1] * p[2]), lambda x, y: x + y) / (c.norm * q.norm) AS score
+  FROM n q JOIN n c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 _OP10_SQL = r"""
 WITH b AS (
   SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS ord,
@@ -86,6 +112,25 @@ SELECT doc_id, size, source_size, target,
 FROM d
 """
 
+_OP2_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT *, sqrt(list_dot_product(e, e)) AS norm FROM v),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+reach(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION SELECT r.vec_id, l.b FROM reach r JOIN link l ON r.other = l.a),
+c AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+d AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY a)
+SELECT c.vec_id, CAST(coalesce(d.n_links, 0) AS BIGINT) AS n_links, c.component_id, c.vec_id = c.component_id AS kept
+FROM c LEFT JOIN d USING (vec_id)
+"""
+
 _OP7_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -104,14 +149,17 @@ FROM e GROUP BY conv_id
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html": op1_html,
+        "op2_embeddings": op2_embeddings,
         "op3_simhash": op3_simhash,
         "op4_packing": op4_packing,
         "op5_toxicity": op5_toxicity,
         "op6_secrets": op6_secrets,
         "op7_chat": op7_chat,
+        "op8_training_order": op8_training_order,
+        "op9_neighbours": op9_neighbours,
         "op10_mixing": op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat": _OP7_SQL, "op10_mixing": _OP10_SQL}
+    return {"op2_embeddings": _OP2_SQL, "op7_chat": _OP7_SQL, "op9_neighbours": _OP9_SQL, "op10_mixing": _OP10_SQL}

@@ -37,7 +37,7 @@ def test_packing_is_whole(spark):
 
     out = queries.op4_packing(spark, SF).toPandas()
     docs = spark.read.parquet(f"{SF}/documents.parquet").toPandas()
-    tok = Tokenizer.from_file(queries._tokenizer())
+    tok = Tokenizer.from_file(queries.tokenizer_path())
     for doc_id, text in zip(docs.doc_id, docs.text, strict=True):
         ids = [*tok.encode(text or "", add_special_tokens=False).ids, 1]
         mine = out[out.doc_id == doc_id].sort_values("piece")
@@ -64,9 +64,9 @@ def test_partitions_exchange(spark):
 
 def test_packing_edges(spark):
     rows = [(None, None, None, 1, 1, "x"), (1, "", "a", 1, 1, "x"), (1, "", "a", 1, 1, "x"), (2, "a " * 9000, "b", 1, 1, "x")]
-    out = packing.pack_documents(spark.createDataFrame(rows, DOCS), queries._tokenizer()).toPandas()
+    out = packing.pack_documents(spark.createDataFrame(rows, DOCS), queries.tokenizer_path()).toPandas()
     assert len(out) == 6 and out.length.sum() == 3 + 9001
-    assert packing.pack_documents(spark.createDataFrame([], DOCS), queries._tokenizer()).count() == 0
+    assert packing.pack_documents(spark.createDataFrame([], DOCS), queries.tokenizer_path()).count() == 0
 
 
 def test_mixing_is_sql(spark):
