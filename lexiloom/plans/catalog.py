@@ -1,15 +1,14 @@
-"""The queries of the vocabulary operators and their SQL."""
+"""All queries of the vocabulary operators. Importing the modules registers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lexiloom.plans import curate, match, resolve, textual  # noqa: F401
+from lexiloom.plans.registry import QUERIES, SQL, Query
 
-from pyspark.sql import DataFrame, SparkSession
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
