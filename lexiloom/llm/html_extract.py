@@ -9,6 +9,7 @@ the length of a single node on them.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -51,7 +52,9 @@ REGION = frozenset(("article", "main"))
 class Block:
     """A run of text between block boundaries."""
 
-    path: tuple[str, ...]
+    path: int  # pages number their tag paths
+    parent: int
+    leaf: str
     inside: bool  # in an element that holds an article
     outside: bool  # in an element that is not part of one
     marked: bool  # in an element whose class or id says so
@@ -63,7 +66,9 @@ class Block:
 @dataclass
 class _Open:
     tag: str
-    step: str
+    path: int
+    parent: int
+    leaf: str
     inside: bool
     outside: bool
     marked: bool
@@ -73,23 +78,23 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(text)} if text and not text.isspace() else {}
 
 
-def _open(tag: str, attributes: dict[str, str], parent: _Open, seen_region: bool) -> _Open:
+def _open(tag: str, attributes: dict[str, str], parent: _Open, paths: dict[tuple[int, str], int]) -> _Open:
     named = f"{attributes.get('class', '')} {attributes.get('id', '')}"
     tokens = {t.lower() for t in _TOKEN.findall(named)}
     role = attributes.get("role", "").lower()
     marked = bool(tokens & MARKS) and not tokens & FRAMES and tag not in ("html", "body")
     hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
     region = (tag in REGION or role == "main" or attributes.get("itemprop") == "articleBody") and not marked
-    # a wrapper's class may name its parts; what counts is the article that it holds first
-    was_marked = parent.marked and not (region and not seen_region)
     step = tag + "".join(f".{t}" for t in sorted(tokens)[:3])
-    return _Open(tag, step, parent.inside or region, parent.outside or tag in OUTSIDE or role in ROLES or hidden, was_marked or marked)
+    # inline elements are on the path of the block that they are in
+    place = (parent.path, parent.parent, parent.leaf) if tag in INLINE else (paths.setdefault((parent.path, step), len(paths) + 1), parent.path, step)
+    return _Open(tag, *place, parent.inside or region, parent.outside or tag in OUTSIDE or role in ROLES or hidden, parent.marked or marked)
 
 
 def blocks(html: str) -> list[Block]:
     """The text blocks of a page in order. Unclosed, crossing and unknown tags are taken as browsers do."""
-    root = _Open("", "", False, False, False)
-    stack, out, seen_region, links = [root], [], False, 0
+    root = _Open("", 0, -1, "", False, False, False)
+    stack, out, links, paths, opened = [root], [], 0, {}, Counter()
     now: Block | None = None
     at, size = 0, len(html)
 
@@ -99,7 +104,7 @@ def blocks(html: str) -> list[Block]:
         if top.tag in ("html", "head") and text.isspace():
             return
         if now is None:
-            now = Block(tuple(e.step for e in stack[1:] if e.tag not in INLINE), top.inside, top.outside, top.marked)
+            now = Block(top.path, top.parent, top.leaf, top.inside, top.outside, top.marked)
             out.append(now)
         if (top.outside, top.marked) != (now.outside, now.marked):  # an inline element that is no part of the article
             if top.outside or top.marked:
@@ -114,11 +119,14 @@ def blocks(html: str) -> list[Block]:
         nonlocal now, links
         for e in stack[k:]:
             links -= e.tag == "a"
+            opened[e.tag] -= 1
             if e.tag not in INLINE:
                 now = None
         del stack[k:]
 
     def last(*tags: str) -> int:
+        if not any(opened[t] > 0 for t in tags):
+            return 0
         return next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag in tags), 0)
 
     while at < size:
@@ -159,17 +167,17 @@ def blocks(html: str) -> list[Block]:
                 if k and not any(e.tag in SCOPE for e in stack[k + 1 :]):
                     close(k)
             now = None
-        stack.append(_open(tag, _attributes(m[3]), stack[-1], seen_region))
-        seen_region |= tag in REGION and stack[-1].inside and not stack[-1].marked
+        stack.append(_open(tag, _attributes(m[3]), stack[-1], paths))
+        opened[tag] += 1
         links += tag == "a"
     for b in out:
         b.text = " ".join("".join(b.pieces).split())
     return [b for b in out if b.text]
 
 
-def path_scores(found: list[Block]) -> dict[tuple[str, ...], float]:
+def path_scores(found: list[Block]) -> dict[int, float]:
     """Fused and smoothed ratio of each path: unlinked text over nodes, raised by punctuation over nodes."""
-    order: dict[tuple[str, ...], int] = {}
+    order: dict[int, int] = {}
     for b in found:
         order.setdefault(b.path, len(order))
     text, marks, nodes = (np.zeros(len(order)) for _ in range(3))
@@ -186,9 +194,9 @@ def path_scores(found: list[Block]) -> dict[tuple[str, ...], float]:
     return dict(zip(order, mixed, strict=True))
 
 
-def _linky(found: list[Block]) -> set[tuple[str, ...]]:
+def _linky(found: list[Block]) -> set[int]:
     """Paths that hold lists of links."""
-    total: dict[tuple[str, ...], list[int]] = {}
+    total: dict[int, list[int]] = {}
     for b in found:
         t = total.setdefault(b.path, [0, 0, 0])
         t[0] += len(b.text)
@@ -216,9 +224,9 @@ def select(found: list[Block]) -> list[Block]:
     scores = path_scores(rest)
     values = np.array(list(scores.values()))
     content = {path for path, s in scores.items() if s >= min(values.std(), values.max())}
-    parents = {path[:-1] for path in content}
+    parents = {b.parent for b in rest if b.path in content}
     heading = re.compile(r"h[1-6](\.|$)")
-    return [b for b in rest if b.path in content or (b.path and heading.match(b.path[-1]) and b.path[:-1] in parents)]
+    return [b for b in rest if b.path in content or (heading.match(b.leaf) and b.parent in parents)]
 
 
 def extract(html: str | None) -> str:
