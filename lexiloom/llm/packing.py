@@ -16,30 +16,39 @@ from lexiloom.llm.common import durable
 from lexiloom.llm.tokens import word_tokens
 
 
-def _pieces(column: pa.Array, path: str, size: int, end: bytes, keep: bool) -> dict[str, list]:
+def _stored(ids: bytes, bits: int) -> bytes:
+    if bits == 32:
+        return ids
+    wide = np.frombuffer(ids, "<u4")
+    if wide.max(initial=0) >> bits:
+        raise ValueError(f"an id takes more than {bits} bits")
+    return wide.astype(f"<u{bits // 8}").tobytes()
+
+
+def _pieces(column: pa.Array, path: str, size: int, end: bytes, bits: int | None) -> dict[str, list]:
     out: dict[str, list] = {"row": [], "piece": [], "start": [], "length": [], "ids_crc32": [], "ids": []}
     texts = column.cast(pa.binary()).fill_null(b"").to_pylist()
     for row, ids in enumerate(word_tokens(path).encode(texts)):
         ids += end
         for piece, at in enumerate(range(0, len(ids), 4 * size)):
             part = ids[at : at + 4 * size]
-            for name, value in zip(out, (row, piece, at // 4, len(part) // 4, zlib.crc32(part), part if keep else None), strict=True):
+            for name, value in zip(out, (row, piece, at // 4, len(part) // 4, zlib.crc32(part), _stored(part, bits) if bits else None), strict=True):
                 out[name].append(value)
     return out
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int = 1, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int = 1, id_bits: int | None = None) -> DataFrame:
     """Cut each whole text's ids, then end_id, into pieces of `size` ids; a text's last piece may be shorter.
 
-    Returns doc_id, piece (from 0), start, length, ids_crc32 and, if asked for, ids (binary, little-endian unsigned
-    32 bits). A null text is empty and gives one piece of one id; repeated rows each give their pieces; other columns
+    Returns doc_id, piece (from 0), start, length, ids_crc32 and, if asked for, ids (binary, little-endian, unsigned,
+    16 or 32 bits). A null text is empty and gives one piece of one id; repeated rows each give their pieces; other columns
     are not read.
     """
     docs = docs.select("doc_id", "text")
     id_type = docs.schema["doc_id"].dataType
     fields = [StructField("doc_id", id_type), StructField("piece", IntegerType()), *(StructField(n, LongType()) for n in ("start", "length", "ids_crc32"))]
     schema = StructType(fields)
-    if with_ids:
+    if id_bits:
         schema = schema.add("ids", "binary")
     end = np.array([end_id], "<u4").tobytes()
 
@@ -47,9 +56,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int = 1, wi
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 some = batch.slice(k, 256)
-                out = _pieces(some.column(1), tokenizer, size, end, with_ids)
+                out = _pieces(some.column(1), tokenizer, size, end, id_bits)
                 columns = [some.column(0).take(pa.array(out["row"], pa.int64())), pa.array(out["piece"], pa.int32()), *(pa.array(out[n], pa.int64()) for n in ("start", "length", "ids_crc32"))]
-                if with_ids:
+                if id_bits:
                     columns.append(pa.array(out["ids"], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -111,19 +112,7 @@ def materialise(docs: DataFrame, path: str, tokenizer: str, size: int = 1024, pe
     holds shards in order. A null text is an empty one; a null doc_id stays null; repeated rows give sequences of
     their own; without documents there are no shards. Ids must be below 65,536.
     """
-    pieces = token_pieces(docs, tokenizer, size, with_ids=True)
-
-    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = []
-            for x in batch.column(2).to_pylist():
-                wide = np.frombuffer(x, "<u4")
-                if wide.max(initial=0) > 0xFFFF:
-                    raise ValueError("an id takes more than 16 bits")
-                ids.append(wide.astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ids, pa.binary())], names=["doc_id", "piece", "ids"])
-
-    pieces = pieces.select(F.col("doc_id").cast("long").alias("doc_id"), "piece", "ids").mapInArrow(narrow, "doc_id long, piece int, ids binary")
+    pieces = token_pieces(docs.withColumn("doc_id", F.col("doc_id").cast("long")), tokenizer, size, id_bits=16).select("doc_id", "piece", "ids")
     rows, n = numbered(pieces)
     count = max(1, math.ceil(n / per_shard))
     parts = max(1, min(count, math.ceil(count * per_shard * (4 + 2 * size) / (32 << 20))))
@@ -132,37 +121,38 @@ def materialise(docs: DataFrame, path: str, tokenizer: str, size: int = 1024, pe
     dealt.select("shard", "doc_id", "piece", "ids").mapInArrow(_shards(size, per_shard), SHARD).write.parquet(path)
 
 
-def read_order(spark: SparkSession, path: str, first_slot: int = 0) -> DataFrame:
-    """slot, shard, doc_id, piece, length, ids from a slot on: a resumed reader skips whole shards unread."""
-
+def _reader(digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                records = np.frombuffer(row["payload"], np.uint8).reshape(row["records"], row["stride"])
-                lengths = records[:, :4].copy().view("<u4")[:, 0].astype(np.int64)
-                ids = [r[4 : 4 + 2 * n].tobytes() for r, n in zip(records, lengths, strict=True)]
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 n = row["records"]
-                columns = pa.array(range(row["first_slot"], row["first_slot"] + n), pa.int64()), pa.array([row["shard"]] * n, pa.int64()), pa.array(row["doc_ids"], pa.int64()), pa.array(row["pieces"], pa.int32()), pa.array(lengths), pa.array(ids, pa.binary())
-                yield pa.RecordBatch.from_arrays(list(columns), names=["slot", "shard", "doc_id", "piece", "length", "ids"])
+                records = np.frombuffer(row["payload"], np.uint8).reshape(n, row["stride"])
+                lengths = records[:, :4].copy().view("<u4")[:, 0].astype(np.int64)
+                ids = (r[4 : 4 + 2 * m].tobytes() for r, m in zip(records, lengths, strict=True))
+                last = pa.array([zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in ids], pa.int64()) if digest else pa.array(list(ids), pa.binary())
+                columns = pa.array(range(row["first_slot"], row["first_slot"] + n), pa.int64()), pa.array([row["shard"]] * n, pa.int64()), pa.array(row["doc_ids"], pa.int64()), pa.array(row["pieces"], pa.int32()), pa.array(lengths), last
+                yield pa.RecordBatch.from_arrays(list(columns), names=["slot", "shard", "doc_id", "piece", "length", "ids_crc32" if digest else "ids"])
+
+    return run
 
+
+def read_order(spark: SparkSession, path: str, first_slot: int = 0, digest: bool = False) -> DataFrame:
+    """slot, shard, doc_id, piece, length, ids (or ids_crc32, as of 32-bit ids) from a slot on.
+
+    A resumed reader skips whole shards unread.
+    """
     shards = spark.read.schema(SHARD).parquet(path).where(F.col("first_slot") + F.col("records") > first_slot)
-    out = shards.mapInArrow(run, "slot long, shard long, doc_id long, piece int, length long, ids binary")
+    last = "ids_crc32 long" if digest else "ids binary"
+    out = shards.mapInArrow(_reader(digest), f"slot long, shard long, doc_id long, piece int, length long, {last}")
     return out.where(F.col("slot") >= first_slot)
 
 
 def token_order(docs: DataFrame, tokenizer: str, size: int = 1024) -> DataFrame:
     """Materialise docs in the shared folder and read them back: slot, shard, doc_id, piece, length, ids_crc32."""
-    import uuid
-
     spark = docs.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lexiloom/order-{uuid.uuid4().hex}"
     materialise(docs, path, tokenizer, size)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    back = read_order(spark, path)
-
-    @F.pandas_udf("long")
-    def crc(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes())).astype("int64")
-
-    return back.select("slot", "shard", "doc_id", "piece", "length", crc("ids").alias("ids_crc32"))
+    return read_order(spark, path, digest=True)
