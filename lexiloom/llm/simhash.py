@@ -168,33 +168,37 @@ def _runs(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[np.nd
 
 
 def _linker(words: int, distance: int, long_runs: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For sorted (key, id, fp) rows: links (a, b); without long_runs, members of long runs come as (id, null, key)."""
+    """For sorted (key, id, fp) rows: links (a, b).
+
+    Without long_runs, a run that is long or has more links than members gives its members instead, as (id, null, key):
+    whatever the size of a group of copies, there are never more rows than members.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, ids, prints in _runs(batches, words):
             first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, int)
             size = np.diff(np.r_[first, len(keys)])
-            run_size = np.repeat(size, size)
-            a, b, k = [], [], []
-            short = run_size <= _SHORT
-            for lag in range(1, int(size[size <= _SHORT].max(initial=1))):
-                pair = np.flatnonzero((keys[lag:] == keys[:-lag]) & short[lag:])
+            number = np.repeat(np.arange(len(size)), size)
+            whole = size > _SHORT  # runs that are searched, or given up, as a whole
+            places = [(np.empty(0, int), np.empty(0, int))]
+            for lag in range(1, int(size[~whole].max(initial=1))):
+                pair = np.flatnonzero((keys[lag:] == keys[:-lag]) & ~whole[number[lag:]])
                 pair = pair[_distances(prints[pair], prints[pair + lag]) <= distance]
-                a.append(ids[pair])
-                b.append(ids[pair + lag])
-            for at, n in zip(first[size > _SHORT], size[size > _SHORT], strict=True):
-                if long_runs:
-                    x, y = _search(ids[at : at + n], prints[at : at + n], distance)
-                    a.append(x)
-                    b.append(y)
-                else:
-                    k.append(np.arange(at, at + n))
-            if a:
-                a, b = np.concatenate(a), np.concatenate(b)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.int64())], names=["a", "b", "key"])
-            if k:
-                k = np.concatenate(k)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[k], pa.int64()), pa.nulls(len(k), pa.int64()), pa.array(keys[k], pa.int64())], names=["a", "b", "key"])
+                places.append((pair, pair + lag))
+            x, y = (np.concatenate(p) for p in zip(*places, strict=True))
+            if not long_runs:
+                whole |= np.bincount(number[x], minlength=len(size)) > size
+                few = ~whole[number[x]]
+                x, y = x[few], y[few]
+                crowd = np.flatnonzero(whole[number])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[crowd], pa.int64()), pa.nulls(len(crowd), pa.int64()), pa.array(keys[crowd], pa.int64())], names=["a", "b", "key"])
+            a, b = [ids[x]], [ids[y]]
+            for at, n in zip(first[whole], size[whole], strict=True) if long_runs else ():
+                x, y = _search(ids[at : at + n], prints[at : at + n], distance)
+                a.append(x)
+                b.append(y)
+            a, b = np.concatenate(a), np.concatenate(b)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.int64())], names=["a", "b", "key"])
 
     return run
 
@@ -225,7 +229,7 @@ def links(prints: DataFrame, plan: Plan) -> DataFrame:
 
     Rows that share a key lie together, sorted, and are read as a stream. Short runs compare all their pairs, long
     ones are searched breadth first and give a spanning tree. Fingerprints of several words are compared by one word first;
-    what that leaves is verified on the whole fingerprint.
+    what that leaves is verified on the whole fingerprint: pairs where they are few, else all members of the run.
     """
     keyed = _keyed(prints, plan)
     rows = keyed.repartition("key").sortWithinPartitions("key", "id")
