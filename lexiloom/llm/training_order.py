@@ -63,7 +63,7 @@ def numbered(rows: DataFrame) -> tuple[DataFrame, int]:
 
     Offsets are a row for each task that wrote, which bounds what is broadcast.
     """
-    rows = durable(rows.withColumn("_at", F.monotonically_increasing_id()), "sequences")
+    rows = durable(rows.withColumn("_at", F.monotonically_increasing_id()), "sequences", "zstd")
     task = F.shiftright("_at", 33)
     sizes = rows.groupBy(task.alias("_task")).agg(F.count("*").alias("_n"))
     ahead = F.sum("_n").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
@@ -118,7 +118,7 @@ def materialise(docs: DataFrame, path: str, tokenizer: str, size: int = 1024, pe
     parts = max(1, min(count, math.ceil(count * per_shard * (4 + 2 * size) / (32 << 20))))
     rows = slots(rows, max(n, 1), key).withColumn("shard", F.expr(f"slot div {per_shard}"))
     dealt = rows.repartitionById(parts, F.expr(f"shard * {parts} div {count}").cast("int")).sortWithinPartitions("slot")
-    dealt.select("shard", "doc_id", "piece", "ids").mapInArrow(_shards(size, per_shard), SHARD).write.parquet(path)
+    dealt.select("shard", "doc_id", "piece", "ids").mapInArrow(_shards(size, per_shard), SHARD).write.option("compression", "zstd").parquet(path)
 
 
 def _reader(digest: bool):
