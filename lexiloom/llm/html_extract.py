@@ -46,6 +46,8 @@ MARKS = frozenset(
 FRAMES = frozenset("with has layout wrapper wrap page container content main row grid column col".split())
 #: Elements that hold an article.
 REGION = frozenset(("article", "main"))
+#: What a path's ratio is multiplied by in an element that holds an article, in one that is not part of one, and in a marked one.
+REGION_FACTOR, OUTSIDE_FACTOR, MARK_FACTOR = 1000, 1 / 400, 1 / 55
 
 
 @dataclass
@@ -58,10 +60,16 @@ class Block:
     inside: bool  # in an element that holds an article
     outside: bool  # in an element that is not part of one
     marked: bool  # in an element whose class or id says so
+    hidden: bool  # never shown
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
 
+    @property
+    def key(self) -> tuple[int, bool, bool]:
+        """What has a ratio of its own: a path, apart from its blocks that inline elements mark."""
+        return self.path, self.outside, self.marked
+
 
 @dataclass
 class _Open:
@@ -72,6 +80,7 @@ class _Open:
     inside: bool
     outside: bool
     marked: bool
+    hidden: bool = False
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -84,11 +93,11 @@ def _open(tag: str, attributes: dict[str, str], parent: _Open, paths: dict[tuple
     role = attributes.get("role", "").lower()
     marked = bool(tokens & MARKS) and not tokens & FRAMES and tag not in ("html", "body")
     hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
-    region = (tag in REGION or role == "main" or attributes.get("itemprop") == "articleBody") and not marked
+    region = (tag in REGION or role == "main" or attributes.get("itemprop") == "articleBody") and not marked and not parent.marked and not parent.outside
     step = tag + "".join(f".{t}" for t in sorted(tokens)[:3])
     # inline elements are on the path of the block that they are in
     place = (parent.path, parent.parent, parent.leaf) if tag in INLINE else (paths.setdefault((parent.path, step), len(paths) + 1), parent.path, step)
-    return _Open(tag, *place, parent.inside or region, parent.outside or tag in OUTSIDE or role in ROLES or hidden, parent.marked or marked)
+    return _Open(tag, *place, parent.inside or region, parent.outside or tag in OUTSIDE or role in ROLES, parent.marked or marked, parent.hidden or hidden)
 
 
 def blocks(html: str) -> list[Block]:
@@ -104,12 +113,12 @@ def blocks(html: str) -> list[Block]:
         if top.tag in ("html", "head") and text.isspace():
             return
         if now is None:
-            now = Block(top.path, top.parent, top.leaf, top.inside, top.outside, top.marked)
+            now = Block(top.path, top.parent, top.leaf, top.inside, top.outside, top.marked, top.hidden)
             out.append(now)
-        if (top.outside, top.marked) != (now.outside, now.marked):  # an inline element that is no part of the article
-            if top.outside or top.marked:
+        if (top.outside, top.marked, top.hidden) != (now.outside, now.marked, now.hidden):  # an inline element that is no part of the article
+            if top.outside or top.marked or top.hidden:
                 return
-            now.outside, now.marked = top.outside, top.marked
+            now.outside, now.marked, now.hidden = top.outside, top.marked, top.hidden
             now.pieces.clear()
         text = unescape(text)
         now.pieces.append(text)
@@ -172,26 +181,32 @@ def blocks(html: str) -> list[Block]:
         links += tag == "a"
     for b in out:
         b.text = " ".join("".join(b.pieces).split())
-    return [b for b in out if b.text]
+    return [b for b in out if b.text and not b.hidden]
+
 
+def path_scores(found: list[Block]) -> dict[tuple[int, bool, bool], float]:
+    """Fused and smoothed ratio of each path: unlinked text over nodes, raised by punctuation over nodes.
 
-def path_scores(found: list[Block]) -> dict[int, float]:
-    """Fused and smoothed ratio of each path: unlinked text over nodes, raised by punctuation over nodes."""
-    order: dict[int, int] = {}
+    What the page says of a path is one more factor: REGION_FACTOR where it lies in an element that holds an article,
+    OUTSIDE_FACTOR and MARK_FACTOR where it lies in something else. The logarithm keeps the spread from being that of
+    the longest path alone.
+    """
+    order: dict[tuple[int, bool, bool], int] = {}
     for b in found:
-        order.setdefault(b.path, len(order))
-    text, marks, nodes = (np.zeros(len(order)) for _ in range(3))
+        order.setdefault(b.key, len(order))
+    text, marks, nodes, factor = (np.zeros(len(order)) for _ in range(4))
     for b in found:
-        k = order[b.path]
+        k = order[b.key]
         text[k] += max(0, len(b.text) - b.linked)
         marks[k] += len(_PUNCTUATION.findall(b.text))
         nodes[k] += 1
-    fused = (text / nodes) * (1 + marks / nodes)
+        factor[k] = OUTSIDE_FACTOR if b.outside else MARK_FACTOR if b.marked else REGION_FACTOR if b.inside else 1
+    fused = np.log1p((text / nodes) * (1 + marks / nodes) * factor)
     weights = np.exp(-0.5 * (np.arange(-2, 3) / 1.0) ** 2)
     smooth = np.convolve(np.pad(fused, 2), weights / weights.sum(), "valid") if len(fused) else fused
     # a path's own ratio leads; its neighbours on the page lift the short paths between long ones
     mixed = 0.75 * fused + 0.25 * smooth
-    return dict(zip(order, mixed, strict=True))
+    return dict(zip(order, mixed.tolist(), strict=True))
 
 
 def _linky(found: list[Block]) -> set[int]:
@@ -206,27 +221,21 @@ def _linky(found: list[Block]) -> set[int]:
 
 
 def select(found: list[Block]) -> list[Block]:
-    """The blocks of the article.
+    """The blocks of the article: those on paths with a ratio above the threshold, and headings beside them.
 
-    Where the page says where its article is, all paths there are content but those that are marked as something
-    else or hold links. Elsewhere paths with a ratio above the threshold are, and headings beside them.
+    The threshold is the spread of the page's own ratios. Paths that hold lists of links never count, and a page on
+    which all is marked as something else has no article.
     """
-    region = [b for b in found if b.inside]
-    if region:
-        region = [b for b in region if not b.outside and not b.marked]
-        links = _linky(region)
-        return [b for b in region if b.path not in links]
-    rest = [b for b in found if not b.outside and not b.marked]
-    links = _linky(rest)
-    rest = [b for b in rest if b.path not in links]
-    if not rest:
+    links = _linky(found)
+    rest = [b for b in found if b.path not in links]
+    if all(b.outside or b.marked for b in rest):
         return []
     scores = path_scores(rest)
     values = np.array(list(scores.values()))
-    content = {path for path, s in scores.items() if s >= min(values.std(), values.max())}
-    parents = {b.parent for b in rest if b.path in content}
+    content = {key for key, s in scores.items() if s >= min(values.std(), values.max())}
+    parents = {b.parent for b in rest if b.key in content}
     heading = re.compile(r"h[1-6](\.|$)")
-    return [b for b in rest if b.path in content or (heading.match(b.leaf) and b.parent in parents)]
+    return [b for b in rest if b.key in content or (heading.match(b.leaf) and b.parent in parents and not b.outside and not b.marked)]
 
 
 def extract(html: str | None) -> str:

@@ -196,3 +196,9 @@ def test_chat_edges(spark):
     assert out.n_turns.loc[1] == 3 and out.loss_chars.loc[2] == 300_000 and len(out) == 3
     assert out.turns_sha256.loc[1] == hashlib.sha256(b"user\nfirst\nassistant\n\nassistant\n\n").hexdigest()
     assert chat.digests(chat.formatted(chat.canonical_turns(chat.turn_records(turns.limit(0))))).count() == 0
+
+
+def test_path_ratios_decide_beside_a_marked_article():
+    text = "A long paragraph, with commas, and several sentences. It goes on; it has more. " * 4
+    html = f"<nav><a href=1>Home</a></nav><div id=story><h2>Head</h2><p>{text}</p><p>{text}</p></div><article><p>A teaser.</p></article>{PARTS['ad']}{PARTS['footer']}"
+    assert html_extract.extract(html).split("\n") == ["Head", text.strip(), text.strip(), "A teaser."]
