@@ -24,7 +24,9 @@ _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _PUNCTUATION = re.compile(r"[.,;:!?。，；：！？、]")
 
 #: Elements whose content is not markup, or is never shown; it ends at their end tag.
-RAW = frozenset("script style textarea title noscript template iframe svg canvas math object audio video select xmp noembed noframes".split())
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
+#: Elements that are left out with all that they hold, where they are closed. A self-closed or unclosed one holds nothing.
+SKIPPED = frozenset("template svg canvas math object audio video select".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that do not end a block of text.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -46,8 +48,14 @@ MARKS = frozenset(
 FRAMES = frozenset("with has layout wrapper wrap page container content main row grid column col".split())
 #: Elements that hold an article.
 REGION = frozenset(("article", "main"))
+#: Elements whose id names what they hold, as a link's target, and says nothing of their place.
+NAMED = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: The ratio from which text in a marked element of the article counts as the article's: long, punctuated, unlinked.
+LONG = 400
 #: What a path's ratio is multiplied by in an element that holds an article, in one that is not part of one, and in a marked one.
 REGION_FACTOR, OUTSIDE_FACTOR, MARK_FACTOR = 1000, 1 / 400, 1 / 55
+#: The score that a path of something else must reach, whatever the threshold: that of long text with a mark.
+LEAST = float(np.log1p(LONG * MARK_FACTOR))
 
 
 @dataclass
@@ -63,6 +71,7 @@ class Block:
     hidden: bool  # never shown
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
+    noted: int = 0  # characters in inline elements that are marked or outside
     text: str = ""
 
     @property
@@ -90,8 +99,11 @@ def _attributes(text: str) -> dict[str, str]:
 def _open(tag: str, attributes: dict[str, str], parent: _Open, paths: dict[tuple[int, str], int]) -> _Open:
     named = f"{attributes.get('class', '')} {attributes.get('id', '')}"
     tokens = {t.lower() for t in _TOKEN.findall(named)}
+    telling = tokens
+    if tag in NAMED or (tag == "section" and parent.inside):
+        telling = {t.lower() for t in _TOKEN.findall(attributes.get("class", ""))}
     role = attributes.get("role", "").lower()
-    marked = bool(tokens & MARKS) and not tokens & FRAMES and tag not in ("html", "body")
+    marked = bool(telling & MARKS) and not telling & FRAMES and tag not in ("html", "body")
     hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
     region = (tag in REGION or role == "main" or attributes.get("itemprop") == "articleBody") and not marked and not parent.marked and not parent.outside
     step = tag + "".join(f".{t}" for t in sorted(tokens)[:3])
@@ -100,11 +112,26 @@ def _open(tag: str, attributes: dict[str, str], parent: _Open, paths: dict[tuple
     return _Open(tag, *place, parent.inside or region, parent.outside or tag in OUTSIDE or role in ROLES, parent.marked or marked, parent.hidden or hidden)
 
 
+def _ends(html: str, tag: str) -> dict[int, int]:
+    """Where each closed element of this tag begins, and where it ends."""
+    pattern = re.compile(rf"""<(/?){tag}(?=[\s/>])((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>""", re.IGNORECASE)
+    begun: list[int] = []
+    found: dict[int, int] = {}
+    for m in pattern.finditer(html):
+        if m[1]:
+            if begun:
+                found[begun.pop()] = m.end()
+        elif not m[2].endswith("/"):
+            begun.append(m.start())
+    return found
+
+
 def blocks(html: str) -> list[Block]:
     """The text blocks of a page in order. Unclosed, crossing and unknown tags are taken as browsers do."""
     root = _Open("", 0, -1, "", False, False, False)
     stack, out, links, paths, opened = [root], [], 0, {}, Counter()
     now: Block | None = None
+    ends: dict[str, dict[int, int]] = {}
     at, size = 0, len(html)
 
     def add(text: str) -> None:
@@ -113,16 +140,19 @@ def blocks(html: str) -> list[Block]:
         if top.tag in ("html", "head") and text.isspace():
             return
         if now is None:
-            now = Block(top.path, top.parent, top.leaf, top.inside, top.outside, top.marked, top.hidden)
+            block = next((e for e in reversed(stack) if e.tag not in INLINE), root)
+            now = Block(top.path, top.parent, top.leaf, top.inside, block.outside, block.marked, top.hidden)
             out.append(now)
-        if (top.outside, top.marked, top.hidden) != (now.outside, now.marked, now.hidden):  # an inline element that is no part of the article
-            if top.outside or top.marked or top.hidden:
-                return
-            now.outside, now.marked, now.hidden = top.outside, top.marked, top.hidden
+        if top.hidden and not now.hidden:
+            return
+        if now.hidden and not top.hidden:
+            now.hidden = False
             now.pieces.clear()
+            now.linked = now.noted = 0
         text = unescape(text)
         now.pieces.append(text)
         now.linked += len(text) if links else 0
+        now.noted += len(text) if top.tag in INLINE and (top.outside or top.marked) else 0
 
     def close(k: int) -> None:
         nonlocal now, links
@@ -163,6 +193,11 @@ def blocks(html: str) -> list[Block]:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(html, at)
             at = end.end() if end else size
             continue
+        if tag in SKIPPED:
+            if tag not in ends:
+                ends[tag] = _ends(html, tag)
+            at = ends[tag].get(m.start(), at)
+            continue
         if tag in VOID:
             if tag not in INLINE and tag != "img":
                 now = None
@@ -180,7 +215,9 @@ def blocks(html: str) -> list[Block]:
         opened[tag] += 1
         links += tag == "a"
     for b in out:
-        b.text = " ".join("".join(b.pieces).split())
+        whole = "".join(b.pieces)
+        b.text = " ".join(whole.split())
+        b.marked = b.marked or 2 * b.noted > len(whole)
     return [b for b in out if b.text and not b.hidden]
 
 
@@ -188,20 +225,24 @@ def path_scores(found: list[Block]) -> dict[tuple[int, bool, bool], float]:
     """Fused and smoothed ratio of each path: unlinked text over nodes, raised by punctuation over nodes.
 
     What the page says of a path is one more factor: REGION_FACTOR where it lies in an element that holds an article,
-    OUTSIDE_FACTOR and MARK_FACTOR where it lies in something else. The logarithm keeps the spread from being that of
+    OUTSIDE_FACTOR and MARK_FACTOR where it lies in something else; long, punctuated, unlinked text of the article
+    overrides a mark. The logarithm keeps the spread from being that of
     the longest path alone.
     """
     order: dict[tuple[int, bool, bool], int] = {}
     for b in found:
         order.setdefault(b.key, len(order))
-    text, marks, nodes, factor = (np.zeros(len(order)) for _ in range(4))
+    text, marks, nodes, factor, long = (np.zeros(len(order)) for _ in range(5))
     for b in found:
         k = order[b.key]
         text[k] += max(0, len(b.text) - b.linked)
         marks[k] += len(_PUNCTUATION.findall(b.text))
         nodes[k] += 1
         factor[k] = OUTSIDE_FACTOR if b.outside else MARK_FACTOR if b.marked else REGION_FACTOR if b.inside else 1
-    fused = np.log1p((text / nodes) * (1 + marks / nodes) * factor)
+        long[k] = b.inside and b.marked and not b.outside
+    ratio = (text / nodes) * (1 + marks / nodes)
+    factor[(long > 0) & (ratio >= LONG)] = REGION_FACTOR
+    fused = np.log1p(ratio * factor)
     weights = np.exp(-0.5 * (np.arange(-2, 3) / 1.0) ** 2)
     smooth = np.convolve(np.pad(fused, 2), weights / weights.sum(), "valid") if len(fused) else fused
     # a path's own ratio leads; its neighbours on the page lift the short paths between long ones
@@ -223,16 +264,15 @@ def _linky(found: list[Block]) -> set[int]:
 def select(found: list[Block]) -> list[Block]:
     """The blocks of the article: those on paths with a ratio above the threshold, and headings beside them.
 
-    The threshold is the spread of the page's own ratios. Paths that hold lists of links never count, and a page on
-    which all is marked as something else has no article.
+    The threshold is the spread of the page's own ratios. Paths that hold lists of links never count, and
+    one that is marked as something else needs long text whatever the threshold.
     """
     links = _linky(found)
     rest = [b for b in found if b.path not in links]
-    if all(b.outside or b.marked for b in rest):
-        return []
     scores = path_scores(rest)
     values = np.array(list(scores.values()))
-    content = {key for key, s in scores.items() if s >= min(values.std(), values.max())}
+    threshold = min(values.std(), values.max()) if scores else 0
+    content = {key for key, s in scores.items() if s >= (max(threshold, LEAST) if key[1] or key[2] else threshold)}
     parents = {b.parent for b in rest if b.key in content}
     heading = re.compile(r"h[1-6](\.|$)")
     return [b for b in rest if b.key in content or (heading.match(b.leaf) and b.parent in parents and not b.outside and not b.marked)]

@@ -202,3 +202,22 @@ def test_path_ratios_decide_beside_a_marked_article():
     text = "A long paragraph, with commas, and several sentences. It goes on; it has more. " * 4
     html = f"<nav><a href=1>Home</a></nav><div id=story><h2>Head</h2><p>{text}</p><p>{text}</p></div><article><p>A teaser.</p></article>{PARTS['ad']}{PARTS['footer']}"
     assert html_extract.extract(html).split("\n") == ["Head", text.strip(), text.strip(), "A teaser."]
+
+
+def test_marks_lower_a_score_but_drop_no_long_text():
+    text = "A long paragraph, with commas, and several sentences. It goes on; it has more. " * 3
+    body = text.strip()
+    for inner in (
+        f"<section id='discussion'><h2>Words</h2><p>{text}</p></section>", f"<h2 id='related-work'>Words</h2><p>{text}</p>", f"<h2>Words</h2><p id='search-results'>{text}</p>",
+        f"<h2>Words</h2><div class='notice'><p>{text}</p></div>", f"<h2>Words</h2><p><span class='share'>{text[:20]}</span>{text[20:]}</p>",
+    ):
+        page = f"{PARTS['nav']}<article><h1>Head</h1><p>{text}</p>{inner}{PARTS['ad']}</article>{PARTS['notice']}{PARTS['comments']}"
+        assert html_extract.extract(page).split("\n") == ["Head", body, "Words", body], inner
+    assert html_extract.extract(f"<p>Short</p>{PARTS['ad']}") == "Short"
+
+
+def test_unclosed_elements_cut_nothing():
+    for broken in ("<svg viewBox='0 0 1 1'/>", "<svg/>", "<video src=a>", "<object data=a>", "<select>", "<video><video>no</video>"):
+        for after in ("", "<svg><text>no</text></svg>"):
+            assert html_extract.extract(f"<article><p>One.</p>{broken}<p>Two.</p>{after}<p>Three.</p></article>").split("\n") == ["One.", "Two.", "Three."], broken
+    assert html_extract.extract("<article><p>One.</p><object>no<object>no</object>no</object><p>Two.</p></article>") == "One.\nTwo."
