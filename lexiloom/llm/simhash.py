@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from lexiloom.llm.common import connected_components, durable
 
@@ -27,16 +27,24 @@ _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _SPREAD = np.ascontiguousarray((np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.uint8)).view("<u8")[:, 0]
 #: Runs up to this length have their pairs compared at once; longer ones are searched breadth first.
 _SHORT = 48
+#: Sets of up to so many shingles also get MINS keys of ROWS minima each: their bits differ by more than the angle says.
+FEW, MINS, ROWS = 80, 16, 4
+#: Standard deviations of slack for the Hamming distance before shingles are compared.
+SLACK = 4
 
 
 @dataclass(frozen=True)
 class Plan:
-    """How fingerprints are made and split. `keys` holds the bit ranges of each key."""
+    """How fingerprints are made and split. `keys` holds the bit ranges of each key.
+
+    With a `similarity`, fingerprints are those of shingle sets, and pairs within the distance count if their sets reach it.
+    """
 
     shingle: int
     words: int
     distance: int
     keys: tuple[tuple[tuple[int, int], ...], ...]
+    similarity: float | None = None
 
 
 def pigeonhole_plan(n: int, shingle: int = 4, distance: int = 4) -> Plan:
@@ -58,25 +66,23 @@ def similarity_plan(n: int, similarity: float = 0.8, shingle: int = 5, recall: f
 
     Two sets of one size with similarity J have cosine 2J / (1 + J), and each bit differs with the angle over 180
     degrees. Blocks get longer with n, which keeps chance candidates in proportion to n. The whole fingerprint, of at
-    least `words` 64-bit words, decides; with 32 it tells similarities apart to about 0.02.
+    least `words` 64-bit words, sorts out pairs SLACK standard deviations beyond the expected distance; exact sets decide
+    the rest. Pairs of up to FEW shingles share one of MINS keys with probability 0.9998 and need no distance.
     """
     differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
     length = max(16, math.ceil(math.log2(max(n, 2))) - 2)
     bands = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differ) ** length))
     words = max(words, math.ceil(bands * length / 64))
     keys = tuple(((k * length, (k + 1) * length),) for k in range(bands))
-    return Plan(shingle, words, round(differ * words * 64), keys)
+    bits = words * 64
+    return Plan(shingle, words, math.ceil(differ * bits + SLACK * math.sqrt(bits * differ * (1 - differ))), keys, similarity)
 
 
-def fingerprint(text: bytes, shingle: int, words: int = 1) -> bytes:
-    """SimHash of a text's word shingles, repeats included, as little-endian 64-bit words.
-
-    A-Z become lower case. A text with fewer words is one shingle; one without words has all bits 0. Further words of
-    the fingerprint hash the shingles' hashes anew.
-    """
+def shingles(text: bytes, shingle: int) -> np.ndarray:
+    """Hashes of a text's word shingles in order. A-Z become lower case; a text with fewer words is one shingle."""
     parts = text.translate(_LOWER).split()
     if not parts:
-        return bytes(8 * words)
+        return np.empty(0, np.uint64)
     line = b" ".join(parts)
     n = max(1, len(parts) - shingle + 1)
     lengths = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
@@ -84,7 +90,17 @@ def fingerprint(text: bytes, shingle: int, words: int = 1) -> bytes:
     starts = (ends - lengths + 1)[:n].tolist()
     stops = ends[len(parts) - n :].tolist()
     hash_of = xxhash.xxh64_intdigest
-    hashes = np.fromiter((hash_of(line[a:b], 42) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
+    return np.fromiter((hash_of(line[a:b], 42) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
+
+
+def simhash(hashes: np.ndarray, words: int = 1) -> bytes:
+    """SimHash of shingles as little-endian 64-bit words; all bits are 0 where there are none.
+
+    Further words of the fingerprint hash the shingles' hashes anew.
+    """
+    n = len(hashes)
+    if not n:
+        return bytes(8 * words)
     x = hashes[:, None]
     if words > 1:
         x = x ^ (np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -98,19 +114,68 @@ def fingerprint(text: bytes, shingle: int, words: int = 1) -> bytes:
     return np.packbits(2 * set_in > n, bitorder="little").tobytes()
 
 
+def fingerprint(text: bytes, shingle: int, words: int = 1) -> bytes:
+    """SimHash of a text's word shingles, repeats included."""
+    return simhash(shingles(text, shingle), words)
+
+
+def minima(hashes: np.ndarray) -> bytes:
+    """MINS keys, each of ROWS minima of the set under hash functions of their own; nothing for a set of more than FEW."""
+    if not 0 < len(hashes) <= FEW:
+        return b""
+    x = hashes[:, None] ^ (np.arange(1, MINS * ROWS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    low = (x ^ (x >> np.uint64(32))).min(axis=0).reshape(MINS, ROWS)
+    key = np.arange(MINS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for column in low.T:
+        key = ((key ^ column) * np.uint64(0xBF58476D1CE4E5B9)) ^ (key >> np.uint64(29))
+    return key.astype("<u8").tobytes()
+
+
 def fingerprints(docs: DataFrame, plan: Plan) -> DataFrame:
-    """doc_id and fp of every whole text; a null text is an empty one."""
-    docs = docs.select("doc_id", "text")
-    schema = StructType([docs.schema["doc_id"], StructField("fp", BinaryType())])
-    shingle, words = plan.shingle, plan.words
+    """doc_id and fp of every whole text; a null text is an empty one.
+
+    With a similarity also mins (from minima()) and text_hash, which finds the text again.
+    """
+    fields = [docs.schema["doc_id"], StructField("fp", BinaryType())]
+    shingle, words, sets = plan.shingle, plan.words, plan.similarity is not None
+    if sets:
+        docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+        fields += [StructField("mins", BinaryType()), StructField("text_hash", LongType())]
+    else:
+        docs = docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).fill_null(b"")
-            fps = [fingerprint(t.as_py(), shingle, words) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], names=["doc_id", "fp"])
+            if not sets:
+                fps = [fingerprint(t.as_py(), shingle, words) for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], names=["doc_id", "fp"])
+                continue
+            found = [np.unique(shingles(t.as_py(), shingle)) for t in texts]
+            fps, mins = pa.array([simhash(x, words) for x in found], pa.binary()), pa.array([minima(x) for x in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), fps, mins, batch.column(2)], names=["doc_id", "fp", "mins", "text_hash"])
+
+    return docs.mapInArrow(run, StructType(fields))
+
 
-    return docs.mapInArrow(run, schema)
+def _alike(a: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of the sorted sets have this Jaccard similarity with a, or more."""
+    sizes = np.array([len(x) for x in sets])
+    line = np.concatenate(sets)
+    at = np.minimum(np.searchsorted(a, line), len(a) - 1)
+    both = np.add.reduceat((a[at] == line).astype(np.int64), np.r_[0, np.cumsum(sizes)[:-1]])
+    return both >= similarity * (len(a) + sizes - both) - 1e-9
+
+
+def _verified(a: int, others: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], plan: Plan) -> np.ndarray:
+    """Which of the others are near a: by distance where one has more than FEW shingles, and by their sets."""
+    sizes = np.array([len(sets[k]) for k in others])
+    close = (_distances(prints[a], prints[others]) <= plan.distance) | ((sizes <= FEW) & (len(sets[a]) <= FEW))
+    close &= np.minimum(sizes, len(sets[a])) >= plan.similarity * np.maximum(sizes, len(sets[a])) - 1e-9
+    if close.any():
+        close[close] = _alike(sets[a], [sets[k] for k in others[close]], plan.similarity)
+    return close
 
 
 def _words(column: pa.Array, words: int) -> np.ndarray:
@@ -130,7 +195,7 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
 
 
-def _search(ids: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def _search(ids: np.ndarray, near_to: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Links that join each component of a run, one for each member but the first: never all its pairs."""
     src, dst = [], []
     left = np.arange(len(ids))
@@ -138,7 +203,7 @@ def _search(ids: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np.ndar
         stack, left = [int(left[0])], left[1:]
         while stack and len(left):
             at = stack.pop()
-            near = _distances(prints[at], prints[left]) <= distance
+            near = near_to(at, left)
             if near.any():
                 found, left = left[near], left[~near]
                 src.append(np.full(len(found), ids[at]))
@@ -194,7 +259,8 @@ def _linker(words: int, distance: int, long_runs: bool) -> Callable[[Iterator[pa
                 yield pa.RecordBatch.from_arrays([pa.array(ids[crowd], pa.int64()), pa.nulls(len(crowd), pa.int64()), pa.array(keys[crowd], pa.int64())], names=["a", "b", "key"])
             a, b = [ids[x]], [ids[y]]
             for at, n in zip(first[whole], size[whole], strict=True) if long_runs else ():
-                x, y = _search(ids[at : at + n], prints[at : at + n], distance)
+                run_prints = prints[at : at + n]
+                x, y = _search(ids[at : at + n], lambda k, left, p=run_prints: _distances(p[k], p[left]) <= distance)
                 a.append(x)
                 b.append(y)
             a, b = np.concatenate(a), np.concatenate(b)
@@ -208,7 +274,7 @@ _LINK = "a long, b long, key long"
 
 def _keyed(prints: DataFrame, plan: Plan) -> DataFrame:
     """(key, id, sketch): every fingerprint once for each key. The sketch is a part of the print outside the key."""
-    words, keys, whole = plan.words, plan.keys, plan.words == 1
+    words, keys, whole, sets = plan.words, plan.keys, plan.words == 1, plan.similarity is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,38 +286,94 @@ def _keyed(prints: DataFrame, plan: Plan) -> DataFrame:
                 sketch = prints if whole else prints[:, [(key[-1][1] // 64 + 1) % words]]
                 raw = pa.array([x.tobytes() for x in np.ascontiguousarray(sketch)], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), ids, raw], names=["key", "id", "sketch"])
+            if not sets:
+                continue
+            mins = batch.column(2).to_pylist()
+            few = np.array([k for k, x in enumerate(mins) if x], np.int64)
+            values = np.frombuffer(b"".join(mins), "<i8").reshape(-1, MINS)
+            for number in range(MINS):
+                raw = pa.array([x.tobytes() for x in prints[few, number % words]], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(values[:, number], pa.int64()), ids.take(pa.array(few)), raw], names=["key", "id", "sketch"])
 
-    return prints.select("id", "fp").mapInArrow(run, "key long, id long, sketch binary")
+    return prints.select("id", "fp", *(["mins"] if sets else [])).mapInArrow(run, "key long, id long, sketch binary")
 
 
-def links(prints: DataFrame, plan: Plan) -> DataFrame:
+def links(prints: DataFrame, plan: Plan, docs: DataFrame | None = None) -> DataFrame:
     """(a, b): links between ids of distinct fingerprints (id, fp), enough to join all pairs within the distance.
 
     Rows that share a key lie together, sorted, and are read as a stream. Short runs compare all their pairs, long
-    ones are searched breadth first and give a spanning tree. Fingerprints of several words are compared by one word first;
-    what that leaves is verified on the whole fingerprint: pairs where they are few, else all members of the run.
+    ones are searched breadth first and give a spanning tree. Under a similarity, fingerprints (id, fp, mins, first,
+    text_hash) are compared by one word first; what that leaves is verified on the shingle sets of the texts in docs:
+    pairs where they are few, else all members of the run.
     """
     keyed = _keyed(prints, plan)
     rows = keyed.repartition("key").sortWithinPartitions("key", "id")
-    if plan.words == 1:
+    if plan.similarity is None:
         return rows.mapInArrow(_linker(1, plan.distance, True), _LINK).select("a", "b").distinct()
-    share = plan.distance / (64 * plan.words)
-    loose = round(64 * share + 3 * math.sqrt(64 * share * (1 - share)))
+    differ = math.acos(2 * plan.similarity / (1 + plan.similarity)) / math.pi
+    loose = round(64 * differ + 3.5 * math.sqrt(64 * differ * (1 - differ)))
     first = durable(rows.mapInArrow(_linker(1, loose, False), _LINK), "candidates")
     pairs = first.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left, right = (prints.select(F.col("id").alias(n), F.col("fp").alias(f"fp_{n}")) for n in "ab")
+    asked = first.select(F.explode(F.array("a", "b")).alias("id")).where("id is not null").distinct()
+    sets = durable(_sets(prints.join(asked, "id"), docs, plan), "sets")
+    left, right = (sets.select(F.col("id").alias(n), F.col("fp").alias(f"fp_{n}"), F.col("shingles").alias(f"set_{n}")) for n in "ab")
     pairs = pairs.join(left, "a").join(right, "b")
-    words, most = plan.words, plan.distance
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = _distances(_words(batch.column(2), words), _words(batch.column(3), words)) <= most
-            yield batch.select([0, 1]).filter(pa.array(near))
+            fps, raw = (batch.column(k).to_pylist() + batch.column(k + 1).to_pylist() for k in (2, 4))
+            found = [np.frombuffer(x, "<u4") for x in raw]
+            prints, n = np.frombuffer(b"".join(fps), "<u8").reshape(-1, plan.words), batch.num_rows
+            near = [bool(_verified(k, np.array([n + k]), prints, found, plan)[0]) for k in range(n)]
+            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, ids, fps, raw in _whole_runs(batches):
+            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            for at, end in zip(first, np.r_[first[1:], len(keys)], strict=True):
+                prints, found = np.frombuffer(b"".join(fps[at:end]), "<u8").reshape(-1, plan.words), [np.frombuffer(x, "<u4") for x in raw[at:end]]
+                a, b = _search(ids[at:end], lambda k, left, p=prints, f=found: _verified(k, left, p, f, plan))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    verified = pairs.select("a", "b", "fp_a", "fp_b", "set_a", "set_b").mapInArrow(verify, "a long, b long")
+    crowd = first.where("b is null").select("key", F.col("a").alias("id")).join(sets, "id").select("key", "id", "fp", "shingles")
+    crowd = crowd.repartition("key").sortWithinPartitions("key", "id").mapInArrow(search, "a long, b long")
+    return verified.union(crowd).distinct()
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes], list[bytes]]]:
+    """Batches of (key, id, fp, shingles) sorted by key, each ending where a key ends."""
+    kept: pa.Table | None = None
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        kept = now if kept is None else pa.concat_tables([kept, now])
+        keys = kept.column(0).to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+        if cut:
+            done, kept = kept.slice(0, cut), kept.slice(cut)
+            yield done.column(0).to_numpy(), done.column(1).to_numpy(), done.column(2).to_pylist(), done.column(3).to_pylist()
+    if kept is not None and kept.num_rows:
+        yield kept.column(0).to_numpy(), kept.column(1).to_numpy(), kept.column(2).to_pylist(), kept.column(3).to_pylist()
+
+
+def _sets(prints: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
+    """id, fp and the sorted 32-bit hashes of the shingles of one text of each class.
+
+    Of 20,000 shingles a tenth of one is taken for another's by chance, which halves what 64 bits put on disk.
+    """
+    wanted = prints.select("id", "fp", F.col("first").alias("_first"), F.col("text_hash").alias("_hash"))
+    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_first")) & (F.xxhash64("text") == F.col("_hash")))
+    shingle = plan.shingle
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).cast(pa.binary()).fill_null(b"")
+            raw = [np.unique(shingles(t.as_py(), shingle).astype("<u4")).tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.binary())], names=["id", "fp", "shingles"])
 
-    verified = pairs.select("a", "b", "fp_a", "fp_b").mapInArrow(verify, "a long, b long")
-    crowd = first.where("b is null").select("key", F.col("a").alias("id")).join(prints, "id").select("key", "id", "fp")
-    crowd = crowd.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_linker(words, most, True), _LINK)
-    return verified.union(crowd.select("a", "b")).distinct()
+    found = texts.select("id", "fp", "text").mapInArrow(run, "id long, fp binary, shingles binary")
+    # rows that repeat a doc_id and its text count once; without repeats the sets need no shuffle
+    return found if docs.groupBy("doc_id").count().where("count > 1").isEmpty() else found.dropDuplicates(["id"])
 
 
 def near_duplicates(docs: DataFrame, plan: Callable[[int], Plan] = pigeonhole_plan) -> DataFrame:
@@ -265,15 +387,22 @@ def near_duplicates(docs: DataFrame, plan: Callable[[int], Plan] = pigeonhole_pl
     n = docs.count()
     made = plan(n)
     prints = durable(fingerprints(docs, made), "fingerprints")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    same = ["fp"]
+    if made.similarity is None:
+        classes = prints.groupBy(*same).agg(F.min("doc_id").alias("first"))
+    else:
+        same = ["fp", "mins"]
+        # the class's text is that of its first document, or of any where none has an id
+        text_hash = F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash")).alias("text_hash")
+        classes = prints.groupBy(*same).agg(F.min("doc_id").alias("first"), text_hash)
     # a class is known by its smallest doc_id; without one it has none to be reached by, and gets a negative number
     classes = durable(classes.withColumn("id", F.coalesce(F.col("first").cast("long"), -1 - F.monotonically_increasing_id())), "classes")
     # ids of components are found among class ids; negative ones are for classes without any doc_id
-    found = connected_components(links(classes, made), "a", "b")
+    found = connected_components(links(classes, made, docs), "a", "b")
     best = classes.join(found, classes["id"] == found["node"]).groupBy("component").agg(F.min("first").alias("least"))
     classes = classes.join(found, classes["id"] == found["node"], "left").join(best, "component", "left")
-    classes = classes.select(F.col("fp"), F.coalesce("least", "first").alias("component_id"))
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = classes.select(*same, F.coalesce("least", "first").alias("component_id"))
+    return prints.join(classes, same).select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:

@@ -255,3 +255,32 @@ def test_training_order_round_trip(spark, tmp_path):
 def test_op8_is_whole(spark):
     out = queries.op8_training_order(spark, SF).toPandas()
     assert sorted(out.slot) == list(range(len(out))) and out.doc_id.nunique() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def edge_pairs():
+    """Pairs of texts (2k, 2k + 1) at exact shingle similarities of 0.8 or more, and some below."""
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(200_000)]
+    rows, truth = [], []
+    for k in range(200):
+        w = rng.sample(words, 170 if k < 80 else 400) if k < 120 else rng.sample(words, (8, 9, 10, 14)[k % 4])
+        if k >= 120:
+            x = [*w, "more"]
+        else:  # a run of changed words at the end: the shingles that stay are shared, as many are new
+            n = len(w) - 4
+            cut = int(n * (0.105 if k % 2 else 0.125))
+            x = w[: len(w) - cut] + rng.sample(words, cut)
+        a, b = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (w, x))
+        rows += [(2 * k, " ".join(w), "s"), (2 * k + 1, " ".join(x), "s")]
+        truth.append(len(a & b) / len(a | b) >= 0.8)
+    return rows, truth
+
+
+def test_similarity_is_exact_at_its_edge(spark):
+    rows, truth = edge_pairs()
+    out = simhash.near_duplicates(docs_of(spark, rows), simhash.similarity_plan).toPandas().set_index("doc_id").component_id
+    linked = [out[2 * k] == out[2 * k + 1] for k in range(len(truth))]
+    assert not [k for k, (is_linked, is_near) in enumerate(zip(linked, truth, strict=True)) if is_linked and not is_near]
+    assert 40 < sum(truth) - 80 < 120 - 40 and sum(linked) / sum(truth) >= 0.97
+    assert all(linked[120:]) and all(truth[120:])
+    print("recall", sum(linked), sum(truth))
