@@ -138,18 +138,27 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float =
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
-    """The rows of docs that the mix takes, in whole documents: none, one or up to `most` copies of each.
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, block: int = 1024) -> DataFrame:
+    """The rows of docs that the mix takes, in whole documents and the schedule's order: none, one or up to `most` copies of each.
 
-    A copy is taken for every pass that starts the document before its source's quota, so a source's words differ
-    from its target by less than one document. Documents without words take no share and stay once. Rows that repeat
-    a doc_id with the same text share the largest number of copies. All columns are returned.
+    A copy is taken where a piece of mix() begins its document, so a source's words differ from its target by less than
+    one document, and stands where that piece's slot stands, so sources interleave. Documents without words take no
+    share and stay once, after the others. Rows that repeat a doc_id with the same text share the largest number of
+    copies. All columns are returned.
     """
+    out = scheduled(docs, weights, share, most, block)
+    return out.orderBy(F.col("_slot").asc_nulls_last(), "_place").select(*(f"`{c}`" for c in docs.columns))
+
+
+def scheduled(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, block: int = 1024) -> DataFrame:
+    """The rows of mixed_documents() in any order, with _slot (null after the last slot) and _place in the source's line."""
     base, sources = prepare(docs, weights, share, most)
-    reached = ((F.col("begin") < F.col("quota")) & (F.col("size") > 0)) | ((F.col("size") == 0) & (F.col("epoch") == 0))
-    counts = _passes(placed(base, sources), most).groupBy("rid", "doc_id", "text_hash").agg(F.count_if(reached).alias("n"))
-    counts = counts.groupBy("doc_id", "text_hash").agg(F.max("n").alias("_n"))
-    counts = counts.where("_n > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_n")
+    begun = mix(base, sources, block, most).where("start_word = 0").select("rid", F.struct("slot", "place").alias("at"))
+    begun = begun.unionByName(base.where("size = 0").select("rid", F.struct(F.lit(None).cast("long").alias("slot"), F.lit(None).cast("long").alias("place")).alias("at")))
+    copies = begun.groupBy("rid").agg(F.sort_array(F.collect_list("at")).alias("_at"))
+    copies = base.select("rid", "doc_id", "text_hash").join(copies, "rid")
+    copies = copies.groupBy("doc_id", "text_hash").agg(F.max_by("_at", F.struct(F.size("_at"), "rid")).alias("_at"))
+    copies = copies.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_at")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    out = docs.join(counts, same)
-    return out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*(f"`{c}`" for c in docs.columns))
+    out = docs.join(durable(copies, "copies"), same).withColumn("_one", F.explode("_at"))
+    return out.select(*(f"`{c}`" for c in docs.columns), F.col("_one.slot").alias("_slot"), F.col("_one.place").alias("_place"))

@@ -93,3 +93,17 @@ def test_mixing_edges(spark, rows):
     whole = mixing.mixed_documents(docs)
     assert whole.columns == docs.columns
     assert whole.where(F.coalesce("text", F.lit("")) == "").count() == sum(not r[1] for r in rows)
+
+
+def test_mixed_documents_follow_the_schedule(spark):
+    rows = [(k, "word " * 100, "abc"[k % 3], 1, 1, "x") for k in range(600)]
+    docs = spark.createDataFrame(rows, DOCS)
+    out = mixing.mixed_documents(docs, block=100).toPandas()
+    base, sources = mixing.prepare(docs, (3, 1, 2), 1.5, 2)
+    pieces = mixing.mix(base, sources, 100).where("start_word = 0").toPandas()
+    pieces = pieces.sort_values(["slot", "place"], na_position="last")
+    assert sorted(out.doc_id) == sorted(pieces.doc_id) and out.source.tolist() == pieces.source.tolist()
+    shares = out.source.value_counts(normalize=True)
+    for n in (60, 300, 700):
+        for source, part in out.source[:n].value_counts(normalize=True).items():
+            assert abs(part - shares[source]) < 8 / n
