@@ -30,12 +30,16 @@ def _pack(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({"part": [key[0].as_py()], "block": [key[1].as_py()], "dim": [x.shape[1]], "ids": [rows["id"].to_numpy().astype(np.int64).tobytes()], "x": [x.tobytes()]}, schema=kinds)
 
 
-def _blocks(vectors: DataFrame) -> DataFrame:
-    """(part, block, dim, ids, x): rows of (id, embedding, part) in blocks of about BLOCK unit vectors."""
+def _dealt(vectors: DataFrame) -> DataFrame:
+    """Rows of (id, embedding, part) with the number of their block."""
     rows = vectors.where("id is not null and embedding is not null")
     sizes = rows.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = rows.join(sizes, "part").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    return dealt.groupBy("part", "block").applyInArrow(_pack, "part string, block long, dim int, ids binary, x binary")
+    return rows.join(sizes, "part").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+
+
+def _blocks(vectors: DataFrame) -> DataFrame:
+    """(part, block, dim, ids, x): rows of (id, embedding, part) in blocks of about BLOCK unit vectors."""
+    return _dealt(vectors).groupBy("part", "block").applyInArrow(_pack, "part string, block long, dim int, ids binary, x binary")
 
 
 def _unpack(dim: int, ids: bytes, x: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -109,11 +113,13 @@ def _pairs(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
 def self_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
     """id1 < id2 and similarity (6 places) of all pairs of rows (id, embedding) that reach the threshold."""
-    blocks = _blocks(vectors.select("id", "embedding", F.lit("").alias("part"))).select("block", "dim", "ids", "x")
-    n = F.max("block").over(Window.partitionBy("dim")) + 1
-    # block a meets the blocks after it: written as an equality on the later block's number
-    left = blocks.select("dim", F.col("block").alias("a"), F.col("ids").alias("a_ids"), F.col("x").alias("a_x"), n.alias("n"))
-    left = left.withColumn("b", F.explode(F.sequence(F.col("a"), F.col("n") - 1)))
+    vectors = vectors.select("id", "embedding", F.lit("").alias("part"))
+    blocks = _blocks(vectors).select("block", "dim", "ids", "x")
+    # block a meets itself and the blocks after it; numbers alone are paired, and vectors join both sides by block
+    numbers = _dealt(vectors).select(F.size("embedding").alias("dim"), "block").distinct()
+    counts = numbers.groupBy("dim").agg(F.max("block").alias("last"))
+    pairs = numbers.join(F.broadcast(counts), "dim").select("dim", F.col("block").alias("a"), F.explode(F.sequence("block", "last")).alias("b"))
+    left = pairs.join(blocks.select("dim", F.col("block").alias("a"), F.col("ids").alias("a_ids"), F.col("x").alias("a_x")), ["dim", "a"])
     right = blocks.select("dim", F.col("block").alias("b"), F.col("ids").alias("b_ids"), F.col("x").alias("b_x"))
     met = left.join(right, ["dim", "b"]).select((F.col("a") == F.col("b")).alias("same"), "dim", "a_ids", "a_x", "b_ids", "b_x")
     return met.mapInArrow(_pairs(threshold), _FOUND).select(F.col("query_id").alias("id1"), F.col("target_id").alias("id2"), "similarity")

@@ -136,3 +136,18 @@ def test_element_types(spark):
     terms = spark.createDataFrame([("a", "SO:1|SO:2", "exact"), ("b", "not_applicable", ""), ("c", "SO:9", "odd")], "term string, element_type string, fit string")
     checks = validate.element_type_checks(terms, spark.createDataFrame([("SO:1",), ("SO:2",)], "object string"))
     assert {r.rule: r.n for r in validate.summary(checks).collect()} == {"element-live": 1, "element-fit": 1}
+
+
+def test_self_pairs_hold_no_table_in_one_task(spark, monkeypatch):
+    import numpy as np
+
+    from lexiloom.operators import similarity
+
+    monkeypatch.setattr(similarity, "BLOCK", 16)
+    x = np.random.default_rng(4).normal(size=(150, 3))
+    vectors = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "id long, embedding array<double>")
+    out = similarity.self_pairs(vectors, 0.9)
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.round(unit @ unit.T, 6) >= 0.9
+    assert sorted((r.id1, r.id2) for r in out.collect()) == [(i, j) for i in range(150) for j in range(i + 1, 150) if near[i, j]]
