@@ -102,15 +102,23 @@ def iri(curie: Column, prefixes: dict[str, str]) -> Column:
     return F.when(local != "", F.concat(F.element_at(bases, F.regexp_extract(curie, "^([^:]*):", 1)), local))
 
 
-def legacy_forms(curie: Column, enum: Column, label: Column, base: str) -> Column:
-    """Older spellings of a term's identity: CURIE with _, IRI, and enum#label percent-encoded."""
-    quoted = F.replace(F.url_encode(label), F.lit("+"), F.lit("%20"))
-    return F.array(F.replace(curie, F.lit(":"), F.lit("_")), F.concat(F.lit(base), F.regexp_extract(curie, ":(.*)$", 1)), F.concat(F.lit(base), enum, F.lit("#"), quoted))
+def legacy_forms(label: Column, enum: Column, prefix: str, base: str) -> Column:
+    """Older references to a term by its label: a CURIE, its IRI, and with an enum the IRI base + enum#label.
+
+    In the first two _ stands for each space; in the last one the label is percent-encoded, but for / and unreserved
+    characters.
+    """
+    under = F.replace(label, F.lit(" "), F.lit("_"))
+    quoted = F.url_encode(label)
+    for code, plain in (("+", "%20"), ("%2F", "/"), ("%7E", "~"), ("*", "%2A")):
+        quoted = F.replace(quoted, F.lit(code), F.lit(plain))
+    whole = F.when(F.coalesce(enum, F.lit("")) != "", F.concat(F.lit(base), enum, F.lit("#"), quoted))
+    return F.array_compact(F.array(F.concat(F.lit(f"{prefix}:"), under), F.concat(F.lit(base), under), whole))
 
 
 def pipe_list(c: Column) -> Column:
     """Values between pipes, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def same_set(a: Column, b: Column) -> Column:
@@ -147,3 +155,46 @@ def ontology_text(name: Column, definition: Column, synonyms: Column) -> Column:
 def log_width(value: Column, most: Column) -> Column:
     """Bar width in percent on a logarithmic scale; 0 for no value."""
     return F.when(value > 0, 100 * F.log10(value + 1) / F.log10(most + 1)).otherwise(F.lit(0.0))
+
+
+def escaped_pipes(c: Column) -> Column:
+    """Text for a cell of a Markdown table: white space collapsed, pipes escaped."""
+    return F.replace(squeeze(c), F.lit("|"), F.lit("\\|"))
+
+
+def sentence(c: Column) -> Column:
+    """Trimmed text that ends as a sentence does; empty text stays."""
+    text = F.trim(c)
+    return F.when((text == "") | text.rlike(r"[.!?]$"), text).otherwise(F.concat(text, F.lit(".")))
+
+
+def half_even(c: Column, places: int) -> Column:
+    """Rounding to even at exact halves, where F.round goes away from zero."""
+    return F.bround(c, places)
+
+
+def iso_time(c: Column) -> Column:
+    """A timestamp to the second, in the session's time zone, with its offset from UTC."""
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ssXXX")
+
+
+def locale_key(c: Column) -> Column:
+    """What a list is sorted by where letters count before case: alike letters are neighbours, small ones first."""
+    return F.concat(F.lower(c), F.lit("\x00"), F.translate(c, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
+
+
+def holds_quoted(document: Column, value: Column) -> Column:
+    """Whether a JSON text holds the value as a whole string."""
+    return F.contains(document, F.to_json(F.array(value)).substr(F.lit(2), F.length(F.to_json(F.array(value))) - 2))
+
+
+def first_mapping(slots: dict[str, Column], prefix: str = "") -> Column:
+    """(predicate, object) of the first slot, in the order given, with an object of this prefix; null where there is none.
+
+    Slots are arrays; a slot's first fitting object counts.
+    """
+    found = []
+    for predicate, values in slots.items():
+        fitting = F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda v: v.startswith(prefix))
+        found.append(F.when(F.size(fitting) > 0, F.struct(F.lit(predicate).alias("predicate"), F.get(fitting, 0).alias("object"))))
+    return F.coalesce(*found)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import blank, finding_id, has_word, squeeze
+from lexiloom.session import durable, in_order
 
 # Weights of the queue and points of severities.
 WEIGHTS = {"findings": 0.5, "impact": 2.0, "adoption": 0.5, "required": 0.5, "port": 3.0, "upstream": 2.0, "stale": 3.0, "machine": 1.0}
@@ -67,14 +68,80 @@ def by_subject(found: DataFrame) -> DataFrame:
     return each.groupBy("subject").agg(F.count("*").alias("findings"), F.sum(severity_points(F.col("severity"))).alias("points"))
 
 
-def undecided(found: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Findings (id, subjects) that no decision (id, subject, status, evidence) cites and no subject of which has one."""
+def decisions_of(subjects: DataFrame, decisions: DataFrame) -> DataFrame:
+    """subject, id, role: decisions (id, subject, also_affects, created) that name a subject, once each, by their first role."""
+    role = lambda name, column, n: decisions.select("id", F.explode(column).alias("subject"), F.struct(F.lit(n).alias("n"), F.lit(name).alias("role")).alias("r"))
+    named = role("subject", F.array("subject"), 0).unionByName(role("also", "also_affects", 1)).unionByName(role("created", "created", 2))
+    first = named.groupBy("subject", "id").agg(F.min("r").alias("r")).select("subject", "id", "r.role")
+    return first.join(subjects.select("subject").distinct(), "subject", "left_semi")
+
+
+def undecided(found: DataFrame, decisions: DataFrame, subjects: DataFrame | None = None) -> DataFrame:
+    """Findings (id, subjects) that no decision (id, subject, status, evidence) cites and no subject of which has one.
+
+    With subjects (subject, retired), a subject that is missing or retired counts as decided too.
+    """
     active = decisions.where("status <> 'withdrawn'")
     cited = active.select(F.explode("evidence").alias("id"))
-    about = found.select("id", F.explode("subjects").alias("subject")).join(active.select("subject"), "subject", "left_semi").select("id")
+    each = found.select("id", F.explode("subjects").alias("subject"))
+    about = each.join(active.select("subject"), "subject", "left_semi").select("id")
+    if subjects is not None:
+        about = about.union(each.join(subjects.where("not retired").select("subject"), "subject", "left_anti").select("id"))
     return found.join(cited.union(about).distinct(), "id", "left_anti")
 
 
+def open_by_rule(found: DataFrame, subjects: DataFrame) -> DataFrame:
+    """source, rule, n: findings (id, source, rule, subjects) that a subject (subject, retired) which is not retired has."""
+    live = subjects.where("not retired").select("subject")
+    ids = found.select("id", F.explode("subjects").alias("subject")).join(live, "subject", "left_semi").select("id").distinct()
+    return found.join(ids, "id", "left_semi").groupBy("source", "rule").agg(F.count_distinct("id").alias("n"))
+
+
+def by_rule(found: DataFrame, kinds: DataFrame) -> DataFrame:
+    """place, rule, severity, n, kinds: findings (id, rule, severity, subjects) of each rule, by severity and then name.
+
+    kinds: (subject, kind); the kinds of a rule's subjects are sorted and |-joined. A rule's severity is its worst one.
+    """
+    order = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warn", 1).when(F.col("severity") == "info", 2).otherwise(3)
+    counts = found.groupBy("rule").agg(F.min_by("severity", order).alias("severity"), F.min(order).alias("_order"), F.count("*").alias("n"))
+    seen = found.select("rule", F.explode("subjects").alias("subject")).distinct().join(kinds, "subject").groupBy("rule").agg(F.array_join(F.array_sort(F.collect_set("kind")), "|").alias("kinds"))
+    place = F.row_number().over(Window.orderBy("_order", "rule"))  # a row for each rule
+    return counts.join(seen, "rule", "left").select(place.alias("place"), "rule", "severity", "n", F.coalesce("kinds", F.lit("")).alias("kinds"))
+
+
+def containers(subjects: DataFrame) -> DataFrame:
+    """subjects (sid, kind, layer, container, owner_class) with `key`, the container that a rollup counts them in, and `home`.
+
+    A term and a usage count in their container, an enum and a class in themselves, a class's own slot in the class; the
+    rest counts by layer. home is the subject whose layer the container has, or null for those of a layer.
+    """
+    kind, layer = F.col("kind"), F.coalesce(F.col("layer"), F.lit(0))
+    home = (
+        F.when(kind.isin("term", "usage") & F.col("container").isNotNull(), F.col("container"))
+        .when(kind.isin("enum", "class"), F.col("sid"))
+        .when((kind == "slot") & F.col("owner_class").isNotNull(), F.concat(F.lit("class:"), "owner_class"))
+    )
+    group = F.when(kind == "slot", "shared-slots").when(kind == "subset", "subsets").when(kind == "module", "modules").otherwise("other")
+    return subjects.withColumn("home", home).withColumn("key", F.coalesce("home", F.concat(group, F.lit(":"), layer.cast("string"))))
+
+
+def container_rollup(subjects: DataFrame, states: tuple[str, ...] = ("applied", "settled", "deferred", "open", "stale", "unreviewed")) -> DataFrame:
+    """layer, key, a count for each state, total, percent: subjects (sid, kind, layer, container, owner_class, state, retired).
+
+    A null key is a layer's subtotal, a null layer the total. A container has its own layer, or its first member's where
+    it is no subject. Retired subjects do not count.
+    """
+    rows = containers(subjects.where("not retired"))
+    homes = subjects.where("not retired").select(F.col("sid").alias("home"), F.col("layer").alias("home_layer"))
+    rows = rows.join(homes, "home", "left").withColumn("own", F.coalesce("layer", F.lit(0)))
+    layers = rows.groupBy("key").agg(F.coalesce(F.max("home_layer"), F.min("own")).alias("at"))
+    rows = rows.join(layers, "key").select(F.col("at").alias("layer"), "key", "state")
+    settled = F.count_if(F.col("state").isin("applied", "settled"))
+    counts = [F.count_if(F.col("state") == s).alias(s) for s in states]
+    out = rows.rollup("layer", "key").agg(*counts, F.count("*").alias("total"), (F.round(1000 * settled / F.count("*")) / 10).alias("percent"))
+    return out
+
+
 def latest_decisions(decisions: DataFrame) -> DataFrame:
     """Each subject's last decision (id, subject, status) that is not withdrawn."""
     number = F.row_number().over(Window.partitionBy("subject").orderBy(F.col("id").desc()))
@@ -155,22 +222,34 @@ def lint_row(rows: DataFrame, rule: str, subject: str) -> DataFrame:
 
 
 def description_lint(terms: DataFrame) -> DataFrame:
-    """Rules over terms (subject, description): none, terse, todo marker, the same text or paragraph elsewhere."""
+    """Rules over terms (subject, description): none, terse, todo marker, the same text or paragraph elsewhere.
+
+    Descriptions are read once. Texts and paragraphs go on as 128-bit digests; what several terms share is found by
+    counting digests, so that no text moves.
+    """
     text = blank(F.col("description"))
-    named = terms.where(text != "").withColumn("_d", squeeze(F.lower(text)))
-    copies = named.groupBy("_d").agg(F.count("*").alias("_n")).where("_n > 1")
-    paragraphs = named.select("subject", F.explode(F.split("description", r"\n\s*\n")).alias("_p")).withColumn("_p", squeeze(F.lower("_p"))).where("_p <> ''").distinct()
-    repeated = paragraphs.groupBy("_p").agg(F.count("*").alias("_n")).where("_n > 1")
     todo = F.lit(False)
     for pattern in TODO:
         todo = todo | text.rlike(f"(?i){pattern}")
-    rules = {
-        "enum-value-no-description": terms.where(text == ""),
-        "terse-description": terms.where((text != "") & (F.length(text) < TERSE)),
-        "todo-marker": terms.where(todo),
-        "duplicate-description": named.join(copies, "_d", "left_semi"),
-        "duplicate-paragraph": paragraphs.join(repeated, "_p", "left_semi").select("subject").distinct(),
-    }
+    none = F.lit(None).cast("string")
+    hit = lambda rule, bad, key=none: F.when(bad, F.struct(F.lit(rule).alias("rule"), key.alias("key")))
+    paragraphs = F.array_distinct(F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda p: squeeze(F.lower(p))), lambda p: p != ""))
+    hits = F.array_compact(
+        F.array(
+            hit("enum-value-no-description", text == ""), hit("terse-description", (text != "") & (F.length(text) < TERSE)), hit("todo-marker", todo),
+            hit("duplicate-description", text != "", F.md5(squeeze(F.lower(text)))),
+        )
+    )
+    each = F.transform(paragraphs, lambda p: F.struct(F.lit("duplicate-paragraph").alias("rule"), F.md5(p).alias("key")))
+    found = durable(terms.select("subject", F.explode(F.concat(hits, each)).alias("h")).select("subject", "h.rule", "h.key"), "lint")
+    keyed = found.where("key is not null")
+    texts = keyed.where("rule = 'duplicate-description'").groupBy("rule", "key").agg(F.count("*").alias("n"))
+    parts = keyed.where("rule = 'duplicate-paragraph'").groupBy("rule", "key").agg(F.count_distinct("subject").alias("n"))
+    shared = durable(texts.unionByName(parts).where("n > 1").select("rule", "key"), "shared")
+    copies = keyed.join(shared, ["rule", "key"], "left_semi")
+    rules = {r: found.where((F.col("rule") == r) & F.col("key").isNull()) for r in ("enum-value-no-description", "terse-description", "todo-marker")}
+    rules["duplicate-description"] = copies.where("rule = 'duplicate-description'")
+    rules["duplicate-paragraph"] = copies.where("rule = 'duplicate-paragraph'").select("subject").distinct()
     return _all(rules, "subject")
 
 
@@ -230,8 +309,7 @@ def group_by_rationale(decisions: DataFrame) -> DataFrame:
 
 def numbered(decisions: DataFrame, start: int = 21) -> DataFrame:
     """Applied decisions that write something and are no seeds, numbered by (applied_on, id)."""
-    rows = decisions.where("status = 'applied' and origin <> 'seed' and writes <> 'none'")
-    return rows.withColumn("number", F.lit(start - 1) + F.row_number().over(Window.orderBy("applied_on", "id")))
+    return in_order(decisions.where("status = 'applied' and origin <> 'seed' and writes <> 'none'"), "number", start, "applied_on", "id")
 
 
 def matching_prompts(subjects: DataFrame, prompts: DataFrame) -> DataFrame:
@@ -271,3 +349,94 @@ def retired(ledger: DataFrame, merges: DataFrame) -> DataFrame:
     out = ledger.join(into, "subject", "left")
     out = out.withColumn("status", F.when(F.col("_into").isNotNull(), "merged").otherwise(F.col("status")))
     return out.withColumn("replaced_by", F.coalesce("_into", "replaced_by")).drop("_into")
+
+
+def mapping_fill(operations: DataFrame, names: DataFrame, member: str, categories: tuple[str, str]) -> DataFrame:
+    """Mapping rows of adopted or rejected mappings: operations (subject, predicate, object, object_label, fit, negate).
+
+    A label that is not given comes from names (object, name); membership rows get the fixed categories, and their fit
+    unless they are negated.
+    """
+    known = names.select("object", F.col("name").alias("_name")).dropDuplicates(["object"])
+    rows = operations.join(known, "object", "left")
+    is_member = F.col("predicate") == member
+    given = F.nullif(blank(F.col("object_label")), F.lit(""))
+    return rows.select(
+        "subject", "predicate", "object", F.coalesce(given, F.col("_name"), F.lit("")).alias("object_label"),
+        F.when(is_member & ~F.col("negate"), blank(F.col("fit"))).otherwise("").alias("fit"), F.when(F.col("negate"), "Not").otherwise("").alias("modifier"),
+        F.when(is_member, categories[0]).otherwise("").alias("subject_category"), F.when(is_member, categories[1]).otherwise("").alias("object_category"),
+    )
+
+
+def references(labels: DataFrame, places: DataFrame) -> DataFrame:
+    """label, place, holder: where tables use a label. labels: (label, enum); places: (place, label, enum, holder).
+
+    A place without an enum refers to the label in any.
+    """
+    rows = places.withColumnRenamed("enum", "_enum").join(labels, "label")
+    return rows.where((blank(F.col("_enum")) == "") | (F.col("_enum") == F.col("enum"))).select("label", "place", "holder")
+
+
+def promoted(terms: DataFrame, operations: DataFrame, status: str) -> DataFrame:
+    """terms (subject, status) after promotions (subject)."""
+    up = operations.select("subject").distinct().withColumn("_up", F.lit(True))
+    return terms.join(up, "subject", "left").withColumn("status", F.when(F.col("_up"), F.lit(status)).otherwise(F.col("status"))).drop("_up")
+
+
+# Verdicts by kind of subject, as verdict: what applying writes | required fields | optional fields.
+VERDICTS = {
+    "term": """
+        keep: none | | ; keep_atomic: none | | ; edit_description: src | description | ; rename: src+refs | label | ; set_subsets: src | subsets | ;
+        move_to_enum: src+refs | enum | ; merge: src+refs | into mappings | ; delete: src+refs | | ; facet: src+refs | base facets | ;
+        adopt_mapping: sssom | predicate object | object_label element_type_fit comment ; reject_mapping: sssom | predicate object | object_label comment ;
+        add_see_also: src | target | ; remove_see_also: src | target | ; promote_tier: src | | ; mint_base: none | | from_labels note ; defer: none | |""",
+    "enum": """
+        keep: none | | ; edit_description: src | description | ; add_term: src | label | description subsets ; rename_enum: src+refs | name | ;
+        move_enum: src | module | ; delete_enum: src | | ; defer: none | |""",
+    "class": """
+        keep: none | | ; edit_description: src | description | ; rename_class: src+refs | name | ; add_slot: src | | slot new_slot ; drop_slot: src | slot | delete_def ;
+        move_slot: src | slot to | ; set_slot_usage: src | slot usage | ; add_rule: src | rule | ; edit_rule: src | rule_sha1 rule | ; drop_rule: src | rule_sha1 | ;
+        set_is_a: src | is_a | ; set_lineage: src | | source conforms_to see_also ; adopt_mapping: src | predicate object | ; reject_mapping: src | predicate object | ;
+        delete_class: src | | ; defer: none | |""",
+    "slot": """
+        keep: none | | ; edit_description: src | description | ; rename_slot: src+refs | name | ; retype_slot: src | | range inlined any_of ;
+        set_cardinality: src | | required recommended multivalued ; set_examples: src | examples | ; adopt_mapping: src | predicate object | ;
+        reject_mapping: src | predicate object | ; delete_slot: src+refs | | ; defer: none | |""",
+    "usage": "keep: none | | ; edit_usage: src | usage | ; drop_usage: src | | ; defer: none | |",
+    "subset": """
+        keep: none | | ; edit_description: src | description | ; rename_subset: src | name | ; merge_subset: src | into | ; delete_subset: src | | ; defer: none | |""",
+    "module": "keep: none | | ; edit_description: src | description | ; set_layer: src | layer | ; defer: none | |",
+}
+#: Verdicts of which some of these fields must be given: groups are alternatives.
+ONE_OF = {("class", "add_slot"): (("slot",), ("new_slot",)), ("class", "set_lineage"): (("source", "conforms_to", "see_also"),), ("slot", "retype_slot"): (("range", "any_of"),), ("slot", "set_cardinality"): (("required", "recommended", "multivalued"),)}
+
+
+def verdict_table(spark: SparkSession) -> DataFrame:
+    """kind, verdict, terminal, writes, required, optional, one_of of every verdict."""
+    rows = []
+    for kind, listed in VERDICTS.items():
+        for entry in listed.split(";"):
+            verdict, rest = entry.split(":", 1)
+            writes, required, optional = (part.split() for part in rest.split("|"))
+            groups = [list(g) for g in ONE_OF.get((kind, verdict.strip()), ())]
+            rows.append((kind, verdict.strip(), verdict.strip() != "defer", writes[0], required, optional, groups))
+    return spark.createDataFrame(rows, "kind string, verdict string, terminal boolean, writes string, required array<string>, optional array<string>, one_of array<array<string>>")
+
+
+def verdict_errors(decisions: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """id, error: decisions (id, kind, verdict, given: array of fields, rationale) against the verdicts of their kind.
+
+    A terminal verdict needs a rationale; exactly one group of one_of is given, by any of its fields.
+    """
+    rows = decisions.join(F.broadcast(verdicts), ["kind", "verdict"], "left")
+    lacking, extra = F.array_except("required", "given"), F.array_except("given", F.array_union("required", "optional"))
+    groups = F.size(F.filter("one_of", lambda g: F.arrays_overlap(g, F.col("given"))))
+    listed = lambda fields: F.array_join(F.array_sort(fields), ",")
+    errors = F.array_compact(
+        F.array(
+            F.when(F.col("writes").isNull(), F.lit("unknown verdict")), F.when(F.size(lacking) > 0, F.concat(F.lit("missing "), listed(lacking))),
+            F.when(F.size(extra) > 0, F.concat(F.lit("unknown field "), listed(extra))), F.when((F.size("one_of") > 0) & (groups != 1), F.lit("one group of fields")),
+            F.when(F.col("terminal") & (blank(F.col("rationale")) == ""), F.lit("no rationale")),
+        )
+    )
+    return rows.select("id", F.explode(errors).alias("error"))

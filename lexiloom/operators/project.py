@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import blank
+from lexiloom.session import durable
+
+
+#: Fixed value: the object of a row that says that no object was found.
+NONE_FOUND = "sssom:NoTermFound"
 
 
 def ordered_distinct(order: str, value: str):
@@ -18,8 +23,9 @@ def axioms(rows: DataFrame) -> DataFrame:
     """subject, label, fit, n, objects, form of rows (row_no, subject, label, fit, object).
 
     Objects are distinct in row order and joined by |; label and fit are the first row's; one object is an IRI, several
-    are a union.
+    are a union. Rows that say that nothing was found make no axiom.
     """
+    rows = rows.where(F.col("object") != NONE_FOUND)
     per = rows.groupBy("subject").agg(
         F.min_by("label", "row_no").alias("label"), F.min_by("fit", "row_no").alias("fit"), ordered_distinct("row_no", "object").alias("o")
     )
@@ -31,6 +37,8 @@ def turtle(axiom_rows: DataFrame, base: str, prefix: str) -> DataFrame:
     iris = F.transform(F.split("objects", r"\|"), lambda o: F.concat(F.lit(f"<{base}"), F.replace(o, F.lit(":"), F.lit("_")), F.lit(">")))
     union = F.concat(F.lit("[ a owl:Class ; owl:unionOf ( "), F.array_join(iris, " "), F.lit(" ) ]"))
     body = F.when(F.col("n") == 1, iris[0]).otherwise(union)
+    if not axiom_rows.where(F.startswith(F.concat(F.lit(prefix), "subject"), F.lit(base))).isEmpty():
+        raise ValueError("a term of the target is the subject of a statement")
     return axiom_rows.select("subject", F.concat(F.lit(prefix), F.col("subject"), F.lit(" rdfs:subClassOf "), body, F.lit(" .")).alias("value"))
 
 
@@ -58,29 +66,47 @@ def desired_state(rows: DataFrame, slots: dict[str, str], member: str, related:
     return out.select("subject", *slots.values(), "negated", element.alias("element_type"), (F.col("_fits") > 1).alias("conflict"))
 
 
-def class_slots(edges: DataFrame, slots: DataFrame, depth: int = 50) -> DataFrame:
+def ancestors(edges: DataFrame, classes: DataFrame) -> DataFrame:
+    """class, ancestor, path, distance of edges (class, parent, ord) and classes (class), each class its own at distance 0.
+
+    Of several ways to an ancestor the one whose path comes first is kept, round by round, so that diamonds cost one row
+    and not one for each way. A round is a join with what the last one changed; there are as many as the longest way up.
+    A class that is its own ancestor is an error.
+    """
+    code = F.lpad((999 - F.col("ord")).cast("string"), 3, "0")
+    steps = durable(edges.select("class", "parent", code.alias("code")), "edges")
+    order = F.struct("path", "distance")
+    best = durable(classes.select("class").distinct().select("class", F.col("class").alias("ancestor"), F.lit("").alias("path"), F.lit(0).cast("long").alias("distance")), "ancestors")
+    changed = best
+    while True:
+        up = steps.join(changed.withColumnRenamed("class", "parent"), "parent").select("class", "ancestor", F.concat("code", "path").alias("path"), (F.col("distance") + 1).alias("distance"))
+        up = durable(up.groupBy("class", "ancestor").agg(F.min(order).alias("new")), "up")
+        if not up.where("class = ancestor").isEmpty():
+            raise ValueError("a class is its own ancestor")
+        known = best.select("class", "ancestor", order.alias("old"))
+        up = up.join(known, ["class", "ancestor"], "left").where("old is null or new < old")
+        changed = durable(up.select("class", "ancestor", "new.path", "new.distance"), "changed")
+        if changed.isEmpty():
+            return best
+        best = durable(best.unionByName(changed).groupBy("class", "ancestor").agg(F.min(order).alias("o")).select("class", "ancestor", "o.path", "o.distance"), "ancestors")
+
+
+def class_slots(edges: DataFrame, slots: DataFrame, usage: DataFrame | None = None) -> DataFrame:
     """class, slot, inherited_from, distance of every slot a class has by itself or by inheritance.
 
     edges: (class, parent, ord), ord 0 for the parent and 1, 2 ... for mixins; slots: (class, slot). Own slots win over
-    mixins' and those over the parent's; of mixins the later one wins; nearer ancestors win inside each.
+    mixins' and those over the parent's; of mixins the later one wins; nearer ancestors win inside each. With usage
+    (class, slot, override), also the override that the class which lists the slot has for it.
     """
-    spark = edges.sparkSession
-    return spark.sql(
-        f"""
-        WITH RECURSIVE up(class, ancestor, distance, path) AS (
-          SELECT class, class, 0, CAST('' AS STRING) FROM (SELECT class FROM {{slots}} UNION SELECT class FROM {{edges}})
-          UNION ALL
-          SELECT u.class, e.parent, u.distance + 1, concat(u.path, lpad(CAST(999 - e.ord AS STRING), 3, '0'))
-          FROM up u JOIN {{edges}} e ON u.ancestor = e.class WHERE u.distance < {depth}),
-        found AS (
-          SELECT u.class, s.slot, u.ancestor, u.distance,
-                 row_number() OVER (PARTITION BY u.class, s.slot ORDER BY u.path, u.distance, u.ancestor) AS n
-          FROM up u JOIN {{slots}} s ON u.ancestor = s.class)
-        SELECT class, slot, CASE WHEN distance > 0 THEN ancestor END AS inherited_from, distance FROM found WHERE n = 1
-        """,
-        edges=edges,
-        slots=slots,
-    )
+    up = ancestors(edges, slots.select("class").union(edges.select("class")))
+    found = up.join(slots.select(F.col("class").alias("ancestor"), "slot"), "ancestor")
+    first = F.min(F.struct("path", "distance", "ancestor")).alias("first")
+    out = found.groupBy("class", "slot").agg(first).select("class", "slot", F.col("first.ancestor").alias("ancestor"), F.col("first.distance").alias("distance"))
+    inherited = F.when(F.col("distance") > 0, F.col("ancestor")).alias("inherited_from")
+    if usage is None:
+        return out.select("class", "slot", inherited, "distance")
+    own = usage.select(F.col("class").alias("ancestor"), "slot", "override")
+    return out.join(own, ["ancestor", "slot"], "left").select("class", "slot", inherited, "distance", "override")
 
 
 def referenced_by(references: DataFrame) -> DataFrame:

@@ -5,37 +5,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.session import durable
 
-def chain_ends(start: DataFrame, edges: DataFrame, live: DataFrame | None = None, depth: int = 100) -> DataFrame:
+
+def _followed(edges: DataFrame) -> tuple[DataFrame, bool]:
+    """(node, at, steps, open) of every source of edges (src, dst), one for each source; and whether any is open.
+
+    Each round joins the jumps with themselves, which doubles their reach, so a chain of n edges takes log2(n) rounds and
+    no row ever holds a path. What is still open when jumps reach further than there are edges leads into a ring.
+    """
+    jumps = durable(edges.select(F.col("src").alias("node"), F.col("dst").alias("at"), F.lit(1).cast("long").alias("steps")), "jumps")
+    for _ in range(jumps.count().bit_length() + 1):
+        ahead = jumps.select(F.col("node").alias("at"), F.col("at").alias("far"), F.col("steps").alias("more"))
+        longer = F.col("steps") + F.coalesce("more", F.lit(0))
+        jumps = jumps.join(ahead, "at", "left").select("node", F.coalesce("far", "at").alias("at"), longer.alias("steps"), F.col("far").isNotNull().alias("open"))
+        jumps = durable(jumps, "jumps")
+        if jumps.where("open").isEmpty():
+            return jumps, False
+    return (jumps, True) if "open" in jumps.columns else (jumps.withColumn("open", F.lit(False)), False)
+
+
+def _into_rings(jumps: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, at, steps) of the open nodes: each stops at the last node before its chain meets itself."""
+    ring = durable(jumps.where("open").select(F.col("at").alias("node")).distinct(), "ring")
+    own = edges.join(ring, edges["src"] == ring["node"], "left_semi")
+    # the smallest node that a jump passes names the ring, once jumps are as long as it
+    low = durable(own.select(F.col("src").alias("node"), F.col("dst").alias("at"), F.least("src", "dst").alias("low")), "rings")
+    for _ in range(low.count().bit_length()):
+        ahead = low.select(F.col("node").alias("at"), F.col("at").alias("far"), F.col("low").alias("far_low"))
+        low = durable(low.join(ahead, "at").select("node", F.col("far").alias("at"), F.least("low", "far_low").alias("low")), "rings")
+    sizes = low.groupBy("low").agg(F.count("*").alias("size"))
+    stops = low.join(sizes, "low").select("node", (F.col("size") - 1).alias("round"))
+    stops = stops.join(own.select(F.col("dst").alias("node"), F.col("src").alias("stop")), "node")
+    tails = edges.join(ring, edges["src"] == ring["node"], "left_anti").join(jumps.where("open").select(F.col("node").alias("src")), "src", "left_semi")
+    entries = _followed(tails)[0].select("node", F.col("at").alias("entry"), "steps")
+    entries = entries.unionByName(ring.select("node", F.col("node").alias("entry"), F.lit(0).cast("long").alias("steps")))
+    return entries.join(stops.withColumnRenamed("node", "entry"), "entry").select("node", F.col("stop").alias("at"), (F.col("steps") + F.col("round")).alias("steps"))
+
+
+def chain_ends(start: DataFrame, edges: DataFrame, live: DataFrame | None = None) -> DataFrame:
     """node, chain_end, steps, resolved: where each node of `start` (node) comes to by edges (src, dst).
 
     A chain goes on while it has an edge and has not come to a live node; without `live` it goes to its last node. A
-    chain that meets itself stops and is not resolved. One recursive query: each level is a join on the front.
+    chain that meets itself stops before it does, and is not resolved. Chains may have any length; of several edges of a
+    node the one to the smallest node counts.
     """
-    spark = start.sparkSession
     alive = edges.select(F.col("src").alias("node")).limit(0) if live is None else live.select("node").distinct()
-    once = edges.groupBy("src").agg(F.min("dst").alias("dst"))
+    once = edges.where("src is not null and dst is not null").groupBy("src").agg(F.min("dst").alias("dst"))
     # no step leaves a live node
-    usable = once.join(alive, once["src"] == alive["node"], "left_anti")
-    out = spark.sql(
-        f"""
-        WITH RECURSIVE walk(node, at, steps, seen) AS (
-          SELECT node, node, 0, array(node) FROM {{start}}
-          UNION ALL
-          SELECT w.node, e.dst, w.steps + 1, array_append(w.seen, e.dst)
-          FROM walk w JOIN {{edges}} e ON w.at = e.src WHERE w.steps < {depth} AND NOT array_contains(w.seen, e.dst))
-        SELECT node, max_by(at, steps) AS chain_end, max(steps) AS steps FROM walk GROUP BY node
-        """,
-        start=start.select("node").distinct(),
-        edges=usable,
-    )
-    more = usable.select(F.col("src").alias("chain_end"), F.lit(True).alias("_more"))
-    out = out.join(more, "chain_end", "left")
-    ends = F.col("_more").isNull()  # a chain that stopped at a node with an edge was a cycle
-    if live is not None:
-        out = out.join(alive.select(F.col("node").alias("chain_end"), F.lit(True).alias("_live")), "chain_end", "left")
-        ends = F.col("_live").isNotNull()
-    return out.select("node", "chain_end", "steps", ends.alias("resolved"))
+    usable = durable(once.join(alive, once["src"] == alive["node"], "left_anti"), "usable")
+    jumps, rings = _followed(usable)
+    ends = jumps.where("not open").select("node", "at", "steps", F.lit(False).alias("ring"))
+    if rings:
+        ends = ends.unionByName(_into_rings(jumps, usable).withColumn("ring", F.lit(True)))
+    out = start.select("node").distinct().join(ends, "node", "left")
+    out = out.select("node", F.coalesce("at", "node").alias("chain_end"), F.coalesce("steps", F.lit(0)).alias("steps"), F.coalesce("ring", F.lit(False)).alias("ring"))
+    if live is None:
+        return out.select("node", "chain_end", "steps", (~F.col("ring")).alias("resolved"))
+    named = alive.select(F.col("node").alias("chain_end"), F.lit(True).alias("named"))
+    return out.join(named, "chain_end", "left").select("node", "chain_end", "steps", F.coalesce("named", F.lit(False)).alias("resolved"))
 
 
 def former_names(ends: DataFrame) -> DataFrame:
@@ -73,6 +101,17 @@ def subject_errors(rows: DataFrame, subjects: DataFrame, allowed: tuple[str, ...
     return rows.join(known, "label", "left").withColumn("error", error)
 
 
+def delegated_usage(resolved: DataFrame, usage: DataFrame) -> DataFrame:
+    """label, target, files, datasets: usage (label, files, datasets) of the labels that are delegated elsewhere."""
+    return resolved.where("how = 'delegated'").join(usage, "label").select("label", "target", "files", "datasets")
+
+
+def unresolved_usage(resolved: DataFrame, usage: DataFrame) -> DataFrame:
+    """label, files, datasets: usage of the labels that nothing answers for, and of those that were never looked up."""
+    known = resolved.where("target is not null").select("label")
+    return usage.join(known, "label", "left_anti").select("label", "files", "datasets")
+
+
 def usage_rollup(live: DataFrame, resolved: DataFrame, usage: DataFrame) -> DataFrame:
     """target, files, datasets, labels: usage (label, files, datasets) summed over the labels that resolve to a term.
 
@@ -86,12 +125,6 @@ def usage_rollup(live: DataFrame, resolved: DataFrame, usage: DataFrame) -> Data
     return out.select("target", F.coalesce("f", zero).alias("files"), F.coalesce("d", zero).alias("datasets"), F.coalesce("l", F.lit("")).alias("labels"))
 
 
-def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
-    """The last row of each key."""
-    number = F.row_number().over(Window.partitionBy(key).orderBy(*(F.col(c).desc() for c in order)))
-    return rows.withColumn("_n", number).where("_n = 1").drop("_n")
-
-
 def first_rows(rows: DataFrame, key: str | list[str], *order: str) -> DataFrame:
     """The first row of each key: a drop of duplicates whose survivor is defined."""
     keys = [key] if isinstance(key, str) else key

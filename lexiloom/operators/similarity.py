@@ -1,8 +1,8 @@
 """Exact cosine joins over embedding columns: top-k of a query set, pairs of a set with itself, gaps.
 
-Vectors are packed into blocks of rows and multiplied block by block in tasks. A block meets another through an
-equality join on a stripe, so neither side is broadcast, collected or held whole in one task, and what leaves a task is
-k rows for each query, or the pairs that reach the threshold.
+Vectors are packed into blocks of rows and multiplied block by block in tasks. Groups of blocks meet through an
+equality join, so neither side is broadcast, collected or held whole in one task, and what leaves a task is k rows for
+each query, or the pairs that reach the threshold. What is broadcast is a count for each length of vector.
 """
 
 from __future__ import annotations
@@ -14,11 +14,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 2048
+#: Rows of a block, and blocks of a group: a group meets another in one place.
+BLOCK, GROUP = 2048, 8
+#: Places of a score. Sums in another order differ far beyond them, so ranks and ties do not depend on the machine.
+PLACES = 12
 
 
 def _rows(column: pa.ChunkedArray) -> np.ndarray:
-    x = np.stack([np.asarray(v, np.float64) for v in column.to_pylist()])
+    """Unit vectors of one length; a zero vector stays, and components that are null or no number count as 0."""
+    x = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    x = np.where(np.isfinite(x), x, 0)
     norms = np.sqrt((x * x).sum(axis=1, keepdims=True))
     return x / np.where(norms > 0, norms, 1)
 
@@ -26,20 +31,21 @@ def _rows(column: pa.ChunkedArray) -> np.ndarray:
 def _pack(key: tuple, rows: pa.Table) -> pa.Table:
     rows = rows.sort_by("id")
     x = _rows(rows["embedding"])
-    kinds = pa.schema([("part", pa.string()), ("block", pa.int64()), ("dim", pa.int32()), ("ids", pa.binary()), ("x", pa.binary())])
-    return pa.table({"part": [key[0].as_py()], "block": [key[1].as_py()], "dim": [x.shape[1]], "ids": [rows["id"].to_numpy().astype(np.int64).tobytes()], "x": [x.tobytes()]}, schema=kinds)
+    kinds = pa.schema([("part", pa.string()), ("dim", pa.int32()), ("block", pa.int64()), ("ids", pa.binary()), ("x", pa.binary())])
+    head = {n: [k.as_py()] for n, k in zip(("part", "dim", "block"), key, strict=True)}
+    return pa.table(head | {"ids": [rows["id"].to_numpy().astype(np.int64).tobytes()], "x": [x.tobytes()]}, schema=kinds)
 
 
 def _dealt(vectors: DataFrame) -> DataFrame:
-    """Rows of (id, embedding, part) with the number of their block."""
-    rows = vectors.where("id is not null and embedding is not null")
-    sizes = rows.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    return rows.join(sizes, "part").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    """Rows of (id, embedding, part) with the number of their block, which starts from 0 in each part and length."""
+    rows = vectors.where("id is not null and embedding is not null and size(embedding) > 0").withColumn("dim", F.size("embedding"))
+    sizes = rows.groupBy("part", "dim").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    return rows.join(sizes, ["part", "dim"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
 
 
-def _blocks(vectors: DataFrame) -> DataFrame:
-    """(part, block, dim, ids, x): rows of (id, embedding, part) in blocks of about BLOCK unit vectors."""
-    return _dealt(vectors).groupBy("part", "block").applyInArrow(_pack, "part string, block long, dim int, ids binary, x binary")
+def _blocks(dealt: DataFrame) -> DataFrame:
+    """(part, dim, block, ids, x): dealt rows in blocks of about BLOCK unit vectors."""
+    return dealt.groupBy("part", "dim", "block").applyInArrow(_pack, "part string, dim int, block long, ids binary, x binary")
 
 
 def _unpack(dim: int, ids: bytes, x: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -57,40 +63,50 @@ def _batch(query: list[np.ndarray], target: list[np.ndarray], part: list[str], s
 _FOUND = "query_id long, target_id long, part string, similarity double"
 
 
-def _top(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _top(k: int, others: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             query, target, part, score = [], [], [], []
             for name, dim, q_ids, q, ids, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 q_ids, q = _unpack(dim, q_ids, q)
                 ids, x = _unpack(dim, ids, x)
-                s = np.round(q @ x.T, 6)
+                s = np.round(q @ x.T, PLACES)
+                if others:
+                    s[q_ids[:, None] == ids[None, :]] = -np.inf
                 n = min(k, len(ids))
                 # ids ascend in a block, so a stable order gives ties to the smaller id
                 best = np.argsort(-s, axis=1, kind="stable")[:, :n]
-                query.append(np.repeat(q_ids, n))
-                target.append(ids[best].ravel())
-                score.append(np.take_along_axis(s, best, axis=1).ravel())
+                scores = np.take_along_axis(s, best, axis=1)
+                kept = np.isfinite(scores)
+                query.append(np.repeat(q_ids, kept.sum(axis=1)))
+                target.append(ids[best][kept])
+                score.append(scores[kept])
                 part.append(name)
             yield _batch(query, target, part, score)
 
     return run
 
 
-def top_k(queries: DataFrame, targets: DataFrame, k: int, threshold: float | None = None, by_part: bool = False) -> DataFrame:
-    """query_id, target_id, part, similarity (6 places), rank: each query's k nearest targets, ties to the smaller id.
+def top_k(queries: DataFrame, targets: DataFrame, k: int, threshold: float | None = None, by_part: bool = False, others: bool = False) -> DataFrame:
+    """query_id, target_id, part, similarity (12 places), rank: each query's k nearest targets, ties to the smaller id.
 
-    queries: (id, embedding); targets: (id, embedding) and, for a ranking inside each part, part (a string). The
-    threshold applies after the ranking, so a query may keep fewer than k rows, or none.
+    queries: (id, embedding); targets: (id, embedding) and, for a ranking inside each part, part (a string). With
+    `others`, a target of the query's own id does not count. Vectors of another length than the query's are no targets.
+    The threshold applies after the ranking, so a query may keep fewer than k rows, or none. Groups of query blocks meet
+    groups of target blocks, so a block travels once for each group of the other side, not for each block.
     """
     targets = targets.select("id", "embedding", F.col("part") if "part" in targets.columns else F.lit("").alias("part"))
-    index = _blocks(targets).withColumn("stripe", F.pmod(F.xxhash64("part", "block"), F.lit(32)))
-    asked = _blocks(queries.select("id", "embedding", F.lit("").alias("part"))).select("dim", F.col("ids").alias("q_ids"), F.col("x").alias("q"))
-    asked = asked.withColumn("stripe", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(31).cast("long"))))
+    dealt, asked = _dealt(targets), _dealt(queries.select("id", "embedding", F.lit("").alias("part")))
+    group = lambda *key: F.pmod(F.xxhash64(*key), F.col("groups")).alias("stripe")
+    # blocks of all parts share the groups of their length; counts alone are looked at here
+    groups = dealt.select("part", "dim", "blocks").distinct().groupBy("dim").agg(F.ceil(F.sum("blocks") / GROUP).alias("groups"))
+    index = _blocks(dealt).join(F.broadcast(groups), "dim").select("dim", group("part", "block"), "part", "ids", "x")
+    stripes = F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("stripe")
+    asked = _blocks(asked).join(F.broadcast(groups), "dim").select("dim", stripes, F.col("ids").alias("q_ids"), F.col("x").alias("q"))
     met = asked.join(index, ["dim", "stripe"]).select("part", "dim", "q_ids", "q", "ids", "x")
-    found = met.mapInArrow(_top(k), _FOUND)
-    group = ["query_id", "part"] if by_part else ["query_id"]
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.col("similarity").desc(), "target_id"))
+    found = met.mapInArrow(_top(k, others), _FOUND)
+    key = ["query_id", "part"] if by_part else ["query_id"]
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("similarity").desc(), "target_id"))
     found = found.withColumn("rank", rank).where(F.col("rank") <= k)
     return found if threshold is None else found.where(F.col("similarity") >= threshold)
 
@@ -101,7 +117,7 @@ def _pairs(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             for same, dim, a_ids, a, b_ids, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 a_ids, a = _unpack(dim, a_ids, a)
                 b_ids, b = _unpack(dim, b_ids, b)
-                s = np.round(a @ b.T, 6)
+                s = np.round(a @ b.T, PLACES)
                 i, j = np.nonzero(s >= threshold)
                 if same:
                     i, j = i[i < j], j[i < j]
@@ -112,16 +128,18 @@ def _pairs(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
 
 def self_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
-    """id1 < id2 and similarity (6 places) of all pairs of rows (id, embedding) that reach the threshold."""
-    vectors = vectors.select("id", "embedding", F.lit("").alias("part"))
-    blocks = _blocks(vectors).select("block", "dim", "ids", "x")
-    # block a meets itself and the blocks after it; numbers alone are paired, and vectors join both sides by block
-    numbers = _dealt(vectors).select(F.size("embedding").alias("dim"), "block").distinct()
-    counts = numbers.groupBy("dim").agg(F.max("block").alias("last"))
-    pairs = numbers.join(F.broadcast(counts), "dim").select("dim", F.col("block").alias("a"), F.explode(F.sequence("block", "last")).alias("b"))
-    left = pairs.join(blocks.select("dim", F.col("block").alias("a"), F.col("ids").alias("a_ids"), F.col("x").alias("a_x")), ["dim", "a"])
-    right = blocks.select("dim", F.col("block").alias("b"), F.col("ids").alias("b_ids"), F.col("x").alias("b_x"))
-    met = left.join(right, ["dim", "b"]).select((F.col("a") == F.col("b")).alias("same"), "dim", "a_ids", "a_x", "b_ids", "b_x")
+    """id1 < id2 and similarity (12 places) of all pairs of rows (id, embedding) of one length that reach the threshold.
+
+    Groups of blocks meet in tiles: a block travels once for each group, not for each block that it meets.
+    """
+    dealt = _dealt(vectors.select("id", "embedding", F.lit("").alias("part")))
+    last = dealt.select("dim", "blocks").distinct().select("dim", F.floor((F.col("blocks") - 1) / GROUP).alias("last"))
+    blocks = _blocks(dealt).join(F.broadcast(last), "dim").withColumn("group", F.floor(F.col("block") / GROUP))
+    side = lambda c, tiles: blocks.select("dim", *tiles, F.col("block").alias(c), F.col("ids").alias(f"{c}_ids"), F.col("x").alias(f"{c}_x"))
+    zero = F.lit(0).cast("long")
+    left = side("a", (F.col("group").alias("row"), F.explode(F.sequence("group", "last")).alias("column")))
+    right = side("b", (F.explode(F.sequence(zero, "group")).alias("row"), F.col("group").alias("column")))
+    met = left.join(right, ["dim", "row", "column"]).where("a <= b").select((F.col("a") == F.col("b")).alias("same"), "dim", "a_ids", "a_x", "b_ids", "b_x")
     return met.mapInArrow(_pairs(threshold), _FOUND).select(F.col("query_id").alias("id1"), F.col("target_id").alias("id2"), "similarity")
 
 

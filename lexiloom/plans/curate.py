@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.operators import curation, resolve, validate
-from lexiloom.plans.match import _PAIRS, _matches, best_match, self_pairs
+from lexiloom.plans.match import _BEST, _PAIRS, _matches, _six, best_match, self_pairs
 from lexiloom.plans.registry import Tables, query
 
 
@@ -100,7 +100,8 @@ def mapping_validation(t: Tables) -> DataFrame:
     )
     live = t.part.where(key % 11 != 0).select(subject, F.col("p_name").alias("subject_label"))
     objects = t.part.where("p_brand not like '%3'").select(F.concat(F.lit("B:"), "p_brand").alias("object_id"), F.col("p_brand").alias("object_label")).distinct()
-    return validate.summary(validate.mapping_checks(rows, live, objects, banned=("skos:exactMatch",), licensed=("B:Brand#11",)))
+    policy = validate.MappingPolicy(banned=("skos:exactMatch",), licensed=("B:Brand#11",))
+    return validate.counted(validate.mapping_violations(rows, live, objects, policy), validate.MAPPING_RULES)
 
 
 @query(
@@ -131,7 +132,7 @@ def stale_rows(t: Tables) -> DataFrame:
 @query(
     """
     WITH v(verdict, req, opt) AS (VALUES ('1-URGENT', ['description'], []::VARCHAR[]), ('2-HIGH', ['into'], ['comment']), ('3-MEDIUM', []::VARCHAR[], ['note'])),
-    d AS (SELECT o_orderkey AS id, o_orderpriority AS verdict, list_filter(['description', CASE WHEN o_orderkey % 2 = 0 THEN 'into' END, CASE WHEN o_orderkey % 7 = 0 THEN 'comment' END], lambda x: x IS NOT NULL) AS given FROM orders WHERE o_orderkey % 4 = 0),
+    d AS (SELECT o_orderkey AS id, o_orderpriority AS verdict, list_filter(['description', CASE WHEN o_orderkey % 2 = 0 THEN 'into' END, CASE WHEN o_orderkey % 7 = 0 THEN 'comment' END], lambda x: x IS NOT NULL) AS given FROM orders),
     j AS (SELECT d.id, d.verdict, req, list_sort(list_filter(req, lambda x: NOT list_contains(given, x))) AS lacking, list_sort(list_filter(given, lambda x: NOT list_contains(req, x) AND NOT list_contains(opt, x))) AS extra FROM d LEFT JOIN v ON d.verdict = v.verdict)
     SELECT id, verdict, CASE WHEN req IS NULL THEN 'unknown verdict' WHEN len(lacking) > 0 THEN 'missing ' || array_to_string(lacking, ',') ELSE 'unknown field ' || array_to_string(extra, ',') END AS error
     FROM j WHERE req IS NULL OR len(lacking) > 0 OR len(extra) > 0
@@ -144,30 +145,24 @@ def operation_validation(t: Tables) -> DataFrame:
     )
     key = F.col("o_orderkey")
     given = F.array_compact(F.array(F.lit("description"), F.when(key % 2 == 0, F.lit("into")), F.when(key % 7 == 0, F.lit("comment"))))
-    rows = t.orders.where(key % 4 == 0).select(key.alias("id"), F.lit("term").alias("kind"), F.col("o_orderpriority").alias("verdict"), given.alias("given"))
+    rows = t.orders.select(key.alias("id"), F.lit("term").alias("kind"), F.col("o_orderpriority").alias("verdict"), given.alias("given"))
     return validate.operation_errors(rows, verdicts).select("id", "verdict", "error")
 
 
-_GAPS = """
-    b AS (SELECT v.vec_id AS id, coalesce(max(round(list_dot_product(v.e, w.e) / (v.n * w.n), 6)), 0) AS m FROM v JOIN v w ON w.vec_id % 5 <> 0 WHERE v.vec_id % 5 = 0 GROUP BY 1)"""
-
-
 @query(
     f"""
-    WITH p AS ({_PAIRS}), v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings), {_GAPS},
-    m AS (SELECT v.vec_id AS id, w.vec_id AS object, round(list_dot_product(v.e, w.e) / (v.n * w.n), 6) AS s FROM v JOIN v w ON v.vec_id % 5 = 0 AND w.vec_id % 5 <> 0
-          QUALIFY row_number() OVER (PARTITION BY v.vec_id ORDER BY round(list_dot_product(v.e, w.e) / (v.n * w.n), 6) DESC, w.vec_id) <= 5)
+    WITH {_BEST}, p AS ({_PAIRS})
     SELECT 'sim:' || substr(sha1(least('t' || id1, 't' || id2) || '|' || greatest('t' || id1, 't' || id2)), 1, 12) AS id, 'similar-terms' AS rule, 'warn' AS severity, 't' || id1 AS subject1, 't' || id2 AS subject2,
            printf('similar to t%d (%.3f)', id2, similarity) AS message FROM p
-    UNION ALL SELECT 'gap:' || substr(sha1('t' || id), 1, 12), 'coverage-gap', 'info', 't' || id, NULL, printf('best match %.3f', CASE WHEN m >= 0.25 THEN m ELSE 0 END::DOUBLE) FROM b WHERE CASE WHEN m >= 0.25 THEN m ELSE 0 END < 0.3
-    UNION ALL SELECT 'map:' || substr(sha1('t' || id || '|o' || object), 1, 12), 'mapping-suggestion', 'info', 't' || id, NULL, printf('maps to o%d (%.3f)', object, s) FROM m WHERE s >= 0.25
+    UNION ALL SELECT 'gap:' || substr(sha1('t' || query_id), 1, 12), 'coverage-gap', 'info', 't' || query_id, NULL, printf('best match %.3f', max_similarity) FROM b WHERE max_similarity < 0.3
+    UNION ALL SELECT 'map:' || substr(sha1('t' || query_id || '|o' || target_id), 1, 12), 'mapping-suggestion', 'info', 't' || query_id, NULL, printf('maps to o%d (%.3f)', target_id, round(score, 6)) FROM m
     """
 )
 def findings_normalize(t: Tables) -> DataFrame:
     name = lambda c, p="t": F.concat(F.lit(p), F.col(c).cast("string"))
     pairs = self_pairs(t).select(name("id1").alias("id1"), name("id2").alias("id2"), "similarity")
     gaps = best_match(t).where("max_similarity < 0.3").select(name("query_id").alias("id"), "max_similarity")
-    maps = _matches(t).select(name("query_id").alias("id"), name("target_id", "o").alias("object"), "similarity")
+    maps = _six(_matches(t)).select(name("query_id").alias("id"), name("target_id", "o").alias("object"), "similarity")
     return curation.findings(pairs, gaps, maps)
 
 
@@ -311,28 +306,28 @@ def description_lint(t: Tables) -> DataFrame:
 
 @query(
     """
-    WITH u AS (SELECT l_partkey AS subject, count(*) * 8 AS files FROM lineitem WHERE l_partkey % 9 <> 0 GROUP BY 1), p AS (SELECT p_partkey AS subject, coalesce(files, 0) AS files FROM part LEFT JOIN u ON p_partkey = subject),
-    m AS (SELECT p_partkey AS subject, CASE WHEN p_size % 5 = 0 THEN 'Not' ELSE '' END AS modifier, CASE WHEN p_size % 11 = 0 THEN 'https://x' ELSE 'B:1' END AS object, p_size % 3 = 0 AS decided FROM part WHERE p_partkey % 4 <> 0)
+    WITH u AS (SELECT l_partkey AS subject, CAST(count(*) FILTER (l_quantity > 45) * 20 AS BIGINT) AS files FROM lineitem GROUP BY 1), p AS (SELECT p_partkey AS subject, coalesce(files, 0) AS files FROM part LEFT JOIN u ON p_partkey = subject),
+    m AS (SELECT p_partkey AS subject, CASE WHEN p_size % 5 = 0 THEN 'Not' ELSE '' END AS modifier, CASE WHEN p_size % 11 = 0 THEN 'https://x' ELSE 'B:1' END AS object, p_size % 3 = 0 AS decided FROM part WHERE p_brand <> 'Brand#11')
     SELECT 'zero-usage-term' AS rule, count(*) AS n FROM p WHERE files = 0 UNION ALL SELECT 'unmapped-high-usage', count(*) FROM p WHERE files >= 100 AND subject NOT IN (SELECT subject FROM m WHERE modifier <> 'Not')
     UNION ALL SELECT 'no-mapping-at-all', count(*) FROM p WHERE subject NOT IN (SELECT subject FROM m) UNION ALL SELECT 'unreviewed-mapping', count(DISTINCT subject) FROM m WHERE NOT decided
     UNION ALL SELECT 'mapping-target-is-doc-link', count(DISTINCT subject) FROM m WHERE object LIKE 'https://%'
     """
 )
 def usage_lint(t: Tables) -> DataFrame:
-    uses = t.lineitem.where("l_partkey % 9 <> 0").groupBy(F.col("l_partkey").alias("subject")).agg((F.count("*") * 8).alias("files"))
+    uses = t.lineitem.groupBy(F.col("l_partkey").alias("subject")).agg((F.count_if(F.col("l_quantity") > 45) * 20).alias("files"))
     size = F.col("p_size")
-    maps = t.part.where("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("subject"), F.when(size % 5 == 0, "Not").otherwise("").alias("modifier"), F.when(size % 11 == 0, "https://x").otherwise("B:1").alias("object"), (size % 3 == 0).alias("decided"))
+    maps = t.part.where("p_brand <> 'Brand#11'").select(F.col("p_partkey").alias("subject"), F.when(size % 5 == 0, "Not").otherwise("").alias("modifier"), F.when(size % 11 == 0, "https://x").otherwise("B:1").alias("object"), (size % 3 == 0).alias("decided"))
     return curation.usage_lint(t.part.select(F.col("p_partkey").alias("subject")), uses, maps).groupBy("rule").agg(F.count("*").alias("n"))
 
 
 @query(
     """
-    WITH s AS (SELECT p_type AS subset, count(DISTINCT p_partkey) AS n FROM part WHERE p_partkey % 3 = 0 GROUP BY 1)
+    WITH s AS (SELECT p_type AS subset, count(DISTINCT p_partkey) AS n FROM part GROUP BY 1)
     SELECT 'singleton-subset' AS rule, subset AS subject FROM s WHERE n = 1 UNION ALL SELECT 'oversized-subset', subset FROM s WHERE n > 25
     """
 )
 def subset_lint(t: Tables) -> DataFrame:
-    return curation.subset_lint(t.part.where("p_partkey % 3 = 0").select(F.col("p_type").alias("subset"), F.col("p_partkey").alias("subject"))).select("rule", "subject")
+    return curation.subset_lint(t.part.select(F.col("p_type").alias("subset"), F.col("p_partkey").alias("subject"))).select("rule", "subject")
 
 
 @query(
@@ -379,11 +374,11 @@ def group_by_rationale(t: Tables) -> DataFrame:
 
 @query(
     """
-    SELECT o_orderkey AS id, 20 + row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS number FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority NOT LIKE '5%' AND o_orderkey % 6 = 0
+    SELECT o_orderkey AS id, 20 + row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS number FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority NOT LIKE '5%'
     """
 )
 def sequential_numbering(t: Tables) -> DataFrame:
-    rows = t.orders.where("o_orderkey % 6 = 0").select(
+    rows = t.orders.select(
         F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "applied").otherwise("pending").alias("status"), F.col("o_orderdate").alias("applied_on"),
         F.when(F.col("o_orderpriority").startswith("5"), "seed").otherwise("review").alias("origin"), F.lit("src").alias("writes"),
     )
@@ -422,16 +417,16 @@ def prompt_match(t: Tables) -> DataFrame:
 
 @query(
     """
-    WITH c AS (SELECT c_nationkey AS k FROM customer WHERE c_custkey % 40 = 0), s AS (SELECT s_nationkey AS k FROM supplier WHERE s_suppkey % 3 = 0)
-    SELECT 'customers' AS side, k FROM (SELECT k FROM c EXCEPT SELECT k FROM s) UNION ALL SELECT 'suppliers', k FROM (SELECT k FROM s EXCEPT SELECT k FROM c)
+    WITH c AS (SELECT c_custkey AS k FROM customer), s AS (SELECT s_suppkey AS k FROM supplier UNION ALL SELECT user_id FROM events)
+    SELECT 'customers' AS side, k FROM (SELECT k FROM c EXCEPT SELECT k FROM s) UNION ALL SELECT 'others', k FROM (SELECT k FROM s EXCEPT SELECT k FROM c)
     UNION ALL SELECT 'both', k FROM (SELECT k FROM c INTERSECT SELECT k FROM s) UNION ALL SELECT 'either', k FROM (SELECT k FROM c UNION SELECT k FROM s)
     """
 )
 def set_ops(t: Tables) -> DataFrame:
-    c = t.customer.where("c_custkey % 40 = 0").select(F.col("c_nationkey").alias("k"))
-    s = t.supplier.where("s_suppkey % 3 = 0").select(F.col("s_nationkey").alias("k"))
+    c = t.customer.select(F.col("c_custkey").alias("k"))
+    s = t.supplier.select(F.col("s_suppkey").alias("k")).union(t.events.select("user_id"))
     named = lambda name, df: df.select(F.lit(name).alias("side"), "k")
-    return named("customers", c.subtract(s)).union(named("suppliers", s.subtract(c))).union(named("both", c.intersect(s))).union(named("either", c.union(s).distinct()))
+    return named("customers", c.subtract(s)).union(named("others", s.subtract(c))).union(named("both", c.intersect(s))).union(named("either", c.union(s).distinct()))
 
 
 @query(

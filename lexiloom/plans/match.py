@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.operators import lexical, similarity
+from lexiloom.operators import lexical, reports, similarity
 from lexiloom.plans.registry import Tables, query
 from lexiloom.plans.textual import _NORM, _SING
 
@@ -14,50 +14,56 @@ NEAR, PAIR = 0.25, 0.30
 
 _V = """
     v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings),
-    s AS (SELECT q.vec_id AS query_id, q.label AS q_label, t.vec_id AS target_id, t.label AS t_label, round(list_dot_product(q.e, t.e) / (q.n * t.n), 6) AS similarity
-          FROM v q JOIN v t ON q.vec_id % 5 = 0 AND t.vec_id % 5 <> 0)"""
+    s AS (SELECT q.vec_id AS query_id, q.label AS q_label, t.vec_id AS target_id, t.label AS t_label, round(list_dot_product(q.e, t.e) / (q.n * t.n), 12) AS score
+          FROM v q JOIN v t ON q.vec_id <> t.vec_id)"""
 
 
-def _sides(t: Tables) -> tuple[DataFrame, DataFrame]:
-    rows = t.embeddings.select(F.col("vec_id").alias("id"), "embedding", F.col("label").cast("string").alias("part"))
-    return rows.where("id % 5 = 0"), rows.where("id % 5 <> 0")
+def _vectors(t: Tables) -> DataFrame:
+    """All vectors: each is a query, and every other one is a target."""
+    return t.embeddings.select(F.col("vec_id").alias("id"), "embedding", F.col("label").cast("string").alias("part"))
 
 
 def _matches(t: Tables, k: int = 5) -> DataFrame:
-    queries, targets = _sides(t)
-    return similarity.top_k(queries, targets.drop("part"), k, NEAR)
+    rows = _vectors(t)
+    return similarity.top_k(rows, rows.drop("part"), k, NEAR, others=True)
+
+
+def _six(rows: DataFrame) -> DataFrame:
+    """Scores as they are shown: rounded after ranks and thresholds."""
+    return rows.withColumn("similarity", F.round("similarity", 6))
 
 
 @query(
     f"""
-    WITH {_V}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, target_id) AS rank FROM s)
-    SELECT query_id, target_id, rank, similarity,
-           CASE WHEN similarity >= 0.85 THEN 'strong' WHEN similarity >= 0.7 THEN 'moderate' ELSE 'weak' END AS kind
-    FROM r WHERE rank <= 5 AND similarity >= {NEAR}
+    WITH {_V}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, target_id) AS rank FROM s)
+    SELECT query_id, target_id, rank, round(score, 6) AS similarity,
+           CASE WHEN query_id % 10 = target_id % 10 THEN 'confirmed' WHEN score >= 0.85 THEN 'strong' WHEN score >= 0.7 THEN 'moderate' ELSE 'weak' END AS kind
+    FROM r WHERE rank <= 5 AND score >= {NEAR}
     """
 )
 def knn_topk(t: Tables) -> DataFrame:
-    kind = similarity.match_kind(F.col("similarity"), F.col("target_id").cast("string"), F.lit(None).cast("string"))
-    return _matches(t).select("query_id", "target_id", F.col("rank").cast("long").alias("rank"), "similarity", kind.alias("kind"))
+    # an existing mapping, to the last digit of the query's id, confirms targets of that digit
+    digit = lambda c: F.concat(F.lit("d"), (F.col(c) % 10).cast("string"))
+    kind = similarity.match_kind(F.col("similarity"), digit("target_id"), F.concat(F.lit("map:"), digit("query_id")))
+    return _six(_matches(t).select("query_id", "target_id", F.col("rank").cast("long").alias("rank"), "similarity", kind.alias("kind")))
 
 
 @query(
     f"""
-    WITH {_V}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, t_label ORDER BY similarity DESC, target_id) AS rank FROM s)
-    SELECT query_id, CAST(t_label AS VARCHAR) AS part, target_id, rank, similarity FROM r WHERE rank <= 3 AND similarity >= {NEAR}
+    WITH {_V}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, t_label ORDER BY score DESC, target_id) AS rank FROM s)
+    SELECT query_id, CAST(t_label AS VARCHAR) AS part, target_id, rank, round(score, 6) AS similarity FROM r WHERE rank <= 3 AND score >= {NEAR}
     """
 )
 def knn_by_ontology(t: Tables) -> DataFrame:
-    queries, targets = _sides(t)
-    found = similarity.top_k(queries, targets, 3, NEAR, by_part=True)
-    return found.select("query_id", "part", "target_id", F.col("rank").cast("long").alias("rank"), "similarity")
+    found = similarity.top_k(_vectors(t), _vectors(t), 3, NEAR, by_part=True, others=True)
+    return _six(found.select("query_id", "part", "target_id", F.col("rank").cast("long").alias("rank"), "similarity"))
 
 
 _PAIRS = f"""
     WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings),
-    p AS (SELECT a.vec_id AS id1, b.vec_id AS id2, round(list_dot_product(a.e, b.e) / (a.n * b.n), 6) AS similarity, a.label <> b.label AS crosses FROM v a JOIN v b ON a.vec_id < b.vec_id)
-    SELECT id1, id2, similarity, crosses, CASE WHEN crosses THEN 'review_cross_category' WHEN similarity > 0.95 THEN 'merge' WHEN similarity > 0.85 THEN 'hierarchy' ELSE 'consolidate' END AS recommendation
-    FROM p WHERE similarity >= {PAIR}
+    p AS (SELECT a.vec_id AS id1, b.vec_id AS id2, round(list_dot_product(a.e, b.e) / (a.n * b.n), 12) AS score, a.label <> b.label AS crosses FROM v a JOIN v b ON a.vec_id < b.vec_id)
+    SELECT id1, id2, round(score, 6) AS similarity, crosses, CASE WHEN crosses THEN 'review_cross_category' WHEN score > 0.95 THEN 'merge' WHEN score > 0.85 THEN 'hierarchy' ELSE 'consolidate' END AS recommendation
+    FROM p WHERE score >= {PAIR}
     """
 
 
@@ -68,7 +74,7 @@ def self_pairs(t: Tables) -> DataFrame:
     a, b = (rows.select(F.col("vec_id").alias(f"id{k}"), F.col("label").alias(f"label{k}")) for k in (1, 2))
     crosses = F.col("label1") != F.col("label2")
     pairs = pairs.join(a, "id1").join(b, "id2").withColumn("crosses", crosses)
-    return pairs.select("id1", "id2", "similarity", "crosses", similarity.recommendation(F.col("similarity"), F.col("crosses")).alias("recommendation"))
+    return _six(pairs.select("id1", "id2", "similarity", "crosses", similarity.recommendation(F.col("similarity"), F.col("crosses")).alias("recommendation")))
 
 
 @query(
@@ -78,21 +84,32 @@ def self_pairs(t: Tables) -> DataFrame:
     """
 )
 def pair_summary(t: Tables) -> DataFrame:
-    return self_pairs(t).agg(
-        F.count("*").alias("total_pairs"), F.count_if("crosses").alias("cross_category"), F.count_if(F.col("recommendation") == "merge").alias("merges"), F.max("similarity").alias("most")
-    )
+    return reports.pair_totals(self_pairs(t))
+
+
+@query(
+    f"""
+    WITH p AS ({_PAIRS})
+    SELECT 'sim:' || substr(sha1(least('T' || id1, 'T' || id2) || '|' || greatest('T' || id1, 'T' || id2)), 1, 12) AS id,
+           least('term:' || id1, 'term:' || id2) || ',' || greatest('term:' || id1, 'term:' || id2) AS subjects, round(similarity, 4) AS similarity, crosses AS crosses_categories, recommendation FROM p
+    """
+)
+def pair_report(t: Tables) -> DataFrame:
+    pairs = self_pairs(t).select(*(F.concat(F.lit("T"), F.col(c).cast("string")).alias(c) for c in ("id1", "id2")), "similarity", "crosses", "recommendation")
+    subject = lambda c: F.concat(F.lit("term:"), F.substring(c, 2, 30))
+    return reports.pair_report(pairs.select("*", subject("id1").alias("sid1"), subject("id2").alias("sid2")))
 
 
 _BEST = f"""
-    {_V}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, target_id) AS rank FROM s),
-    m AS (SELECT * FROM r WHERE rank <= 5 AND similarity >= {NEAR}),
-    b AS (SELECT v.vec_id AS query_id, v.label, coalesce(max(m.similarity), 0.0) AS max_similarity, min(CASE WHEN rank = 1 THEN target_id END) AS best_id
-          FROM v LEFT JOIN m ON v.vec_id = m.query_id WHERE v.vec_id % 5 = 0 GROUP BY 1, 2)"""
+    {_V}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, target_id) AS rank FROM s),
+    m AS (SELECT * FROM r WHERE rank <= 5 AND score >= {NEAR}),
+    b AS (SELECT v.vec_id AS query_id, v.label, round(coalesce(max(m.score), 0.0), 6) AS max_similarity, min(CASE WHEN rank = 1 THEN target_id END) AS best_id
+          FROM v LEFT JOIN m ON v.vec_id = m.query_id GROUP BY 1, 2)"""
 
 
 @query(f"WITH {_BEST} SELECT query_id, max_similarity, best_id FROM b")
 def best_match(t: Tables) -> DataFrame:
-    return similarity.best_match(_sides(t)[0], _matches(t))
+    return similarity.best_match(_vectors(t), _matches(t)).withColumn("max_similarity", F.round("max_similarity", 6))
 
 
 @query(
@@ -120,7 +137,7 @@ def run_summary_bins(t: Tables) -> DataFrame:
 
 
 def _lexicon(t: Tables) -> DataFrame:
-    names = t.part.where("p_partkey % 2 = 0").groupBy("p_name").agg(F.min("p_partkey").alias("row_no"))
+    names = t.part.groupBy("p_name").agg(F.min("p_partkey").alias("row_no"))
     terms = names.select(F.col("p_name").alias("term_id"), F.col("p_name").alias("name"), F.array(F.upper("p_name"), F.lit("")).alias("synonyms"), "row_no")
     return lexical.index(terms)
 
@@ -128,7 +145,7 @@ def _lexicon(t: Tables) -> DataFrame:
 def _asked(t: Tables) -> DataFrame:
     kind = F.col("p_partkey") % 4
     text = F.when(kind == 0, F.concat("p_name", F.lit("s"))).when(kind == 1, F.concat_ws(" ", "p_type", F.concat("p_name", F.lit("s")))).when(kind == 2, F.col("p_name")).otherwise(F.lit("no such thing"))
-    return t.part.where("p_partkey % 5 = 1").select(F.col("p_partkey").alias("query_id"), text.alias("text"))
+    return t.part.select(F.col("p_partkey").alias("query_id"), text.alias("text"))
 
 
 _TEXT = "CASE p_partkey % 4 WHEN 0 THEN p_name || 's' WHEN 1 THEN p_type || ' ' || p_name || 's' WHEN 2 THEN p_name ELSE 'no such thing' END"
@@ -145,14 +162,14 @@ def _forms(source: str) -> str:
 
 
 _LEX = f"""
-    terms AS (SELECT p_name AS term_id, min(p_partkey) AS row_no FROM part WHERE p_partkey % 2 = 0 GROUP BY p_name),
+    terms AS (SELECT p_name AS term_id, min(p_partkey) AS row_no FROM part GROUP BY p_name),
     labels AS (SELECT term_id, row_no, 0 AS label_no, 'name' AS label_kind, term_id AS label, {_NORM.format("term_id")} AS v FROM terms
                UNION ALL SELECT term_id, row_no, 1, 'synonym', upper(term_id), {_NORM.format("upper(term_id)")} FROM terms),
     lw AS (SELECT *, regexp_extract(v, '([^ ]*)$', 1) AS w FROM labels),
     lv AS (SELECT *, {_SING} AS one FROM lw),
     lex AS (SELECT term_id, row_no, label_no, label_kind, label, v AS variant FROM lv
             UNION ALL SELECT term_id, row_no, label_no, label_kind, label, regexp_replace(v, '[^ ]*$', '') || one FROM lv WHERE one IS NOT NULL),
-    asked AS (SELECT p_partkey AS id, {_NORM.format(_TEXT)} AS v FROM part WHERE p_partkey % 5 = 1),
+    asked AS (SELECT p_partkey AS id, {_NORM.format(_TEXT)} AS v FROM part),
     {_forms("asked")},
     hits AS (SELECT f.id AS query_id, f.form_no, f.start, l.* FROM forms f JOIN lex l ON f.phrase = l.variant),
     won AS (SELECT * FROM hits QUALIFY form_no = min(form_no) OVER (PARTITION BY query_id)),
@@ -181,18 +198,22 @@ def lexical_semi(t: Tables) -> DataFrame:
     return count("whole", lexical.whole_name_matches(asked, lexicon)).union(count("any", lexical.any_matches(asked, lexicon)))
 
 
+def _brand_terms(t: Tables) -> DataFrame:
+    """The largest part of each name in each brand: a stand-in for the terms that are near a brand's parts."""
+    return t.part.groupBy("p_brand", F.col("p_name").alias("term_id")).agg(F.max("p_size").alias("size"))
+
+
 def _scores(t: Tables) -> DataFrame:
-    """Scores of the terms of a part's own brand for each query part: a stand-in for a similarity table."""
-    terms = t.part.where("p_partkey % 2 = 0").groupBy("p_brand", F.col("p_name").alias("term_id")).agg(F.max("p_size").alias("size"))
-    asked = t.part.where("p_partkey % 5 = 1").select(F.col("p_partkey").alias("query_id"), "p_brand", F.col("p_size").alias("own"))
-    return asked.join(terms, "p_brand").select("query_id", "term_id", F.round(1 - F.abs(F.col("own") - F.col("size")) / 100.0, 4).alias("score"))
+    """Scores of the terms of a part's own brand for each part: a stand-in for a similarity table."""
+    asked = t.part.select(F.col("p_partkey").alias("query_id"), "p_brand", F.col("p_size").alias("own"))
+    return asked.join(_brand_terms(t), "p_brand").select("query_id", "term_id", F.round(1 - F.abs(F.col("own") - F.col("size")) / 100.0, 4).alias("score"))
 
 
 @query(
     f"""
     WITH {_LEX},
-    t AS (SELECT p_brand, p_name AS term_id, max(p_size) AS size FROM part WHERE p_partkey % 2 = 0 GROUP BY 1, 2),
-    sc AS (SELECT q.p_partkey AS query_id, t.term_id, round(1 - abs(q.p_size - t.size) / 100.0, 4) AS score FROM part q JOIN t ON q.p_brand = t.p_brand WHERE q.p_partkey % 5 = 1),
+    t AS (SELECT p_brand, p_name AS term_id, max(p_size) AS size FROM part GROUP BY 1, 2),
+    sc AS (SELECT q.p_partkey AS query_id, t.term_id, round(1 - abs(q.p_size - t.size) / 100.0, 4) AS score FROM part q JOIN t ON q.p_brand = t.p_brand),
     a AS (SELECT f.query_id, f.term_id, coalesce(sc.score, 0.0) AS score, f.match_kind, 0 AS tier, f.hit_no AS ord FROM found f LEFT JOIN sc ON f.query_id = sc.query_id AND f.term_id = sc.term_id),
     b AS (SELECT sc.query_id, sc.term_id, sc.score, 'embedding' AS match_kind, 1 AS tier, row_number() OVER (PARTITION BY sc.query_id ORDER BY sc.score DESC, sc.term_id) AS ord
           FROM sc ANTI JOIN found f ON sc.query_id = f.query_id AND sc.term_id = f.term_id)
@@ -207,21 +228,29 @@ def blend_candidates(t: Tables) -> DataFrame:
 
 @query(
     f"""
-    WITH {_V}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, t_label ORDER BY similarity DESC, target_id) AS rank FROM s),
-    m AS (SELECT * FROM r WHERE rank <= 3 AND similarity >= {NEAR})
-    SELECT query_id, count(*) AS matches, count(DISTINCT t_label) AS ontologies, max(similarity) AS max_similarity,
-           string_agg(target_id || '=' || printf('%.6f', similarity), ';' ORDER BY similarity DESC, target_id) AS listed
-    FROM m GROUP BY query_id
+    WITH {_V}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, t_label ORDER BY score DESC, target_id) AS rank FROM s),
+    m AS (SELECT * FROM r WHERE rank <= 3 AND score >= {NEAR})
+    SELECT v.vec_id AS query_id, count(target_id) AS matches, count(DISTINCT t_label) AS ontologies, round(coalesce(max(score), 0.0), 6) AS max_similarity,
+           coalesce(string_agg(target_id || '=' || printf('%.4f', round(score, 4)), ';' ORDER BY round(score, 4) DESC, CAST(t_label AS VARCHAR), rank), '') AS listed
+    FROM v LEFT JOIN m ON v.vec_id = m.query_id GROUP BY v.vec_id
     """
 )
 def mapping_report(t: Tables) -> DataFrame:
-    rows = F.transform(
-        F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), F.col("target_id").alias("t")))),
-        lambda r: F.format_string("%d=%.6f", r["t"], -r["s"]),
-    )
-    return knn_by_ontology(t).groupBy("query_id").agg(
-        F.count("*").alias("matches"), F.count_distinct("part").alias("ontologies"), F.max("similarity").alias("max_similarity"), F.array_join(rows, ";").alias("listed")
-    )
+    found = similarity.top_k(_vectors(t), _vectors(t), 3, NEAR, by_part=True, others=True)
+    report = reports.mapping_report(_vectors(t), found)
+    return report.select("query_id", "matches", "ontologies", F.round("max_similarity", 6).alias("max_similarity"), "listed")
+
+
+@query(
+    f"""
+    WITH {_V}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, t_label ORDER BY score DESC, target_id) AS rank FROM s),
+    b AS (SELECT v.vec_id, max(score) AS m FROM v LEFT JOIN (SELECT * FROM r WHERE rank <= 3 AND score >= {NEAR}) k ON v.vec_id = k.query_id GROUP BY 1)
+    SELECT count(*) AS total_terms, count(m) AS terms_with_matches, round(100.0 * (count(*) - count(m)) / count(*), 1) AS without_percent FROM b
+    """
+)
+def mapping_totals(t: Tables) -> DataFrame:
+    found = similarity.top_k(_vectors(t), _vectors(t), 3, NEAR, by_part=True, others=True)
+    return reports.mapping_totals(reports.mapping_report(_vectors(t), found))
 
 
 @query(

@@ -131,16 +131,16 @@ def former_names(t: Tables) -> DataFrame:
 
 @query(
     """
-    WITH k AS (SELECT o_orderkey, o_orderstatus, 'C' || o_custkey AS label FROM orders WHERE o_orderkey % 3 = 0),
-    s AS (SELECT 'C' || c_custkey AS label, c_custkey AS subject_id, c_custkey % 10 = 0 AS retired, c_mktsegment AS enum FROM customer WHERE c_custkey % 4 <> 3)
+    WITH k AS (SELECT o_orderkey, o_orderstatus, 'C' || o_custkey AS label FROM orders),
+    s AS (SELECT 'C' || c_custkey AS label, c_custkey AS subject_id, c_custkey % 10 = 0 AS retired, c_mktsegment AS enum FROM customer WHERE c_acctbal >= 0)
     SELECT coalesce(CASE WHEN s.subject_id IS NULL THEN 'unknown label' WHEN retired THEN 'retired' WHEN enum NOT IN ('BUILDING', 'MACHINERY') THEN 'wrong enum' END, 'none') AS error, count(*) AS n
     FROM k LEFT JOIN s ON k.label = s.label GROUP BY 1
     """
 )
 def label_resolution(t: Tables) -> DataFrame:
     name = lambda c: F.concat(F.lit("C"), F.col(c).cast("string")).alias("label")
-    rows = t.orders.where("o_orderkey % 3 = 0").select("o_orderkey", name("o_custkey"))
-    subjects = t.customer.where("c_custkey % 4 <> 3").select(name("c_custkey"), F.col("c_custkey").alias("subject_id"), (F.col("c_custkey") % 10 == 0).alias("retired"), F.col("c_mktsegment").alias("enum"))
+    rows = t.orders.select("o_orderkey", name("o_custkey"))
+    subjects = t.customer.where("c_acctbal >= 0").select(name("c_custkey"), F.col("c_custkey").alias("subject_id"), (F.col("c_custkey") % 10 == 0).alias("retired"), F.col("c_mktsegment").alias("enum"))
     found = resolve.subject_errors(rows, subjects, ("BUILDING", "MACHINERY"))
     return found.groupBy(F.coalesce("error", F.lit("none")).alias("error")).agg(F.count("*").alias("n"))
 

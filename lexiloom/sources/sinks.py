@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,12 +62,24 @@ def write_embeddings(rows: DataFrame, path: str, provenance: dict[str, str]) ->
 
 def read_embeddings(spark: SparkSession, path: str, model: str | None = None) -> DataFrame:
     """The vectors; those of another model than asked for are an error."""
-    made = {r["key"]: r["value"] for r in spark.read.parquet(f"{path}/provenance").limit(1000).collect()}
-    if model is not None and made.get("model_name") != model:
-        raise ValueError(f"vectors are of {made.get('model_name')}, not of {model}")
+    made = spark.read.parquet(f"{path}/provenance").where("key = 'model_name'").first()
+    if model is not None and (made is None or made["value"] != model):
+        raise ValueError(f"vectors are of {made and made['value']}, not of {model}")
     return spark.read.parquet(f"{path}/vectors")
 
 
+def read_stores(spark: SparkSession, root: str, own: str, model: str | None = None) -> DataFrame:
+    """The vectors of every store under root but the vocabulary's own, with `ontology`, the store's name."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(root)
+    listed = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    names = sorted(s.getPath().getName() for s in listed if s.isDirectory() and s.getPath().getName() != own)
+    if not names:
+        raise FileNotFoundError(f"no other store under {root}")
+    stores = (read_embeddings(spark, f"{root}/{n}", model).withColumn("ontology", F.lit(n)) for n in names)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), stores)
+
+
 def between_marks(text: Column, begin: str, end: str, new: Column) -> Column:
     """text with what stands between two marks replaced, or both marks and the new part added at its end."""
     has = F.contains(text, F.lit(begin)) & F.contains(text, F.lit(end))

@@ -11,10 +11,11 @@ from functools import reduce
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import blank, term_pattern
+from lexiloom.session import in_order
 
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
@@ -24,13 +25,15 @@ def read_tsv(spark: SparkSession, path: str) -> DataFrame:
     """
     rows = spark.read.csv(path, sep="\t", header=True, comment="#", escape='"', multiLine=False, inferSchema=False)
     names = rows.columns
-    rows = rows.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in names), F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("_at"))
-    return rows.withColumn("row_no", F.row_number().over(Window.orderBy("file", "_at"))).drop("_at")
+    place = F.struct(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    rows = rows.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in names), F.col("_metadata.file_name").alias("file"), place.alias("_place"))
+    return in_order(rows, "row_no", 1, "_place").drop("_place")
 
 
 def read_mappings(spark: SparkSession, *paths: str) -> DataFrame:
-    """The union of mapping tables by column name; columns that a file lacks are null."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (read_tsv(spark, p) for p in sorted(paths)))
+    """The union of mapping tables by column name, numbered by file and place; columns that a file lacks are null."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (read_tsv(spark, p) for p in sorted(paths)))
+    return in_order(rows.withColumnRenamed("row_no", "_row"), "row_no", 1, "file", "_row").drop("_row")
 
 
 def read_stanzas(spark: SparkSession, path: str, ontology: str, keep_obsolete: bool = False) -> DataFrame:
@@ -73,8 +76,24 @@ def read_owl(spark: SparkSession, path: str, ontology: str) -> DataFrame:
 def read_ontologies(spark: SparkSession, sources: dict[str, str]) -> DataFrame:
     """All ontologies of {name: path} as one table; a path that ends in .obo is in stanza format, any other is OWL."""
     shared = ("ontology", "id", "name", "definition", "row_no")
-    read = lambda name, path: (read_stanzas if path.endswith(".obo") else read_owl)(spark, path, name).select(*shared)
-    return reduce(DataFrame.unionByName, (read(n, p) for n, p in sources.items()))
+    texts = F.transform("synonyms", lambda s: s["text"]).alias("synonyms")
+    stanzas = lambda name, path: read_stanzas(spark, path, name).select(*shared, texts)
+    owl = lambda name, path: read_owl(spark, path, name).select(*shared, F.array().cast("array<string>").alias("synonyms"))
+    return reduce(DataFrame.unionByName, ((stanzas if p.endswith(".obo") else owl)(n, p) for n, p in sources.items()))
+
+
+def live_ids(spark: SparkSession, path: str, terms_only: bool = True) -> DataFrame:
+    """id of what a stanza file does not call obsolete: of its terms, or of stanzas of any kind."""
+    rows = spark.read.option("lineSep", "\n[").text(path)
+    kind = F.col("value").startswith("Term]") if terms_only else F.col("value").rlike(r"^[A-Za-z]+\]")
+    live = rows.where(kind & ~F.col("value").rlike(r"(?m)^is_obsolete: true"))
+    return live.select(F.trim(F.regexp_extract("value", r"(?m)^id: (.*)$", 1)).alias("id")).where("id <> ''").distinct()
+
+
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """file, hash: sha256: and the digest of each file's bytes."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.substring_index("path", "/", -1).alias("file"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("hash"))
 
 
 def read_yaml(spark: SparkSession, path: str, rows_of: Callable[[Any, str], Iterator[tuple]], schema: str) -> DataFrame:
@@ -128,6 +147,15 @@ def read_enum_values(spark: SparkSession, path: str) -> DataFrame:
     return read_yaml(spark, path, values, "module string, enum string, label string, meaning string")
 
 
+def term_places(values: DataFrame, prefix: str) -> DataFrame:
+    """term_id, module, enum, label of enum values (see read_enum_values); an id on several values is an error."""
+    found = values.withColumn("term_id", F.regexp_extract("meaning", term_pattern(prefix), 1)).where("term_id <> ''")
+    again = [r["term_id"] for r in found.groupBy("term_id").count().where("count > 1").limit(5).collect()]
+    if again:
+        raise ValueError(f"identifiers on several values: {', '.join(sorted(again))}")
+    return found.select("term_id", "module", "enum", "label")
+
+
 def read_modules(spark: SparkSession, path: str, layer: str) -> DataFrame:
     """module, layer, kind (class, slot, enum), name, range of every schema module; a layer that is no number is an error."""
 
@@ -215,3 +243,21 @@ def read_policy(spark: SparkSession, path: str) -> DataFrame:
 def filled(rows: DataFrame, column: str) -> DataFrame:
     """Rows whose cell holds more than white space."""
     return rows.where(blank(F.col(column)) != "")
+
+
+def with_defaults(rows: DataFrame) -> DataFrame:
+    """rows with empty texts and lists for null ones, as records are read from files that lack a field."""
+    empty = {"string": F.lit("")}
+    columns = []
+    for field in rows.schema:
+        kind = field.dataType.simpleString()
+        default = F.array().cast(kind) if kind.startswith("array") else empty.get(kind)
+        columns.append(F.col(f"`{field.name}`") if default is None else F.coalesce(F.col(f"`{field.name}`"), default).alias(field.name))
+    return rows.select(*columns)
+
+
+def read_report(spark: SparkSession, path: str, key: str, fields: str) -> DataFrame:
+    """The list of records under `key` of a JSON report, with its provenance's schema_fingerprint."""
+    text = spark.read.text(path, wholetext=True)
+    records = F.from_json(F.get_json_object("value", f"$.{key}"), f"array<struct<{fields}>>")
+    return text.select(F.get_json_object("value", "$.provenance.schema_fingerprint").alias("fingerprint"), F.explode(records).alias("r")).select("fingerprint", "r.*")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text
-from lexiloom.operators import curation, lexical, project, resolve, similarity, validate
+from lexiloom.operators import browse, curation, lexical, project, resolve, similarity, validate
 
 TERMS = [
     ("SO:0000165", "enhancer", None, 0), ("SO:0000167", "promoter", None, 1), ("SO:0000149", "contig", None, 2),
@@ -151,3 +151,88 @@ def test_self_pairs_hold_no_table_in_one_task(spark, monkeypatch):
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = np.round(unit @ unit.T, 6) >= 0.9
     assert sorted((r.id1, r.id2) for r in out.collect()) == [(i, j) for i in range(150) for j in range(i + 1, 150) if near[i, j]]
+
+
+def test_pipe_lists_are_trimmed(spark):
+    assert one(spark, text.pipe_list(F.col("a")), a=" SO:10 |SO:11|  | SO:2") == ["SO:10", "SO:11", "SO:2"]
+    assert one(spark, text.same_set(text.pipe_list(F.col("a")), text.pipe_list(F.col("b"))), a="x|y|x", b="y | x")
+
+
+def test_legacy_forms(spark):
+    forms = lambda enum: one(spark, text.legacy_forms(F.col("a"), F.col("e"), "ab", "http://v/"), a="A/B (x~y) called peaks*", e=enum)
+    assert forms("Data") == ["ab:A/B_(x~y)_called_peaks*", "http://v/A/B_(x~y)_called_peaks*", "http://v/Data#A/B%20%28x~y%29%20called%20peaks%2A"]
+    assert forms("") == forms("Data")[:2]
+
+
+def test_long_chains_and_rings(spark):
+    n = 5000
+    pairs = [(f"a{k:05}", f"a{k + 1:05}") for k in range(n)] + [("r1", "r2"), ("r2", "r3"), ("r3", "r1"), ("t1", "t2"), ("t2", "r2"), ("s", "s")]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    start = spark.createDataFrame([("a00000",), ("a02500",), ("r1",), ("t1",), ("s",), ("q",)], "node string")
+    found = {r.node: (r.chain_end, r.steps, r.resolved) for r in resolve.chain_ends(start, edges).collect()}
+    assert found == {"a00000": (f"a{n:05}", n, True), "a02500": (f"a{n:05}", n - 2500, True), "r1": ("r3", 2, False), "t1": ("r1", 4, False), "s": ("s", 0, False), "q": ("q", 0, True)}
+    assert resolve.chain_ends(start, edges.limit(0)).where("resolved and steps = 0").count() == 6
+
+
+def test_class_slots_of_diamonds_overrides_and_rings(spark):
+    levels = 30  # two ways up at each level: a thousand million paths
+    edges = [(f"c{k}{s}", f"c{k + 1}{p}", o) for k in range(levels) for s in "xy" for o, p in enumerate("xy")]
+    slots = spark.createDataFrame([(f"c{levels}x", "top"), ("c0x", "own"), ("c5y", "own")], "class string, slot string")
+    usage = spark.createDataFrame([("c5y", "own", "sharper"), ("c7x", "own", "unused")], "class string, slot string, override string")
+    rows = spark.createDataFrame(edges, "class string, parent string, ord int")
+    out = {(r["class"], r.slot): (r.inherited_from, r.distance, r.override) for r in project.class_slots(rows, slots, usage).collect()}
+    assert out[("c0x", "own")] == (None, 0, None) and out[("c0y", "own")] == ("c5y", 5, "sharper") and out[("c0x", "top")] == (f"c{levels}x", levels, None)
+    with pytest.raises(ValueError, match="its own ancestor"):
+        project.class_slots(spark.createDataFrame([("a", "b", 0), ("b", "a", 0)], "class string, parent string, ord int"), slots)
+
+
+def test_vectors_of_several_lengths(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [1.0, 0.0, 0.0]), (4, [0.0, 0.0]), (5, None), (6, []), (7, [0.9, None])], "id long, embedding array<double>")
+    found = similarity.top_k(rows, rows, 2, others=True).collect()
+    assert {(r.query_id, r.target_id) for r in found if r["rank"] == 1} == {(1, 7), (2, 1), (4, 1), (7, 1)}
+    assert [(r.id1, r.id2) for r in similarity.self_pairs(rows, 0.99).orderBy("id1", "id2").collect()] == [(1, 2), (1, 7), (2, 7)]
+
+
+def test_scores_rank_unrounded(spark):
+    targets = spark.createDataFrame([(1, [1.0, 1e-4]), (2, [1.0, 1e-5])], "id long, embedding array<double>")
+    asked = spark.createDataFrame([(9, [1.0, 0.0])], "id long, embedding array<double>")
+    assert similarity.top_k(asked, targets, 1).first().target_id == 2
+
+
+def test_numbers_in_order(spark):
+    from lexiloom.session import in_order
+
+    rows = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("k"), F.lit(1).alias("at")).repartition(7)
+    assert [(r.k, r.number) for r in in_order(rows, "number", 21, "k").orderBy("number").collect()] == [(k, 21 + k) for k in range(1000)]
+    assert in_order(rows.limit(0), "number", 1, "k").count() == 0
+
+
+def test_written_tables_can_be_released(spark):
+    import os
+
+    from lexiloom.session import durable, release
+
+    path = durable(spark.range(3).toDF("x"), "t").inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    release(spark)
+    assert not os.path.exists(path)
+
+
+def test_reasons_and_reviews(spark):
+    found = spark.createDataFrame([("a", "terse-description", "it is 12 chars"), ("a", "mapping-suggestion", "m"), ("b", "no-mapping-at-all", ""), ("b", "unmapped-high-usage", "has 12345 files"), ("c", "terse-description", "?"), ("d", "layer-violation", "kept")], "subject string, rule string, message string")
+    said = {(r.subject, r.rule): r.reason for r in browse.reasons(found).collect()}
+    assert said == {
+        ("a", "terse-description"): "Definition is very short (12 characters).", ("b", "unmapped-high-usage"): "Used by 12,345 files, but not linked to any outside ontology.",
+        ("c", "terse-description"): "Definition is very short.", ("d", "layer-violation"): "kept",
+    }
+    queue = spark.createDataFrame([("a", "term"), ("e", "enum"), ("f", "slot"), ("g", "thing")], "subject string, kind string")
+    assert {tuple(r) for r in browse.review_items(queue, found).collect()} == {("a", "vocabulary", "definitions"), ("a", "vocabulary", "links"), ("e", "vocabulary", "signoff"), ("f", "schema", "signoff")}
+
+
+def test_promotion_and_lookup(spark):
+    terms = spark.createDataFrame([("a", "draft"), ("b", "draft")], "subject string, status string")
+    assert {tuple(r) for r in curation.promoted(terms, spark.createDataFrame([("b",)], "subject string"), "approved").collect()} == {("a", "draft"), ("b", "approved")}
+    index = lexical.index(spark.createDataFrame(TERMS, SCHEMA))
+    assert index.where(lexical.is_known("Copy-number Variation")).first().term_id == "SO:0001019"
+    forms = validate.element_forms(spark.createDataFrame([("a", "SO:1| bad |x:"), ("b", "not_applicable")], "term string, element_type string"))
+    assert sorted(r.message for r in forms.collect()) == ["bad", "x:"]

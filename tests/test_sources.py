@@ -111,3 +111,37 @@ def test_sinks(spark, tmp_path):
     text = spark.createDataFrame([("a\n<b>\nold\n<e>\nz",), ("a",)], "t string").select(sinks.between_marks(F.col("t"), "<b>", "<e>", F.lit("new")).alias("t"))
     assert [r.t for r in text.collect()] == ["a\n<b>\nnew\n<e>\nz", "a\n<b>\nnew\n<e>\n"]
     assert '"provenance":{"v":"1"}' in sinks.report_json(rows, {"v": "1"}).first().value
+
+
+def test_more_readers(spark, tmp_path):
+    path = write(tmp_path, "so.obo", STANZAS)
+    assert sorted(r.id for r in tables.live_ids(spark, path).collect()) == ["SO:1", "SO:3"] and "part_of" in {r.id for r in tables.live_ids(spark, path, terms_only=False).collect()}
+    both = tables.read_ontologies(spark, {"so": path, "ab": write(tmp_path, "ab.owl", OWL)}).where("id in ('SO:1', 'AB:0001')").orderBy("ontology").collect()
+    assert [r.synonyms for r in both] == [[], ["booster", "enh"]]
+    assert tables.file_hashes(spark, path).first().hash.startswith("sha256:")
+    values = tables.read_enum_values(spark, write(tmp_path, "v.yaml", VOCABULARY))
+    assert {(r.term_id, r.label) for r in tables.term_places(values, "ab").collect()} == {("AB_0000001", "peaks"), ("AB_0000002", "zones")}
+    with pytest.raises(ValueError, match="AB_0000001"):
+        tables.term_places(values.union(values), "ab")
+    report = '{"provenance": {"schema_fingerprint": "f1"}, "pairs": [{"id": "sim:1", "similarity": 0.9}, {"id": "sim:2"}]}'
+    rows = tables.read_report(spark, write(tmp_path, "p.json", report), "pairs", "id: string, similarity: double").orderBy("id").collect()
+    assert [tuple(r) for r in rows] == [("f1", "sim:1", 0.9), ("f1", "sim:2", None)]
+    filled = tables.with_defaults(spark.createDataFrame([(None, None, None)], "a string, b array<string>, c int")).first()
+    assert tuple(filled) == ("", [], None)
+    assert tables.filled(spark.createDataFrame([(" ",), ("x",), (None,)], "a string"), "a").count() == 1
+
+
+def test_all_stores_but_one(spark, tmp_path):
+    for name in ("own", "so", "edam"):
+        sinks.write_embeddings(spark.createDataFrame([(1, [1.0])], "id int, embedding array<double>"), str(tmp_path / "s" / name), {"model_name": "m1"})
+    assert sorted(r.ontology for r in sinks.read_stores(spark, str(tmp_path / "s"), "own", "m1").collect()) == ["edam", "so"]
+    with pytest.raises(FileNotFoundError):
+        sinks.read_stores(spark, str(tmp_path / "s" / "own" / "vectors"), "own")
+
+
+def test_frequencies_and_paging(spark):
+    counts = spark.createDataFrame([("b", 2), ("a", 2), ("c", 9)], "term string, count long")
+    assert [r.term for r in sinks.frequency_table(counts).collect()] == ["c", "a", "b"]
+    seeds = spark.createDataFrame([("z",), ("a",)], "term string")
+    assert [tuple(r) for r in sinks.frequency_table(counts, seeds).collect()] == [("a", "yes", 2), ("z", "no", 0)]
+    assert tuple(counts.agg(F.count("*").alias("n")).select(sinks.envelope(F.col("n")).alias("e")).first().e) == (0, 100_000, 3, 1)
