@@ -8,6 +8,7 @@ fingerprint is made longer and single blocks of it are the keys, as many as a st
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -16,19 +17,23 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from lexiloom.llm.common import connected_components, durable
+from lexiloom.llm.common import connected_components, durable, unused
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Each byte's bits, lowest first, as the bytes of a 64-bit word: up to 255 such words add up without a carry.
 _SPREAD = np.ascontiguousarray((np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.uint8)).view("<u8")[:, 0]
-#: Runs up to this length have their pairs compared at once; longer ones are searched breadth first.
-_SHORT = 48
+#: Runs up to _SHORT have their pairs compared together, those up to _LONG one by one; longer ones are searched breadth first.
+_SHORT, _LONG = 96, 4096
+#: Candidates per member from which a run is compared with its first member before any pairs.
+MANY = 2
 #: Sets of up to so many shingles also get MINS keys of ROWS minima each: their bits differ by more than the angle says.
 FEW, MINS, ROWS = 80, 16, 4
+#: Words of a fingerprint beside its key that are compared first.
+SKETCH = 2
 #: Standard deviations of slack for the Hamming distance before shingles are compared.
 SLACK = 4
 
@@ -65,12 +70,13 @@ def similarity_plan(n: int, similarity: float = 0.8, shingle: int = 5, recall: f
     """Enough blocks that a pair whose shingles have this Jaccard similarity shares one with probability `recall`.
 
     Two sets of one size with similarity J have cosine 2J / (1 + J), and each bit differs with the angle over 180
-    degrees. Blocks get longer with n, which keeps chance candidates in proportion to n. The whole fingerprint, of at
+    degrees. Blocks get longer with n: about 8 to 16 fingerprints share one by chance at any n, which costs a few bit
+    counts each and saves blocks. The whole fingerprint, of at
     least `words` 64-bit words, sorts out pairs SLACK standard deviations beyond the expected distance; exact sets decide
     the rest. Pairs of up to FEW shingles share one of MINS keys with probability 0.9998 and need no distance.
     """
     differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    length = max(16, math.ceil(math.log2(max(n, 2))) - 2)
+    length = max(12, math.ceil(math.log2(max(n, 2))) - 4)
     bands = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differ) ** length))
     words = max(words, math.ceil(bands * length / 64))
     keys = tuple(((k * length, (k + 1) * length),) for k in range(bands))
@@ -135,13 +141,14 @@ def minima(hashes: np.ndarray) -> bytes:
 def fingerprints(docs: DataFrame, plan: Plan) -> DataFrame:
     """doc_id and fp of every whole text; a null text is an empty one.
 
-    With a similarity also mins (from minima()) and text_hash, which finds the text again.
+    With a similarity also cls (a digest of the shingle set), n (its size), mins (from minima()) and text_hash, which
+    finds the text again.
     """
     fields = [docs.schema["doc_id"], StructField("fp", BinaryType())]
     shingle, words, sets = plan.shingle, plan.words, plan.similarity is not None
     if sets:
         docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-        fields += [StructField("mins", BinaryType()), StructField("text_hash", LongType())]
+        fields += [StructField("cls", BinaryType()), StructField("n", IntegerType()), StructField("mins", BinaryType()), StructField("text_hash", LongType())]
     else:
         docs = docs.select("doc_id", "text")
 
@@ -153,8 +160,9 @@ def fingerprints(docs: DataFrame, plan: Plan) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], names=["doc_id", "fp"])
                 continue
             found = [np.unique(shingles(t.as_py(), shingle)) for t in texts]
-            fps, mins = pa.array([simhash(x, words) for x in found], pa.binary()), pa.array([minima(x) for x in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps, mins, batch.column(2)], names=["doc_id", "fp", "mins", "text_hash"])
+            columns = [[simhash(x, words) for x in found], [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in found], [len(x) for x in found], [minima(x) for x in found]]
+            columns = [pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.int32(), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(2)], names=["doc_id", "fp", "cls", "n", "mins", "text_hash"])
 
     return docs.mapInArrow(run, StructType(fields))
 
@@ -168,16 +176,6 @@ def _alike(a: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarr
     return both >= similarity * (len(a) + sizes - both) - 1e-9
 
 
-def _verified(a: int, others: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], plan: Plan) -> np.ndarray:
-    """Which of the others are near a: by distance where one has more than FEW shingles, and by their sets."""
-    sizes = np.array([len(sets[k]) for k in others])
-    close = (_distances(prints[a], prints[others]) <= plan.distance) | ((sizes <= FEW) & (len(sets[a]) <= FEW))
-    close &= np.minimum(sizes, len(sets[a])) >= plan.similarity * np.maximum(sizes, len(sets[a])) - 1e-9
-    if close.any():
-        close[close] = _alike(sets[a], [sets[k] for k in others[close]], plan.similarity)
-    return close
-
-
 def _words(column: pa.Array, words: int) -> np.ndarray:
     """Fingerprints as a matrix of 64-bit words."""
     return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, words)
@@ -232,39 +230,68 @@ def _runs(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[np.nd
         yield tuple(np.concatenate(x) for x in zip(*kept, strict=True))
 
 
-def _linker(words: int, distance: int, long_runs: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For sorted (key, id, fp) rows: links (a, b).
+def _close_pairs(prints: np.ndarray, distance: int, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Places of all pairs within the distance; nothing if there are more than `most`."""
+    src, dst, n = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+    for at in range(0, len(prints), 256):
+        i, j = np.nonzero(_distances(prints[at : at + 256, None], prints[None, at:]) <= distance)
+        i, j = i[i < j] + at, j[i < j] + at
+        n += len(i)
+        if n > most:
+            return None
+        src.append(i)
+        dst.append(j)
+    return np.concatenate(src), np.concatenate(dst)
+
+
+def _linker(distance: int, whole_prints: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For (key, id, words of fp) rows sorted by key and id: candidates (a, b).
 
-    Without long_runs, a run that is long or has more links than members gives its members instead, as (id, null, key):
-    whatever the size of a group of copies, there are never more rows than members.
+    Where the words are the whole fingerprint, candidates are links, and a long run gives those of a spanning tree. Else a
+    run that is very long or has MANY times more candidates than members gives its members instead, as (id, first id or
+    null if that is far, key): rows stay in proportion to members, whatever the size of a group of copies.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, ids, prints in _runs(batches, words):
+        for keys, ids, prints in _runs(batches, 1 if whole_prints else SKETCH):
             first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, int)
             size = np.diff(np.r_[first, len(keys)])
             number = np.repeat(np.arange(len(size)), size)
-            whole = size > _SHORT  # runs that are searched, or given up, as a whole
+            long = size > _SHORT
             places = [(np.empty(0, int), np.empty(0, int))]
-            for lag in range(1, int(size[~whole].max(initial=1))):
-                pair = np.flatnonzero((keys[lag:] == keys[:-lag]) & ~whole[number[lag:]])
+            for lag in range(1, int(size[~long].max(initial=1))):
+                pair = np.flatnonzero((keys[lag:] == keys[:-lag]) & ~long[number[lag:]])
                 pair = pair[_distances(prints[pair], prints[pair + lag]) <= distance]
                 places.append((pair, pair + lag))
             x, y = (np.concatenate(p) for p in zip(*places, strict=True))
-            if not long_runs:
-                whole |= np.bincount(number[x], minlength=len(size)) > size
-                few = ~whole[number[x]]
-                x, y = x[few], y[few]
-                crowd = np.flatnonzero(whole[number])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[crowd], pa.int64()), pa.nulls(len(crowd), pa.int64()), pa.array(keys[crowd], pa.int64())], names=["a", "b", "key"])
-            a, b = [ids[x]], [ids[y]]
-            for at, n in zip(first[whole], size[whole], strict=True) if long_runs else ():
-                run_prints = prints[at : at + n]
-                x, y = _search(ids[at : at + n], lambda k, left, p=run_prints: _distances(p[k], p[left]) <= distance)
-                a.append(x)
-                b.append(y)
-            a, b = np.concatenate(a), np.concatenate(b)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.int64())], names=["a", "b", "key"])
+            if whole_prints:
+                a, b = [ids[x]], [ids[y]]
+                for at, n in zip(first[long], size[long], strict=True):
+                    run_prints = prints[at : at + n]
+                    x, y = _search(ids[at : at + n], lambda k, left, p=run_prints: _distances(p[k], p[left]) <= distance)
+                    a.append(x)
+                    b.append(y)
+                a, b = np.concatenate(a), np.concatenate(b)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.int64())], names=["a", "b", "key"])
+                continue
+            crowded = np.bincount(number[x], minlength=len(size)) > MANY * size
+            few = ~crowded[number[x]]
+            pairs = [(x[few], y[few])]
+            for k in np.flatnonzero(long):
+                at, n = first[k], size[k]
+                close = _close_pairs(prints[at : at + n], distance, MANY * n) if n <= _LONG else None
+                if close is None:
+                    crowded[k] = True
+                else:
+                    pairs.append((close[0] + at, close[1] + at))
+            x, y = (np.concatenate(p) for p in zip(*pairs, strict=True))
+            members = np.flatnonzero(crowded[number])
+            heads = first[number[members]]
+            far = _distances(prints[members], prints[heads]) > distance
+            a, b = np.r_[ids[x], ids[members]], np.r_[ids[y], ids[heads]]
+            no_b, no_key = np.r_[np.zeros(len(x), bool), far], np.r_[np.ones(len(x), bool), np.zeros(len(members), bool)]
+            columns = pa.array(a, pa.int64()), pa.array(b, pa.int64(), mask=no_b), pa.array(np.r_[np.zeros(len(x), np.int64), keys[members]], pa.int64(), mask=no_key)
+            yield pa.RecordBatch.from_arrays(list(columns), names=["a", "b", "key"])
 
     return run
 
@@ -272,9 +299,14 @@ def _linker(words: int, distance: int, long_runs: bool) -> Callable[[Iterator[pa
 _LINK = "a long, b long, key long"
 
 
+def _sketch(prints: np.ndarray, at: int) -> np.ndarray:
+    """SKETCH words of each fingerprint from a place on, going round."""
+    return prints[:, np.arange(at, at + SKETCH) % prints.shape[1]]
+
+
 def _keyed(prints: DataFrame, plan: Plan) -> DataFrame:
     """(key, id, sketch): every fingerprint once for each key. The sketch is a part of the print outside the key."""
-    words, keys, whole, sets = plan.words, plan.keys, plan.words == 1, plan.similarity is not None
+    words, keys, whole, sets = plan.words, plan.keys, plan.similarity is None, plan.similarity is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,7 +315,7 @@ def _keyed(prints: DataFrame, plan: Plan) -> DataFrame:
                 value = _keys(prints, key)
                 value = (value ^ np.uint64(number * 0x9E3779B97F4A7C15 & (2**64 - 1))) * np.uint64(0xD6E8FEB86659FD93)
                 value ^= value >> np.uint64(32)
-                sketch = prints if whole else prints[:, [(key[-1][1] // 64 + 1) % words]]
+                sketch = prints if whole else _sketch(prints, key[-1][1] // 64 + 1)
                 raw = pa.array([x.tobytes() for x in np.ascontiguousarray(sketch)], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), ids, raw], names=["key", "id", "sketch"])
             if not sets:
@@ -292,57 +324,100 @@ def _keyed(prints: DataFrame, plan: Plan) -> DataFrame:
             few = np.array([k for k, x in enumerate(mins) if x], np.int64)
             values = np.frombuffer(b"".join(mins), "<i8").reshape(-1, MINS)
             for number in range(MINS):
-                raw = pa.array([x.tobytes() for x in prints[few, number % words]], pa.binary())
+                raw = pa.array([x.tobytes() for x in np.ascontiguousarray(_sketch(prints[few], number))], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(values[:, number], pa.int64()), ids.take(pa.array(few)), raw], names=["key", "id", "sketch"])
 
     return prints.select("id", "fp", *(["mins"] if sets else [])).mapInArrow(run, "key long, id long, sketch binary")
 
 
-def links(prints: DataFrame, plan: Plan, docs: DataFrame | None = None) -> DataFrame:
+def links(prints: DataFrame, plan: Plan, texts: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(a, b): links between ids of distinct fingerprints (id, fp), enough to join all pairs within the distance.
 
     Rows that share a key lie together, sorted, and are read as a stream. Short runs compare all their pairs, long
-    ones are searched breadth first and give a spanning tree. Under a similarity, fingerprints (id, fp, mins, first,
-    text_hash) are compared by one word first; what that leaves is verified on the shingle sets of the texts in docs:
-    pairs where they are few, else all members of the run.
+    ones are searched breadth first and give a spanning tree. Under a similarity, fingerprints (id, fp, n, mins) are
+    compared by SKETCH words first; the Hamming distance of whole fingerprints, then the shingle sets of `texts` decide.
+    A run with MANY candidates per member compares its members with its first one. Where that leaves the run in
+    several components, it is searched breadth first; in a group of near copies that is seldom needed.
     """
-    keyed = _keyed(prints, plan)
-    rows = keyed.repartition("key").sortWithinPartitions("key", "id")
+    rows = _keyed(prints, plan).repartition("key").sortWithinPartitions("key", "id")
     if plan.similarity is None:
-        return rows.mapInArrow(_linker(1, plan.distance, True), _LINK).select("a", "b").distinct()
+        return rows.mapInArrow(_linker(plan.distance, True), _LINK).select("a", "b").distinct()
     differ = math.acos(2 * plan.similarity / (1 + plan.similarity)) / math.pi
-    loose = round(64 * differ + 3.5 * math.sqrt(64 * differ * (1 - differ)))
-    first = durable(rows.mapInArrow(_linker(1, loose, False), _LINK), "candidates")
-    pairs = first.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    asked = first.select(F.explode(F.array("a", "b")).alias("id")).where("id is not null").distinct()
-    sets = durable(_sets(prints.join(asked, "id"), docs, plan), "sets")
-    left, right = (sets.select(F.col("id").alias(n), F.col("fp").alias(f"fp_{n}"), F.col("shingles").alias(f"set_{n}")) for n in "ab")
-    pairs = pairs.join(left, "a").join(right, "b")
+    bits = 64 * SKETCH
+    loose = round(bits * differ + SLACK * math.sqrt(bits * differ * (1 - differ)))
+    found = durable(rows.mapInArrow(_linker(loose, False), _LINK), "candidates")
+    pairs = found.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for c in "ab":
+        pairs = pairs.join(prints.select(F.col("id").alias(c), F.col("fp").alias(f"fp_{c}"), F.col("n").alias(f"n_{c}")), c)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (_words(batch.column(k), plan.words) for k in (2, 3))
+            sizes = [batch.column(k).to_numpy() for k in (4, 5)]
+            yield batch.select([0, 1]).filter(pa.array(_may_be_near(a, b, *sizes, plan)))
+
+    pairs = durable(pairs.select("a", "b", "fp_a", "fp_b", "n_a", "n_b").mapInArrow(near, "a long, b long"), "near")
+    sets = durable(_sets(texts(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), plan), "sets")
+    for c in "ab":
+        pairs = pairs.join(sets.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}")), c)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, raw = (batch.column(k).to_pylist() + batch.column(k + 1).to_pylist() for k in (2, 4))
-            found = [np.frombuffer(x, "<u4") for x in raw]
-            prints, n = np.frombuffer(b"".join(fps), "<u8").reshape(-1, plan.words), batch.num_rows
-            near = [bool(_verified(k, np.array([n + k]), prints, found, plan)[0]) for k in range(n)]
-            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
+            a, b = ([np.frombuffer(x, "<u4") for x in batch.column(k).to_pylist()] for k in (2, 3))
+            alike = [bool(_alike(x, [y], plan.similarity)[0]) for x, y in zip(a, b, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(alike, pa.bool_()))
+
+    linked = durable(pairs.select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long"), "verified")
+    crowd = found.where("key is not null").select("key", F.col("a").alias("id"))
+    if crowd.isEmpty():
+        return linked.distinct()
+    parts = connected_components(linked, "a", "b")
+    crowd = crowd.join(parts, crowd["id"] == parts["node"], "left").select("key", "id", F.coalesce("component", "id").alias("part"))
+    apart = crowd.groupBy("key").agg((F.min("part") != F.max("part")).alias("apart")).where("apart").select("key")
+    crowd = durable(crowd.join(apart, "key"), "crowd")
+    if crowd.isEmpty():
+        return linked.distinct()
+    sets = durable(_sets(texts(crowd.select("id").distinct()), plan), "sets")
+    crowd = crowd.join(prints.select("id", "fp"), "id").join(sets, "id").select("key", "id", "part", "fp", "shingles")
+    crowd = crowd.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_crowds(plan), "a long, b long")
+    return linked.union(crowd).distinct()
+
+
+def _may_be_near(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, plan: Plan) -> np.ndarray:
+    """Which fingerprints are within the distance, or of short texts, if the sizes of their sets allow the similarity."""
+    close = (_distances(a, b) <= plan.distance) | ((n_a <= FEW) & (n_b <= FEW))
+    return close & (np.minimum(n_a, n_b) >= plan.similarity * np.maximum(n_a, n_b) - 1e-9)
+
+
+def _crowds(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For (key, id, part, fp, shingles) rows sorted by key: links between parts that are known to be connected."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, ids, fps, raw in _whole_runs(batches):
+        for rows in _whole_runs(batches):
+            keys = rows.column(0).to_numpy()
             first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             for at, end in zip(first, np.r_[first[1:], len(keys)], strict=True):
-                prints, found = np.frombuffer(b"".join(fps[at:end]), "<u8").reshape(-1, plan.words), [np.frombuffer(x, "<u4") for x in raw[at:end]]
-                a, b = _search(ids[at:end], lambda k, left, p=prints, f=found: _verified(k, left, p, f, plan))
+                some = rows.slice(at, end - at)
+                ids, part, prints = some.column(1).to_numpy(), some.column(2).to_numpy(), _words(some.column(3), plan.words)
+                sets = [np.frombuffer(x, "<u4") for x in some.column(4).to_pylist()]
+                sizes = np.array([len(x) for x in sets])
+
+                def near_to(k: int, left: np.ndarray, part=part, prints=prints, sets=sets, sizes=sizes) -> np.ndarray:
+                    near = part[left] == part[k]
+                    other = np.flatnonzero(~near)
+                    other = other[_may_be_near(prints[k], prints[left[other]], sizes[k], sizes[left[other]], plan)]
+                    if len(other):
+                        near[other] = _alike(sets[k], [sets[m] for m in left[other]], plan.similarity)
+                    return near
+
+                a, b = _search(ids, near_to)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    verified = pairs.select("a", "b", "fp_a", "fp_b", "set_a", "set_b").mapInArrow(verify, "a long, b long")
-    crowd = first.where("b is null").select("key", F.col("a").alias("id")).join(sets, "id").select("key", "id", "fp", "shingles")
-    crowd = crowd.repartition("key").sortWithinPartitions("key", "id").mapInArrow(search, "a long, b long")
-    return verified.union(crowd).distinct()
+    return search
 
 
-def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes], list[bytes]]]:
-    """Batches of (key, id, fp, shingles) sorted by key, each ending where a key ends."""
+def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches sorted by their first column, each ending where a key ends."""
     kept: pa.Table | None = None
     for batch in batches:
         now = pa.Table.from_batches([batch])
@@ -350,30 +425,60 @@ def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
         keys = kept.column(0).to_numpy()
         cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
         if cut:
-            done, kept = kept.slice(0, cut), kept.slice(cut)
-            yield done.column(0).to_numpy(), done.column(1).to_numpy(), done.column(2).to_pylist(), done.column(3).to_pylist()
+            yield kept.slice(0, cut)
+            kept = kept.slice(cut)
     if kept is not None and kept.num_rows:
-        yield kept.column(0).to_numpy(), kept.column(1).to_numpy(), kept.column(2).to_pylist(), kept.column(3).to_pylist()
+        yield kept
 
 
-def _sets(prints: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
-    """id, fp and the sorted 32-bit hashes of the shingles of one text of each class.
+def _sets(texts: DataFrame, plan: Plan) -> DataFrame:
+    """id and the sorted 32-bit hashes of the shingles of texts (id, text).
 
     Of 20,000 shingles a tenth of one is taken for another's by chance, which halves what 64 bits put on disk.
     """
-    wanted = prints.select("id", "fp", F.col("first").alias("_first"), F.col("text_hash").alias("_hash"))
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_first")) & (F.xxhash64("text") == F.col("_hash")))
     shingle = plan.shingle
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).cast(pa.binary()).fill_null(b"")
+            texts = batch.column(1).cast(pa.binary()).fill_null(b"")
             raw = [np.unique(shingles(t.as_py(), shingle).astype("<u4")).tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.binary())], names=["id", "fp", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["id", "shingles"])
 
-    found = texts.select("id", "fp", "text").mapInArrow(run, "id long, fp binary, shingles binary")
-    # rows that repeat a doc_id and its text count once; without repeats the sets need no shuffle
-    return found if docs.groupBy("doc_id").count().where("count > 1").isEmpty() else found.dropDuplicates(["id"])
+    return texts.select("id", "text").mapInArrow(run, "id long, shingles binary")
+
+
+def _grouped(docs: DataFrame, plan: Callable[[int], Plan]) -> tuple[DataFrame, bool]:
+    """doc_id, fp (and text_hash under a similarity) of every row with `best`, the first member of its component.
+
+    Members are ordered by doc_id, null last, then text_hash. Also whether rows repeat a doc_id with the same text.
+    """
+    made = plan(docs.count())
+    prints = durable(fingerprints(docs, made), "fingerprints")
+    sets = made.similarity is not None
+    same, member = ("cls", ["doc_id", "text_hash"]) if sets else ("fp", ["doc_id"])
+    # equal sets or fingerprints are one class, known by its first member's id, or by a negative number without one
+    what = [F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), *member)).alias("best")]
+    classes = prints.groupBy(same).agg(*what, *(F.first(c).alias(c) for c in (("fp", "n", "mins") if sets else ())))
+    number = -1 - F.monotonically_increasing_id()
+    if sets:  # one id may stand for several texts
+        n = F.row_number().over(Window.partitionBy("best.doc_id").orderBy("best.text_hash"))
+        classes = classes.withColumn("id", F.when(F.col("best.doc_id").isNotNull() & (n == 1), F.col("best.doc_id").cast("long")).otherwise(number))
+    else:
+        classes = classes.withColumn("id", F.coalesce(F.col("best.doc_id").cast("long"), number))
+    classes = durable(classes, "classes")
+    repeats = sets and not prints.groupBy(*member).count().where("count > 1").isEmpty()
+
+    def texts(ids: DataFrame) -> DataFrame:
+        wanted = durable(classes.join(ids, "id").select("id", F.col("best.doc_id").alias("_doc"), F.col("best.text_hash").alias("_hash")), "wanted")
+        found = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))).select("id", "text")
+        return found.dropDuplicates(["id"]) if repeats else found
+
+    found = connected_components(links(classes, made, texts), "a", "b")
+    classes = classes.select(same, "id", "best")
+    least = classes.join(found, classes["id"] == found["node"]).groupBy("component").agg(F.min("best").alias("least"))
+    classes = classes.join(found, classes["id"] == found["node"], "left").join(least, "component", "left")
+    classes = classes.select(same, F.coalesce("least", "best").alias("best"))
+    return prints.select(*dict.fromkeys([*member, same, "fp"])).join(classes, same), repeats
 
 
 def near_duplicates(docs: DataFrame, plan: Callable[[int], Plan] = pigeonhole_plan) -> DataFrame:
@@ -382,46 +487,28 @@ def near_duplicates(docs: DataFrame, plan: Callable[[int], Plan] = pigeonhole_pl
     Equal fingerprints are one class before any comparison, so copies cost one row; no link between different ones is
     lost, by whatever number of partners. A null or empty text has fingerprint zero and links as such. A null doc_id
     takes the component of its fingerprint, which is null only if no member has an id. Repeated rows each come back.
-    Columns other than doc_id and text are not read.
+    An empty table gives an empty table. Columns other than doc_id and text are not read.
     """
-    n = docs.count()
-    made = plan(n)
-    prints = durable(fingerprints(docs, made), "fingerprints")
-    same = ["fp"]
-    if made.similarity is None:
-        classes = prints.groupBy(*same).agg(F.min("doc_id").alias("first"))
-    else:
-        same = ["fp", "mins"]
-        # the class's text is that of its first document, or of any where none has an id
-        text_hash = F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash")).alias("text_hash")
-        classes = prints.groupBy(*same).agg(F.min("doc_id").alias("first"), text_hash)
-    # a class is known by its smallest doc_id; without one it has none to be reached by, and gets a negative number
-    classes = durable(classes.withColumn("id", F.coalesce(F.col("first").cast("long"), -1 - F.monotonically_increasing_id())), "classes")
-    # ids of components are found among class ids; negative ones are for classes without any doc_id
-    found = connected_components(links(classes, made, docs), "a", "b")
-    best = classes.join(found, classes["id"] == found["node"]).groupBy("component").agg(F.min("first").alias("least"))
-    classes = classes.join(found, classes["id"] == found["node"], "left").join(best, "component", "left")
-    classes = classes.select(*same, F.coalesce("least", "first").alias("component_id"))
-    return prints.join(classes, same).select("doc_id", "fp", "component_id")
+    return _grouped(docs, plan)[0].select("doc_id", "fp", F.col("best.doc_id").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """The rows of docs without near copies: of each component the document with the smallest doc_id stays.
 
     Shingles of five words and a similarity of 0.8 or more make a near copy. Documents without words are copies of
-    each other. Of rows that repeat that doc_id one stays; of a component without any doc_id one row stays. All
-    columns are returned.
+    each other. Rows that repeat a doc_id with different texts are documents of their own; of rows that repeat both,
+    one stays. Documents without an id stay only in components where none has one, one of each. An empty table gives
+    an empty table. All columns are returned, whatever their names.
     """
-    found = near_duplicates(docs, lambda n: similarity_plan(n, similarity, shingle))
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
-    named = docs.where("doc_id is not null").join(stay, F.col("doc_id") == F.col("_stays"), "left_semi")
-    named = named.dropDuplicates(["doc_id"])
-    unnamed = docs.where("doc_id is null")
-    if unnamed.isEmpty():
-        return named
-    # without an id, a document stays if nothing in its component has one; equal texts are then one document
-    alone = found.where("component_id is null").select("fp").distinct()
-    texts = unnamed.withColumn("_at", F.xxhash64("text")).dropDuplicates(["_at"])
-    prints = fingerprints(texts.select(F.col("_at").alias("doc_id"), "text"), similarity_plan(docs.count(), similarity, shingle))
-    keep = prints.join(alone, "fp").groupBy("fp").agg(F.min("doc_id").alias("_keep")).select("_keep")
-    return named.unionByName(texts.join(keep, texts["_at"] == keep["_keep"], "left_semi").drop("_at"))
+    rows, repeats = _grouped(docs, lambda n: similarity_plan(n, similarity, shingle))
+    at, text_hash = unused(docs, "at"), unused(docs, "text_hash")
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
+    key = [F.col("doc_id").alias(at), F.col("text_hash").alias(text_hash)]
+    same = F.col("doc_id").eqNullSafe(F.col(at)) & (F.xxhash64("text") == F.col(text_hash))
+    # what goes is written first: where it is small, the planner sends it to the documents, else they meet in a shuffle
+    kept = docs.join(durable(rows.where(~stays).select(*key).distinct(), "gone"), same, "left_anti")
+    if not repeats:
+        return kept
+    often = durable(rows.where(stays).groupBy(*key).count().where("count > 1").drop("count"), "repeated")
+    once = kept.join(often, same, "left_semi").withColumn(text_hash, F.xxhash64("text")).dropDuplicates(["doc_id", text_hash]).drop(text_hash)
+    return kept.join(often, same, "left_anti").unionByName(once)
