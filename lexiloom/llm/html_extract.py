@@ -1,9 +1,9 @@
 """Main text of pages by tag-path ratios.
 
 A page's text lies in nodes, and every node has a root-to-leaf tag path. What tells content from the rest is a property of
-paths rather than of nodes: the text and punctuation of all nodes on a path, over their number. Ratios are smoothed
-along the page, fused, and compared with a threshold from their own spread; the paths above it are content, whatever
-the length of a single node on them.
+paths rather than of nodes: the text and punctuation of all nodes on a path, over their number. Both ratios are smoothed
+along the page, fused, weighed by what the page says of the path, and compared with a threshold from their own spread; the
+paths above it are content, whatever the length of a single node on them.
 """
 
 from __future__ import annotations
@@ -26,10 +26,10 @@ _PUNCTUATION = re.compile(r"[.,;:!?。，；：！？、]")
 #: Elements whose content is not markup, or is never shown; it ends at their end tag.
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 #: Elements that are left out with all that they hold, where they are closed. A self-closed or unclosed one holds nothing.
-SKIPPED = frozenset("template svg canvas math object audio video select".split())
+SKIPPED = frozenset("template svg canvas object audio video select annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that do not end a block of text.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mi mn mo ms mtext mrow mfrac msup msub msqrt semantics q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that an element of the same group closes.
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Where the search for a sibling ends.
@@ -45,15 +45,23 @@ MARKS = frozenset(
     "login search copyright legal disclaimer skip feedback".split()
 )
 #: Words that say that the element is a frame around parts, an article's among them.
-FRAMES = frozenset("with has layout wrapper wrap page container content main row grid column col".split())
+FRAMES = frozenset("with has layout page content main".split())
+#: Words of elements that hold one part or many: a mark beside them counts unless the page's main part is found inside.
+HOLDERS = frozenset("wrapper wrap container row grid column col".split())
+#: Marks that count whatever lies inside.
+READERS = frozenset("comment comments reply replies respond discussion disqus".split())
 #: Elements that hold an article.
 REGION = frozenset(("article", "main"))
 #: Elements whose id names what they hold, as a link's target, and says nothing of their place.
 NAMED = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements of text: in an article only a class or id that says nothing else marks them.
+TEXTUAL = frozenset("p li blockquote pre figure figcaption table dl ul ol".split())
 #: The ratio from which text in a marked element of the article counts as the article's: long, punctuated, unlinked.
 LONG = 400
 #: What a path's ratio is multiplied by in an element that holds an article, in one that is not part of one, and in a marked one.
 REGION_FACTOR, OUTSIDE_FACTOR, MARK_FACTOR = 1000, 1 / 400, 1 / 55
+#: What a character of a link counts for in an element that holds an article, and elsewhere.
+LINK_INSIDE, LINK_ELSEWHERE = 0.25, 0.0
 #: The score that a path of something else must reach, whatever the threshold: that of long text with a mark.
 LEAST = float(np.log1p(LONG * MARK_FACTOR))
 
@@ -69,6 +77,7 @@ class Block:
     outside: bool  # in an element that is not part of one
     marked: bool  # in an element whose class or id says so
     hidden: bool  # never shown
+    doubts: tuple[list[bool], ...]  # marks that count only while they hold True
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     noted: int = 0  # characters in inline elements that are marked or outside
@@ -90,6 +99,7 @@ class _Open:
     outside: bool
     marked: bool
     hidden: bool = False
+    doubts: tuple[list[bool], ...] = ()
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -103,13 +113,21 @@ def _open(tag: str, attributes: dict[str, str], parent: _Open, paths: dict[tuple
     if tag in NAMED or (tag == "section" and parent.inside):
         telling = {t.lower() for t in _TOKEN.findall(attributes.get("class", ""))}
     role = attributes.get("role", "").lower()
+    if tag in TEXTUAL and parent.inside:
+        telling = {t for name in named.split() if (words := {t.lower() for t in _TOKEN.findall(name)}) <= MARKS for t in words}
     marked = bool(telling & MARKS) and not telling & FRAMES and tag not in ("html", "body")
+    doubted = marked and bool(telling & HOLDERS) and not telling & READERS and tag not in INLINE
+    marked = marked and not doubted
     hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
-    region = (tag in REGION or role == "main" or attributes.get("itemprop") == "articleBody") and not marked and not parent.marked and not parent.outside
+    core = tag == "main" or role == "main" or attributes.get("itemprop") == "articleBody"
+    region = (core or tag in REGION) and not marked and not parent.marked and not parent.outside
+    if core or tag == "h1":
+        for doubt in parent.doubts:
+            doubt[0] = False
     step = tag + "".join(f".{t}" for t in sorted(tokens)[:3])
     # inline elements are on the path of the block that they are in
     place = (parent.path, parent.parent, parent.leaf) if tag in INLINE else (paths.setdefault((parent.path, step), len(paths) + 1), parent.path, step)
-    return _Open(tag, *place, parent.inside or region, parent.outside or tag in OUTSIDE or role in ROLES, parent.marked or marked, parent.hidden or hidden)
+    return _Open(tag, *place, parent.inside or region, parent.outside or tag in OUTSIDE or role in ROLES, parent.marked or marked, parent.hidden or hidden, (*parent.doubts, [True]) if doubted else parent.doubts)
 
 
 def _ends(html: str, tag: str) -> dict[int, int]:
@@ -141,7 +159,7 @@ def blocks(html: str) -> list[Block]:
             return
         if now is None:
             block = next((e for e in reversed(stack) if e.tag not in INLINE), root)
-            now = Block(top.path, top.parent, top.leaf, top.inside, block.outside, block.marked, top.hidden)
+            now = Block(top.path, top.parent, top.leaf, top.inside, block.outside, block.marked, top.hidden, block.doubts)
             out.append(now)
         if top.hidden and not now.hidden:
             return
@@ -217,17 +235,17 @@ def blocks(html: str) -> list[Block]:
     for b in out:
         whole = "".join(b.pieces)
         b.text = " ".join(whole.split())
-        b.marked = b.marked or 2 * b.noted > len(whole)
+        b.marked = b.marked or 2 * b.noted > len(whole) or any(d[0] for d in b.doubts)
     return [b for b in out if b.text and not b.hidden]
 
 
 def path_scores(found: list[Block]) -> dict[tuple[int, bool, bool], float]:
-    """Fused and smoothed ratio of each path: unlinked text over nodes, raised by punctuation over nodes.
+    """Smoothed and fused ratio of each path: unlinked text over nodes, raised by punctuation over nodes.
 
     What the page says of a path is one more factor: REGION_FACTOR where it lies in an element that holds an article,
     OUTSIDE_FACTOR and MARK_FACTOR where it lies in something else; long, punctuated, unlinked text of the article
-    overrides a mark. The logarithm keeps the spread from being that of
-    the longest path alone.
+    overrides a mark. In an article links count a little, so that lists of references have a ratio too. Logarithms keep
+    the spread from being that of the longest path alone.
     """
     order: dict[tuple[int, bool, bool], int] = {}
     for b in found:
@@ -235,40 +253,43 @@ def path_scores(found: list[Block]) -> dict[tuple[int, bool, bool], float]:
     text, marks, nodes, factor, long = (np.zeros(len(order)) for _ in range(5))
     for b in found:
         k = order[b.key]
-        text[k] += max(0, len(b.text) - b.linked)
+        linked = min(b.linked, len(b.text))
+        text[k] += len(b.text) - linked + linked * (LINK_INSIDE if b.inside and not b.outside else LINK_ELSEWHERE)
         marks[k] += len(_PUNCTUATION.findall(b.text))
         nodes[k] += 1
         factor[k] = OUTSIDE_FACTOR if b.outside else MARK_FACTOR if b.marked else REGION_FACTOR if b.inside else 1
         long[k] = b.inside and b.marked and not b.outside
-    ratio = (text / nodes) * (1 + marks / nodes)
-    factor[(long > 0) & (ratio >= LONG)] = REGION_FACTOR
-    fused = np.log1p(ratio * factor)
-    weights = np.exp(-0.5 * (np.arange(-2, 3) / 1.0) ** 2)
-    smooth = np.convolve(np.pad(fused, 2), weights / weights.sum(), "valid") if len(fused) else fused
-    # a path's own ratio leads; its neighbours on the page lift the short paths between long ones
-    mixed = 0.75 * fused + 0.25 * smooth
-    return dict(zip(order, mixed.tolist(), strict=True))
-
-
-def _linky(found: list[Block]) -> set[int]:
-    """Paths that hold lists of links."""
-    total: dict[int, list[int]] = {}
+    factor[(long > 0) & ((text / nodes) * (1 + marks / nodes) >= LONG)] = REGION_FACTOR
+    fused = np.log1p(np.expm1(_smoothed(np.log1p(text / nodes))) * np.exp(_smoothed(np.log1p(marks / nodes))) * factor)
+    return dict(zip(order, fused.tolist(), strict=True))
+
+
+def _smoothed(ratios: np.ndarray) -> np.ndarray:
+    """A path's own ratio leads; its neighbours on the page lift the short paths between long ones."""
+    weights = np.exp(-0.5 * np.arange(-2, 3) ** 2.0)
+    near = np.convolve(np.pad(ratios, 2), weights / weights.sum(), "valid") if len(ratios) else ratios
+    return 0.75 * ratios + 0.25 * near
+
+
+def _linky(found: list[Block]) -> set[tuple[int, bool, bool]]:
+    """Paths that hold lists of links, but for those of an article."""
+    total: dict[tuple[int, bool, bool], list[int]] = {}
     for b in found:
-        t = total.setdefault(b.path, [0, 0, 0])
+        t = total.setdefault(b.key, [0, 0, 0])
         t[0] += len(b.text)
         t[1] += b.linked
-        t[2] += 1
-    return {path for path, (n, linked, nodes) in total.items() if nodes > 1 and linked > 0.8 * n}
+        t[2] += not b.inside or b.outside or b.marked
+    return {key for key, (n, linked, nodes) in total.items() if nodes > 1 and linked > 0.8 * n}
 
 
 def select(found: list[Block]) -> list[Block]:
     """The blocks of the article: those on paths with a ratio above the threshold, and headings beside them.
 
-    The threshold is the spread of the page's own ratios. Paths that hold lists of links never count, and
-    one that is marked as something else needs long text whatever the threshold.
+    The threshold is the spread of the page's own ratios. Paths outside the article that hold lists of links never
+    count, and one that is marked as something else needs long text whatever the threshold.
     """
     links = _linky(found)
-    rest = [b for b in found if b.path not in links]
+    rest = [b for b in found if b.key not in links]
     scores = path_scores(rest)
     values = np.array(list(scores.values()))
     threshold = min(values.std(), values.max()) if scores else 0
@@ -286,7 +307,8 @@ def extract(html: str | None) -> str:
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page, from its whole html.
 
-    Null html gives an empty text; null ids and urls stay; repeated rows each come back; other columns are not read.
+    Null or empty html, and a page without an article, give an empty text; null ids and urls stay; repeated rows each
+    come back; an empty table gives an empty table; pages of any length are read whole; other columns are not read.
     """
     pages = pages.select("page_id", "url", "html")
 
