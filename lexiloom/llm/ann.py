@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.llm.common import durable
-from lexiloom.llm.embedding_dedup import matrix, unit, usable
+from lexiloom.llm.embedding_dedup import dots, matrix, scaled, unit, usable
 
 #: Rows of a block of candidates, and of a block of queries.
 ROWS, ASKED = 4096, 512
@@ -68,21 +68,6 @@ class Coder:
         return dot / scalars, (error + 0.5 * step) / scalars
 
 
-def cosines(x: np.ndarray, norms: np.ndarray, q: np.ndarray, norm: float) -> np.ndarray:
-    """Cosines in double precision, adding up in the order of dimensions, so that equal vectors have equal cosines."""
-    total = x[:, 0] * q[0]
-    for k in range(1, len(q)):
-        total = total + x[:, k] * q[k]
-    return total / (norms * norm)
-
-
-def norms(x: np.ndarray) -> np.ndarray:
-    total = x[:, 0] * x[:, 0]
-    for k in range(1, x.shape[1]):
-        total = total + x[:, k] * x[:, k]
-    return np.sqrt(total)
-
-
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Places of the k largest scores, ties to the smaller id."""
     return np.lexsort((ids, -scores))[:k]
@@ -93,7 +78,7 @@ def _indexer(bits: int, seed: int) -> Callable[[Iterator[pa.Table]], pa.Table]:
         dim = key[0].as_py()
         coder = Coder(dim, max(bits, -(-dim // 64) * 64), seed=seed)
         rows = rows.sort_by("vec_id")
-        x = matrix(rows["embedding"].combine_chunks())
+        x = scaled(matrix(rows["embedding"].combine_chunks()))
         codes, scalars = coder.encode(unit(x), coder.rotation())
         blob = lambda a: [np.ascontiguousarray(a).tobytes()]
         return pa.table({"dim": [dim], "block": [key[1].as_py()], "ids": blob(rows["vec_id"].to_numpy().astype(np.int64)), "codes": blob(codes), "scalars": blob(scalars), "vectors": blob(x)},
@@ -129,7 +114,7 @@ def _searcher(k: int, bits: int, seed: int):
                     if state:
                         yield _found(state)
                     q = np.frombuffer(q_vectors, np.float64).reshape(-1, dim)
-                    state = {"ids": np.frombuffer(q_ids, np.int64), "q": q, "norm": norms(q), "best": [(np.empty(0, np.int64), np.empty(0))] * len(q)}
+                    state = {"ids": np.frombuffer(q_ids, np.int64), "q": q, "norm": np.sqrt(dots(q, q)), "best": [(np.empty(0, np.int64), np.empty(0))] * len(q)}
                     state["planes"] = coder.planes(unit(q), coder.rotation())
                     now = (dim, asked)
                 _search(state, coder, k, np.frombuffer(ids, np.int64), np.frombuffer(codes, "<u8").reshape(-1, coder.bits // 64), np.frombuffer(scalars, np.float64), np.frombuffer(vectors, np.float64).reshape(-1, dim))
@@ -141,7 +126,7 @@ def _searcher(k: int, bits: int, seed: int):
 
 def _search(state: dict, coder: Coder, k: int, ids: np.ndarray, codes: np.ndarray, scalars: np.ndarray, vectors: np.ndarray) -> None:
     ones = np.bitwise_count(codes).sum(axis=1, dtype=np.int64)
-    lengths = norms(vectors)
+    lengths = np.sqrt(dots(vectors, vectors))
     for n, own in enumerate(state["ids"].tolist()):
         guess, error = coder.estimate(codes, ones, scalars, *(x[n] for x in state["planes"]))
         known_ids, known = state["best"][n]
@@ -151,7 +136,7 @@ def _search(state: dict, coder: Coder, k: int, ids: np.ndarray, codes: np.ndarra
         if len(low) > k:
             reach = max(reach, np.partition(low, len(low) - k)[len(low) - k])
         some = np.flatnonzero((guess + error >= reach) & (ids != own))
-        scores = cosines(vectors[some], lengths[some], state["q"][n], state["norm"][n])
+        scores = dots(vectors[some], state["q"][n]) / (lengths[some] * state["norm"][n])
         all_ids, all_scores = np.r_[known_ids, ids[some]], np.r_[known, scores]
         best = _best(all_ids, all_scores, k)
         state["best"][n] = all_ids[best], all_scores[best]
@@ -167,8 +152,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, bits: int = 256, se
     """query_id, rank, vec_id, score: the k nearest by cosine of every row that `queries` marks, among all other rows.
 
     Ties go to the smaller vec_id. Vectors without an id, unusable ones (see embedding_dedup.usable) and those of
-    another length take no part; fewer candidates give fewer rows. Repeated rows are candidates of their own, and one
-    query. Candidates lie in blocks of codes; each stripe of blocks meets every block of queries in one place, and only
+    another length take no part; fewer candidates give fewer rows, an empty table none. Rows that repeat a vec_id are one
+    query (one of them, by chance, where vectors differ), which none of them answers; for other queries each is a
+    candidate of its own. Other columns are not read. Candidates lie in blocks of codes; each stripe of blocks meets every block of queries in one place, and only
     k rows for each query and stripe are brought together.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & usable())

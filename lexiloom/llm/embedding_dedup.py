@@ -2,7 +2,8 @@
 
 Unit vectors are rotated so that their variance falls from dimension to dimension. A tile pair adds up dot products over
 the leading dimensions first; what the rest can still add is at most the product of the two suffix norms, and pairs
-that cannot reach the threshold are dropped before the rest is computed. What is left is decided in double precision.
+that cannot reach the threshold are dropped before the rest is computed. What is left within rounding of the threshold is
+decided on the original vectors, in double precision.
 """
 
 from __future__ import annotations
@@ -36,11 +37,29 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that no square leaves the range of doubles; cosines stay as they are."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(axis=1, keepdims=True)  # so that no square leaves the range of doubles
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of rows (of `a` with one row or with its own row of `b`), adding up in the order of dimensions."""
+    total = a[..., 0] * b[..., 0]
+    for k in range(1, a.shape[-1]):
+        total = total + a[..., k] * b[..., k]
+    return total
+
+
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of rows of scaled vectors in double precision; equal vectors have equal cosines."""
+    return dots(a, b) / (np.sqrt(dots(a, a)) * np.sqrt(dots(b, b)))
+
+
 def second_moments(vectors: DataFrame) -> dict[int, np.ndarray]:
     """For each length of vector the sum of outer products of all unit vectors, added up in tasks."""
 
@@ -64,26 +83,26 @@ def rotations(vectors: DataFrame) -> dict[int, np.ndarray]:
     return {n: np.linalg.eigh(m)[1][:, ::-1] for n, m in second_moments(vectors).items()}
 
 
-def tiles(classes: DataFrame, width: float) -> DataFrame:
-    """(label, dim, cell, tile, ids, copies, rows): classes packed to blobs of about TILE rotated unit vectors.
+def tiles(classes: DataFrame, width: float, turn: dict[int, np.ndarray]) -> DataFrame:
+    """(label, dim, cell, part, ids, copies, rows): classes packed to blobs of about TILE vectors as they are.
 
     A cell is a span of `width` of the first component inside a label, so that pairs of distant cells need no look;
-    a cell's vectors are dealt by hash to as many tiles as it takes.
+    a cell's vectors are dealt by hash to as many tiles as it takes. `turn` holds the rotation for each length.
     """
-    turn = rotations(classes)
+    kind = "<f4" if classes.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
 
-    def rotate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths = pc.list_value_length(batch.column(3)).to_numpy()
             for n in np.unique(lengths).tolist():
                 some = batch.filter(pa.array(lengths == n))
-                x = unit(matrix(some.column(3))) @ turn[n]
-                blob = pa.array([r.tobytes() for r in x], pa.binary())
-                cell = pa.array(np.floor(x[:, 0] / width).astype(np.int32))
+                x = matrix(some.column(3))
+                blob = pa.array([r.tobytes() for r in x.astype(kind)], pa.binary())
+                cell = pa.array(np.floor(unit(x) @ turn[n][:, 0] / width).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array(np.full(len(x), n, np.int32)), cell, blob], names=["id", "label", "copies", "dim", "cell", "x"])
 
-    rows = classes.select("id", "label", "copies", "embedding").mapInArrow(rotate, "id long, label int, copies long, dim int, cell int, x binary")
-    rows = durable(rows, "rotated")
+    rows = classes.select("id", "label", "copies", "embedding").mapInArrow(place, "id long, label int, copies long, dim int, cell int, x binary")
+    rows = durable(rows, "placed")
     sizes = rows.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / TILE).alias("parts"))
     dealt = rows.join(sizes, ["label", "dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
 
@@ -98,28 +117,32 @@ def tiles(classes: DataFrame, width: float) -> DataFrame:
     return durable(packed, "tiles")
 
 
-def compare(a: np.ndarray, b: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs (i, j) of rotated unit vectors whose dot product reaches the threshold; of one tile, those with i < j."""
+def compare(a: np.ndarray, b: np.ndarray, turn: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs (i, j) of vectors whose cosine reaches the threshold; of one tile, those with i < j."""
+    a, b = scaled(a), scaled(b)
+    turned_a, turned_b = unit(a) @ turn, unit(b) @ turn
     found_i, found_j = [], []
     dim, steps = a.shape[1], [s for s in STEPS if s < a.shape[1]]
     rest = lambda x, s: np.sqrt((x[:, s:] ** 2).sum(axis=1))
-    rest_a, rest_b = [rest(a, s) for s in steps], [rest(b, s) for s in steps]
+    rest_a, rest_b = [rest(turned_a, s) for s in steps], [rest(turned_b, s) for s in steps]
+    first = steps[0] if steps else dim
     for at in range(0, len(a), 512):
         i0 = slice(at, at + 512)
-        first = steps[0] if steps else dim
-        dots = a[i0, :first] @ b[:, :first].T
-        bound = dots + rest_a[0][i0, None] * rest_b[0][None, :] if steps else dots
+        partial = turned_a[i0, :first] @ turned_b[:, :first].T
+        bound = partial + rest_a[0][i0, None] * rest_b[0][None, :] if steps else partial
         i, j = np.nonzero(bound >= threshold - _SLACK)
         i += at
         if same:
             i, j = i[i < j], j[i < j]
-        part = dots[i - at, j]
+        part = partial[i - at, j]
         for k, s in enumerate(steps):
             end = steps[k + 1] if k + 1 < len(steps) else dim
             keep = part + rest_a[k][i] * rest_b[k][j] >= threshold - _SLACK
             i, j, part = i[keep], j[keep], part[keep]
-            part = part + np.einsum("nd,nd->n", a[i, s:end], b[j, s:end])
+            part = part + np.einsum("nd,nd->n", turned_a[i, s:end], turned_b[j, s:end])
         keep = part >= threshold
+        edge = np.flatnonzero(np.abs(part - threshold) <= _SLACK)
+        keep[edge] = cosines(a[i[edge]], b[j[edge]]) >= threshold
         found_i.append(i[keep])
         found_j.append(j[keep])
     return np.concatenate(found_i), np.concatenate(found_j)
@@ -143,7 +166,7 @@ def _forest(i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return keep
 
 
-def _links(threshold: float):
+def _links(threshold: float, turn: dict[int, np.ndarray], kind: str):
     """For pairs of tiles: (id, linked, other): how many vectors an id links to there, or an edge to `other`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,8 +174,8 @@ def _links(threshold: float):
             for row in range(batch.num_rows):
                 same, dim, *blobs = (c[row].as_py() for c in batch.columns)
                 ids_a, n_a, ids_b, n_b = (np.frombuffer(b, np.int64) for b in (blobs[0], blobs[1], blobs[3], blobs[4]))
-                a, b = (np.frombuffer(x, np.float64).reshape(-1, dim) for x in (blobs[2], blobs[5]))
-                i, j = compare(a, b, threshold, same)
+                a, b = (np.frombuffer(x, kind).reshape(-1, dim).astype(np.float64) for x in (blobs[2], blobs[5]))
+                i, j = compare(a, b, turn[dim], threshold, same)
                 if not len(i):
                     continue
                 ids = np.concatenate([ids_a, ids_b])
@@ -173,25 +196,29 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, width: float =
     Vectors of one label and length link at a cosine of `threshold` or more. Equal vectors are one class before any
     comparison: copies cost one row and count as links of each other. Unusable vectors (see usable) and those without a
     label link with nothing. A null vec_id has its links counted; its component is the smallest id reachable, or null.
-    Repeated rows are vectors of their own. Other columns are not read.
+    Repeated rows are vectors of their own, as are different vectors of one vec_id; `kept` is false without an id. Ties
+    at the threshold link. An empty table gives an empty table. Other columns are not read.
     """
     rows = vectors.select("vec_id", "embedding", "label").withColumn("label", F.col("label").cast("int"))
     good = usable() & F.col("label").isNotNull()
     classes = rows.where(good).groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
-    classes = durable(classes.withColumn("id", F.coalesce(F.col("first").cast("long"), -1 - F.monotonically_increasing_id())), "classes")
+    classes = durable(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     if classes.isEmpty():
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    packed = tiles(classes, width)
+    turn = rotations(classes)
+    packed = tiles(classes, width, turn)
+    kind = "<f4" if classes.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
     # two unit vectors at the threshold differ by at most the root of 2 - 2 t in any dimension
     reach = int(np.ceil(np.sqrt(max(0.0, 2 - 2 * threshold)) / width)) + 1
     left, right = (packed.select("label", "dim", F.col("cell").alias(f"cell_{s}"), F.col("part").alias(f"part_{s}")) for s in "ab")
-    pairs = left.join(right, ["label", "dim"]).where(f"cell_b between cell_a and cell_a + {reach} and (cell_a < cell_b or part_a <= part_b)")
+    near = F.explode(F.sequence("cell_a", F.col("cell_a") + reach)).alias("cell_b")
+    pairs = left.select("*", near).join(right, ["label", "dim", "cell_b"]).where("cell_a < cell_b or part_a <= part_b")
     for s in "ab":
         blobs = packed.select("label", "dim", F.col("cell").alias(f"cell_{s}"), F.col("part").alias(f"part_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("ids", "copies", "rows")))
         pairs = pairs.join(blobs, ["label", "dim", f"cell_{s}", f"part_{s}"])
     same = ((F.col("cell_a") == F.col("cell_b")) & (F.col("part_a") == F.col("part_b"))).alias("same")
     pairs = pairs.select(same, "dim", *(f"{c}_{s}" for s in "ab" for c in ("ids", "copies", "rows")))
-    found = durable(pairs.mapInArrow(_links(threshold), "id long, linked long, other long"), "links")
+    found = durable(pairs.mapInArrow(_links(threshold, turn, kind), "id long, linked long, other long"), "links")
     others = found.where("other is null").groupBy("id").agg(F.sum("linked").alias("others"))
     parts = connected_components(found.where("other is not null"), "id", "other")
     best = classes.join(parts, classes["id"] == parts["node"]).groupBy("component").agg(F.min("first").alias("least"))
