@@ -88,15 +88,19 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
+    """A number of bins that no packing of these lengths can go below; see bound_of_counts."""
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1)) if len(lengths) else 0
+
+
+def bound_of_counts(count: np.ndarray) -> int:
     """A number of bins that no packing can go below: the best of three families of dual feasible functions.
 
     A dual feasible function maps lengths so that whatever fits one bin still sums to one bin at most; the mapped sum,
     rounded up, is then a bound. Taken are the identity, the threshold functions (over capacity - e counts as a
-    whole bin, under e as nothing) and the rounding functions of k = 1 to 20.
+    whole bin, under e as nothing) and the rounding functions of k = 1 to 20. count: how often each length from 0 to
+    the capacity occurs.
     """
-    if not len(lengths):
-        return 0
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    count, capacity = count.astype(np.int64), len(count) - 1
     size = np.arange(capacity + 1, dtype=np.int64)
     n_to, sum_to = np.cumsum(count), np.cumsum(count * size)
     best = -(-int(sum_to[-1]) // capacity)
@@ -117,19 +121,23 @@ def _pack_part(rows: pa.Table, capacity: int, turn: int, last: bool) -> pa.Table
     """Best-fit decreasing of one partition. In a turn that is not the last, sequences to be exchanged get no number.
 
     A partition whose bins equal its bound gives up only its emptiest bin, whose room is what rounding up costs; one
-    with a gap gives up every bin with room.
+    with a gap gives up every bin with room. What stays is certified by a bound of its own.
     """
     rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
     lengths = rows["length"].to_numpy()
     bins, offsets, n = best_fit_decreasing(lengths, capacity)
+    bound = lower_bound(lengths, capacity)
     give_up = np.zeros(len(bins), bool)
     if not last:
         filled = np.bincount(bins, weights=lengths, minlength=n)
-        free = filled < capacity if n > lower_bound(lengths, capacity) else np.arange(n) == filled.argmin()
+        free = filled < capacity if n > bound else np.arange(n) == filled.argmin()
         give_up = free[bins]
-    number = (turn << 56) + (rows["part"][0].as_py() << 24) + bins
-    rows = rows.drop_columns("part").append_column("sequence_id", pa.array(number, pa.int64(), mask=give_up))
-    return rows.append_column("offset", pa.array(offsets, pa.int64()))
+        n, bound = n - int(free.sum()), lower_bound(lengths[~give_up], capacity)
+    part = (turn << 56) + (rows["part"][0].as_py() << 24)
+    rows = rows.drop_columns("part")
+    for name, values, mask in (("sequence_id", part + bins, give_up), ("offset", offsets, None), ("part", np.full(len(bins), part), None), ("part_bins", np.full(len(bins), n), None), ("part_bound", np.full(len(bins), bound), None)):
+        rows = rows.append_column(name, pa.array(values, pa.int64(), mask=mask))
+    return rows
 
 
 def _packer(capacity: int, turn: int, last: bool) -> Callable[[pa.Table], pa.Table]:
@@ -139,17 +147,20 @@ def _packer(capacity: int, turn: int, last: bool) -> Callable[[pa.Table], pa.Tab
 def pack(pieces: DataFrame, capacity: int, partition_rows: int = 32_768, turns: int = 3) -> DataFrame:
     """Place pieces (doc_id, piece, start, length, ids_crc32) in sequences of `capacity` ids, as few as possible.
 
-    Adds sequence_id and offset; each sequence is filled from 0 without gaps. Pieces are dealt by hash to partitions of
+    Adds sequence_id and offset; each sequence is filled from 0 without gaps; and the part of the table that holds it, with
+    the part's number of sequences (part_bins) and the number that it can't go below (part_bound). Pieces are dealt by hash to partitions of
     about `partition_rows` rows, each packed by best-fit decreasing and compared with its lower bound. Whole pieces are
     a sequence each and are not dealt. Partitions with a gap exchange the pieces of their unfilled sequences with
     those of the others, in fewer partitions each turn, and are packed again; the last turn keeps everything. No piece
-    is dropped; equal rows are packed one by one; an empty table gives an empty table.
+    is dropped; equal rows are packed one by one; an empty table gives an empty table. See certificate() for the whole.
     """
     pieces = pieces.select("doc_id", "piece", "start", "length", "ids_crc32")
-    shape = StructType([*pieces.schema, StructField("sequence_id", LongType()), StructField("offset", LongType())])
-    whole = pieces.where(F.col("length") == capacity).select(
-        "*", (F.lit(127 << 56) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
-    )
+    added = ["sequence_id", "offset", "part", "part_bins", "part_bound"]
+    shape = StructType([*pieces.schema, *(StructField(n, LongType()) for n in added)])
+    number = F.lit(127 << 56) + F.monotonically_increasing_id()
+    one = F.lit(1).cast("long")  # a whole piece is a part of its own
+    values = (number, F.lit(0).cast("long"), number, one, one)
+    whole = pieces.where(F.col("length") == capacity).select("*", *(v.alias(n) for n, v in zip(added, values, strict=True)))
     done, left = [whole], pieces.where(F.col("length") < capacity)
     for turn in range(turns):
         n = left.count()
@@ -162,13 +173,25 @@ def pack(pieces: DataFrame, capacity: int, partition_rows: int = 32_768, turns:
             break
         packed = durable(packed, "packed")
         done.append(packed.where(F.col("sequence_id").isNotNull()))
-        left = packed.where(F.col("sequence_id").isNull()).drop("sequence_id", "offset")
+        left = packed.where(F.col("sequence_id").isNull()).drop(*added)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
     return out
 
 
+def certificate(packed: DataFrame, capacity: int) -> tuple[int, int]:
+    """How many sequences there are, and how many no packing of these pieces can go below.
+
+    What comes to the driver is a count for each length: `capacity` rows at most.
+    """
+    sequences = packed.select("sequence_id").distinct().count()
+    count = np.zeros(capacity + 1, np.int64)
+    for row in packed.groupBy("length").count().collect():
+        count[row["length"]] = row["count"]
+    return sequences, bound_of_counts(count)
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """Tokenise whole documents and pack them; see token_pieces and pack. Tokenisation runs once."""
     return pack(durable(token_pieces(docs, tokenizer, capacity, end_id), "pieces"), capacity)
