@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import WORD, durable
+from lexiloom.llm.common import WORD, durable, unused
 
 #: Slots of a chunk, and documents of a shuffle bucket: what one window holds.
 CHUNK, BUCKET = 1 << 16, 8192
@@ -71,11 +71,12 @@ def point(slot: Column) -> Column:
 
 
 def schedule(sources: DataFrame, block: int) -> DataFrame:
-    """(src, block_no, slot): which block of which source stands in each slot.
+    """(src, block_no, slot): the slot of every block of every source.
 
     A slot's point falls in the interval of one source; intervals are as long as the sources' shares of blocks, and
-    the k-th slot of a source takes its block k. Points meet intervals by an equality join on cells of the grid.
-    Ranks are counted inside chunks of slots and summed over chunks.
+    the k-th slot of a source takes its block k; a slot past a source's last block stays empty. The few blocks that no
+    point reached, for the points are not quite even, take the slots after the last, source by source. Points meet
+    intervals by an equality join on cells of the grid. Ranks are counted inside chunks of slots and summed over chunks.
     """
     spark = sources.sparkSession
     shares = sources.select("src", F.ceil(F.col("quota") / block).alias("blocks")).where("blocks > 0")
@@ -91,10 +92,15 @@ def schedule(sources: DataFrame, block: int) -> DataFrame:
     line = line.select("src", "blocks", "slot", F.expr(f"slot div {CHUNK}").alias("chunk"))
     ahead = Window.partitionBy("src").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = line.groupBy("src", "chunk").agg(F.count("*").alias("n"))
-    chunks = chunks.select("src", "chunk", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    chunks = chunks.select("src", "chunk", "n", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
     rank = F.row_number().over(Window.partitionBy("src", "chunk").orderBy("slot")) - 1
-    line = line.withColumn("rank", rank).join(chunks, ["src", "chunk"])
-    return line.select("src", (F.col("ahead") + F.col("rank")).alias("block_no"), "slot", "blocks").where("block_no < blocks").drop("blocks")
+    line = line.withColumn("rank", rank).join(chunks.drop("n"), ["src", "chunk"])
+    line = line.select("src", (F.col("ahead") + F.col("rank")).alias("block_no"), "slot", "blocks").where("block_no < blocks").drop("blocks")
+    reached = chunks.groupBy("src").agg(F.max(F.col("ahead") + F.col("n")).alias("reached"))
+    late = shares.join(reached, "src", "left").withColumn("reached", F.least(F.coalesce("reached", F.lit(0)), "blocks")).withColumn("late", F.col("blocks") - F.col("reached")).where("late > 0")
+    late = late.withColumn("ahead", F.coalesce(F.sum("late").over(Window.orderBy("src").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    late = late.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("late") - 1)))
+    return line.unionByName(late.select("src", (F.col("reached") + F.col("k")).alias("block_no"), (F.lit(slots) + F.col("ahead") + F.col("k")).alias("slot")))
 
 
 def _passes(docs: DataFrame, most: int) -> DataFrame:
@@ -108,15 +114,15 @@ def mix(base: DataFrame, sources: DataFrame, block: int = 1024, most: int = 2) -
     """The mix as pieces of documents: rid, doc_id, source, epoch, start_word, words, and order (slot, then start).
 
     base: from sized(), with a row id `rid`; sources: from targets(). A source's line of shuffled documents, repeated
-    up to `most` times and ended at its quota, is cut into blocks of `block` words; the last may be shorter. Blocks
-    take the slots of schedule(); the few whose rank no slot reached follow after the last slot.
+    up to `most` times and ended at its quota, is cut into blocks of `block` words; the last may be shorter. The mix is
+    what the slots of schedule() take, walked in order.
     """
     pieces = _passes(placed(base, sources), most).where("stop > begin")
     pieces = pieces.withColumn("block_no", F.explode(F.sequence(F.expr(f"begin div {block}"), F.expr(f"(stop - 1) div {block}"))))
     start = F.greatest("begin", F.col("block_no") * block)
     words = F.least(F.col("stop"), (F.col("block_no") + 1) * block) - start
     pieces = pieces.select("rid", "doc_id", "source", "src", "epoch", "block_no", (start - F.col("begin")).alias("start_word"), words.alias("words"), start.alias("place"))
-    out = pieces.join(schedule(sources, block), ["src", "block_no"], "left")
+    out = pieces.join(schedule(sources, block), ["src", "block_no"])
     return out.select("rid", "doc_id", "source", "epoch", "start_word", "words", "slot", "block_no", "place")
 
 
@@ -127,15 +133,15 @@ def prepare(docs: DataFrame, weights: tuple[int, ...], share: float, most: int)
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, block: int = 1024) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken (words the mix takes, repeats counted).
+    """Per document: doc_id, size, source_size, target, taken (words that the schedule's slots take, repeats counted), first_slot.
 
-    A null source is a source of its own; a null text has size 0 and takes nothing; equal rows are mixed one by one;
-    an empty table gives an empty table; other columns are not read.
+    first_slot is null where nothing is taken. A null source is a source of its own; a null text has size 0 and takes
+    nothing; equal rows are mixed one by one; an empty table gives an empty table; other columns are not read.
     """
     base, sources = prepare(docs, weights, share, most)
-    taken = mix(base, sources, block, most).groupBy("rid").agg(F.sum("words").alias("taken"))
+    taken = mix(base, sources, block, most).groupBy("rid").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
     out = base.join(sources.select("src", "source_size", "target"), "src").join(taken, "rid", "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, block: int = 1024) -> DataFrame:
@@ -144,21 +150,23 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     A copy is taken where a piece of mix() begins its document, so a source's words differ from its target by less than
     one document, and stands where that piece's slot stands, so sources interleave. Documents without words take no
     share and stay once, after the others. Rows that repeat a doc_id with the same text share the largest number of
-    copies. All columns are returned.
+    copies. A null source is a source of its own; an empty table gives an empty table. All columns are returned,
+    whatever their names.
     """
-    out = scheduled(docs, weights, share, most, block)
-    return out.orderBy(F.col("_slot").asc_nulls_last(), "_place").select(*(f"`{c}`" for c in docs.columns))
+    out, slot, place = scheduled(docs, weights, share, most, block)
+    return out.orderBy(F.col(slot).asc_nulls_last(), place).select(*(f"`{c}`" for c in docs.columns))
 
 
-def scheduled(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, block: int = 1024) -> DataFrame:
-    """The rows of mixed_documents() in any order, with _slot (null after the last slot) and _place in the source's line."""
+def scheduled(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, block: int = 1024) -> tuple[DataFrame, str, str]:
+    """The rows of mixed_documents() in any order; the names of two more columns: slot (null: after all), place in the source's line."""
     base, sources = prepare(docs, weights, share, most)
     begun = mix(base, sources, block, most).where("start_word = 0").select("rid", F.struct("slot", "place").alias("at"))
     begun = begun.unionByName(base.where("size = 0").select("rid", F.struct(F.lit(None).cast("long").alias("slot"), F.lit(None).cast("long").alias("place")).alias("at")))
-    copies = begun.groupBy("rid").agg(F.sort_array(F.collect_list("at")).alias("_at"))
+    copies = begun.groupBy("rid").agg(F.sort_array(F.collect_list("at")).alias("at"))
     copies = base.select("rid", "doc_id", "text_hash").join(copies, "rid")
-    copies = copies.groupBy("doc_id", "text_hash").agg(F.max_by("_at", F.struct(F.size("_at"), "rid")).alias("_at"))
-    copies = copies.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_at")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    out = docs.join(durable(copies, "copies"), same).withColumn("_one", F.explode("_at"))
-    return out.select(*(f"`{c}`" for c in docs.columns), F.col("_one.slot").alias("_slot"), F.col("_one.place").alias("_place"))
+    copies = copies.groupBy("doc_id", "text_hash").agg(F.max_by("at", F.struct(F.size("at"), "rid")).alias("at"))
+    of, text_hash, at, slot, place = (unused(docs, n) for n in ("of", "text_hash", "at", "slot", "place"))
+    copies = copies.select(F.col("doc_id").alias(of), F.col("text_hash").alias(text_hash), F.col("at").alias(at))
+    same = F.col("doc_id").eqNullSafe(F.col(of)) & (F.xxhash64("text") == F.col(text_hash))
+    out = docs.join(durable(copies, "copies"), same).withColumn(at, F.explode(at))
+    return out.select(*(f"`{c}`" for c in docs.columns), F.col(at)["slot"].alias(slot), F.col(at)["place"].alias(place)), slot, place

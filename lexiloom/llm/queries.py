@@ -104,12 +104,29 @@ t AS (
               ELSE w * (SELECT arg_min(level, pos) FROM l WHERE NOT 2 * source_size <= level * w) END AS target
   FROM l),
 d AS (
-  SELECT b.doc_id, b.size, t.source_size, t.target, least(CAST(floor(t.target + 0.5) AS BIGINT), 2 * t.source_size) AS quota,
+  SELECT b.doc_id, b.source, b.size, t.source_size, t.target, least(CAST(floor(t.target + 0.5) AS BIGINT), 2 * t.source_size) AS quota,
          CAST(coalesce(sum(b.size) OVER (PARTITION BY b.source ORDER BY b.ord, b.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos
-  FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       CAST(greatest(0, least(pos + size, quota) - pos) + greatest(0, least(source_size + pos + size, quota) - source_size - pos) AS BIGINT) AS taken
-FROM d
+  FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source),
+k AS (
+  SELECT source, quota, (quota + 1023) // 1024 AS blocks, coalesce(sum((quota + 1023) // 1024) OVER before_it, 0) AS ahead,
+         sum((quota + 1023) // 1024) OVER () AS slots
+  FROM (SELECT DISTINCT source, quota FROM d) WHERE quota > 0
+  WINDOW before_it AS (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+x AS (SELECT slot, (slot % 2147483648) * 1327217885 % 2147483648 AS point FROM (SELECT unnest(range(CAST((SELECT max(slots) FROM k) AS BIGINT))) AS slot)),
+r AS (
+  SELECT k.source, k.blocks, x.slot, row_number() OVER (PARTITION BY k.source ORDER BY x.slot) - 1 AS block_no
+  FROM x JOIN k ON x.point >= floor(k.ahead::DOUBLE / k.slots::DOUBLE * 2147483648) AND x.point < floor((k.ahead + k.blocks)::DOUBLE / k.slots::DOUBLE * 2147483648)),
+m AS (
+  SELECT k.source, k.slots, least(k.blocks, (SELECT count(*) FROM r WHERE r.source IS NOT DISTINCT FROM k.source)) AS reached, k.blocks FROM k),
+z AS (
+  SELECT *, coalesce(sum(blocks - reached) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS late FROM m),
+y AS (
+  SELECT source, block_no, slot FROM r WHERE block_no < blocks
+  UNION ALL SELECT source, reached + i, slots + late + i FROM (SELECT *, unnest(range(CAST(blocks - reached AS BIGINT))) AS i FROM z)),
+g AS (
+  SELECT *, CAST(greatest(0, least(pos + size, quota) - pos) + greatest(0, least(source_size + pos + size, quota) - source_size - pos) AS BIGINT) AS taken FROM d)
+SELECT g.doc_id, g.size, g.source_size, g.target, g.taken, CAST(y.slot AS BIGINT) AS first_slot
+FROM g LEFT JOIN y ON g.taken > 0 AND g.source IS NOT DISTINCT FROM y.source AND g.pos // 1024 = y.block_no
 """
 
 _OP2_SQL = """
