@@ -55,13 +55,15 @@ def schema_fingerprint(found: Iterable[str]) -> str:
 @dataclass(frozen=True)
 class Mapping:
     """Either `turns`: the list of turns with its `role` and `text` fields (an empty path: the record is one turn),
-    or `parts`: (role, field, field to append) for layouts with a field per role. `number` orders one-turn records."""
+    or `parts`: (role, field, field to append) for layouts with a field per role. `number` orders one-turn records;
+    `first` names the number of a list's first turn, where it is not 0."""
 
     turns: str | None = None
     role: str = "role"
     text: str = "content"
     parts: tuple[tuple[str, str, str | None], ...] = ()
     number: str | None = None
+    first: str | None = None
     roles: dict[str, str] = field(default_factory=dict)
 
 
@@ -71,6 +73,8 @@ LAYOUTS: tuple[tuple[tuple[str, ...], Mapping], ...] = (
     (("conv_id", "turn", "role", "text"), Mapping(turns="", text="text", number="turn")),
     (("messages[].role", "messages[].content"), Mapping(turns="messages")),
     (("conversation[].role", "conversation[].content"), Mapping(turns="conversation")),
+    (("turn", "messages[].role", "messages[].content"), Mapping(turns="messages", first="turn")),
+    (("turn", "conversation[].role", "conversation[].content"), Mapping(turns="conversation", first="turn")),
     (("conversations[].from", "conversations[].value"), Mapping(turns="conversations", role="from", text="value", roles=_SHARE)),
     (("instruction", "input", "output"), Mapping(parts=(("user", "instruction", "input"), ("assistant", "output", None)))),
     (("instruction", "output"), Mapping(parts=(("user", "instruction", None), ("assistant", "output", None)))),
@@ -99,14 +103,19 @@ def turns_of(record: dict, mapping: Mapping) -> list[tuple[int | None, str, str]
         return out
     items = [record] if mapping.turns == "" else record.get(mapping.turns) or []
     role = lambda t: _string(t.get(mapping.role))
-    return [(t.get(mapping.number) if mapping.number else k, mapping.roles.get(role(t), role(t)), _string(t.get(mapping.text))) for k, t in enumerate(items)]
+    first = record.get(mapping.first) if mapping.first else 0
+    place = lambda k, t: t.get(mapping.number) if mapping.number else None if first is None else first + k
+    return [(place(k, t), mapping.roles.get(role(t), role(t)), _string(t.get(mapping.text))) for k, t in enumerate(items)]
 
 
 def canonical_turns(records: DataFrame, layouts: tuple[tuple[tuple[str, ...], Mapping], ...] = LAYOUTS) -> DataFrame:
     """conv_id, turn, role, text, layout of records (conv_id, record: JSON text).
 
-    layout is the fingerprint that chose the mapping. A record that is null, no JSON object or of an unknown layout
-    gives one row with a null role and text, so that nothing vanishes unseen; known layouts never give a null role.
+    layout is the record's fingerprint. Where no layout has exactly its field paths, the layout with the most of them
+    chooses the mapping, so that further fields do no harm; layouts with as many are too many, and the record is unknown.
+    A record that is null, no JSON object or of an unknown layout gives one row with a null role and text, so that
+    nothing vanishes unseen (see unknown_layouts); known layouts never give a null role. A null conv_id stays; repeated
+    records each give their turns; an empty table gives an empty table; other columns are not read.
     """
     key = records.schema["conv_id"].dataType
 
@@ -123,7 +132,7 @@ def canonical_turns(records: DataFrame, layouts: tuple[tuple[tuple[str, ...], Ma
                 if isinstance(record, dict):
                     found = frozenset(paths(record))
                     name = cache.get(found) or cache.setdefault(found, schema_fingerprint(found))
-                    mapping = known.get(name)
+                    mapping = known.get(name) or _widest(found, layouts)
                 for number, role, said in turns_of(record, mapping) if mapping else [(None, None, None)]:
                     for column, value in zip(out, (row, number, role, said, name), strict=True):
                         column.append(value)
@@ -136,9 +145,28 @@ def canonical_turns(records: DataFrame, layouts: tuple[tuple[tuple[str, ...], Ma
     return records.select("conv_id", "record").mapInArrow(run, shape)
 
 
+def _widest(found: frozenset[str], layouts: tuple[tuple[tuple[str, ...], Mapping], ...]) -> Mapping | None:
+    """The mapping of the layout with the most of the record's paths, all of its own among them."""
+    fitting = sorted(((len(paths), k) for k, (paths, _) in enumerate(layouts) if found.issuperset(paths)), reverse=True)
+    return layouts[fitting[0][1]][1] if fitting and (len(fitting) == 1 or fitting[0][0] > fitting[1][0]) else None
+
+
+def unknown_layouts(turns: DataFrame) -> DataFrame:
+    """layout (null: no JSON object) and records: how many records of canonical turns no mapping fits."""
+    return turns.where("role is null").groupBy("layout").agg(F.count("*").alias("records"))
+
+
 def turn_records(turns: DataFrame) -> DataFrame:
-    """Rows of conv_id, turn, role, text as records of one turn each; null fields are fields."""
-    record = F.to_json(F.struct("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")), {"ignoreNullFields": "false"})
+    """Rows of conv_id, turn, role, text as records of one turn each, in one of three layouts by conversation.
+
+    A conversation without an id takes the flat layout; null fields are fields.
+    """
+    text = F.coalesce("text", F.lit(""))
+    one = F.array(F.struct("role", text.alias("content")))
+    write = lambda *fields: F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    kind = F.pmod(F.xxhash64("conv_id"), F.lit(3))
+    listed = F.when(kind == 1, write("turn", one.alias("messages"))).when(kind == 2, write("turn", one.alias("conversation")))
+    record = F.coalesce(F.when(F.col("conv_id").isNotNull(), listed), write("conv_id", "turn", "role", text.alias("text")))
     return turns.select("conv_id", record.alias("record"))
 
 
@@ -147,7 +175,8 @@ def formatted(turns: DataFrame) -> DataFrame:
 
     A conversation's formatted text is its segments by turn, then role, then text, without anything between. The loss
     mask covers an assistant's escaped text (offsets in the segment, in code points); elsewhere both are null. Turns
-    without a number come first; turns that fit no layout have no segment.
+    without a number come first; turns that fit no layout have no segment. A null text is an empty one; repeated turns
+    stay; an empty table gives an empty table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +233,8 @@ def digests(segments: DataFrame) -> DataFrame:
     """What is read back from the formatted text of each conversation: turns, learned text, lengths.
 
     Segments stream through in order, a conversation at a time, so one of any length takes no memory. A conversation
-    is in one task: its digest is sequential by nature. Turns that fit no layout are not counted.
+    is in one task: its digest is sequential by nature. Turns that fit no layout are not counted; a null conv_id is a
+    conversation of its own; an empty table gives an empty table.
     """
     key = segments.schema["conv_id"].dataType
     rows = segments.where("segment is not null").select("conv_id", "turn", "role", "text", "segment", "loss_start", "loss_stop")

@@ -165,7 +165,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs that score below the threshold, with all their columns, in one pass without a shuffle."""
+    """The rows of docs that score below the threshold, with all their columns, in one pass without a shuffle.
+
+    A null text is an empty one; repeated rows are each kept or not; labels that name no document, or none at all, leave
+    a score that is the same for every text; an empty table gives an empty table.
+    """
     model = train(docs, labels)
 
     @F.pandas_udf("double")

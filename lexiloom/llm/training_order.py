@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.llm.common import durable, shared_dir
 from lexiloom.llm.packing import token_pieces
+from lexiloom.session import keep_until_end
 
 _U = np.uint64
 
@@ -107,8 +108,8 @@ def _shards(size: int, per_shard: int):
 def materialise(docs: DataFrame, path: str, tokenizer: str, size: int = 1024, per_shard: int = 1024, key: int = 20_240_601) -> None:
     """Write docs' whole texts as token sequences in training order: a Parquet table of shards (see SHARD) at path.
 
-    A text's ids are cut into sequences of `size`, each ended by id 1 where the text ends. Sequences are numbered as
-    written, permuted by the key, and dealt by ranges of slots, so every shard but the last is full and every file
+    A text's ids are cut into sequences of `size`, each ended by id 1 where the text ends. Sequences are numbered in the
+    order in which the scan splits docs (the same files, split size and key give the same order again), permuted by the key, and dealt by ranges of slots, so every shard but the last is full and every file
     holds shards in order. A null text is an empty one; a null doc_id stays null; repeated rows give sequences of
     their own; without documents there are no shards. Ids must be below 65,536.
     """
@@ -140,9 +141,13 @@ def _reader(digest: bool):
 def read_order(spark: SparkSession, path: str, first_slot: int = 0, digest: bool = False) -> DataFrame:
     """slot, shard, doc_id, piece, length, ids (or ids_crc32, as of 32-bit ids) from a slot on.
 
-    A resumed reader skips whole shards unread.
+    Shards before the one that holds the slot are left out by a comparison that reaches the scan, so row groups of
+    earlier shards are skipped.
     """
-    shards = spark.read.schema(SHARD).parquet(path).where(F.col("first_slot") + F.col("records") > first_slot)
+    shards = spark.read.schema(SHARD).parquet(path)
+    if first_slot > 0:
+        most = shards.agg(F.coalesce(F.max("records"), F.lit(0))).first()[0]
+        shards = shards.where(F.col("first_slot") > first_slot - most)
     last = "ids_crc32 long" if digest else "ids binary"
     out = shards.mapInArrow(_reader(digest), f"slot long, shard long, doc_id long, piece int, length long, {last}")
     return out.where(F.col("slot") >= first_slot)
@@ -153,6 +158,5 @@ def token_order(docs: DataFrame, tokenizer: str, size: int = 1024) -> DataFrame:
     spark = docs.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lexiloom/order-{uuid.uuid4().hex}"
     materialise(docs, path, tokenizer, size)
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    keep_until_end(spark, path)
     return read_order(spark, path, digest=True)
