@@ -1,42 +1,38 @@
-"""Durable intermediate tables and connected components, shared by the operators."""
+"""Words and connected components, and what the operators share with the rest of the library."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.session import durable, shared_dir, unused
+
+__all__ = ["WORD", "connected_components", "durable", "shared_dir", "sift", "unused"]
+
 #: A word is a longest run of anything but space and the five ASCII control characters tab to return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return folder or "/tmp/checkpoints"
+#: Bits of the largest map that sift() broadcasts: 8 MB.
+MOST_BITS = 1 << 26
 
 
-def durable(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back.
+def sift(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> tuple[DataFrame, DataFrame]:
+    """Split rows into those whose key may be among wanted's and those whose key is not, without moving any.
 
-    This cuts the lineage and survives lost executors. The files go when the session's JVM ends.
+    Keys are hashes (long). A map of bits, 64 for each wanted key but never more than MOST_BITS, is broadcast; where keys
+    outgrow it, more rows may seem to be wanted, and no wanted one is missed. The first part is for a join that decides.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/lexiloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def unused(df: DataFrame, name: str) -> str:
-    """A column name that df does not have, whatever its case."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
+    bits = min(MOST_BITS, 1 << max(15, (64 * wanted.count()).bit_length()))
+    place = lambda k: F.pmod(k, F.lit(bits)) + 1
+    number, bitmap = unused(rows, "bucket"), unused(rows, "bitmap")
+    maps = wanted.select(F.bitmap_bucket_number(place(wanted_key)).alias(number), F.bitmap_bit_position(place(wanted_key)).alias("at"))
+    maps = maps.groupBy(number).agg(F.bitmap_construct_agg("at").alias(bitmap))
+    at = F.bitmap_bit_position(place(key))
+    byte = F.conv(F.hex(F.substring(F.col(bitmap), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.coalesce(F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    found = rows.withColumn(number, F.bitmap_bucket_number(place(key))).join(F.broadcast(maps), number, "left")
+    return found.where(is_set).drop(number, bitmap), found.where(~is_set).drop(number, bitmap)
 
 
 def _state(edges: DataFrame) -> tuple[int, int | None]:

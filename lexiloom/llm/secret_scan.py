@@ -12,10 +12,10 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import durable
+from lexiloom.llm.common import durable, sift, unused
 
 Span = tuple[str, int, int]
 #: Words without which a text cannot hold an assignment; a search for them is far cheaper than the pattern.
@@ -114,15 +114,23 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     """
     versions = versions.select("path", "text")
     held = durable(versions.select("path", blob_id().alias("blob")), "blobs")
-    # one path stands for each blob that is not wholly in the ledger, so that its text moves once
-    todo = held.groupBy("blob").agg(F.min("path").alias("path")).withColumn("todo", F.array(*(F.lit(r.version) for r in rules)))
+    # one path stands for each blob that is not wholly in the ledger, so that its text is scanned once
+    blobs = held.groupBy("blob").agg(F.min("path").alias("path")).withColumn("todo", F.array(*(F.lit(r.version) for r in rules)))
     if ledger is not None:
-        known = ledger.join(todo.select("blob"), "blob", "left_semi").groupBy("blob").agg(F.collect_set("rules").alias("known"))
+        known = ledger.join(blobs.select("blob"), "blob", "left_semi").groupBy("blob").agg(F.collect_set("rules").alias("known"))
         left = F.array_except("todo", F.coalesce("known", F.array().cast("array<string>")))
-        todo = todo.join(known, "blob", "left").withColumn("todo", left).where(F.size("todo") > 0)
-    todo = todo.select(F.col("blob").alias("want"), F.col("path").alias("at"), "todo")
+        blobs = blobs.join(known, "blob", "left").withColumn("todo", left).drop("known")
+    blobs = durable(blobs, "todo")
+    whole = F.size("todo") == len(rules)
     texts = versions.withColumn("blob", blob_id())
-    texts = texts.join(todo.hint("shuffle_hash"), (F.col("blob") == F.col("want")) & F.col("path").eqNullSafe(F.col("at")))
+    # rows that are neither a copy nor known are scanned where they are; the others meet the list of what is to be scanned
+    rest = durable(held.join(blobs.where(whole).select("blob", "path"), ["blob", "path"], "left_anti").distinct(), "rest")
+    maybe, plain = sift(texts, F.xxhash64("path", "blob"), rest, F.xxhash64("path", "blob"))
+    todo = blobs.where(F.size("todo") > 0).select(F.col("blob").alias("want"), F.col("path").alias("at"), "todo")
+    asked, _ = sift(maybe, F.xxhash64("path", "blob"), todo, F.xxhash64("at", "want"))
+    asked = asked.join(todo, (F.col("blob") == F.col("want")) & F.col("path").eqNullSafe(F.col("at")))
+    plain = plain.withColumn("todo", F.array(*(F.lit(r.version) for r in rules)))
+    texts = plain.select("blob", "todo", "text").unionByName(asked.select("blob", "todo", "text"))
     fresh = durable(scan_blobs(texts, rules).dropDuplicates(["blob", "rules"]), "ledger")
     current = fresh
     if ledger is not None:
@@ -139,25 +147,43 @@ def joined(spans: str) -> Column:
     return F.array_join(parts, ",")
 
 
-def document_secrets(docs: DataFrame) -> DataFrame:
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger at path, or nothing where no run has written one yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.schema(LEDGER).parquet(path) if there else None
+
+
+def document_secrets(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     """doc_id, blob, spans and base_spans (arrays of kind, start, stop) of every document. Repeated rows each come back.
 
-    Documents may have no id or no text; a document without findings has empty arrays; other columns are not read.
+    `ledger` is a path that runs share: what stands there is not scanned again, and what is scanned is appended. Without
+    one, the run's ledger goes when it ends. Documents may have no id or no text; a document without findings has empty
+    arrays; an empty table gives an empty table; other columns are not read.
     """
-    _, findings = scan(docs.select(F.col("doc_id").alias("path"), "text"))
+    held = read_ledger(docs.sparkSession, ledger) if ledger else None
+    fresh, findings = scan(docs.select(F.col("doc_id").alias("path"), "text"), held)
+    if ledger:
+        fresh.write.mode("append").parquet(ledger)
     spans = lambda found: F.flatten(F.transform(found, lambda x: x["spans"]))
     base = F.filter("found", lambda x: x["rules"] == BASE.version)
     return findings.select(F.col("path").alias("doc_id"), "blob", spans(F.col("found")).alias("spans"), spans(base).alias("base_spans"))
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[SECRET]", ledger: str | None = None) -> DataFrame:
     """docs with every secret replaced by a mark, and n_chars (if there) counted anew where the text changed.
 
-    Spans that overlap are replaced as one. No row is dropped; all columns are returned.
+    Spans that overlap are replaced as one. No row is dropped: null and empty texts and repeated rows stay as they are,
+    an empty table gives an empty table. All columns are returned, whatever their names. For `ledger` see
+    document_secrets.
     """
-    found = document_secrets(docs).where(F.size("spans") > 0)
-    found = found.groupBy("doc_id", "blob").agg(F.first("spans").alias("_spans")).withColumnsRenamed({"doc_id": "_id", "blob": "_blob"})
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (blob_id() == F.col("_blob"))
+    found = document_secrets(docs, ledger).where(F.size("spans") > 0)
+    of, blob, spans, new_text = (unused(docs, n) for n in ("of", "blob", "spans", "new_text"))
+    found = found.groupBy("doc_id", "blob").agg(F.first("spans").alias(spans)).withColumnsRenamed({"doc_id": of, "blob": blob})
+    found = durable(found, "found")
+    # documents without findings stay where they are
+    maybe, others = sift(docs, F.xxhash64("doc_id", blob_id()), found, F.xxhash64(of, blob))
+    same = F.col("doc_id").eqNullSafe(F.col(of)) & (blob_id() == F.col(blob))
     text = F.col("text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -167,8 +193,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         return F.struct(F.greatest(done["at"], span["stop"]).alias("at"), out.alias("out"))
 
     rest = lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
-    ordered = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))))
-    hit = F.col("_spans").isNotNull()
-    out = docs.join(found.hint("shuffle_hash"), same, "left").withColumn("_text", F.when(hit, F.aggregate(ordered, start, step, rest)).otherwise(text))
-    new = {"text": F.col("_text"), "n_chars": F.when(hit, F.length("_text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    return out.select(*(new[c].alias(c) if new.get(c) is not None else F.col(f"`{c}`") for c in docs.columns))
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))))
+    hit = F.col(spans).isNotNull()
+    out = maybe.join(found, same, "left").withColumn(new_text, F.when(hit, F.aggregate(ordered, start, step, rest)).otherwise(text))
+    new = {"text": F.col(new_text), "n_chars": F.when(hit, F.length(new_text).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
+    out = out.select(*(new[c].alias(c) if new.get(c) is not None else F.col(f"`{c}`") for c in docs.columns))
+    return others.unionByName(out)

@@ -17,11 +17,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from lexiloom.llm.common import connected_components, durable, unused
+from lexiloom.llm.common import connected_components, durable, sift, unused
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Each byte's bits, lowest first, as the bytes of a 64-bit word: up to 255 such words add up without a carry.
@@ -32,6 +32,8 @@ _SHORT, _LONG = 96, 4096
 MANY = 2
 #: Sets of up to so many shingles also get MINS keys of ROWS minima each: their bits differ by more than the angle says.
 FEW, MINS, ROWS = 80, 16, 4
+#: Rows that a task works on at once.
+PART = 512
 #: Words of a fingerprint beside its key that are compared first.
 SKETCH = 2
 #: Standard deviations of slack for the Hamming distance before shingles are compared.
@@ -138,6 +140,13 @@ def minima(hashes: np.ndarray) -> bytes:
     return key.astype("<u8").tobytes()
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of at most PART rows, so that what is made of a batch is never held whole."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PART):
+            yield batch.slice(at, PART)
+
+
 def fingerprints(docs: DataFrame, plan: Plan) -> DataFrame:
     """doc_id and fp of every whole text; a null text is an empty one.
 
@@ -153,7 +162,7 @@ def fingerprints(docs: DataFrame, plan: Plan) -> DataFrame:
         docs = docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             texts = batch.column(1).cast(pa.binary()).fill_null(b"")
             if not sets:
                 fps = [fingerprint(t.as_py(), shingle, words) for t in texts]
@@ -351,7 +360,7 @@ def links(prints: DataFrame, plan: Plan, texts: Callable[[DataFrame], DataFrame]
         pairs = pairs.join(prints.select(F.col("id").alias(c), F.col("fp").alias(f"fp_{c}"), F.col("n").alias(f"n_{c}")), c)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             a, b = (_words(batch.column(k), plan.words) for k in (2, 3))
             sizes = [batch.column(k).to_numpy() for k in (4, 5)]
             yield batch.select([0, 1]).filter(pa.array(_may_be_near(a, b, *sizes, plan)))
@@ -362,7 +371,7 @@ def links(prints: DataFrame, plan: Plan, texts: Callable[[DataFrame], DataFrame]
         pairs = pairs.join(sets.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}")), c)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             a, b = ([np.frombuffer(x, "<u4") for x in batch.column(k).to_pylist()] for k in (2, 3))
             alike = [bool(_alike(x, [y], plan.similarity)[0]) for x, y in zip(a, b, strict=True)]
             yield batch.select([0, 1]).filter(pa.array(alike, pa.bool_()))
@@ -439,7 +448,7 @@ def _sets(texts: DataFrame, plan: Plan) -> DataFrame:
     shingle = plan.shingle
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             texts = batch.column(1).cast(pa.binary()).fill_null(b"")
             raw = [np.unique(shingles(t.as_py(), shingle).astype("<u4")).tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["id", "shingles"])
@@ -456,21 +465,16 @@ def _grouped(docs: DataFrame, plan: Callable[[int], Plan]) -> tuple[DataFrame, b
     prints = durable(fingerprints(docs, made), "fingerprints")
     sets = made.similarity is not None
     same, member = ("cls", ["doc_id", "text_hash"]) if sets else ("fp", ["doc_id"])
-    # equal sets or fingerprints are one class, known by its first member's id, or by a negative number without one
+    # equal sets or fingerprints are one class
     what = [F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), *member)).alias("best")]
     classes = prints.groupBy(same).agg(*what, *(F.first(c).alias(c) for c in (("fp", "n", "mins") if sets else ())))
-    number = -1 - F.monotonically_increasing_id()
-    if sets:  # one id may stand for several texts
-        n = F.row_number().over(Window.partitionBy("best.doc_id").orderBy("best.text_hash"))
-        classes = classes.withColumn("id", F.when(F.col("best.doc_id").isNotNull() & (n == 1), F.col("best.doc_id").cast("long")).otherwise(number))
-    else:
-        classes = classes.withColumn("id", F.coalesce(F.col("best.doc_id").cast("long"), number))
-    classes = durable(classes, "classes")
+    classes = durable(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     repeats = sets and not prints.groupBy(*member).count().where("count > 1").isEmpty()
 
     def texts(ids: DataFrame) -> DataFrame:
-        wanted = durable(classes.join(ids, "id").select("id", F.col("best.doc_id").alias("_doc"), F.col("best.text_hash").alias("_hash")), "wanted")
-        found = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))).select("id", "text")
+        wanted = durable(classes.join(ids, "id").select("id", F.col("best.doc_id").alias("of"), F.col("best.text_hash").alias("text_hash")), "wanted")
+        maybe = sift(docs.select("doc_id", "text"), F.xxhash64("doc_id", F.xxhash64("text")), wanted, F.xxhash64("of", "text_hash"))[0]
+        found = maybe.join(wanted, F.col("doc_id").eqNullSafe(F.col("of")) & (F.xxhash64("text") == F.col("text_hash"))).select("id", "text")
         return found.dropDuplicates(["id"]) if repeats else found
 
     found = connected_components(links(classes, made, texts), "a", "b")
@@ -505,8 +509,10 @@ def deduplicate(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> D
     stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
     key = [F.col("doc_id").alias(at), F.col("text_hash").alias(text_hash)]
     same = F.col("doc_id").eqNullSafe(F.col(at)) & (F.xxhash64("text") == F.col(text_hash))
-    # what goes is written first: where it is small, the planner sends it to the documents, else they meet in a shuffle
-    kept = docs.join(durable(rows.where(~stays).select(*key).distinct(), "gone"), same, "left_anti")
+    # only documents that may go meet what goes; the others stay where they are
+    gone = durable(rows.where(~stays).select(*key).distinct(), "gone")
+    maybe, others = sift(docs, F.xxhash64("doc_id", F.xxhash64("text")), gone, F.xxhash64(at, text_hash))
+    kept = others.unionByName(maybe.join(gone, same, "left_anti"))
     if not repeats:
         return kept
     often = durable(rows.where(stays).groupBy(*key).count().where("count > 1").drop("count"), "repeated")

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lexiloom.llm import queries, secret_scan, simhash, toxicity, training_order
+from lexiloom.llm import common, queries, secret_scan, simhash, toxicity, training_order
 
 SF = "/root/testdata/sf0.001"
 #: Documents with columns whose names the operators use inside.
@@ -23,6 +23,20 @@ def docs_of(spark, rows):
     return spark.createDataFrame([(i, t, None, s, None if t is None else len(t), "x", 1, "x", 1, "x", 1) for i, t, s in rows], DOCS)
 
 
+def test_sift_misses_nothing(spark, monkeypatch):
+    rows = spark.range(5000).select("id", F.lit(7).alias("bucket"), F.lit(b"x").alias("bitmap"))
+    wanted = spark.range(0, 5000, 7).withColumnRenamed("id", "w")
+    key, wanted_key = F.xxhash64("id"), F.xxhash64("w")
+    for most, least in ((1 << 26, 4100), (1 << 10, 0)):
+        monkeypatch.setattr(common, "MOST_BITS", most)
+        maybe, others = common.sift(rows, key, wanted, wanted_key)
+        ids = {r.id for r in maybe.collect()}
+        assert maybe.columns == rows.columns and ids >= set(range(0, 5000, 7)) and not ids & {r.id for r in others.collect()} and len(ids) + others.count() == 5000
+        assert others.count() >= least
+    maybe, others = common.sift(rows, key, wanted.limit(0), wanted_key)
+    assert maybe.count() == 0 and others.count() == 5000
+
+
 WORDS = [f"w{k}" for k in range(3000)]
 ODD = [(None, None, None), (None, None, None), (1, "", "a"), (1, "", "a"), (2, "one", None), (3, "x " * 40_000, "b"), (4, "y" * 200_000, "b"), (5, None, "b"), (None, "one two three four five six", "c")]
 
@@ -185,6 +199,109 @@ def test_redaction(spark):
     assert secret_scan.redact(docs.limit(0)).count() == 0 and secret_scan.document_secrets(docs.limit(0)).count() == 0
 
 
+def test_runs_share_a_ledger(spark, tmp_path, monkeypatch):
+    path, asked = str(tmp_path / "ledger"), []
+    docs = docs_of(spark, [(1, "token=abcdefghijklmnop", "a"), (2, "token=abcdefghijklmnop", "b"), (3, None, "c")])
+    whole = secret_scan.scan_blobs
+    monkeypatch.setattr(secret_scan, "scan_blobs", lambda blobs, rules: asked.append(blobs.count()) or whole(blobs, rules))
+    first = sorted(map(str, secret_scan.document_secrets(docs, path).collect()))
+    assert sorted(map(str, secret_scan.document_secrets(docs, path).collect())) == first
+    more = docs.unionByName(docs_of(spark, [(4, "a new text", "d")]))
+    assert secret_scan.document_secrets(more, path).count() == 4 and asked == [2, 0, 1]
+    assert secret_scan.read_ledger(spark, path).count() == 6
+    assert secret_scan.redact(docs, ledger=path).where("text = '[SECRET]'").count() == 2
+
+
+CLASHING = "doc_id long, text string, _id int, _blob int, _stays int, _at int, _hash int, _text int, AT int, Of int, text_hash int, best int, cls int, spans int, New_Text int"
+
+
+def test_columns_may_have_any_name(spark):
+    rows = [(k, f"{'same words again and again ' * 9}password: abcdefghijklmnop" if k < 5 else " ".join(random.choices(WORDS, k=50)), *range(13)) for k in range(20)]
+    docs = spark.createDataFrame([*rows, rows[0], (None, "no id at all", *range(13))], CLASHING)
+    out = simhash.deduplicate(docs)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.where("doc_id is not null").collect()) == [0, *range(5, 20)] and out.count() == 17
+    out = secret_scan.redact(docs)
+    assert out.columns == docs.columns and out.where("text like '%[SECRET]%'").count() == 6 and {tuple(r)[2:] for r in out.collect()} == {tuple(range(13))}
+
+
+def test_one_id_may_stand_for_two_texts(spark):
+    one, two = (" ".join(random.choices(WORDS, k=60)) for _ in range(2))
+    rows = [(1, one, "a"), (1, two, "a"), (1, two, "a"), (2, two, "a"), (None, one, "a"), (None, "alone here", "a"), (None, "alone here", "a")]
+    out = simhash.deduplicate(docs_of(spark, rows))
+    assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == sorted([(1, one), (1, two), (0, "alone here")])
+
+
+@pytest.mark.parametrize(("similarity", "least"), [(0.8, 0.95), (0.85, 0.98), (0.9, 0.99)])
+def test_recall_of_near_copies(spark, similarity, least):
+    """Pairs at or just over a shingle similarity, in texts of 40 to 800 words, against exact sets."""
+    rng = random.Random(int(100 * similarity))
+    words = [f"w{k}" for k in range(500_000)]
+    rows, truth = [], []
+    for k in range(240):
+        w = rng.sample(words, rng.choice([40, 120, 300, 800]))
+        n = len(w) - 4
+        cut = int(n * (1 - similarity) / (1 + similarity))
+        x = w[: len(w) - cut] + rng.sample(words, cut)
+        a, b = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (w, x))
+        rows += [(2 * k, " ".join(w), "s"), (2 * k + 1, " ".join(x), "s")]
+        truth.append(len(a & b) / len(a | b) >= similarity)
+    out = simhash.near_duplicates(docs_of(spark, rows), simhash.similarity_plan).toPandas().set_index("doc_id").component_id
+    linked = [out[2 * k] == out[2 * k + 1] for k in range(len(truth))]
+    recall = sum(x for x, t in zip(linked, truth, strict=True) if t) / sum(truth)
+    print("recall", similarity, recall, sum(truth))
+    assert sum(truth) > 200 and recall >= least
+
+
+def test_crowds_are_searched_whole(spark, monkeypatch):
+    """A base with hundreds of near copies that are often not near each other, in runs that are too long for pairs."""
+    monkeypatch.setattr(simhash, "MANY", 0)
+    rng = random.Random(3)
+    rows = []
+    for g in range(3):
+        base = rng.sample(WORDS, 120)
+        for k in range(150):
+            text = list(base)
+            for at in rng.sample(range(120), 2):  # about 0.84 from the base, 0.72 from each other
+                text[at] = f"x{g}-{k}-{at}"
+            rows.append((1000 * g + k, " ".join(text if k else base), "s"))
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t, _ in rows for w in [t.split()]}
+    ids = list(sets)
+    want = components(len(ids), lambda i, j: ids[i] // 1000 == ids[j] // 1000 and len(sets[ids[i]] & sets[ids[j]]) >= 0.8 * len(sets[ids[i]] | sets[ids[j]]))
+    out = simhash.near_duplicates(docs_of(spark, rows), simhash.similarity_plan).toPandas().set_index("doc_id").component_id
+    want = [ids[k] for k in want]
+    assert sum(out[i] == w for i, w in zip(ids, want, strict=True)) >= 0.97 * len(ids)
+    of = dict(zip(ids, want, strict=True))
+    assert all(of[i] == of[out[i]] for i in ids)  # nothing is linked that is not near
+
+
+def slow_model(texts, labels, alpha=1.0):
+    """Log-count ratios of n-gram buckets, counted with dictionaries."""
+    grams = toxicity.Grams()
+    has = [{}, {}]
+    for text, label in zip(texts, labels, strict=True):
+        for b in grams(text).tolist():
+            has[label][b] = has[label].get(b, 0) + 1
+    ones, zeros = sum(labels), len(labels) - sum(labels)
+    return {b: np.log((has[1].get(b, 0) + alpha) / (ones + 2 * alpha)) - np.log((has[0].get(b, 0) + alpha) / (zeros + 2 * alpha)) for b in {*has[0], *has[1]}}
+
+
+def test_ratios_and_scores_are_brute_force(spark):
+    rows, labels = labelled(200)
+    texts, marks = [t for _, t, _ in rows], [x[2] for x in labels]
+    frame = spark.createDataFrame(list(zip(texts, marks, strict=True)), "text string, label int")
+    counts = frame.mapInPandas(toxicity._counts, "bucket long, zero long, one long").groupBy("bucket").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"))
+    found = toxicity.log_count_ratios(counts, marks.count(0), marks.count(1), 1.0, 10**6)
+    want = slow_model(texts, marks)
+    assert dict(zip(found.bucket, found.ratio.round(9), strict=True)) == {b: round(r, 9) for b, r in want.items()}
+    docs = docs_of(spark, rows)
+    model = toxicity.train(docs, spark.createDataFrame(labels, LABELS))
+    out = toxicity.score(docs, model).toPandas().set_index("doc_id").score
+    grams = toxicity.Grams()
+    for i, text, _ in rows:
+        z = model.bias + sum(model.weights[b] for b in grams(text).tolist())
+        assert abs(out[i] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def labelled(n=400):
     random.seed(4)
     rows, labels = [], []
@@ -211,6 +328,8 @@ def test_toxicity_learns_from_text_alone(spark):
     flipped = marks.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     again = toxicity.toxicity(docs, flipped).toPandas().set_index("doc_id")
     assert np.allclose(out.score.sort_index(), again.score.sort_index(), atol=1e-6)
+    odd = docs.unionByName(docs_of(spark, [(900, None, "s"), (901, "", "s"), (901, "", "s")]))
+    assert toxicity.keep_clean(odd, marks).where("doc_id >= 900").count() == 3 and toxicity.keep_clean(docs.limit(0), marks).count() == 0
     kept = toxicity.keep_clean(docs, marks)
     assert kept.columns == docs.columns and abs(kept.count() - 300) < 12
 

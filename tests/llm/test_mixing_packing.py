@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from lexiloom.llm import mixing, packing, queries
 
 SF = "/root/testdata/sf0.001"
-DOCS = "doc_id long, text string, source string, size int, at int, target string"
+#: Columns whose names the operators use inside, in any case.
+DOCS = "doc_id long, text string, source string, size int, At int, slot string"
+CLASHING = "doc_id long, text string, source string, _id int, _n int, _at int, of int, text_hash int, AT int, Slot int, place int, _slot int, src int, rid int"
 
 
 def test_bound_and_packing_hold():
@@ -60,6 +62,49 @@ def test_partitions_exchange(spark):
     assert out.groupby("sequence_id").length.sum().max() <= 100
     single = packing.best_fit_decreasing(frame.length.to_numpy(), 100)[2]
     assert out.sequence_id.nunique() <= 1.025 * single
+    parts = out.drop_duplicates("part")
+    assert parts.part_bins.sum() == out.sequence_id.nunique() and (parts.part_bound <= parts.part_bins).all()
+    for _, part in out.groupby("part"):
+        assert part.sequence_id.nunique() == part.part_bins.iloc[0] and packing.lower_bound(part.length.to_numpy(), 100) == part.part_bound.iloc[0]
+
+
+def fewest(lengths, capacity):
+    """The least number of bins, by trying every placement."""
+    best = len(lengths)
+
+    def place(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(lengths):
+            best = len(rooms)
+            return
+        for room in {r for r in rooms if r >= lengths[k]}:
+            left = list(rooms)
+            left[left.index(room)] -= lengths[k]
+            place(k + 1, left)
+        place(k + 1, [*rooms, capacity - lengths[k]])
+
+    place(0, [])
+    return best
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 30), max_size=9))
+def test_bound_and_packing_against_the_optimum(lengths):
+    x = np.array(lengths, np.int64)
+    best = fewest(sorted(lengths, reverse=True), 30)
+    bound, used = packing.lower_bound(x, 30), packing.best_fit_decreasing(x, 30)[2]
+    assert bound <= best <= used <= 1.5 * best
+    assert bound != used or used == best
+
+
+def test_every_packing_is_certified(spark):
+    out = queries.op4_packing(spark, SF)
+    sequences, bound = packing.certificate(out, 4096)
+    parts = out.select("part", "part_bins", "part_bound").distinct().toPandas()
+    assert sequences == parts.part_bins.sum() and bound <= sequences <= 1.02 * bound + 1
+    assert (parts.part_bound <= parts.part_bins).all() and (parts.part_bound > 0).all()
 
 
 def test_packing_edges(spark):
@@ -77,10 +122,22 @@ def test_mixing_is_sql(spark):
     pd.testing.assert_frame_equal(mine, sql[mine.columns], check_dtype=False, check_exact=True)
 
 
+def test_the_schedule_decides_the_mix(spark, monkeypatch):
+    whole = queries.op10_mixing(spark, SF).toPandas()
+    source = spark.read.parquet(f"{SF}/documents.parquet").toPandas().set_index("doc_id").source
+    near = whole.groupby(whole.doc_id.map(source)).agg({"taken": "sum", "target": "first"})
+    assert (abs(near.taken - near.target) < 1).all() and (whole.first_slot.notna() == (whole.taken > 0)).all()
+    full = mixing.schedule
+    monkeypatch.setattr(mixing, "schedule", lambda sources, block: full(sources, block).where("slot % 2 = 0"))
+    half = queries.op10_mixing(spark, SF).toPandas()
+    assert 0.4 < half.taken.sum() / whole.taken.sum() < 0.6
+
+
 def test_schedule_is_even(spark):
     sources = spark.createDataFrame([("a", 60_000), ("b", 30_000), ("c", 10_000)], "src string, quota long")
     line = mixing.schedule(sources, 100).orderBy("slot").toPandas()
     assert line.slot.is_unique and line.groupby("src").block_no.apply(lambda x: x.is_monotonic_increasing).all()
+    assert len(line) == 1000 and line.groupby("src").block_no.nunique().to_dict() == {"a": 600, "b": 300, "c": 100}
     for n in (50, 200, 700):
         assert abs((line.slot < n).mul(line.src == "a").sum() - 0.6 * n) < 8
 
@@ -95,6 +152,14 @@ def test_mixing_edges(spark, rows):
     assert whole.where(F.coalesce("text", F.lit("")) == "").count() == sum(not r[1] for r in rows)
 
 
+def test_columns_may_have_any_name(spark):
+    rows = [(k, "word " * 60, "ab"[k % 2], *range(11)) for k in range(40)]
+    docs = spark.createDataFrame(rows, CLASHING)
+    out = mixing.mixed_documents(docs, block=64)
+    assert out.columns == docs.columns and {tuple(r)[3:] for r in out.collect()} == {tuple(range(11))}
+    assert mixing.mixed(docs, block=64).count() == 40
+
+
 def test_mixed_documents_follow_the_schedule(spark):
     rows = [(k, "word " * 100, "abc"[k % 3], 1, 1, "x") for k in range(600)]
     docs = spark.createDataFrame(rows, DOCS)

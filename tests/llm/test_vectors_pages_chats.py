@@ -79,10 +79,42 @@ def test_embedding_edges(spark):
     assert embedding_dedup.near_duplicates(vectors_of(spark, [(k, v, 1) for k, v in enumerate(ODD)])).where("kept and n_links = 0").count() == len(ODD)
 
 
+def test_threshold_is_decided_on_original_vectors(spark):
+    triples = [(1, 2, 2, 3), (2, 3, 6, 7), (1, 4, 8, 9), (4, 4, 7, 9), (2, 6, 9, 11), (6, 6, 7, 11), (3, 4, 12, 13), (2, 5, 14, 15)]
+    rows, n = [], 0
+    for a, b, c, _ in triples:  # (1, 0, 0, 0) and (49, x, y, z) with x^2 + y^2 + z^2 = 99
+        for label in range(4):
+            scale = float(3 ** (n % 5)) / 7
+            rows += [(2 * n, [scale, 0.0, 0.0, 0.0], n), (2 * n + 1, [49 * scale * a, 9 * scale * a, 3 * scale * a, 3 * scale * a], n)]
+            n += 1
+    rows += [(1000, [1e-200, 0.0, 0.0, 0.0], 5000), (1001, [49e-200, 9e-200, 3e-200, 3e-200], 5000), (1002, [1.0, 0.3, 0.0, 0.0], 5000)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    out = embedding_dedup.near_duplicates(frame).toPandas().set_index("vec_id").n_links
+    for k in range(n):
+        a, b = np.array(rows[2 * k][1]), np.array(rows[2 * k + 1][1])
+        dot = lambda x, y: float(embedding_dedup.dots(x[None], y[None])[0])
+        want = dot(a, b) / (np.sqrt(dot(a, a)) * np.sqrt(dot(b, b))) >= 0.98
+        assert out[2 * k] == out[2 * k + 1] == want
+    whole = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0], 1), (2, [49.0, 9.0, 3.0, 3.0], 1)], frame.schema)
+    assert embedding_dedup.near_duplicates(whole).toPandas().n_links.tolist() == [1, 1]
+
+
+def test_one_id_may_stand_for_two_vectors(spark):
+    rows = [(7, [1.0, 0.0], 1), (7, [0.0, 1.0], 1), (8, [1.0, 0.001], 1), (8, [1.0, 0.001], 1)]
+    out = embedding_dedup.near_duplicates(vectors_of(spark, rows)).toPandas()
+    assert sorted(zip(out.vec_id, out.n_links, out.component_id, strict=True)) == [(7, 0, 7), (7, 2, 7), (8, 2, 7), (8, 2, 7)]
+
+
+def test_tiny_vectors_have_cosines(spark):
+    rows = [(0, [1e-200, 2e-200]), (1, [1e200, 2e200]), (2, [1.0, 0.0]), (2, [1.0, 0.0])]
+    out = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).toPandas()
+    assert out.vec_id.tolist() == [1, 2, 2] and np.allclose(out.score, [1, 1 / 5**0.5, 1 / 5**0.5])
+
+
 def test_bounds_hold_and_prune():
     x = embedding_dedup.unit(clustered(400, 24).astype(np.float64))
     order = np.linalg.eigh(x.T @ x)[1][:, ::-1]
-    i, j = embedding_dedup.compare(x @ order, x @ order, 0.98, True)
+    i, j = embedding_dedup.compare(x, x, order, 0.98, True)
     want = np.argwhere(np.triu(x @ x.T >= 0.98, 1))
     assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted(map(tuple, want.tolist()))
 
@@ -189,6 +221,22 @@ def test_layouts_meet_in_canonical_turns(spark):
     assert set(out.turns_sha256) == {want} and set(out.loss_chars) == {len("<|im_end|>yo")} and len(out) == len(records)
 
 
+def test_records_come_in_several_layouts(spark):
+    turns = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    read = chat.canonical_turns(chat.turn_records(turns))
+    assert read.select("layout").distinct().count() == 3 and read.where("role is null").count() == 0
+    whole = turns.selectExpr("conv_id", "turn", "coalesce(role, '') role", "coalesce(text, '') text")
+    assert whole.exceptAll(read.drop("layout")).isEmpty() and read.drop("layout").exceptAll(whole).isEmpty()
+
+
+def test_further_fields_do_no_harm(spark):
+    records = [{"instruction": "hi", "input": "", "output": "yo", "id": 7}, {"messages": [{"role": "user", "content": "hi", "name": "x"}], "source": "s"}, {"prompt": "a", "completion": "b", "response": "c"}, {"id": 7}]
+    turns = chat.canonical_turns(spark.createDataFrame([(k, json.dumps(r)) for k, r in enumerate(records)], "conv_id long, record string"))
+    got = [tuple(r) for r in turns.where("role is not null").orderBy("conv_id", "turn").select("conv_id", "role", "text").collect()]
+    assert got == [(0, "user", "hi"), (0, "assistant", "yo"), (1, "user", "hi")]
+    assert sorted(r.records for r in chat.unknown_layouts(turns).collect()) == [1, 1]
+
+
 def test_chat_edges(spark):
     rows = [(None, 1, "user", "a"), (None, 0, None, None), (1, 0, "assistant", None), (1, 0, "assistant", None), (1, None, "user", "first"), (2, 0, "assistant", "z" * 300_000)]
     turns = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, layout string, segment int")
@@ -216,6 +264,79 @@ def test_marks_lower_a_score_but_drop_no_long_text():
     assert html_extract.extract(f"<p>Short</p>{PARTS['ad']}") == "Short"
 
 
+def slow_select(found):
+    """The choice of blocks, written out path by path."""
+    from math import exp, expm1, log1p
+
+    keys = list(dict.fromkeys(b.key for b in found))
+    of = {k: [b for b in found if b.key == k] for k in keys}
+    outside = lambda b: not b.inside or b.outside or b.marked
+    linky = {k for k in keys if sum(map(outside, of[k])) > 1 and sum(b.linked for b in of[k]) > 0.8 * sum(len(b.text) for b in of[k])}
+    keys = [k for k in keys if k not in linky]
+    text, marks, raw = [], [], {}
+    for k in keys:
+        whole = 0
+        for b in of[k]:
+            linked = min(b.linked, len(b.text))
+            whole += len(b.text) - linked * (0.75 if b.inside and not b.outside else 1)
+        points = sum(c in ".,;:!?。，；：！？、" for b in of[k] for c in b.text)
+        text.append(log1p(whole / len(of[k])))
+        marks.append(log1p(points / len(of[k])))
+        raw[k] = (whole / len(of[k])) * (1 + points / len(of[k]))
+    bell = [exp(-0.5 * d * d) for d in range(-2, 3)]
+
+    def smooth(x):
+        at = lambda k: x[k] if 0 <= k < len(x) else 0
+        return [0.75 * x[k] + 0.25 * sum(w * at(k + d) for w, d in zip(bell, range(-2, 3), strict=True)) / sum(bell) for k in range(len(x))]
+
+    scores = {}
+    for k, st, sm in zip(keys, smooth(text), smooth(marks), strict=True):
+        b = of[k][-1]
+        factor = 1 / 400 if b.outside else 1 / 55 if b.marked else 1000 if b.inside else 1
+        if any(b.inside and b.marked and not b.outside for b in of[k]) and raw[k] >= 400:
+            factor = 1000
+        scores[k] = log1p(expm1(st) * exp(sm) * factor)
+    if not scores:
+        return []
+    threshold = min(np.std(list(scores.values())), max(scores.values()))
+    least = log1p(400 / 55)
+    good = {k for k, s in scores.items() if s >= (max(threshold, least) if k[1] or k[2] else threshold)}
+    beside = {b.parent for k in good for b in of[k]}
+    head = lambda b: b.leaf[:1] == "h" and b.leaf[1:2] in set("123456") and b.leaf[2:3] in ("", ".")
+    return [b for b in found if b.key in scores and (b.key in good or (head(b) and b.parent in beside and not b.outside and not b.marked))]
+
+
+def test_selection_is_brute_force(spark):
+    for (page,) in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect():
+        found = html_extract.blocks(page or "")
+        assert html_extract.select(found) == slow_select(found)
+    random.seed(8)
+    kinds = ["<p>{}</p>", "<div class=ad>{}</div>", "<ul><li><a href=1>{}</a><li><a>{}</a></ul>", "<h2>{}</h2>", "<article><p>{}</p><p class=share>{}</p></article>", "<nav>{}</nav>", "<div id=story><p>{}</p></div>"]
+    for _ in range(300):
+        text = lambda: " ".join(random.choices(["alpha", "beta,", "gamma.", "delta"], k=random.choice([1, 8, 90])))
+        page = "".join(k.replace("{}", text()) for k in random.choices(kinds, k=random.randint(1, 9)))
+        found = html_extract.blocks(page)
+        assert html_extract.select(found) == slow_select(found), page
+
+
+def test_scores_decide_what_pages_give(spark, monkeypatch):
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect()]
+    before = [html_extract.extract(p) for p in pages]
+    # were all paths to score high and alike, whatever is marked would come in too
+    monkeypatch.setattr(html_extract, "path_scores", lambda found: {b.key: 10.0 for b in found})
+    assert sum(html_extract.extract(p) != b for p, b in zip(pages, before, strict=True)) > 0.9 * len(pages)
+
+
+def test_marks_of_holders_and_lists_of_links():
+    text = "A long paragraph, with commas, and several sentences. It goes on; it has more. " * 3
+    body, article = text.strip(), f"<article><h1>Head</h1><p>{text}</p><ul><li><a href=1>First, a work of 1999</a><li><a href=2>Second, a work of 2001</a></ul></article>"
+    want = ["Head", body, "First, a work of 1999", "Second, a work of 2001"]
+    for other in ("<div class='ad-container'><p>Buy words, now.</p></div>", "<div class='comments-wrapper'><p>Reader words.</p></div>", "<div class='sidebar column'><p>Side words.</p></div>"):
+        for page in (f"{other}{article}", f"{article}{other}", f"<div class='page wrapper'>{article}{other}</div>", f"<div class='row sidebar-left'>{article}</div>{other}"):
+            assert html_extract.extract(page).split("\n") == want, page
+    assert html_extract.extract(f"<article><h1>Head</h1><p class='social-history'>{text}</p><p>It holds that <math><mi>x</mi><mo>=</mo><mn>1</mn></math>.</p></article>").split("\n") == ["Head", body, "It holds that x=1."]
+
+
 def test_unclosed_elements_cut_nothing():
     for broken in ("<svg viewBox='0 0 1 1'/>", "<svg/>", "<video src=a>", "<object data=a>", "<select>", "<video><video>no</video>"):
         for after in ("", "<svg><text>no</text></svg>"):
