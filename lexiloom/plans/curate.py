@@ -11,7 +11,7 @@ from lexiloom.plans.registry import Tables, query
 
 
 def _checks(t: Tables) -> dict[str, DataFrame]:
-    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_discount")
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_discount")
     orders = t.orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
     return {
         "line-duplicate": validate.duplicates(lines, "line-duplicate", "l_orderkey", "l_linenumber"),

@@ -84,9 +84,10 @@ def precedence(t: Tables) -> DataFrame:
 )
 def usage_rollup(t: Tables) -> DataFrame:
     label = F.concat_ws(" ", "p_type", "p_name").alias("label")
-    # counts per part first: lines are aggregated before labels are joined
-    lines = t.lineitem.select("l_orderkey", "l_partkey").join(t.part.select("p_partkey", label), F.col("l_partkey") == F.col("p_partkey"))
-    usage = lines.groupBy("label").agg(F.count("*").alias("files"), F.count_distinct("l_orderkey").alias("datasets"))
+    # lines of a part and order are counted before labels are joined
+    lines = t.lineitem.groupBy("l_orderkey", "l_partkey").agg(F.count("*").alias("n"))
+    lines = lines.join(t.part.select("p_partkey", label), F.col("l_partkey") == F.col("p_partkey"))
+    usage = lines.groupBy("label").agg(F.sum("n").alias("files"), F.count_distinct("l_orderkey").alias("datasets"))
     words = t.part.select(_last("p_name").alias("w")).distinct()
     live = _live(t).select(F.concat(F.lit("id:"), "node").alias("target")).union(words.where("length(w) % 5 = 0 and w < 'm'").select(F.concat(F.lit("old:"), "w")))
     return resolve.usage_rollup(live, _resolved(t), usage)

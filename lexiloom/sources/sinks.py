@@ -21,6 +21,74 @@ def report_json(rows: DataFrame, provenance: dict[str, str]) -> DataFrame:
     return rows.select(F.to_json(F.struct(source, *rows.columns)).alias("value"))
 
 
+# The columns of a candidate table, in order, after the term's own.
+CANDIDATE_COLUMNS = ("category", "subset", "existing_mapping", "rank", "match_kind", "match_id", "match_label", "matched_on", "score", "match_def")
+
+
+def candidates_written(rows: DataFrame, term: str) -> DataFrame:
+    """Candidates (term and CANDIDATE_COLUMNS) as they are written: empty for null, score to 3 places, definition to 300 characters."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    shown = {"score": F.format_string("%.3f", F.col("score")), "match_def": F.substring(text("match_def"), 1, 300)}
+    return rows.select(text(term).alias(term), *(shown.get(c, text(c)).alias(c) for c in CANDIDATE_COLUMNS))
+
+
+def write_report(head: DataFrame, rows: DataFrame, path: str, provenance: dict[str, str], *order: str) -> None:
+    """A report as two sets of JSON lines: its totals (a row) with where they come from, and its records in order.
+
+    Records are written in ranges side by side, so a report of any size passes through no single task.
+    """
+    report_json(head, provenance).write.mode("overwrite").text(f"{path}/head")
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("overwrite").text(f"{path}/records")
+
+
+def read_written_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The head and the records of a report that write_report() wrote."""
+    return spark.read.json(f"{path}/head"), spark.read.json(f"{path}/records")
+
+
+def pair_markdown(pairs: DataFrame) -> DataFrame:
+    """c, n, value: Markdown lines of similar pairs (term1, term2, category1, category2, similarity, crosses, recommendation).
+
+    First a table of all pairs, nearest first, then a list of those across categories; sort by c and n.
+    """
+    names = F.concat(F.col("category1"), F.lit("/"), F.col("category2"))
+    shown = F.when(F.col("crosses"), F.concat(F.lit("**"), names, F.lit("**"))).otherwise(names)
+    place = F.struct((-F.col("similarity")).alias("s"), "term1", "term2").alias("n")
+    none = F.lit(None).cast("struct<s: double, term1: string, term2: string>").alias("n")
+    table = pairs.select(F.lit(1).alias("c"), place, F.format_string("| %s | %s | %.2f | %s | %s |", "term1", "term2", "similarity", shown, "recommendation").alias("value"))
+    listed = pairs.where("crosses").select(F.lit(3).alias("c"), place, F.format_string("- **%s** (%s) <-> **%s** (%s): %.2f", "term1", "category1", "term2", "category2", "similarity").alias("value"))
+    heads = pairs.agg(F.count_if("crosses").alias("k")).select(
+        F.explode(
+            F.array(
+                F.struct(F.lit(0).alias("c"), F.lit("| Term 1 | Term 2 | Similarity | Categories | Recommendation |\n|---|---|---|---|---|").alias("value")),
+                F.struct(F.lit(2).alias("c"), F.when(F.col("k") > 0, "## Across categories").otherwise("No pairs across categories.").alias("value")),
+            )
+        ).alias("h")
+    )
+    return heads.select("h.c", none, "h.value").unionByName(table).unionByName(listed)
+
+
+def gap_markdown(gaps: DataFrame) -> DataFrame:
+    """s, level, n, value: Markdown lines of gap terms (subset, name, definition, max_similarity, best, ontology), by subset.
+
+    In a subset the worst matched term comes first, with its definition to 100 characters and its best match, if any.
+    """
+    rows = gaps.withColumn("s", F.coalesce(F.nullif("subset", F.lit("")), F.lit("other")))
+    none = F.lit(None).cast("struct<m: double, name: string>")
+    heads = rows.groupBy("s").agg(F.count("*").alias("k"), F.max("max_similarity").alias("m"))
+    heads = heads.select("s", F.lit(0).alias("level"), none.alias("n"), F.format_string("### %s (%d terms, max sim: %.2f)", F.col("s"), F.col("k"), F.col("m")).alias("value"))
+    text = F.coalesce("definition", F.lit(""))
+    lines = F.array_compact(
+        F.array(
+            F.format_string("- **%s** (max sim: %.2f)", "name", "max_similarity"), F.when(text != "", F.concat(F.lit("  - Definition: "), truncated(text, 100))),
+            F.when(F.col("best").isNotNull(), F.format_string("  - Best match: %s (%s, %.2f)", F.col("best"), F.col("ontology"), F.col("max_similarity"))),
+        )
+    )
+    items = rows.select("s", F.lit(1).alias("level"), F.struct(F.col("max_similarity").alias("m"), "name").alias("n"), F.array_join(lines, "\n").alias("value"))
+    return heads.unionByName(items)
+
+
 def candidate_table(rows: DataFrame) -> DataFrame:
     """Candidate rows (with score and definition) as they are written: score to 3 places, definition to 300 characters."""
     return rows.withColumn("score", F.format_string("%.3f", F.col("score"))).withColumn("definition", F.substring("definition", 1, 300))

@@ -145,3 +145,19 @@ def test_frequencies_and_paging(spark):
     seeds = spark.createDataFrame([("z",), ("a",)], "term string")
     assert [tuple(r) for r in sinks.frequency_table(counts, seeds).collect()] == [("a", "yes", 2), ("z", "no", 0)]
     assert tuple(counts.agg(F.count("*").alias("n")).select(sinks.envelope(F.col("n")).alias("e")).first().e) == (0, 100_000, 3, 1)
+
+
+def test_reports(spark, tmp_path):
+    pairs = spark.createDataFrame([("b", "c", "X", "X", 0.9, False, "hierarchy"), ("a", "d", "X", "Y", 0.95, True, "review")], "term1 string, term2 string, category1 string, category2 string, similarity double, crosses boolean, recommendation string")
+    lines = [r.value for r in sinks.pair_markdown(pairs).orderBy("c", "n").collect()]
+    assert lines[1:] == ["| a | d | 0.95 | **X/Y** | review |", "| b | c | 0.90 | X/X | hierarchy |", "## Across categories", "- **a** (X) <-> **d** (Y): 0.95"]
+    assert sinks.pair_markdown(pairs.limit(0)).where("value like 'No pairs%'").count() == 1
+    gaps = spark.createDataFrame([("p", "n2", "d" * 120, 0.4, "SO:1", "so"), ("p", "n1", None, 0.0, None, None), (None, "n3", "", 0.1, None, None)], "subset string, name string, definition string, max_similarity double, best string, ontology string")
+    lines = [r.value for r in sinks.gap_markdown(gaps).orderBy("s", "level", "n").collect()]
+    assert lines == ["### other (1 terms, max sim: 0.10)", "- **n3** (max sim: 0.10)", "### p (2 terms, max sim: 0.40)", "- **n1** (max sim: 0.00)", f"- **n2** (max sim: 0.40)\n  - Definition: {'d' * 100}...\n  - Best match: SO:1 (so, 0.40)"]
+    sinks.write_report(pairs.agg(F.count("*").alias("total")), pairs, str(tmp_path / "r"), {"model": "m"}, "term1")
+    head, rows = sinks.read_written_report(spark, str(tmp_path / "r"))
+    assert head.first().total == 2 and head.first().provenance.model == "m" and [r.term1 for r in rows.collect()] == ["a", "b"]
+    found = spark.createDataFrame([("t", "c", None, None, 1, "lexical", "SO:1", "l", "m", 0.98765, "d" * 400)], "term string, category string, subset string, existing_mapping string, rank int, match_kind string, match_id string, match_label string, matched_on string, score double, match_def string")
+    out = sinks.candidates_written(found, "term")
+    assert len(out.columns) == 11 and out.first().score == "0.988" and len(out.first().match_def) == 300 and out.first().subset == ""
