@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import ann, chat, embedding_dedup, html_extract, mixing, packing, secret_scan, simhash, toxicity, training_order
+from lexiloom.llm import ann, chat, embedding_dedup, html_extract, mixing, packing, ranked_search, secret_scan, simhash, toxicity, training_order
 
 
 def tokenizer_path() -> str:
@@ -68,6 +68,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents"))
 
 
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("tier")
+
+
 _OP9_SQL = """
 WITH v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
@@ -129,6 +133,26 @@ SELECT g.doc_id, g.size, g.source_size, g.target, g.taken, CAST(y.slot AS BIGINT
 FROM g LEFT JOIN y ON g.taken > 0 AND g.source IS NOT DISTINCT FROM y.source AND g.pos // 1024 = y.block_no
 """
 
+_OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+i AS (
+  SELECT row_number() OVER () AS item, item_id,
+         unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term
+  FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+c AS (SELECT count(*) FILTER (len(terms) > 0) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM d),
+p AS (SELECT rid, doc_id, any_value(n) AS n, term, count(*) AS tf FROM (SELECT rid, doc_id, len(terms) AS n, unnest(terms) AS term FROM d) GROUP BY rid, doc_id, term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+      FROM (SELECT term, count(*) AS df FROM p GROUP BY term), c),
+s AS (
+  SELECT i.item, i.item_id, p.rid, p.doc_id, CAST(sum(w.w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM i JOIN p USING (term) JOIN w USING (term), c GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
 _OP2_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
@@ -175,8 +199,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_training_order": op8_training_order,
         "op9_neighbours": op9_neighbours,
         "op10_mixing": op10_mixing,
+        "op13_search": op13_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embeddings": _OP2_SQL, "op7_chat": _OP7_SQL, "op9_neighbours": _OP9_SQL, "op10_mixing": _OP10_SQL}
+    return {"op2_embeddings": _OP2_SQL, "op7_chat": _OP7_SQL, "op9_neighbours": _OP9_SQL, "op10_mixing": _OP10_SQL, "op13_search": _OP13_SQL}
