@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import ann, chat, embedding_dedup, html_extract, mixing, packing, ranked_search, secret_scan, simhash, toxicity, training_order
+from lexiloom.llm import ann, chat, embedding_dedup, html_extract, mixing, packing, phrases, ranked_search, secret_scan, simhash, toxicity, training_order
 
 
 def tokenizer_path() -> str:
@@ -68,6 +68,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("tier")
 
@@ -133,6 +137,40 @@ SELECT g.doc_id, g.size, g.source_size, g.target, g.taken, CAST(y.slot AS BIGINT
 FROM g LEFT JOIN y ON g.taken > 0 AND g.source IS NOT DISTINCT FROM y.source AND g.pos // 1024 = y.block_no
 """
 
+_OP11_SQL = r"""
+WITH p AS (
+  SELECT rid, lang, unnest(pieces) AS piece, unnest(range(len(pieces))) AS piece_no FROM (
+    SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang,
+           regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces
+    FROM documents)),
+w AS (
+  SELECT lang, rid, piece_no, unnest(words) AS word, unnest(range(len(words))) AS pos
+  FROM (SELECT *, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p)),
+v AS (
+  SELECT lang, word AS one, word || ' ' || lead(word, 1) OVER o AS two, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o AS three
+  FROM w WINDOW o AS (PARTITION BY rid, piece_no ORDER BY pos)),
+g AS (
+  SELECT lang, 1 AS k, one AS phrase FROM v
+  UNION ALL SELECT lang, 2, two FROM v WHERE two IS NOT NULL
+  UNION ALL SELECT lang, 3, three FROM v WHERE three IS NOT NULL),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS words FROM f WHERE k > 1 AND f >= 10),
+cut AS (
+  SELECT c.lang, c.phrase, c.k, c.f AS a, x.cut, l.f AS l, r.f AS r,
+         CAST((CAST(1000000 AS HUGEINT) * c.f * c.f) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM c JOIN (SELECT unnest([1, 2]) AS cut) x ON x.cut < c.k
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.words[1:x.cut], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.words[x.cut + 1:], ' ')),
+b AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+h AS (
+  SELECT lang, array_to_string(words[pos:pos + 1], ' ') AS phrase, max(f) AS held
+  FROM c, (SELECT unnest([1, 2]) AS pos) WHERE k = 3 GROUP BY ALL),
+kept AS (SELECT b.* FROM b LEFT JOIN h ON b.k = 2 AND h.lang = b.lang AND h.phrase = b.phrase WHERE h.held IS NULL OR 100 * h.held < 50 * b.a),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 _OP13_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id,
@@ -199,9 +237,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_training_order": op8_training_order,
         "op9_neighbours": op9_neighbours,
         "op10_mixing": op10_mixing,
+        "op11_phrases": op11_phrases,
         "op13_search": op13_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embeddings": _OP2_SQL, "op7_chat": _OP7_SQL, "op9_neighbours": _OP9_SQL, "op10_mixing": _OP10_SQL, "op13_search": _OP13_SQL}
+    return {"op2_embeddings": _OP2_SQL, "op7_chat": _OP7_SQL, "op9_neighbours": _OP9_SQL, "op10_mixing": _OP10_SQL, "op11_phrases": _OP11_SQL, "op13_search": _OP13_SQL}
