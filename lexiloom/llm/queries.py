@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import ann, chat, embedding_dedup, html_extract, mixing, packing, phrases, ranked_search, secret_scan, simhash, toxicity, training_order
+from lexiloom.llm import ann, chat, embedding_dedup, html_extract, lm_scoring, mixing, packing, phrases, ranked_search, secret_scan, simhash, toxicity, training_order
 
 
 def tokenizer_path() -> str:
@@ -72,6 +72,10 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scores(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("tier")
 
@@ -238,6 +242,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_neighbours": op9_neighbours,
         "op10_mixing": op10_mixing,
         "op11_phrases": op11_phrases,
+        "op12_lm": op12_lm,
         "op13_search": op13_search,
     }
 
