@@ -27,7 +27,7 @@ DEPTH, BYTES, BLOCK = 2, 8, 1 << 20
 #: Bits of a row's map, at most: what is broadcast is DEPTH times that, 128 MB in all.
 MOST_BITS = 1 << 29
 #: Words that a task numbers and holds at once. Numbers have 21 bits, so that three of them are one key.
-WORDS, PART = (1 << 21) - 1, 1 << 20
+WORDS, PART = 1 << 20, 1 << 19
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -122,9 +122,9 @@ def sketch(docs: DataFrame, longest: int, least: int, width: int) -> list[np.nda
             found = [[] for _ in range(DEPTH)]
             for _, _, rows in _cells(numbers, ids, begins, longest, width):
                 for held, row in zip(found, rows, strict=True):
-                    held.append(row)
+                    held.append(row.astype(np.uint32) if width <= 1 << 32 else row)
             for row, held in enumerate(found):
-                line = np.sort(np.concatenate(held).astype(np.uint32 if width <= 1 << 32 else np.uint64)).astype(np.int64)
+                line = np.sort(np.concatenate(held)).astype(np.int64)
                 line = line[np.r_[np.ones(min(least, len(line)), bool), line[least:] != line[:-least]]]
                 blocks, starts = np.unique(line // BLOCK, return_index=True)
                 raw = [_steps(x - b * BLOCK) for b, x in zip(blocks, np.split(line, starts[1:]), strict=True)]
