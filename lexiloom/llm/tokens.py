@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable
+from itertools import islice
 
 import numpy as np
 
@@ -103,9 +104,12 @@ class WordTokens(dict):
         The tokenizer takes lower case anyway, so A-Z become lower case first and capitals cost no entries; special
         tokens are known before that, so a text that may hold one stays as it is.
         """
-        texts = list(texts)
-        for k in range(0, len(texts), 64):
-            split = [(t if b"<|" in t else t.lower()).split() for t in texts[k : k + 64]]
+        return self.encode_words((t if b"<|" in t else t.lower()).split() for t in texts)
+
+    def encode_words(self, texts: Iterable[list[bytes]]) -> Iterable[bytes]:
+        """The ids of each text, given as its words."""
+        texts = iter(texts)
+        while split := list(islice(texts, 64)):
             # the table is larger than caches, so each word is looked up once
             found = [list(map(self.get, words)) for words in split]
             missed = [[at for at, ids in enumerate(row) if ids is None] for row in found]
@@ -117,6 +121,13 @@ class WordTokens(dict):
             if len(self) > self.limit:
                 self.clear()
 
+    def of_words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of distinct words."""
+        if len(self) + len(words) > self.limit:
+            self.clear()
+        self._learn({w for w in words if w not in self})
+        return [self[w] for w in words]
+
 
 _open: dict[str, WordTokens] = {}
 
