@@ -22,8 +22,8 @@ from lexiloom.llm.common import durable
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 #: A-Z become lower case, whatever ends a piece becomes a full stop.
 _CLEAN = bytes(46 if c in _ENDS else c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Rows of the sketch, bytes of text for each of its cells in a row, cells that are merged together.
-DEPTH, BYTES, BLOCK = 2, 8, 1 << 20
+#: Rows of the sketch, bytes of text for each of its cells in a row; cells that are merged together, at least and at most.
+DEPTH, BYTES, BLOCK, MOST_BLOCK = 2, 8, 1 << 20, 1 << 22
 #: Bits of a row's map, at most: what is broadcast is DEPTH times that, 128 MB in all.
 MOST_BITS = 1 << 29
 #: Words that a task numbers and holds at once. Numbers have 21 bits, so that three of them are one key.
@@ -114,8 +114,10 @@ def sketch_width(docs: DataFrame) -> int:
 def sketch(docs: DataFrame, longest: int, least: int, width: int) -> list[np.ndarray]:
     """Maps of bits, one a row: which cells reach `least` in the merged sketch, folded to MOST_BITS.
 
-    docs: lang, text. A task's cells travel sorted, as 16-bit steps, each at most `least` times: more changes nothing.
+    docs: lang, text. A task's cells travel sorted, as 16-bit steps, each at most `least` times: more changes nothing. What
+    merging costs is in proportion to the cells that travel, whatever the width.
     """
+    block_size = max(BLOCK, min(MOST_BLOCK, width >> 8))
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for numbers, ids, begins in _parts(batches, longest):
@@ -126,25 +128,26 @@ def sketch(docs: DataFrame, longest: int, least: int, width: int) -> list[np.nda
             for row, held in enumerate(found):
                 line = np.sort(np.concatenate(held)).astype(np.int64)
                 line = line[np.r_[np.ones(min(least, len(line)), bool), line[least:] != line[:-least]]]
-                blocks, starts = np.unique(line // BLOCK, return_index=True)
-                raw = [_steps(x - b * BLOCK) for b, x in zip(blocks, np.split(line, starts[1:]), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(row * (width // BLOCK) + blocks, pa.int64()), pa.array(raw, pa.binary())], names=["block", "steps"])
+                blocks, starts = np.unique(line // block_size, return_index=True)
+                raw = [_steps(x - b * block_size) for b, x in zip(blocks, np.split(line, starts[1:]), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(row * (width // block_size) + blocks, pa.int64()), pa.array(raw, pa.binary())], names=["block", "steps"])
 
     bits = min(width, MOST_BITS)
-    blocks, folds = width // BLOCK, bits // BLOCK
+    blocks, folds = width // block_size, bits // block_size
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, fold, held, out = None, None, np.zeros(BLOCK, np.int32), np.zeros(BLOCK // 8, np.uint8)
+        now, fold, held, out = None, None, np.zeros(block_size, np.int32), np.zeros(block_size // 8, np.uint8)
         for batch in batches:
             for to, block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if block != now:
                     out |= np.packbits(held >= least, bitorder="little")
-                    now, held = block, np.zeros(BLOCK, np.int32)
+                    now = block
+                    held[:] = 0
                     if to != fold:
                         if fold is not None:
                             yield _folded(fold, out)
-                        fold, out = to, np.zeros(BLOCK // 8, np.uint8)
-                held += _counts(np.frombuffer(raw.as_py(), "<u2"))
+                        fold, out = to, np.zeros(block_size // 8, np.uint8)
+                np.add.at(held, _places(np.frombuffer(raw.as_py(), "<u2")), 1)
         if now is not None:
             yield _folded(fold, out | np.packbits(held >= least, bitorder="little"))
 
@@ -154,7 +157,7 @@ def sketch(docs: DataFrame, longest: int, least: int, width: int) -> list[np.nda
     maps = [np.zeros(bits // 8, np.uint8) for _ in range(DEPTH)]
     for r in durable(rows, "sketch").toLocalIterator():
         row, at = divmod(r["fold"], folds)
-        maps[row][at * BLOCK // 8 : (at + 1) * BLOCK // 8] = np.frombuffer(r["bits"], np.uint8)
+        maps[row][at * block_size // 8 : (at + 1) * block_size // 8] = np.frombuffer(r["bits"], np.uint8)
     return maps
 
 
@@ -167,9 +170,8 @@ def _steps(places: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def _counts(steps: np.ndarray) -> np.ndarray:
-    places = np.cumsum(steps.astype(np.int64))
-    return np.bincount(places[steps != 65535], minlength=BLOCK)[:BLOCK].astype(np.int32)
+def _places(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps, dtype=np.int64)[steps != 65535]
 
 
 def _folded(fold: int, bits: np.ndarray) -> pa.RecordBatch:
