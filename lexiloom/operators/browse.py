@@ -86,8 +86,8 @@ def slot_links(slots: DataFrame, rules: DataFrame, vocabularies: DataFrame, defa
 def rule_summaries(conditions: DataFrame) -> DataFrame:
     """class, rule_no, summary, slots of rules given as conditions (class, rule_no, side, ord, slot, test, value).
 
-    side is `pre`, `any` (alternatives of a condition), `post` or `one` (of which exactly one is needed); test is
-    equals, number, presence or null for a bare slot.
+    side is `pre`, `any` (alternatives of a condition, which name the slot alone unless it equals a text), `post` or `one`
+    (of which exactly one is needed); test is equals, number, presence or null for a bare slot.
     """
     test = F.col("test")
     text = (
@@ -96,6 +96,7 @@ def rule_summaries(conditions: DataFrame) -> DataFrame:
         .when(test == "presence", F.concat("slot", F.lit(" is present")))
         .otherwise(F.col("slot"))
     )
+    text = F.when((F.col("side") == "any") & F.coalesce(test != "equals", F.lit(True)), F.col("slot")).otherwise(text)
     rows = conditions.withColumn("text", text)
     listed = lambda side, column, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("ord", column)))), lambda s: s[column]), sep)
     per = rows.groupBy("class", "rule_no").agg(

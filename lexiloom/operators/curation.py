@@ -381,62 +381,3 @@ def promoted(terms: DataFrame, operations: DataFrame, status: str) -> DataFrame:
     """terms (subject, status) after promotions (subject)."""
     up = operations.select("subject").distinct().withColumn("_up", F.lit(True))
     return terms.join(up, "subject", "left").withColumn("status", F.when(F.col("_up"), F.lit(status)).otherwise(F.col("status"))).drop("_up")
-
-
-# Verdicts by kind of subject, as verdict: what applying writes | required fields | optional fields.
-VERDICTS = {
-    "term": """
-        keep: none | | ; keep_atomic: none | | ; edit_description: src | description | ; rename: src+refs | label | ; set_subsets: src | subsets | ;
-        move_to_enum: src+refs | enum | ; merge: src+refs | into mappings | ; delete: src+refs | | ; facet: src+refs | base facets | ;
-        adopt_mapping: sssom | predicate object | object_label element_type_fit comment ; reject_mapping: sssom | predicate object | object_label comment ;
-        add_see_also: src | target | ; remove_see_also: src | target | ; promote_tier: src | | ; mint_base: none | | from_labels note ; defer: none | |""",
-    "enum": """
-        keep: none | | ; edit_description: src | description | ; add_term: src | label | description subsets ; rename_enum: src+refs | name | ;
-        move_enum: src | module | ; delete_enum: src | | ; defer: none | |""",
-    "class": """
-        keep: none | | ; edit_description: src | description | ; rename_class: src+refs | name | ; add_slot: src | | slot new_slot ; drop_slot: src | slot | delete_def ;
-        move_slot: src | slot to | ; set_slot_usage: src | slot usage | ; add_rule: src | rule | ; edit_rule: src | rule_sha1 rule | ; drop_rule: src | rule_sha1 | ;
-        set_is_a: src | is_a | ; set_lineage: src | | source conforms_to see_also ; adopt_mapping: src | predicate object | ; reject_mapping: src | predicate object | ;
-        delete_class: src | | ; defer: none | |""",
-    "slot": """
-        keep: none | | ; edit_description: src | description | ; rename_slot: src+refs | name | ; retype_slot: src | | range inlined any_of ;
-        set_cardinality: src | | required recommended multivalued ; set_examples: src | examples | ; adopt_mapping: src | predicate object | ;
-        reject_mapping: src | predicate object | ; delete_slot: src+refs | | ; defer: none | |""",
-    "usage": "keep: none | | ; edit_usage: src | usage | ; drop_usage: src | | ; defer: none | |",
-    "subset": """
-        keep: none | | ; edit_description: src | description | ; rename_subset: src | name | ; merge_subset: src | into | ; delete_subset: src | | ; defer: none | |""",
-    "module": "keep: none | | ; edit_description: src | description | ; set_layer: src | layer | ; defer: none | |",
-}
-#: Verdicts of which some of these fields must be given: groups are alternatives.
-ONE_OF = {("class", "add_slot"): (("slot",), ("new_slot",)), ("class", "set_lineage"): (("source", "conforms_to", "see_also"),), ("slot", "retype_slot"): (("range", "any_of"),), ("slot", "set_cardinality"): (("required", "recommended", "multivalued"),)}
-
-
-def verdict_table(spark: SparkSession) -> DataFrame:
-    """kind, verdict, terminal, writes, required, optional, one_of of every verdict."""
-    rows = []
-    for kind, listed in VERDICTS.items():
-        for entry in listed.split(";"):
-            verdict, rest = entry.split(":", 1)
-            writes, required, optional = (part.split() for part in rest.split("|"))
-            groups = [list(g) for g in ONE_OF.get((kind, verdict.strip()), ())]
-            rows.append((kind, verdict.strip(), verdict.strip() != "defer", writes[0], required, optional, groups))
-    return spark.createDataFrame(rows, "kind string, verdict string, terminal boolean, writes string, required array<string>, optional array<string>, one_of array<array<string>>")
-
-
-def verdict_errors(decisions: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """id, error: decisions (id, kind, verdict, given: array of fields, rationale) against the verdicts of their kind.
-
-    A terminal verdict needs a rationale; exactly one group of one_of is given, by any of its fields.
-    """
-    rows = decisions.join(F.broadcast(verdicts), ["kind", "verdict"], "left")
-    lacking, extra = F.array_except("required", "given"), F.array_except("given", F.array_union("required", "optional"))
-    groups = F.size(F.filter("one_of", lambda g: F.arrays_overlap(g, F.col("given"))))
-    listed = lambda fields: F.array_join(F.array_sort(fields), ",")
-    errors = F.array_compact(
-        F.array(
-            F.when(F.col("writes").isNull(), F.lit("unknown verdict")), F.when(F.size(lacking) > 0, F.concat(F.lit("missing "), listed(lacking))),
-            F.when(F.size(extra) > 0, F.concat(F.lit("unknown field "), listed(extra))), F.when((F.size("one_of") > 0) & (groups != 1), F.lit("one group of fields")),
-            F.when(F.col("terminal") & (blank(F.col("rationale")) == ""), F.lit("no rationale")),
-        )
-    )
-    return rows.select("id", F.explode(errors).alias("error"))

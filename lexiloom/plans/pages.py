@@ -156,7 +156,7 @@ def slot_links(t: Tables) -> DataFrame:
     WITH c AS (SELECT o_custkey AS class, o_orderkey AS rule_no, 's' || l_linenumber AS slot, l_linenumber AS ord, l_returnflag AS v,
                       CASE WHEN l_quantity < 15 THEN 'pre' WHEN l_quantity < 20 THEN 'any' WHEN l_quantity < 45 THEN 'post' ELSE 'one' END AS side, CASE l_suppkey % 4 WHEN 0 THEN 'equals' WHEN 1 THEN 'number' WHEN 2 THEN 'presence' END AS test
                FROM orders JOIN (SELECT l_orderkey, l_linenumber, min(l_quantity) AS l_quantity, min(l_suppkey) AS l_suppkey, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2) ON l_orderkey = o_orderkey),
-    x AS (SELECT *, CASE test WHEN 'equals' THEN slot || ' = "' || v || '"' WHEN 'number' THEN slot || ' is true' WHEN 'presence' THEN slot || ' is present' ELSE slot END AS said FROM c),
+    x AS (SELECT *, CASE WHEN side = 'any' AND test IS DISTINCT FROM 'equals' THEN slot ELSE CASE test WHEN 'equals' THEN slot || ' = "' || v || '"' WHEN 'number' THEN slot || ' is true' WHEN 'presence' THEN slot || ' is present' ELSE slot END END AS said FROM c),
     g AS (SELECT class, rule_no, string_agg(said, ' and ' ORDER BY ord) FILTER (side = 'pre') AS pre, string_agg(said, ' or ' ORDER BY ord) FILTER (side = 'any') AS alt, string_agg(slot, ', ' ORDER BY ord) FILTER (side = 'post') AS post,
                  string_agg(slot, ' / ' ORDER BY ord) FILTER (side = 'one') AS one, string_agg(slot, ', ' ORDER BY ord) FILTER (side = 'one') AS ones FROM x GROUP BY 1, 2)
     SELECT class, rule_no, 'Exactly one of ' || one || ' is required.' AS summary, ones AS slots FROM g WHERE one IS NOT NULL

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.operators import curation, project, resolve, validate
+from lexiloom.operators import curation, project, resolve, validate, verdicts
 from lexiloom.plans.registry import Tables, query
 
 _MAP = """
@@ -195,12 +195,7 @@ def verdict_checks(t: Tables) -> DataFrame:
     verdict = F.when(priority == "1-URGENT", "rename").when(priority == "2-HIGH", "merge").when(priority == "3-MEDIUM", "defer").when(priority == "4-NOT SPECIFIED", "add_slot").otherwise("no such verdict")
     given = F.array_compact(F.array(F.when(key % 2 == 0, F.lit("label")), F.when(key % 3 == 0, F.lit("into"))))
     rows = t.orders.select(key.alias("id"), F.when(priority == "4-NOT SPECIFIED", "class").otherwise("term").alias("kind"), verdict.alias("verdict"), given.alias("given"), F.when(key % 5 != 0, "why").alias("rationale"))
-    return curation.verdict_errors(rows, curation.verdict_table(t.spark))
-
-
-@query("SELECT * FROM (VALUES ('class', 16, 1), ('enum', 7, 1), ('module', 4, 1), ('slot', 10, 1), ('subset', 6, 1), ('term', 16, 1), ('usage', 4, 1)) v(kind, n, open)")
-def verdict_counts(t: Tables) -> DataFrame:
-    return curation.verdict_table(t.spark).groupBy("kind").agg(F.count("*").cast("int").alias("n"), F.count_if(~F.col("terminal")).cast("int").alias("open"))
+    return verdicts.verdict_errors(rows, verdicts.verdict_table(t.spark))
 
 
 @query(
@@ -274,3 +269,62 @@ def label_references(t: Tables) -> DataFrame:
     labels = t.part.where("p_size = 50").select(F.col("p_name").alias("label"), F.col("p_type").alias("enum")).distinct()
     place = lambda name, where, enum: t.part.where(where).select(F.lit(name).alias("place"), F.col("p_name").alias("label"), enum.alias("enum"), F.col("p_partkey").alias("holder"))
     return curation.references(labels, place("facet base", "p_size < 10", F.col("p_type")).union(place("scope", "p_size = 10", F.lit(""))))
+
+
+@query(
+    """
+    WITH o AS (SELECT o_orderkey AS id, o_orderkey % 12 AS n, o_custkey % 4 AS m, 'c:' || o_custkey AS sid, c_mktsegment AS seg, c_acctbal > 0 AS live FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
+    k AS (SELECT *, CASE seg WHEN 'AUTOMOBILE' THEN 'class' WHEN 'BUILDING' THEN 'term' WHEN 'FURNITURE' THEN 'slot' WHEN 'HOUSEHOLD' THEN 'enum' ELSE 'subset' END AS is_a FROM o),
+    want AS (SELECT *, CASE n WHEN 0 THEN 'into' WHEN 1 THEN 'subsets' WHEN 2 THEN 'is_a' END AS field, CASE n WHEN 0 THEN 'term' WHEN 1 THEN 'subset' WHEN 2 THEN 'class' END AS of FROM k)
+    SELECT id, field, CASE WHEN seg IS NULL THEN 'no subject ' || sid WHEN is_a <> of THEN sid || ' is a ' || is_a ELSE sid || ' is not live' END AS error FROM want WHERE n < 3 AND NOT (n = 2 AND m = 0) AND (seg IS NULL OR is_a <> of OR NOT live)
+    UNION ALL SELECT id, 'mappings', CASE m WHEN 0 THEN 'not one of move|drop' ELSE 'null' END FROM o WHERE n = 0 AND m < 2
+    UNION ALL SELECT id, 'description', CASE m WHEN 2 THEN 'null' ELSE 'no str' END FROM o WHERE n = 3 AND m > 0
+    UNION ALL SELECT id, 'layer', 'no int' FROM o WHERE n = 4 AND m > 0
+    UNION ALL SELECT id, 'delete_def', 'no bool' FROM o WHERE n = 5 AND m = 1 UNION ALL SELECT id, NULL, 'missing slot' FROM o WHERE n = 5
+    UNION ALL SELECT id, 'see_also', 'no str_list' FROM o WHERE n = 6 AND m > 1 UNION ALL SELECT id, NULL, 'one group of fields' FROM o WHERE n = 6 AND m = 0
+    UNION ALL SELECT id, NULL, 'the operation is no object' FROM o WHERE n = 7 UNION ALL SELECT id, 'op', 'names another verdict' FROM o WHERE n = 8
+    UNION ALL SELECT id, NULL, 'only a seed records this' FROM o WHERE n = 9 AND m > 0 UNION ALL SELECT id, 'rule', 'no map' FROM o WHERE n = 10 UNION ALL SELECT id, NULL, 'no rationale' FROM o WHERE n = 11
+    """
+)
+def typed_operations(t: Tables) -> DataFrame:
+    """Decisions of twelve shapes, one an order; customers are the subjects that their fields name."""
+    key, m = F.col("o_orderkey"), F.col("o_custkey") % 4
+    n, sid = key % 12, F.concat(F.lit('"c:'), F.col("o_custkey").cast("string"), F.lit('"'))
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    pick = lambda *values: F.element_at(F.array(*(F.lit(v) for v in values)), (m + 1).cast("int"))
+    shapes = [
+        ("term", "merge", text('{"op":"merge","into":', sid, ',"mappings":', pick('"keep"', "null", '"move"', '"drop"'), "}")), ("term", "set_subsets", text('{"subsets":[', sid, ",", sid, "]}")),
+        ("class", "set_is_a", text('{"is_a":', F.when(m == 0, "null").otherwise(sid), "}")), ("enum", "edit_description", text('{"description":', pick('"said"', '" "', "null", "7"), "}")),
+        ("module", "set_layer", text('{"layer":', pick("2", "2.5", '"2"', "true"), "}")), ("class", "drop_slot", text('{"delete_def":', pick("true", "1", "false", "true"), "}")),
+        ("class", "set_lineage", pick("{}", '{"see_also":["a"]}', '{"see_also":["a",""]}', '{"see_also":"a"}')), ("term", "keep", F.lit("[1]")), ("term", "keep", F.lit('{"op":"delete"}')), ("term", "mint_base", F.lit('{"note":"n"}')),
+        ("class", "add_rule", F.lit('{"rule":["a"]}')), ("slot", "keep", F.lit(None).cast("string")),
+    ]
+    at = lambda k: F.element_at(F.array(*(s[k] if k == 2 else F.lit(s[k]) for s in shapes)), (n + 1).cast("int"))
+    rows = t.orders.select(key.alias("id"), at(0).alias("kind"), at(1).alias("verdict"), F.when(n != 11, "why").alias("rationale"), F.when(m == 0, "seed").otherwise("review").alias("origin"), at(2).alias("operation"))
+    segment = F.col("c_mktsegment")
+    kind = F.when(segment == "AUTOMOBILE", "class").when(segment == "BUILDING", "term").when(segment == "FURNITURE", "slot").when(segment == "HOUSEHOLD", "enum").otherwise("subset")
+    subjects = t.customer.select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("sid"), kind.alias("kind"), (F.col("c_acctbal") > 0).alias("live"))
+    return verdicts.operation_errors(rows, subjects)
+
+
+@query(
+    """
+    WITH d AS (SELECT p_partkey AS id, p_partkey % 4 = 3 AS negate, CASE p_size % 3 WHEN 0 THEN 'vocab:has_element_type' WHEN 1 THEN 'skos:exactMatch' ELSE 'skos:relatedMatch' END AS predicate,
+                      CASE WHEN p_size % 10 = 9 THEN 'sssom:NoTermFound' WHEN p_size % 4 = 0 THEN 'X:' || p_brand ELSE 'B:' || p_brand END AS object, CASE p_size % 5 WHEN 0 THEN 'exact' WHEN 1 THEN 'odd' WHEN 2 THEN 'not_applicable' ELSE '' END AS fit FROM part),
+    k AS (SELECT *, predicate = 'vocab:has_element_type' AS member, object LIKE 'B:%' AS target, object = 'sssom:NoTermFound' AS none FROM d)
+    SELECT id, 'membership needs an object of the target' AS error FROM k WHERE member AND NOT target AND NOT none
+    UNION ALL SELECT id, 'membership needs a fit' FROM k WHERE member AND NOT negate AND fit NOT IN ('exact', 'broad', 'approximate', 'not_applicable')
+    UNION ALL SELECT id, 'the predicate is banned for this object' FROM k WHERE predicate = 'skos:exactMatch' AND target AND NOT negate AND object NOT IN ('B:Brand#1', 'B:Brand#2')
+    UNION ALL SELECT id, 'only membership has a fit' FROM k WHERE fit <> '' AND NOT member
+    UNION ALL SELECT id, 'none found needs membership and not_applicable' FROM k WHERE none AND NOT (member AND fit = 'not_applicable')
+    """
+)
+def mapping_operations(t: Tables) -> DataFrame:
+    size = F.col("p_size")
+    predicate = F.when(size % 3 == 0, "vocab:has_element_type").when(size % 3 == 1, "skos:exactMatch").otherwise("skos:relatedMatch")
+    object_id = F.when(size % 10 == 9, project.NONE_FOUND).when(size % 4 == 0, F.concat(F.lit("X:"), "p_brand")).otherwise(F.concat(F.lit("B:"), "p_brand"))
+    fit = F.when(size % 5 == 0, "exact").when(size % 5 == 1, "odd").when(size % 5 == 2, "not_applicable")
+    operation = F.to_json(F.struct(predicate.alias("predicate"), object_id.alias("object"), fit.alias("element_type_fit")))
+    rows = t.part.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 4 == 3, "reject_mapping").otherwise("adopt_mapping").alias("verdict"), operation.alias("operation"))
+    policy = validate.MappingPolicy(banned=("skos:exactMatch",), licensed=("B:Brand#1",), attributes=("B:Brand#2",), prefix="B:")
+    return verdicts.mapping_operation_errors(rows, policy)
