@@ -82,7 +82,9 @@ class WordTokens(dict):
         letters = list(letters)
         for k in range(0, len(letters), 1000):
             some = letters[k : k + 1000]
-            line = b" ".join(some).decode().lower().encode().decode("latin-1").translate(_BYTE_CHARS)
+            line = b" ".join(some).decode().lower()
+            if not line.isascii():
+                line = line.encode().decode("latin-1").translate(_BYTE_CHARS)
             ids = np.array(self.model.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) == len(some) and ends[-1] == len(ids):
