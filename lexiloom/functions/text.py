@@ -122,6 +122,7 @@ def pipe_list(c: Column) -> Column:
 
 
 def same_set(a: Column, b: Column) -> Column:
+    """Whether two lists hold the same values, order and repeats aside."""
     return F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b))
 
 
@@ -174,13 +175,18 @@ def half_even(c: Column, places: int) -> Column:
 
 
 def iso_time(c: Column) -> Column:
-    """A timestamp to the second, in the session's time zone, with its offset from UTC."""
-    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ssXXX")
+    """A timestamp to the second, in the session's time zone, without an offset."""
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
 
 
 def locale_key(c: Column) -> Column:
-    """What a list is sorted by where letters count before case: alike letters are neighbours, small ones first."""
-    return F.concat(F.lower(c), F.lit("\x00"), F.translate(c, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
+    """What a list is sorted, grouped or joined by as readers expect it: by letter, then by accent, small letters before capitals."""
+    return F.collate(c, "UNICODE")
+
+
+def word_tokens(c: Column) -> Column:
+    """The words of a text in lower case: what stands between characters that are no ASCII letters or digits."""
+    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
 
 
 def holds_quoted(document: Column, value: Column) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.functions.text import blank, finding_id, has_word, squeeze
+from lexiloom.functions.text import blank, finding_id, squeeze, word_tokens
 from lexiloom.session import durable, in_order
 
 # Weights of the queue and points of severities.
@@ -191,11 +191,25 @@ def orphan_values(values: DataFrame, used: DataFrame) -> DataFrame:
     return values.join(used.select("axis", "value").distinct(), ["axis", "value"], "left_anti")
 
 
-def residual_compounds(terms: DataFrame, words: tuple[str, ...], kept: DataFrame) -> DataFrame:
-    """terms (subject, label) whose label holds a facet word, and that no decision (subject) keeps whole."""
-    hit = F.array_compact(F.array(*(F.when(has_word(F.col("label"), F.lit(w)), F.lit(w)) for w in words)))
-    out = terms.withColumn("words", F.array_join(hit, "|")).where("words <> ''")
-    return out.join(kept.select("subject"), "subject", "left_anti")
+def residual_compounds(terms: DataFrame, words: tuple[str, ...], kept: DataFrame, values: DataFrame | None = None) -> DataFrame:
+    """terms (subject, label) whose label holds a facet word or a facet value's label, and that no decision (subject) keeps whole.
+
+    values: (value), of any number. Words and values stand on word boundaries, case aside; `words` lists what was found,
+    sorted and joined by |. Labels and values meet by an equality join on runs of words: a label gives its runs of the
+    lengths that values have, so a label of m words costs m rows for each length.
+    """
+    fixed = terms.sparkSession.createDataFrame([(w,) for w in words], "value string")
+    wanted = fixed if values is None else fixed.unionByName(values.select("value"))
+    wanted = durable(wanted.distinct().withColumn("run", word_tokens(F.col("value"))).where(F.size("run") > 0), "facets")
+    lengths = sorted(r["n"] for r in wanted.select(F.size("run").alias("n")).distinct().collect())  # as many as lengths of labels
+    if not lengths:
+        return terms.limit(0).withColumn("words", F.lit(""))
+    held = terms.select("subject", "label", word_tokens(F.col("label")).alias("of"))
+    starts = lambda n: F.when(F.size("of") >= n, F.sequence(F.lit(1), F.size("of") - (n - 1))).otherwise(F.array().cast("array<int>"))
+    cut = lambda n: F.transform(starts(n), lambda at: F.slice("of", at, F.lit(n)))
+    runs = held.select("subject", "label", F.explode(F.array_distinct(F.flatten(F.array(*(cut(n) for n in lengths))))).alias("run"))
+    found = runs.join(wanted, "run").groupBy("subject", "label").agg(F.array_join(F.array_sort(F.collect_set("value")), "|").alias("words"))
+    return found.join(kept.select("subject"), "subject", "left_anti")
 
 
 # Lint rules with their severity and suggested verdict, and the numbers that they use.
@@ -312,17 +326,25 @@ def numbered(decisions: DataFrame, start: int = 21) -> DataFrame:
     return in_order(decisions.where("status = 'applied' and origin <> 'seed' and writes <> 'none'"), "number", start, "applied_on", "id")
 
 
+#: Prompts that may be broadcast.
+MOST_PROMPTS = 10_000
+
+
 def matching_prompts(subjects: DataFrame, prompts: DataFrame) -> DataFrame:
     """subject, prompt: every prompt (prompt, kinds, layers, signals) all of whose given conditions a subject meets.
 
-    subjects: (subject, kind, layer, signals: array of names that hold). A null condition is not given.
+    subjects: (subject, kind, layer, signals: array of names that hold). A null condition is not given. Prompts are a
+    list that people write: MOST_PROMPTS of them at most, which is checked, are broadcast and their conditions tested on
+    each subject, so no subject moves.
     """
-    kinds = F.coalesce("kinds", F.array(F.lit("*")))
-    by_kind = prompts.withColumn("_kind", F.explode(kinds))
-    some = lambda c: F.col(c).isNull()
-    ok = (some("layers") | F.array_contains("layers", F.col("layer"))) & (some("want") | F.arrays_overlap("want", "have"))
-    rows = subjects.withColumnRenamed("signals", "have").withColumn("_kind", F.explode(F.array(F.col("kind"), F.lit("*"))))
-    return rows.join(by_kind.withColumnRenamed("signals", "want"), "_kind").where(ok).select("subject", "prompt").distinct()
+    asked = durable(prompts.select("prompt", "kinds", "layers", F.col("signals").alias("want")), "prompts")
+    n = asked.count()
+    if n > MOST_PROMPTS:
+        raise ValueError(f"{n} prompts are more than the {MOST_PROMPTS} that each subject can be tested on")
+    fits = lambda c, ok: F.col(c).isNull() | ok
+    ok = fits("kinds", F.array_contains("kinds", F.col("kind"))) & fits("layers", F.array_contains("layers", F.col("layer"))) & fits("want", F.arrays_overlap("want", "have"))
+    rows = subjects.withColumnRenamed("signals", "have")
+    return rows.join(F.broadcast(asked), ok).select("subject", "prompt").distinct()
 
 
 def apply_facet(terms: DataFrame, decompositions: DataFrame, ledger: DataFrame, operations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.functions.text import blank
+from lexiloom.functions.text import blank, pipe_list, same_set
 from lexiloom.session import durable
 
 
@@ -13,22 +16,23 @@ from lexiloom.session import durable
 NONE_FOUND = "sssom:NoTermFound"
 
 
-def ordered_distinct(order: str, value: str):
-    """Aggregate: distinct values in the order of their first appearance."""
+def in_row_order(value: str, order: str = "first"):
+    """Aggregate: the values of rows that are distinct already, in this order."""
     pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
-    return F.array_distinct(F.transform(pairs, lambda p: p["v"]))
+    return F.transform(pairs, lambda p: p["v"])
 
 
 def axioms(rows: DataFrame) -> DataFrame:
     """subject, label, fit, n, objects, form of rows (row_no, subject, label, fit, object).
 
     Objects are distinct in row order and joined by |; label and fit are the first row's; one object is an IRI, several
-    are a union. Rows that say that nothing was found make no axiom.
+    are a union. Rows that say that nothing was found make no axiom. Rows that repeat an object are one before a subject's
+    objects are gathered, so a subject's list is as long as it has objects, whatever its rows.
     """
     rows = rows.where(F.col("object") != NONE_FOUND)
-    per = rows.groupBy("subject").agg(
-        F.min_by("label", "row_no").alias("label"), F.min_by("fit", "row_no").alias("fit"), ordered_distinct("row_no", "object").alias("o")
-    )
+    once = rows.groupBy("subject", "object").agg(F.min(F.struct("row_no", "label", "fit")).alias("r"))
+    once = once.select("subject", "object", F.col("r.row_no").alias("first"), "r.label", "r.fit")
+    per = once.groupBy("subject").agg(F.min_by("label", "first").alias("label"), F.min_by("fit", "first").alias("fit"), in_row_order("object").alias("o"))
     return per.select("subject", "label", "fit", F.size("o").alias("n"), F.array_join("o", "|").alias("objects"), F.when(F.size("o") == 1, "iri").otherwise("unionOf").alias("form"))
 
 
@@ -50,22 +54,86 @@ def desired_state(rows: DataFrame, slots: dict[str, str], member: str, related:
     not_applicable stands where a subject has only the `related` predicate. conflict tells of several fits.
     """
     positive = blank(F.col("modifier")) != "Not"
-    when = lambda c, v="object": F.when(c, F.col(v))
-    listed = lambda c: F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(when(c, "_p"))), lambda p: p["v"])), "|")
-    rows = rows.withColumn("_p", F.struct(F.col("row_no").alias("o"), F.col("object").alias("v")))
-    is_member, is_related = F.col("predicate") == member, F.col("predicate") == related
-    out = rows.groupBy("subject").agg(
-        *(listed(positive & (F.col("predicate") == p)).alias(s) for p, s in slots.items()),
-        listed(~positive).alias("negated"),
-        listed(positive & is_member).alias("_members"),
-        F.count_if(positive & ~is_related).alias("_other"),
-        F.count_if(positive & is_related).alias("_related"),
-        F.count_distinct(F.when(positive & is_member, F.col("fit"))).alias("_fits"),
+    is_member = F.col("predicate") == member
+    rows = rows.withColumn("_list", F.when(~positive, "negated").otherwise(F.col("predicate")))
+    # an object counts once in a list: rows that repeat it are one before lists are gathered
+    once = rows.groupBy("subject", "_list", "object").agg(F.min("row_no").alias("first"), F.count("*").alias("_n"), F.array_distinct(F.collect_set(F.when(positive & is_member, F.col("fit")))).alias("_fits"))
+    in_list = lambda name: F.col("_list") == name
+    pair = F.struct(F.col("first").alias("o"), F.col("object").alias("v"))
+    listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, pair))), lambda p: p["v"]), "|")
+    out = once.groupBy("subject").agg(
+        *(listed(in_list(p)).alias(s) for p, s in slots.items()),
+        listed(in_list("negated")).alias("negated"),
+        listed(in_list(member)).alias("_members"),
+        F.coalesce(F.sum(F.when(~in_list("negated") & ~in_list(related), F.col("_n"))), F.lit(0)).alias("_other"),
+        F.coalesce(F.sum(F.when(in_list(related), F.col("_n"))), F.lit(0)).alias("_related"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("_fits")))).alias("_fits"),
     )
     element = F.when(F.col("_members") != "", F.col("_members")).when((F.col("_other") == 0) & (F.col("_related") > 0), "not_applicable").otherwise("")
     return out.select("subject", *slots.values(), "negated", element.alias("element_type"), (F.col("_fits") > 1).alias("conflict"))
 
 
+def _edits(have: list[str], want: list[str]) -> list[dict]:
+    """How to get from one list to the other: what goes, comes and moves. The longest part that keeps its order stays."""
+    from bisect import bisect_left
+    from collections import Counter
+
+    def numbered(values: list[str]) -> list[tuple[str, int]]:
+        seen: Counter[str] = Counter()
+        return [(v, seen.update([v]) or seen[v]) for v in values]
+
+    a, b = numbered(have), numbered(want)
+    place = {v: k for k, v in enumerate(b)}
+    common = [(at, place[v]) for at, v in enumerate(a) if v in place]
+    # the longest rising run of places, by its smallest ends
+    ends, keys, before = [], [], {}
+    for at, to in common:
+        k = bisect_left(keys, to)
+        before[at] = ends[k - 1] if k else None
+        keys[k : k + 1], ends[k : k + 1] = [to], [at]
+    stays, at = set(), ends[-1] if ends else None
+    while at is not None:
+        stays.add(at)
+        at = before[at]
+    left = set(a)
+    out = [{"op": "delete", "object": v[0], "at": at, "to": None} for at, v in enumerate(a) if v not in place]
+    out += [{"op": "move", "object": a[at][0], "at": at, "to": to} for at, to in common if at not in stays]
+    return out + [{"op": "insert", "object": v[0], "at": None, "to": to} for to, v in enumerate(b) if v not in left]
+
+
+def list_edits(lists: DataFrame) -> DataFrame:
+    """subject, slot, same_set, edits of lists (subject, slot, have, want: arrays of texts) that differ.
+
+    edits: (op: delete, insert or move, object, at: place in have, to: place in want), as few as get from one list to the
+    other: what keeps its order in the longest common part stays. An object that a list repeats counts by its occurrences;
+    a null list is an empty one; same_set tells that only the order or repeats differ. Rows are taken one by one in tasks.
+    """
+    empty = F.array().cast("array<string>")
+    rows = lists.select("subject", "slot", F.coalesce("have", empty).alias("have"), F.coalesce("want", empty).alias("want"))
+    rows = rows.where(F.col("have") != F.col("want")).withColumn("same_set", same_set(F.col("have"), F.col("want")))
+    kind = pa.list_(pa.struct([("op", pa.string()), ("object", pa.string()), ("at", pa.int64()), ("to", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            edits = [_edits(h, w) for h, w in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(edits, kind)], names=["subject", "slot", "same_set", "edits"])
+
+    fields = f"subject {rows.schema['subject'].dataType.simpleString()}, slot string, same_set boolean, edits array<struct<op: string, object: string, at: long, to: long>>"
+    return rows.select("subject", "slot", "same_set", "have", "want").mapInArrow(run, fields)
+
+
+def projection_edits(have: DataFrame, state: DataFrame, slots: tuple[str, ...]) -> DataFrame:
+    """Edits (see list_edits) that turn the schema's slots into the desired state, slot by slot and in order.
+
+    have: (subject, slot, ord, object) of the schema; state: rows of desired_state, whose lists are joined by |. Subjects
+    of either side count; slots that are not listed are left alone.
+    """
+    per = have.where(F.col("slot").isin(*slots)).groupBy("subject", "slot").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "object"))), lambda s: s["object"]).alias("have"))
+    stack = F.explode(F.array(*(F.struct(F.lit(s).alias("slot"), pipe_list(F.col(s)).alias("want")) for s in slots)))
+    want = state.select("subject", stack.alias("s")).select("subject", "s.slot", "s.want").where(F.size("want") > 0)
+    return list_edits(per.join(want, ["subject", "slot"], "full"))
+
+
 def ancestors(edges: DataFrame, classes: DataFrame) -> DataFrame:
     """class, ancestor, path, distance of edges (class, parent, ord) and classes (class), each class its own at distance 0.
 
@@ -73,7 +141,7 @@ def ancestors(edges: DataFrame, classes: DataFrame) -> DataFrame:
     and not one for each way. A round is a join with what the last one changed; there are as many as the longest way up.
     A class that is its own ancestor is an error.
     """
-    code = F.lpad((999 - F.col("ord")).cast("string"), 3, "0")
+    code = F.lpad((F.lit(10**9) - 1 - F.col("ord")).cast("string"), 9, "0")
     steps = durable(edges.select("class", "parent", code.alias("code")), "edges")
     order = F.struct("path", "distance")
     best = durable(classes.select("class").distinct().select("class", F.col("class").alias("ancestor"), F.lit("").alias("path"), F.lit(0).cast("long").alias("distance")), "ancestors")

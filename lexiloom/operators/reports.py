@@ -101,6 +101,52 @@ def current_state(terms: DataFrame) -> DataFrame:
     )
 
 
+#: Levels of overview() by what grouping_id(kind, enum, layer, predicate) says: a bit for each column that is not grouped by.
+LEVELS = {15: "all", 7: "kind", 11: "enum", 5: "layer", 14: "predicate"}
+
+
+def overview(subjects: DataFrame, predicates: dict[str, str], member: str, related: str, prefix: str, none_found: str) -> DataFrame:
+    """level, kind, enum, layer, predicate, n, mapped, annotated, with_class, retired, first_id, last_id, rows: the whole state in one pass.
+
+    subjects: (kind, enum, layer, term_id, retired, mappings: array of predicate, object, modifier). Levels are grouping
+    sets over one scan: all, kind, enum (of terms), layer (of each kind), predicate (those given, by the name they have
+    there). A positive row is one whose modifier is not Not. A subject is mapped if it has one, annotated if it has a
+    `member` row or a `related` row to an object of the prefix, and has a class if a member row names an object. rows
+    counts positive rows. Retired subjects count as such alone; ids are those of live terms. At the level predicate n counts
+    subjects, and the other counts are 0.
+    """
+    kind = subjects.schema["mappings"].dataType.simpleString()
+    positive = F.filter(F.coalesce("mappings", F.array().cast(kind)), lambda m: F.coalesce(m["modifier"], F.lit("")) != "Not")
+    rows = subjects.withColumn("_rows", F.when(F.col("retired"), F.array().cast(kind)).otherwise(positive)).withColumn("_live", ~F.col("retired"))
+    is_member = lambda m: m["predicate"] == member
+    is_term = F.col("kind") == "term"
+    # a row for the subject itself, and one for each predicate that it has rows of
+    own = F.struct(F.lit(None).cast("string").alias("predicate"), F.size("_rows").alias("m"), F.lit(True).alias("own"))
+    of = lambda predicate: F.size(F.filter("_rows", lambda m: m["predicate"] == predicate))
+    each = [F.struct(F.lit(name).alias("predicate"), of(p).alias("m"), F.lit(False).alias("own")) for p, name in predicates.items()]
+    rows = rows.select(
+        "kind", F.when(is_term, F.col("enum")).alias("enum"), "layer", "retired", F.when(is_term & F.col("_live"), F.col("term_id")).alias("term_id"), "_live", (F.size("_rows") > 0).alias("mapped"),
+        F.exists("_rows", lambda m: is_member(m) | ((m["predicate"] == related) & m["object"].startswith(prefix))).alias("annotated"), F.exists("_rows", lambda m: is_member(m) & (m["object"] != none_found)).alias("with_class"),
+        F.explode(F.filter(F.array(own, *each), lambda e: e["own"] | (e["m"] > 0))).alias("e"),
+    )
+    found = subjects.sparkSession.sql(
+        """
+        SELECT grouping_id(kind, enum, layer, predicate) AS g, kind, enum, layer, predicate, count_if(own AND _live) AS n, count_if(own AND _live AND mapped) AS mapped, count_if(own AND _live AND annotated) AS annotated,
+               count_if(own AND _live AND with_class) AS with_class, count_if(own AND retired) AS retired, min(term_id) AS first_id, max(term_id) AS last_id, sum(IF(own, m, 0)) AS rows, count_if(NOT own) AS with_predicate, sum(IF(own, 0, m)) AS of_predicate
+        FROM {rows} GROUP BY GROUPING SETS ((), (kind), (enum), (kind, layer), (predicate))
+        """,
+        rows=rows.select("kind", "enum", "layer", "retired", "term_id", "_live", "mapped", "annotated", "with_class", "e.predicate", "e.m", "e.own"),
+    )
+    level = F.element_at(F.create_map(*(F.lit(x) for pair in LEVELS.items() for x in pair)), F.col("g").cast("int"))
+    found = found.withColumn("level", level).where("not (level = 'enum' and enum is null) and not (level = 'predicate' and predicate is null)")
+    by_predicate = F.col("level") == "predicate"
+    alone = lambda c: F.when(by_predicate, 0).otherwise(F.col(c)).alias(c)
+    return found.select(
+        "level", "kind", "enum", "layer", "predicate", F.when(by_predicate, F.col("with_predicate")).otherwise(F.col("n")).alias("n"), alone("mapped"), alone("annotated"), alone("with_class"), alone("retired"),
+        F.when(~by_predicate, F.col("first_id")).alias("first_id"), F.when(~by_predicate, F.col("last_id")).alias("last_id"), F.when(by_predicate, F.col("of_predicate")).otherwise(F.col("rows")).alias("rows"),
+    )
+
+
 def slot_order(slots: DataFrame) -> DataFrame:
     """slots (class, slot, identifier, required, recommended) with `place`: identifiers first, then required, recommended, names."""
     flag = lambda c: F.coalesce(F.col(c), F.lit(False)).desc()

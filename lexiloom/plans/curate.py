@@ -357,6 +357,22 @@ def residual_compounds(t: Tables) -> DataFrame:
     return curation.residual_compounds(terms, curation.FACET_WORDS, kept).select("subject", "words")
 
 
+@query(
+    """
+    WITH n AS (SELECT p_partkey AS subject, p_name || ' of ' || p_type || ', ' || p_brand AS label, p_partkey % 6 = 0 AS kept, ' ' || trim(regexp_replace(lower(p_name || ' of ' || p_type || ', ' || p_brand), '[^a-z0-9]+', ' ', 'g')) || ' ' AS said FROM part),
+    v AS (SELECT DISTINCT CASE WHEN p_size % 2 = 0 THEN upper(p_name) ELSE 'of ' || p_type END AS value FROM part WHERE p_size > 20 UNION SELECT DISTINCT p_brand FROM part WHERE p_size = 7 UNION SELECT unnest(['male', 'of', '--']))
+    SELECT subject, string_agg(DISTINCT value, '|' ORDER BY value) AS words FROM n JOIN v ON contains(said, ' ' || trim(regexp_replace(lower(value), '[^a-z0-9]+', ' ', 'g')) || ' ') AND value <> '--' WHERE NOT kept GROUP BY subject
+    """
+)
+def facet_compounds(t: Tables) -> DataFrame:
+    """Labels of several words that hold values of one to three words, of which there are as many as parts have names."""
+    size = F.col("p_size")
+    terms = t.part.select(F.col("p_partkey").alias("subject"), F.concat("p_name", F.lit(" of "), "p_type", F.lit(", "), "p_brand").alias("label"))
+    values = t.part.where(size > 20).select(F.when(size % 2 == 0, F.upper("p_name")).otherwise(F.concat(F.lit("of "), "p_type")).alias("value")).union(t.part.where(size == 7).select("p_brand"))
+    kept = t.part.where("p_partkey % 6 = 0").select(F.col("p_partkey").alias("subject"))
+    return curation.residual_compounds(terms, ("male", "of", "--"), kept, values).select("subject", "words")
+
+
 @query(
     """
     SELECT trim(regexp_replace(p_type || '  why', '\\s+', ' ', 'g')) AS reason, min(p_partkey) AS first_ord, string_agg(p_name, ',' ORDER BY p_partkey, p_name) AS terms, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS ids,

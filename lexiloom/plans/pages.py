@@ -10,6 +10,7 @@ from lexiloom.operators import browse, curation, project, reports, resolve
 from lexiloom.plans.curate import _FOUND, _found
 from lexiloom.plans.registry import Tables, query
 from lexiloom.plans.resolve import _RESOLVED, _resolved
+from lexiloom.session import in_order
 from lexiloom.sources.tables import with_defaults
 
 _SLUG = "regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
@@ -33,7 +34,7 @@ def text_forms(t: Tables) -> DataFrame:
 
 @query(
     """
-    SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at, CAST(round_even(value, 0) AS DOUBLE) AS even, props LIKE '%"' || 'k' || '"%' AS holds FROM events
+    SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS at, CAST(round_even(value, 0) AS DOUBLE) AS even, props LIKE '%"' || 'k' || '"%' AS holds FROM events
     """
 )
 def event_stamps(t: Tables) -> DataFrame:
@@ -47,10 +48,8 @@ def event_stamps(t: Tables) -> DataFrame:
     """
 )
 def locale_order(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
     names = t.part.select(F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise(F.upper("p_name")).alias("name")).distinct()
-    return names.select("name", F.row_number().over(Window.orderBy(text.locale_key(F.col("name")))).cast("long").alias("place"))
+    return in_order(names.withColumn("key", text.locale_key(F.col("name"))), "place", 1, "key").select("name", F.col("place").cast("long").alias("place"))
 
 
 def _subjects(t: Tables) -> DataFrame:
@@ -404,6 +403,57 @@ def term_state(t: Tables) -> DataFrame:
     return reports.current_state(t.part.select(F.col("p_type").alias("enum"), F.col("p_partkey").alias("id"), F.array_repeat(F.lit("m"), (size % 4).cast("int")).alias("mappings"), F.when(size % 5 == 0, " ").otherwise(F.col("p_brand")).alias("element_type"), (size == 13).alias("retired")))
 
 
+@query(
+    """
+    WITH m AS (SELECT l_partkey AS k, CASE WHEN l_linenumber % 3 = 0 THEN 'member' WHEN l_linenumber % 3 = 1 THEN 'related' ELSE 'exact' END AS predicate, CASE WHEN l_suppkey % 5 = 0 THEN 'none' WHEN l_suppkey % 2 = 0 THEN 'B:' || l_suppkey ELSE 'X:' || l_suppkey END AS object
+               FROM lineitem WHERE l_quantity > 40 AND l_returnflag <> 'R'),
+    p AS (SELECT p_partkey AS k, CASE WHEN p_size % 3 = 0 THEN 'class' ELSE 'term' END AS kind, p_type AS enum, p_size % 4 AS layer, p_size = 13 AS retired FROM part),
+    s AS (SELECT p.*, count(m.k) FILTER (NOT retired) AS rows, coalesce(bool_or(predicate = 'member' OR (predicate = 'related' AND object LIKE 'B:%')), false) AS ann, coalesce(bool_or(predicate = 'member' AND object <> 'none'), false) AS cls,
+                 count(*) FILTER (NOT retired AND predicate = 'member') AS nm, count(*) FILTER (NOT retired AND predicate = 'related') AS nr
+          FROM p LEFT JOIN m ON p.k = m.k GROUP BY ALL),
+    g AS (SELECT grouping(kind, e, layer) AS g, kind, e AS enum, layer, count(*) FILTER (NOT retired) AS n, count(*) FILTER (NOT retired AND rows > 0) AS mapped, count(*) FILTER (NOT retired AND ann) AS annotated, count(*) FILTER (NOT retired AND cls) AS with_class,
+                 count(*) FILTER (retired) AS retired, min(id) AS first_id, max(id) AS last_id, CAST(sum(rows) AS BIGINT) AS rows
+          FROM (SELECT *, CASE WHEN kind = 'term' THEN enum END AS e, CASE WHEN kind = 'term' AND NOT retired THEN k END AS id FROM s) GROUP BY GROUPING SETS ((), (kind), (e), (kind, layer)))
+    SELECT CASE g WHEN 7 THEN 'all' WHEN 3 THEN 'kind' WHEN 5 THEN 'enum' ELSE 'layer' END AS level, kind, enum, CAST(layer AS VARCHAR) AS layer, CAST(NULL AS VARCHAR) AS predicate, n, mapped, annotated, with_class, retired, CAST(first_id AS VARCHAR) AS first_id, CAST(last_id AS VARCHAR) AS last_id, rows FROM g WHERE NOT (g = 5 AND enum IS NULL)
+    UNION ALL SELECT 'predicate', NULL, NULL, NULL, 'member rows', count(*) FILTER (nm > 0), 0, 0, 0, 0, NULL, NULL, CAST(sum(nm) AS BIGINT) FROM s
+    UNION ALL SELECT 'predicate', NULL, NULL, NULL, 'related rows', count(*) FILTER (nr > 0), 0, 0, 0, 0, NULL, NULL, CAST(sum(nr) AS BIGINT) FROM s
+    """
+)
+def state_overview(t: Tables) -> DataFrame:
+    number, supplier = F.col("l_linenumber") % 3, F.col("l_suppkey")
+    predicate = F.when(number == 0, "member").when(number == 1, "related").otherwise("exact")
+    object_id = F.when(supplier % 5 == 0, "none").otherwise(F.concat(F.when(supplier % 2 == 0, "B:").otherwise("X:"), supplier.cast("string")))
+    rows = t.lineitem.where("l_quantity > 40").groupBy("l_partkey").agg(F.collect_list(F.struct(predicate.alias("predicate"), object_id.alias("object"), F.when(F.col("l_returnflag") == "R", "Not").alias("modifier"))).alias("mappings"))
+    size = F.col("p_size")
+    subjects = t.part.join(rows, F.col("p_partkey") == F.col("l_partkey"), "left").select(
+        F.when(size % 3 == 0, "class").otherwise("term").alias("kind"), F.col("p_type").alias("enum"), (size % 4).alias("layer"), F.col("p_partkey").alias("term_id"), (size == 13).alias("retired"), "mappings"
+    )
+    found = reports.overview(subjects, {"member": "member rows", "related": "related rows"}, "member", "related", "B:", "none")
+    return found.withColumns({c: F.col(c).cast("string") for c in ("layer", "first_id", "last_id")})
+
+
+@query(
+    """
+    WITH RECURSIVE h AS (SELECT o_custkey AS subject, o_orderpriority AS object, row_number() OVER (PARTITION BY o_custkey ORDER BY min(o_orderkey)) AS pos FROM orders GROUP BY 1, 2),
+    w AS (SELECT o_custkey AS subject, o_orderpriority AS object, row_number() OVER (PARTITION BY o_custkey ORDER BY min(o_totalprice)) AS pos FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1, 2),
+    c AS (SELECT h.subject, h.pos AS a, w.pos AS b FROM h JOIN w ON h.subject = w.subject AND h.object = w.object),
+    run(subject, a, b, n) AS (SELECT subject, a, b, 1 FROM c UNION ALL SELECT c.subject, c.a, c.b, run.n + 1 FROM run JOIN c ON c.subject = run.subject AND c.a > run.a AND c.b > run.b),
+    l AS (SELECT subject, max(n) AS kept FROM run GROUP BY subject), k AS (SELECT subject, count(*) AS common FROM c GROUP BY subject),
+    s AS (SELECT subject, count(*) AS n, string_agg(object, '|' ORDER BY pos) AS line FROM h GROUP BY subject), d AS (SELECT subject, count(*) AS n, string_agg(object, '|' ORDER BY pos) AS line FROM w GROUP BY subject)
+    SELECT subject, coalesce(s.n, 0) - coalesce(common, 0) AS deletes, coalesce(d.n, 0) - coalesce(common, 0) AS inserts, coalesce(common, 0) - coalesce(kept, 0) AS moves
+    FROM s FULL JOIN d USING (subject) LEFT JOIN k USING (subject) LEFT JOIN l USING (subject) WHERE s.line IS DISTINCT FROM d.line
+    """
+)
+def projection_edits(t: Tables) -> DataFrame:
+    """A customer's priorities in the order of orders, against the order by price of those that are not open."""
+    ranked = lambda rows, by: rows.groupBy(F.col("o_custkey").alias("subject"), F.col("o_orderpriority").alias("object")).agg(F.min(by).alias("ord"))
+    have = ranked(t.orders, "o_orderkey").withColumn("slot", F.lit("exact"))
+    wanted = ranked(t.orders.where("o_orderstatus <> 'P'"), "o_totalprice").groupBy("subject").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "object"))), lambda s: s["object"]), "|").alias("exact"))
+    edits = project.projection_edits(have, wanted, ("exact",))
+    count = lambda op: F.size(F.filter("edits", lambda e: e["op"] == op)).cast("long").alias(f"{op}s")
+    return edits.select("subject", count("delete"), count("insert"), count("move"))
+
+
 @query(
     """
     SELECT p_type AS class, 's' || p_partkey AS slot, row_number() OVER (PARTITION BY p_type ORDER BY coalesce(CASE WHEN p_size % 11 = 0 THEN true END, false) DESC, p_size % 3 = 0 DESC, p_size % 2 = 0 DESC, 's' || p_partkey) AS place FROM part
