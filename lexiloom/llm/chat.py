@@ -56,7 +56,8 @@ def schema_fingerprint(found: Iterable[str]) -> str:
 class Mapping:
     """Either `turns`: the list of turns with its `role` and `text` fields (an empty path: the record is one turn),
     or `parts`: (role, field, field to append) for layouts with a field per role. `number` orders one-turn records;
-    `first` names the number of a list's first turn, where it is not 0."""
+    `first` names the number of a list's first turn, where it is not 0; `leads` are (role, field) beside a list that are
+    turns before it."""
 
     turns: str | None = None
     role: str = "role"
@@ -65,6 +66,7 @@ class Mapping:
     number: str | None = None
     first: str | None = None
     roles: dict[str, str] = field(default_factory=dict)
+    leads: tuple[tuple[str, str], ...] = (("system", "system"), ("user", "prompt"))
 
 
 _SHARE = {"human": "user", "gpt": "assistant", "system": "system", "bot": "assistant", "chatgpt": "assistant"}
@@ -78,6 +80,7 @@ LAYOUTS: tuple[tuple[tuple[str, ...], Mapping], ...] = (
     (("conversations[].from", "conversations[].value"), Mapping(turns="conversations", role="from", text="value", roles=_SHARE)),
     (("instruction", "input", "output"), Mapping(parts=(("user", "instruction", "input"), ("assistant", "output", None)))),
     (("instruction", "output"), Mapping(parts=(("user", "instruction", None), ("assistant", "output", None)))),
+    (("system", "instruction", "input", "output"), Mapping(parts=(("system", "system", None), ("user", "instruction", "input"), ("assistant", "output", None)))),
     (("system", "instruction", "output"), Mapping(parts=(("system", "system", None), ("user", "instruction", None), ("assistant", "output", None)))),
     (("prompt", "completion"), Mapping(parts=(("user", "prompt", None), ("assistant", "completion", None)))),
     (("prompt", "response"), Mapping(parts=(("user", "prompt", None), ("assistant", "response", None)))),
@@ -90,32 +93,60 @@ def registry(layouts: Iterable[tuple[tuple[str, ...], Mapping]] = LAYOUTS) -> di
 
 
 def _string(value: Any) -> str:
+    """What a text field says: a text itself, nothing for null, the texts of a list of parts line by line, else JSON."""
+    if isinstance(value, list) and value:
+        return "\n".join(_string(v.get("text") if isinstance(v, dict) and isinstance(v.get("text"), str) else v) for v in value)
     return value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
 
 
+def _number(value: Any) -> int | None:
+    """A turn's number: whole numbers, also as text; anything else, or what 64 bits can't hold, is none."""
+    if isinstance(value, str) and re.fullmatch(r"\s*[+-]?\d{1,19}\s*", value):
+        value = int(value)
+    elif isinstance(value, float) and value.is_integer():
+        value = int(value)
+    return value if isinstance(value, int) and not isinstance(value, bool) and -(2**63) <= value < 2**63 else None
+
+
 def turns_of(record: dict, mapping: Mapping) -> list[tuple[int | None, str, str]]:
-    """(number, role, text) of a record's turns. Missing roles and texts are empty."""
+    """(number, role, text) of a record's turns. Missing roles and texts are empty.
+
+    An item of a list that is no object is a turn without a role, its text what the item says. Fields beside a list that
+    are turns (mapping.leads) come before it, unless the list begins by saying the same; where the list's number is given
+    by a field they have no number, else the list counts on from them. What stands in a list's place but is none is one item.
+    """
     if mapping.parts:
         out = []
         for role, name, more in mapping.parts:
             pieces = [_string(record.get(n)) for n in (name, more) if n]
             out.append((len(out), role, "\n".join(p for k, p in enumerate(pieces) if p or not k)))
         return out
-    items = [record] if mapping.turns == "" else record.get(mapping.turns) or []
-    role = lambda t: _string(t.get(mapping.role))
-    first = record.get(mapping.first) if mapping.first else 0
-    place = lambda k, t: t.get(mapping.number) if mapping.number else None if first is None else first + k
-    return [(place(k, t), mapping.roles.get(role(t), role(t)), _string(t.get(mapping.text))) for k, t in enumerate(items)]
+    role = lambda t: mapping.roles.get(r := _string(t.get(mapping.role)), r)
+    said = lambda t: (role(t), _string(t.get(mapping.text))) if isinstance(t, dict) else ("", _string(t))
+    if mapping.turns == "":
+        return [(_number(record.get(mapping.number)) if mapping.number else 0, *said(record))]
+    items = record.get(mapping.turns)
+    items = [said(t) for t in (items if isinstance(items, list) else [] if items is None else [items])]
+    leads = [(r, _string(record[name])) for r, name in mapping.leads if record.get(name) not in (None, "", [])]
+    leads = [lead for lead in leads if lead not in items[: len(leads)]]
+    if mapping.first:
+        first = _number(record.get(mapping.first))
+        numbers = [None] * len(leads) + [None if first is None else first + k for k in range(len(items))]
+    else:
+        numbers = range(len(leads) + len(items))
+    return [(number, *turn) for number, turn in zip(numbers, leads + items, strict=True)]
 
 
 def canonical_turns(records: DataFrame, layouts: tuple[tuple[tuple[str, ...], Mapping], ...] = LAYOUTS) -> DataFrame:
     """conv_id, turn, role, text, layout of records (conv_id, record: JSON text).
 
     layout is the record's fingerprint. Where no layout has exactly its field paths, the layout with the most of them
-    chooses the mapping, so that further fields do no harm; layouts with as many are too many, and the record is unknown.
-    A record that is null, no JSON object or of an unknown layout gives one row with a null role and text, so that
-    nothing vanishes unseen (see unknown_layouts); known layouts never give a null role. A null conv_id stays; repeated
-    records each give their turns; an empty table gives an empty table; other columns are not read.
+    chooses the mapping, so that further fields, or parts where a text is expected, do no harm; layouts with as many are
+    too many, and the record is unknown. A record that is null, no JSON object or of an unknown layout gives one row with a
+    null role and text, so that nothing vanishes unseen (see unknown_layouts), and so does one whose list of turns is empty,
+    its layout marked as empty; known layouts never give a null role otherwise. What turns_of() says of fields of
+    unexpected kinds holds: none is an error. A null conv_id stays; repeated records each give their turns; an empty table
+    gives an empty table; other columns are not read.
     """
     key = records.schema["conv_id"].dataType
 
@@ -133,7 +164,10 @@ def canonical_turns(records: DataFrame, layouts: tuple[tuple[tuple[str, ...], Ma
                     found = frozenset(paths(record))
                     name = cache.get(found) or cache.setdefault(found, schema_fingerprint(found))
                     mapping = known.get(name) or _widest(found, layouts)
-                for number, role, said in turns_of(record, mapping) if mapping else [(None, None, None)]:
+                turns = turns_of(record, mapping) if mapping else []
+                if mapping and not turns:
+                    name = f"{EMPTY}{name}"
+                for number, role, said in turns or [(None, None, None)]:
                     for column, value in zip(out, (row, number, role, said, name), strict=True):
                         column.append(value)
                 if len(cache) > 10_000:
@@ -145,15 +179,27 @@ def canonical_turns(records: DataFrame, layouts: tuple[tuple[tuple[str, ...], Ma
     return records.select("conv_id", "record").mapInArrow(run, shape)
 
 
+#: Marks the layout of records whose list of turns is empty.
+EMPTY = "empty:"
+
+
 def _widest(found: frozenset[str], layouts: tuple[tuple[tuple[str, ...], Mapping], ...]) -> Mapping | None:
-    """The mapping of the layout with the most of the record's paths, all of its own among them."""
-    fitting = sorted(((len(paths), k) for k, (paths, _) in enumerate(layouts) if found.issuperset(paths)), reverse=True)
-    return layouts[fitting[0][1]][1] if fitting and (len(fitting) == 1 or fitting[0][0] > fitting[1][0]) else None
+    """The mapping of the layout with the most of the record's paths, all of its own among them.
+
+    A path is there if the record has it or anything below it, so a content of several parts is a content. Failing that,
+    a list under a layout's name, empty or of texts alone, chooses the first layout with that list.
+    """
+    above = {p[:k] for p in found for k in (m.start() for m in re.finditer(r"[.\[{]", p))} | found
+    fitting = sorted(((len(paths), k) for k, (paths, _) in enumerate(layouts) if above.issuperset(paths)), reverse=True)
+    if fitting:
+        return layouts[fitting[0][1]][1] if len(fitting) == 1 or fitting[0][0] > fitting[1][0] else None
+    return next((m for _, m in layouts if m.turns and f"{m.turns}[]" in above and not m.first), None)
 
 
 def unknown_layouts(turns: DataFrame) -> DataFrame:
     """layout (null: no JSON object) and records: how many records of canonical turns no mapping fits."""
-    return turns.where("role is null").groupBy("layout").agg(F.count("*").alias("records"))
+    unknown = F.col("role").isNull() & ~F.coalesce(F.startswith("layout", F.lit(EMPTY)), F.lit(False))
+    return turns.where(unknown).groupBy("layout").agg(F.count("*").alias("records"))
 
 
 def turn_records(turns: DataFrame) -> DataFrame:

@@ -83,7 +83,10 @@ def blob_id(text: str = "text") -> Column:
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple[RuleVersion, ...]) -> DataFrame:
-    """Ledger rows of blobs (blob, todo, text): a row for each version named in todo, also where nothing is found."""
+    """Ledger rows of blobs (blob, todo, text): a row for each version named in todo, also where nothing is found.
+
+    A blob that a task has met before is not scanned again; a null text is an empty one.
+    """
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +113,8 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
 
     Returns the new ledger rows (to be appended to the ledger) and findings (path, blob, found): for each row of
     versions the spans by rule version, empty where nothing was found. A null path is a path; a null text is an empty
-    one; a blob is scanned once, whatever number of paths, versions or repeated rows hold it.
+    one; a blob is scanned once, whatever number of paths, versions or repeated rows hold it. A ledger may repeat rows, as
+    two runs at once or a retried append leave it: a pair of blob and rules counts once.
     """
     versions = versions.select("path", "text")
     held = durable(versions.select("path", blob_id().alias("blob")), "blobs")
@@ -134,7 +138,9 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     fresh = durable(scan_blobs(texts, rules).dropDuplicates(["blob", "rules"]), "ledger")
     current = fresh
     if ledger is not None:
-        current = fresh.unionByName(ledger.where(F.col("rules").isin([r.version for r in rules])))
+        # of the ledger only this run's blobs, and a pair once: runs side by side or a retried append repeat rows
+        own = ledger.where(F.col("rules").isin([r.version for r in rules])).join(held.select("blob").distinct(), "blob", "left_semi")
+        current = fresh.unionByName(own).dropDuplicates(["blob", "rules"])
     found = current.groupBy("blob").agg(F.collect_list(F.struct("rules", "spans")).alias("found"))
     return fresh, held.join(found, "blob").select("path", "blob", "found")
 

@@ -212,6 +212,17 @@ def test_runs_share_a_ledger(spark, tmp_path, monkeypatch):
     assert secret_scan.redact(docs, ledger=path).where("text = '[SECRET]'").count() == 2
 
 
+def test_a_ledger_that_repeats_rows_doubles_nothing(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    docs = docs_of(spark, [(1, "token=abcdefghijklmnop", "a"), (1, "token=abcdefghijklmnop", "a"), (2, None, "b")])
+    first = sorted(map(str, secret_scan.document_secrets(docs, path).collect()))
+    secret_scan.read_ledger(spark, path).write.mode("append").parquet(path)  # as a retried append leaves it
+    other = docs_of(spark, [(9, "password=zyxwvutsrqponmlk", "z")])
+    secret_scan.document_secrets(other, path).count()
+    assert sorted(map(str, secret_scan.document_secrets(docs, path).collect())) == first
+    assert secret_scan.redact(docs, ledger=path).where("text = '[SECRET]'").count() == 2
+
+
 CLASHING = "doc_id long, text string, _id int, _blob int, _stays int, _at int, _hash int, _text int, AT int, Of int, text_hash int, best int, cls int, spans int, New_Text int"
 
 

@@ -221,6 +221,40 @@ def test_layouts_meet_in_canonical_turns(spark):
     assert set(out.turns_sha256) == {want} and set(out.loss_chars) == {len("<|im_end|>yo")} and len(out) == len(records)
 
 
+#: Records as data holds them, and the turns that they give.
+LOOSE = [
+    ({"conv_id": 1, "turn": "1", "role": "user", "text": "a"}, [(1, "user", "a")]),
+    ({"conv_id": 1, "turn": True, "role": "user", "text": "a"}, [(None, "user", "a")]),
+    ({"conv_id": 1, "turn": 2.0, "role": "user", "text": 7}, [(2, "user", "7")]),
+    ({"conv_id": 1, "turn": 10**30, "role": None, "text": None}, [(None, "", "")]),
+    ({"turn": "3", "messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]}, [(3, "user", "a"), (4, "assistant", "b")]),
+    ({"messages": ["hello", {"role": "user", "content": "a"}, None, 3]}, [(0, "", "hello"), (1, "user", "a"), (2, "", ""), (3, "", "3")]),
+    ({"messages": ["a", "b"]}, [(0, "", "a"), (1, "", "b")]),
+    ({"system": "s", "conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}]}, [(0, "system", "s"), (1, "user", "a"), (2, "assistant", "b")]),
+    ({"prompt": "p", "messages": [{"role": "assistant", "content": "b"}]}, [(0, "user", "p"), (1, "assistant", "b")]),
+    ({"prompt": "p", "messages": [{"role": "user", "content": "p"}, {"role": "assistant", "content": "b"}]}, [(0, "user", "p"), (1, "assistant", "b")]),
+    ({"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "text", "text": "b"}, "c", {"type": "image", "url": "u"}]}]}, [(0, "user", 'a\nb\nc\n{"type": "image", "url": "u"}')]),
+    ({"instruction": "i", "input": "n", "output": "o", "system": "s"}, [(0, "system", "s"), (1, "user", "i\nn"), (2, "assistant", "o")]),
+    ({"messages": [], "system": "s"}, [(0, "system", "s")]),
+    ({"messages": {"role": "user", "content": "a"}}, None),
+    ({"messages": []}, None),
+]
+
+
+def test_what_real_records_hold_is_no_error(spark):
+    rows = [(k, json.dumps(r)) for k, (r, _) in enumerate(LOOSE)]
+    turns = chat.canonical_turns(spark.createDataFrame(rows, "conv_id long, record string"))
+    found = {}
+    for r in turns.collect():
+        found.setdefault(r.conv_id, []).append((r.turn, r.role, r.text))
+    for k, (record, want) in enumerate(LOOSE):
+        assert sorted(found[k], key=repr) == sorted(want or [(None, None, None)], key=repr), record
+    assert chat.unknown_layouts(turns).agg(F.sum("records")).first()[0] == 1  # the empty list is known, and told apart
+    assert [r.conv_id for r in turns.where(F.startswith("layout", F.lit(chat.EMPTY))).collect()] == [14]
+    digests = chat.digests(chat.formatted(turns)).collect()
+    assert len(digests) == len(LOOSE) - 2
+
+
 def test_records_come_in_several_layouts(spark):
     turns = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text")
     read = chat.canonical_turns(chat.turn_records(turns))
