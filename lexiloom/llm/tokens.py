@@ -69,7 +69,7 @@ class WordTokens(dict):
             if len(word) > 64 or b"\x1e" in word or b"<|" in word:
                 continue
             core = word.rstrip(_TAIL)
-            if not _LETTERS.fullmatch(core.decode()):
+            if not (core.isalpha() and core.islower() or _LETTERS.fullmatch(core.decode())):
                 plain.add(word)
                 continue
             if len(core) < len(word):
