@@ -50,6 +50,10 @@ FRAMES = frozenset("with has layout page content main".split())
 HOLDERS = frozenset("wrapper wrap container row grid column col".split())
 #: Marks that count whatever lies inside.
 READERS = frozenset("comment comments reply replies respond discussion disqus".split())
+#: Words of adverts and of what readers say: an element with a name of these goes with all its text, however long.
+FIRM = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored comment comments reply replies respond disqus".split())
+#: Words that may stand beside them in such a name and say nothing else.
+BESIDE = frozenset("slot box unit block item list section area wrapper wrap container content page main layout top bottom left right inner outer body thread form reader readers user inline middle".split())
 #: Elements that hold an article.
 REGION = frozenset(("article", "main"))
 #: Elements whose id names what they hold, as a link's target, and says nothing of their place.
@@ -59,7 +63,7 @@ TEXTUAL = frozenset("p li blockquote pre figure figcaption table dl ul ol".split
 #: The ratio from which text in a marked element of the article counts as the article's: long, punctuated, unlinked.
 LONG = 400
 #: What a path's ratio is multiplied by in an element that holds an article, in one that is not part of one, and in a marked one.
-REGION_FACTOR, OUTSIDE_FACTOR, MARK_FACTOR = 1000, 1 / 400, 1 / 55
+REGION_FACTOR, OUTSIDE_FACTOR, MARK_FACTOR = 9, 1 / 9, 1 / 9
 #: What a character of a link counts for in an element that holds an article, and elsewhere.
 LINK_INSIDE, LINK_ELSEWHERE = 0.25, 0.0
 #: The score that a path of something else must reach, whatever the threshold: that of long text with a mark.
@@ -78,6 +82,7 @@ class Block:
     marked: bool  # in an element whose class or id says so
     hidden: bool  # never shown
     doubts: tuple[list[bool], ...]  # marks that count only while they hold True
+    firm: tuple[list[bool], ...]  # the same for marks of adverts and reader comments
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     noted: int = 0  # characters in inline elements that are marked or outside
@@ -100,6 +105,7 @@ class _Open:
     marked: bool
     hidden: bool = False
     doubts: tuple[list[bool], ...] = ()
+    firm: tuple[list[bool], ...] = ()
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -122,12 +128,13 @@ def _open(tag: str, attributes: dict[str, str], parent: _Open, paths: dict[tuple
     core = tag == "main" or role == "main" or attributes.get("itemprop") == "articleBody"
     region = (core or tag in REGION) and not marked and not parent.marked and not parent.outside
     if core or tag == "h1":
-        for doubt in parent.doubts:
+        for doubt in (*parent.doubts, *parent.firm):
             doubt[0] = False
+    firm = tag not in ("html", "body", "main") and any(w & FIRM and w <= MARKS | BESIDE for w in ({t.lower() for t in _TOKEN.findall(name)} for name in named.split()))
     step = tag + "".join(f".{t}" for t in sorted(tokens)[:3])
     # inline elements are on the path of the block that they are in
     place = (parent.path, parent.parent, parent.leaf) if tag in INLINE else (paths.setdefault((parent.path, step), len(paths) + 1), parent.path, step)
-    return _Open(tag, *place, parent.inside or region, parent.outside or tag in OUTSIDE or role in ROLES, parent.marked or marked, parent.hidden or hidden, (*parent.doubts, [True]) if doubted else parent.doubts)
+    return _Open(tag, *place, parent.inside or region, parent.outside or tag in OUTSIDE or role in ROLES, parent.marked or marked, parent.hidden or hidden, (*parent.doubts, [True]) if doubted else parent.doubts, (*parent.firm, [True]) if firm else parent.firm)
 
 
 def _ends(html: str, tag: str) -> dict[int, int]:
@@ -145,7 +152,10 @@ def _ends(html: str, tag: str) -> dict[int, int]:
 
 
 def blocks(html: str) -> list[Block]:
-    """The text blocks of a page in order. Unclosed, crossing and unknown tags are taken as browsers do."""
+    """The text blocks of a page in order. Unclosed, crossing and unknown tags are taken as browsers do.
+
+    Adverts and reader comments are no blocks, however long, unless the page's main part or first heading lies in them.
+    """
     root = _Open("", 0, -1, "", False, False, False)
     stack, out, links, paths, opened = [root], [], 0, {}, Counter()
     now: Block | None = None
@@ -159,7 +169,7 @@ def blocks(html: str) -> list[Block]:
             return
         if now is None:
             block = next((e for e in reversed(stack) if e.tag not in INLINE), root)
-            now = Block(top.path, top.parent, top.leaf, top.inside, block.outside, block.marked, top.hidden, block.doubts)
+            now = Block(top.path, top.parent, top.leaf, top.inside, block.outside, block.marked, top.hidden, block.doubts, block.firm)
             out.append(now)
         if top.hidden and not now.hidden:
             return
@@ -236,7 +246,7 @@ def blocks(html: str) -> list[Block]:
         whole = "".join(b.pieces)
         b.text = " ".join(whole.split())
         b.marked = b.marked or 2 * b.noted > len(whole) or any(d[0] for d in b.doubts)
-    return [b for b in out if b.text and not b.hidden]
+    return [b for b in out if b.text and not b.hidden and not any(f[0] for f in b.firm)]
 
 
 def path_scores(found: list[Block]) -> dict[tuple[int, bool, bool], float]:
@@ -271,6 +281,17 @@ def _smoothed(ratios: np.ndarray) -> np.ndarray:
     return 0.75 * ratios + 0.25 * near
 
 
+def _parting(values: np.ndarray) -> float:
+    """The least value of the upper of two classes whose means are farthest apart, weighed by their sizes; 0 for one value."""
+    line = np.sort(values)
+    n = np.arange(1, len(line))
+    if not len(n):
+        return 0.0
+    below = np.cumsum(line)[:-1]
+    apart = n * n[::-1] * (below / n - (line.sum() - below) / n[::-1]) ** 2
+    return float(line[1 + int(apart.argmax())])
+
+
 def _linky(found: list[Block]) -> set[tuple[int, bool, bool]]:
     """Paths that hold lists of links, but for those of an article."""
     total: dict[tuple[int, bool, bool], list[int]] = {}
@@ -285,15 +306,19 @@ def _linky(found: list[Block]) -> set[tuple[int, bool, bool]]:
 def select(found: list[Block]) -> list[Block]:
     """The blocks of the article: those on paths with a ratio above the threshold, and headings beside them.
 
-    The threshold is the spread of the page's own ratios. Paths outside the article that hold lists of links never
+    The threshold parts the page's ratios into two classes as far from each other as may be; in an element that holds an
+    article their spread is enough, so that its short paths stay. Paths outside the article that hold lists of links never
     count, and one that is marked as something else needs long text whatever the threshold.
     """
     links = _linky(found)
     rest = [b for b in found if b.key not in links]
     scores = path_scores(rest)
     values = np.array(list(scores.values()))
-    threshold = min(values.std(), values.max()) if scores else 0
-    content = {key for key, s in scores.items() if s >= (max(threshold, LEAST) if key[1] or key[2] else threshold)}
+    spread = min(values.std(), values.max()) if scores else 0
+    parted = max(spread, _parting(values))
+    inside = {b.key for b in rest if b.inside}
+    least = lambda key: max(parted, LEAST) if key[1] or key[2] else spread if key in inside else parted
+    content = {key for key, s in scores.items() if s >= least(key)}
     parents = {b.parent for b in rest if b.key in content}
     heading = re.compile(r"h[1-6](\.|$)")
     return [b for b in rest if b.key in content or (heading.match(b.leaf) and b.parent in parents and not b.outside and not b.marked)]

@@ -326,20 +326,60 @@ def slow_select(found):
     scores = {}
     for k, st, sm in zip(keys, smooth(text), smooth(marks), strict=True):
         b = of[k][-1]
-        factor = 1 / 400 if b.outside else 1 / 55 if b.marked else 1000 if b.inside else 1
+        factor = 1 / 9 if b.outside or b.marked else 9 if b.inside else 1
         if any(b.inside and b.marked and not b.outside for b in of[k]) and raw[k] >= 400:
-            factor = 1000
+            factor = 9
         scores[k] = log1p(expm1(st) * exp(sm) * factor)
     if not scores:
         return []
-    threshold = min(np.std(list(scores.values())), max(scores.values()))
-    least = log1p(400 / 55)
-    good = {k for k, s in scores.items() if s >= (max(threshold, least) if k[1] or k[2] else threshold)}
+    line = sorted(scores.values())
+    spread = min(np.std(line), line[-1])
+    apart = lambda k: k * (len(line) - k) * (sum(line[:k]) / k - sum(line[k:]) / (len(line) - k)) ** 2
+    cut = max(range(1, len(line)), key=lambda k: round(apart(k), 9), default=0)
+    parted = max(spread, line[cut] if cut else 0)
+    least = log1p(400 / 9)
+    inside = {b.key for b in found if b.inside}
+    good = {k for k, s in scores.items() if s >= (max(parted, least) if k[1] or k[2] else spread if k in inside else parted)}
     beside = {b.parent for k in good for b in of[k]}
     head = lambda b: b.leaf[:1] == "h" and b.leaf[1:2] in set("123456") and b.leaf[2:3] in ("", ".")
     return [b for b in found if b.key in scores and (b.key in good or (head(b) and b.parent in beside and not b.outside and not b.marked))]
 
 
+LONG_TEXT = "A long sentence of a reader, with commas, and with stops. " * 12
+#: Parts that are no part of an article, inside of one and beside it, however long.
+NEVER = (
+    "<section id='comments'><h3>Said</h3><p>{}</p></section>", "<div class='comments'><p>{}</p></div>", "<ol class='comment-list'><li><p>{}</p></li><li>{}</li></ol>", "<div class='ad'><p>{}</p></div>",
+    "<div class='content-ads'>{}</div>", "<p class='ad-slot lead'>{}</p>", "<article class='comment'><p>{}</p></article>", "<div id='disqus_thread'><p>{}</p></div>",
+)
+
+
+@pytest.mark.parametrize("part", NEVER)
+def test_comments_and_adverts_go_however_long(part):
+    story = "".join(f"<p>Paragraph {k} of the story, which says something, and ends.</p>" for k in range(6))
+    for said in (LONG_TEXT, "Short."):
+        odd = part.replace("{}", said)
+        want = html_extract.extract(f"<html><body><article><h1>Head</h1>{story}</article></body></html>")
+        assert want.count("\n") == 6
+        for page in (f"<article><h1>Head</h1>{story}{odd}</article>", f"<article><h1>Head</h1>{odd}{story}</article>", f"<article><h1>Head</h1>{story}</article>{odd}"):
+            assert html_extract.extract(f"<html><body>{page}</body></html>") == want, page
+        assert html_extract.extract(f"<html><body><div><h1>Head</h1>{story}</div>{odd}</body></html>") == want
+
+
+def test_a_frame_around_the_article_is_no_advert():
+    story = "<h1>Head</h1>" + "<p>Of comments, ads and replies, a story that says something.</p>" * 4
+    for name in ("content-ads", "page ad-container", "has-ads"):
+        assert html_extract.extract(f"<body><div class='{name}'><main>{story}</main></div></body>").count("\n") == 4, name
+    assert html_extract.extract(f"<body><article>{story}<h2 id='comment-on-method'>Kept</h2><section id='discussion'><p>Said, and kept, too.</p></section></article></body>").count("\n") == 6
+
+
+def test_ratios_part_paths_that_nothing_else_tells_apart():
+    """Plain divs without a region or a mark: long, punctuated paths are the text, and with the lengths exchanged the others are."""
+    long, short = "Words that go on, and on, until they stop. " * 9, "Few words"
+    page = lambda a, b: "<body><div><h1>Head</h1>" + f"<p>{a}</p>" * 5 + "</div><div>" + f"<div>{b}</div>" * 5 + "</div></body>"
+    for text in (html_extract.extract(page(long, short)), html_extract.extract(page(short, long))):
+        assert text.split("\n")[1:] == [long.strip()] * 5
+
+
 def test_selection_is_brute_force(spark):
     for (page,) in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect():
         found = html_extract.blocks(page or "")
