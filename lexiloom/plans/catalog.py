@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiloom.plans import curate, match, pages, resolve, rules, schema, textual  # noqa: F401
+from lexiloom.plans import curate, match, pages, published, resolve, rules, schema, textual  # noqa: F401
 from lexiloom.plans.registry import QUERIES, SQL, Query
 
 
