@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -179,35 +181,58 @@ def review_items(queue: DataFrame, found: DataFrame) -> DataFrame:
     return matched.unionByName(rest.distinct())
 
 
-# What a rule is called in plain words: pattern | text with its groups | text where the pattern does not fit.
+# What a rule is called in plain words: pattern with named groups, text with its groups, text where the pattern does not fit.
+# {n:,} is a number with separators, {score:.0%} a share in percent; {message} is the finding's own text, {other} the other subject's label.
 REASONS = {
     "no-mapping-at-all": ("", "Not linked to any outside ontology.", ""),
-    "unmapped-high-usage": (r"has (\d+) files", "Used by {1:,} files, but not linked to any outside ontology.", "Used by many files, but not linked to any outside ontology."),
+    "unmapped-high-usage": (r"has (?<n>\d+) files", "Used by {n:,} files, but not linked to any outside ontology.", "Used by many files, but not linked to any outside ontology."),
+    "unreviewed-mapping": (r"' (?<link>\S+ \S+) has no mapping", "Has a link nobody has checked: {link}.", "Has a link nobody has checked: {message}."),
     "class-no-alignment": ("", "Does not point to any outside standard.", ""),
     "coverage-gap": ("", "The automatic matcher found nothing similar in other ontologies.", ""),
-    "terse-description": (r"is (\d+) chars", "Definition is very short ({1} characters).", "Definition is very short."),
+    "terse-description": (r"is (?<n>\d+) chars", "Definition is very short ({n} characters).", "Definition is very short."),
     "enum-value-no-description": ("", "Has no definition.", ""),
-    "shared-slot": (r"listed by ([^;]+)", "Used by more than one class: {1}.", "Used by more than one class."),
+    "todo-marker": (r"comment (?<note>.*)$", "Has a TODO note: {note}", "Has a TODO note: {message}"),
+    "similar-terms": (r"similarity (?<score>[\d.]+)", 'Reads almost the same as "{other}" ({score:.0%} similar).', 'Reads almost the same as "{other}".'),
+    "residual-compound": (r"contains facet word\(s\) (?<words>.+?) and has no", 'Contains the facet word "{words}": it might be two ideas glued together.', "It might be two ideas glued together."),
+    "inline-enum": (r"defined inside class module (?<module>\S+)", 'Defined inside the class module "{module}" rather than in a vocabulary module.', "Defined inside a class module rather than in a vocabulary module."),
+    "shared-slot": (r"listed by (?<classes>[^;]+)", "Used by more than one class: {classes}.", "Used by more than one class."),
+    "mapping-target-is-doc-link": (r"value (?<target>\S+) is a documentation page", "Points to a web page ({target}), not to a term.", "Points to a web page, not to a term."),
     "zero-usage-term": ("", "No file uses this term.", ""),
     "orphan-facet-value": ("", "Nothing else refers to this value.", ""),
+    "required-policy": ("", "Marked required, but it is not an identifier. Every required field is extra work for adopters.", ""),
     "slot-no-examples": ("", "Has no examples.", ""),
 }
 #: Rules that are not shown, and those that are not where another rule is among the subject's.
 HIDDEN, HIDDEN_BESIDE = ("mapping-suggestion",), {"no-mapping-at-all": ("unmapped-high-usage",)}
 
 
+def _said(template: str, groups: dict[str, Column]) -> Column:
+    """A template's text with its places filled."""
+    parts = []
+    for text, name, form in re.findall(r"([^{]*)(?:\{(\w+)(:[^}]*)?\})?", template):
+        parts += [F.lit(text)] if text else []
+        if name:
+            group = groups[name]
+            shown = {":,": lambda g: F.format_number(g.cast("long"), 0), ":.0%": lambda g: F.concat(F.format_number(F.bround(100 * g.cast("double"), 0), 0), F.lit("%")), "": F.trim}
+            parts.append(shown[form](group))
+    return F.concat(*parts)
+
+
 def reasons(found: DataFrame) -> DataFrame:
-    """subject, rule, reason: findings (subject, rule, message) in plain words; hidden ones are left out, other rules keep their message."""
+    """subject, rule, reason: findings (subject, rule, message, maybe other: the other subject's label) in plain words.
+
+    Hidden rules are left out; a rule without a text keeps its message. Where a pattern does not fit, its second text is
+    taken. A finding without another subject names none: its label is empty.
+    """
     rule, message = F.col("rule"), F.coalesce("message", F.lit(""))
+    always = {"message": message, "other": F.coalesce("other", F.lit("")) if "other" in found.columns else F.lit("")}
     text = message
     for name, (pattern, full, short) in REASONS.items():
-        if not pattern:
-            said = F.lit(full)
-        else:
-            head, _, tail = full.partition("{1")
-            group = F.regexp_extract(message, pattern, 1)
-            shown = F.format_number(group.cast("long"), 0) if tail.startswith(":,") else F.trim(group)
-            said = F.when(message.rlike(pattern), F.concat(F.lit(head), shown, F.lit(tail.partition("}")[2]))).otherwise(F.lit(short))
+        said = F.lit(full)
+        if pattern:
+            names = re.findall(r"\(\?<(\w+)>", pattern)
+            groups = {g: F.regexp_extract(message, pattern, k + 1) for k, g in enumerate(names)}
+            said = F.when(message.rlike(pattern), _said(full, groups | always)).otherwise(_said(short, always))
         text = F.when(rule == name, said).otherwise(text)
     out = found.where(~rule.isin(*HIDDEN))
     for name, beside in HIDDEN_BESIDE.items():
@@ -216,6 +241,18 @@ def reasons(found: DataFrame) -> DataFrame:
     return out.select("subject", "rule", text.alias("reason"))
 
 
+def filtered_groups(rows: DataFrame, group: str, shown: DataFrame) -> DataFrame:
+    """The groups of rows with how many of their rows are shown (a subset of rows), those with none left out: group, n, of."""
+    all_rows = rows.groupBy(group).agg(F.count("*").alias("of"))
+    return shown.groupBy(group).agg(F.count("*").alias("n")).join(all_rows, group).select(group, "n", "of")
+
+
+def not_decided(rows: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Rows (subject) of which no decision (subject, status) is pending or applied."""
+    settled = decisions.where("status in ('pending', 'applied')").select("subject").distinct()
+    return rows.join(settled, "subject", "left_anti")
+
+
 def subject_index(subjects: DataFrame, states: DataFrame, found: DataFrame, latest: DataFrame, prompts: DataFrame) -> DataFrame:
     """sid, kind, state, score, findings, lint, latest, prompts of every subject (sid, kind).
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import normalize, token_suffixes, variants
+from lexiloom.operators.similarity import cosine, top_k
+from lexiloom.session import durable
 
 
 def index(terms: DataFrame) -> DataFrame:
@@ -73,6 +75,23 @@ def blend(hits: DataFrame, scores: DataFrame, k: int) -> DataFrame:
     return lexical.unionByName(rest).select("query_id", rank.alias("rank"), "term_id", "score", "match_kind")
 
 
+def blend_vectors(queries: DataFrame, lexicon: DataFrame, targets: DataFrame, k: int) -> DataFrame:
+    """Ranked candidates of queries (query_id, text, embedding), by names and by vectors together: see blend().
+
+    targets: (term_id, row_no, embedding), one vector a term; row_no is the lexicon's. A hit's score is the cosine of the
+    query and its term, 0.0 where either has no vector, or one of another length. So that k terms are left when the hits
+    are taken out, the vector search keeps as many more as the query with the most hits has.
+    """
+    hits = durable(search(queries, lexicon), "hits")
+    most = hits.groupBy("query_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    near = top_k(queries.select(F.col("query_id").alias("id"), "embedding"), targets.select(F.col("row_no").alias("id"), "embedding"), k + most)
+    near = near.join(targets.select("term_id", F.col("row_no").alias("target_id")), "target_id").select("query_id", "term_id", F.col("similarity").alias("score"))
+    vectors = queries.select("query_id", F.col("embedding").alias("q")), targets.select("term_id", F.col("embedding").alias("t"))
+    pairs = hits.select("query_id", "term_id").join(vectors[0], "query_id").join(vectors[1], "term_id").where(F.size("q") == F.size("t"))
+    pairs = pairs.select("query_id", "term_id", cosine(F.col("q"), F.col("t")).alias("score"))
+    return blend(hits, near.join(pairs, ["query_id", "term_id"], "left_anti").unionByName(pairs), k)
+
+
 def candidates_of(queries: DataFrame, blended: DataFrame, name: str) -> DataFrame:
     """The candidates of the one query whose text is `name`; an unknown name is an error."""
     one = queries.where(F.col("text") == name)

@@ -20,6 +20,14 @@ BLOCK, GROUP = 2048, 8
 PLACES = 12
 
 
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine of two vectors of one length, to PLACES places: for few pairs. 0 where either is zero; null and non-finite components count as 0."""
+    clean = lambda v: F.transform(v, lambda x: F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x.cast("double")))
+    dot = lambda u, v: F.aggregate(F.zip_with(clean(u), clean(v), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(norms > 0, F.round(dot(a, b) / norms, PLACES)).otherwise(F.lit(0.0))
+
+
 def _rows(column: pa.ChunkedArray) -> np.ndarray:
     """Unit vectors of one length; a zero vector stays, and components that are null or no number count as 0."""
     x = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)

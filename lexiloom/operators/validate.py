@@ -278,6 +278,12 @@ def element_forms(terms: DataFrame) -> DataFrame:
     return rows_where(listed, "element-form", ~F.col("object").rlike(r"^[A-Za-z]+:\S+$"), "term", F.col("object"))
 
 
+def subjectless(findings: DataFrame) -> DataFrame:
+    """A violation for each finding (source, rule, subjects: array) that names no subject: none, or only empty ones. Its subject is the source."""
+    named = F.exists(F.coalesce("subjects", F.array().cast("array<string>")), lambda s: blank(s) != "")
+    return rows_where(findings, "finding-subject", ~F.coalesce(named, F.lit(False)), "source", F.concat(F.lit("no subject: "), F.coalesce("rule", F.lit(""))))
+
+
 def stale(built: DataFrame, stored: DataFrame) -> DataFrame:
     """Rows that a fresh build has and the stored table lacks (+), and the other way round (-), repeats counted."""
     return built.exceptAll(stored).withColumn("side", F.lit("+")).union(stored.exceptAll(built).withColumn("side", F.lit("-")))

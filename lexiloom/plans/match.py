@@ -226,6 +226,28 @@ def blend_candidates(t: Tables) -> DataFrame:
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(
+    f"""
+    WITH {_LEX},
+    v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings),
+    t AS (SELECT term_id, row_no, e, n FROM terms JOIN v ON row_no = vec_id),
+    sc AS (SELECT q.vec_id AS query_id, t.term_id, t.row_no, round(list_dot_product(q.e, t.e) / (q.n * t.n), 12) AS score FROM v q JOIN part ON q.vec_id = p_partkey CROSS JOIN t),
+    mine AS (SELECT f.* FROM found f JOIN v ON f.query_id = v.vec_id),
+    a AS (SELECT f.query_id, f.term_id, coalesce(sc.score, 0.0) AS score, f.match_kind, 0 AS tier, f.hit_no AS ord FROM mine f LEFT JOIN sc ON f.query_id = sc.query_id AND f.term_id = sc.term_id),
+    b AS (SELECT sc.query_id, sc.term_id, sc.score, 'embedding' AS match_kind, 1 AS tier, row_number() OVER (PARTITION BY sc.query_id ORDER BY sc.score DESC, sc.term_id) AS ord
+          FROM sc ANTI JOIN mine f ON sc.query_id = f.query_id AND sc.term_id = f.term_id)
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY tier, ord) AS rank, term_id, round(score, 6) AS score, match_kind FROM (SELECT * FROM a UNION ALL SELECT * FROM b WHERE ord <= 5)
+    """
+)
+def blend_vectors(t: Tables) -> DataFrame:
+    """Parts that have a vector, by their texts and their vectors, against names with the vector of their first part."""
+    vectors = t.embeddings.select("vec_id", "embedding")
+    asked = _asked(t).join(vectors, F.col("query_id") == F.col("vec_id")).drop("vec_id")
+    targets = t.part.groupBy(F.col("p_name").alias("term_id")).agg(F.min("p_partkey").alias("row_no")).join(vectors, F.col("row_no") == F.col("vec_id")).drop("vec_id")
+    out = lexical.blend_vectors(asked, _lexicon(t), targets, 5)
+    return out.select("query_id", F.col("rank").cast("long").alias("rank"), "term_id", F.round("score", 6).alias("score"), "match_kind")
+
+
 @query(
     f"""
     WITH {_V}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, t_label ORDER BY score DESC, target_id) AS rank FROM s),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text
-from lexiloom.operators import browse, curation, project, reports, resolve
+from lexiloom.operators import browse, curation, project, reports, resolve, validate
 from lexiloom.plans.curate import _FOUND, _found
 from lexiloom.plans.registry import Tables, query
 from lexiloom.plans.resolve import _RESOLVED, _resolved
@@ -212,15 +212,16 @@ def _ruled(t: Tables) -> DataFrame:
     size = F.col("p_size")
     names = ("similar-terms", "coverage-gap", "zero-usage-term", "terse-description", "shared-slot", "mapping-suggestion", "no-mapping-at-all", "unmapped-high-usage")
     rules = F.array_compact(F.array(*(F.when(size % (k + 3) == 0, F.lit(n)) for k, n in enumerate(names))))
-    rows = t.part.select(F.col("p_partkey").alias("subject"), F.when(size % 2 == 0, "term").when(size % 5 == 0, "slot").when(size % 7 == 0, "other").otherwise("class").alias("kind"), "p_size", F.explode_outer(rules).alias("rule"))
+    rows = t.part.select(F.col("p_partkey").alias("subject"), F.when(size % 2 == 0, "term").when(size % 5 == 0, "slot").when(size % 7 == 0, "other").otherwise("class").alias("kind"), "p_size", F.col("p_name").alias("other"), F.explode_outer(rules).alias("rule"))
     message = F.when(F.col("rule") == "terse-description", F.concat(F.lit("it is "), F.col("p_size").cast("string"), F.lit(" chars"))).when(F.col("rule") == "unmapped-high-usage", F.concat(F.lit("has "), (F.col("p_size") * 1000).cast("string"), F.lit(" files")))
+    message = message.when(F.col("rule") == "similar-terms", F.concat(F.lit("similarity "), (F.col("p_size") / 100).cast("decimal(4,2)").cast("string"), F.lit(" to another")))
     return rows.withColumn("message", F.coalesce(message, F.concat(F.lit("of "), "rule")))
 
 
 _RULED = """
-    q AS (SELECT p_partkey AS subject, p_size, CASE WHEN p_size % 2 = 0 THEN 'term' WHEN p_size % 5 = 0 THEN 'slot' WHEN p_size % 7 = 0 THEN 'other' ELSE 'class' END AS kind FROM part),
+    q AS (SELECT p_partkey AS subject, p_size, p_name, CASE WHEN p_size % 2 = 0 THEN 'term' WHEN p_size % 5 = 0 THEN 'slot' WHEN p_size % 7 = 0 THEN 'other' ELSE 'class' END AS kind FROM part),
     rn AS (SELECT unnest(['similar-terms', 'coverage-gap', 'zero-usage-term', 'terse-description', 'shared-slot', 'mapping-suggestion', 'no-mapping-at-all', 'unmapped-high-usage']) AS rule, unnest(range(3, 11)) AS k),
-    f AS (SELECT subject, kind, p_size, rule FROM q JOIN rn ON p_size % k = 0)"""
+    f AS (SELECT subject, kind, p_size, p_name, rule FROM q JOIN rn ON p_size % k = 0)"""
 
 
 @query(
@@ -243,12 +244,12 @@ def review_items(t: Tables) -> DataFrame:
     WITH {_RULED}
     SELECT subject, rule, CASE rule WHEN 'no-mapping-at-all' THEN 'Not linked to any outside ontology.' WHEN 'unmapped-high-usage' THEN 'Used by ' || format('{{:,}}', p_size * 1000) || ' files, but not linked to any outside ontology.'
            WHEN 'coverage-gap' THEN 'The automatic matcher found nothing similar in other ontologies.' WHEN 'zero-usage-term' THEN 'No file uses this term.' WHEN 'terse-description' THEN 'Definition is very short (' || p_size || ' characters).'
-           WHEN 'shared-slot' THEN 'Used by more than one class.' ELSE 'of ' || rule END AS reason
+           WHEN 'shared-slot' THEN 'Used by more than one class.' WHEN 'similar-terms' THEN 'Reads almost the same as "' || p_name || '" (' || p_size || '% similar).' ELSE 'of ' || rule END AS reason
     FROM f WHERE rule <> 'mapping-suggestion' AND NOT (rule = 'no-mapping-at-all' AND p_size % 10 = 0)
     """
 )
 def reason_texts(t: Tables) -> DataFrame:
-    return browse.reasons(_ruled(t).where("rule is not null").select("subject", "rule", "message"))
+    return browse.reasons(_ruled(t).where("rule is not null").select("subject", "rule", "message", "other"))
 
 
 @query(
@@ -454,6 +455,29 @@ def projection_edits(t: Tables) -> DataFrame:
     return edits.select("subject", count("delete"), count("insert"), count("move"))
 
 
+@query(
+    """
+    WITH f AS (SELECT l_orderkey AS subject, l_linenumber AS rule, l_shipdate FROM lineitem WHERE l_quantity > 30),
+    d AS (SELECT o_orderkey AS subject FROM orders WHERE o_orderstatus IN ('O', 'F') AND o_orderkey % 3 = 0)
+    SELECT rule, count(*) FILTER (subject NOT IN (SELECT subject FROM d) AND subject % 2 = 0) AS n, count(*) AS of FROM f GROUP BY rule HAVING n > 0
+    """
+)
+def lint_page(t: Tables) -> DataFrame:
+    """Findings by rule that nobody has decided, of even subjects; rules with none of these are not shown."""
+    found = t.lineitem.where("l_quantity > 30").select(F.col("l_orderkey").alias("subject"), F.col("l_linenumber").alias("rule"))
+    status = F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "F", "applied").otherwise("withdrawn")
+    decisions = t.orders.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("subject"), status.alias("status"))
+    return browse.filtered_groups(found, "rule", browse.not_decided(found, decisions).where("subject % 2 = 0"))
+
+
+@query("SELECT 'finding-subject' AS rule, CAST(event_id AS VARCHAR) AS subject, 'no subject: ' || event_type AS message FROM events WHERE user_id % 5 < 2")
+def subjectless_findings(t: Tables) -> DataFrame:
+    none = F.lit(None).cast("array<string>")
+    subjects = F.when(F.col("user_id") % 5 == 0, none).when(F.col("user_id") % 5 == 1, F.array(F.lit(" "), F.lit(None))).otherwise(F.array(F.lit(""), F.col("user_id").cast("string")))
+    found = validate.subjectless(t.events.select(F.col("event_id").alias("source"), F.col("event_type").alias("rule"), subjects.alias("subjects")))
+    return found.select("rule", "subject", "message")
+
+
 @query(
     """
     SELECT p_type AS class, 's' || p_partkey AS slot, row_number() OVER (PARTITION BY p_type ORDER BY coalesce(CASE WHEN p_size % 11 = 0 THEN true END, false) DESC, p_size % 3 = 0 DESC, p_size % 2 = 0 DESC, 's' || p_partkey) AS place FROM part

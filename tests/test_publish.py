@@ -144,3 +144,19 @@ def test_overview_levels(spark):
     a = found["enum", None, "A", None, None]
     assert (a.n, a.mapped, a.annotated, a.with_class, a.retired, a.first_id, a.last_id, a.rows) == (2, 2, 1, 1, 1, "t1", "t2", 2)
     assert found["predicate", None, None, None, "member"].n == 1 and found["all", None, None, None, None].n == 3
+
+
+def test_reasons_in_full(spark):
+    from lexiloom.operators import browse
+
+    rows = [
+        (1, "unreviewed-mapping", "'term' skos:exactMatch e:1 has no mapping", None, 'Has a link nobody has checked: skos:exactMatch e:1.'), (2, "unreviewed-mapping", "odd", None, "Has a link nobody has checked: odd."),
+        (3, "todo-marker", "has a comment TODO: say more", None, "Has a TODO note: TODO: say more"), (4, "similar-terms", "similarity 0.925 to x", "peaks", 'Reads almost the same as "peaks" (92% similar).'),
+        (5, "similar-terms", "no number", None, 'Reads almost the same as "".'), (6, "residual-compound", "'x' contains facet word(s) a, b and has no keep_atomic", None, 'Contains the facet word "a, b": it might be two ideas glued together.'),
+        (7, "inline-enum", "is defined inside class module file", None, 'Defined inside the class module "file" rather than in a vocabulary module.'), (8, "mapping-target-is-doc-link", "value http://x is a documentation page", None, "Points to a web page (http://x), not to a term."),
+        (9, "required-policy", "", None, "Marked required, but it is not an identifier. Every required field is extra work for adopters."), (10, "unmapped-high-usage", "has 12345 files", None, "Used by 12,345 files, but not linked to any outside ontology."),
+        (11, "another-rule", "its own words", None, "its own words"),
+    ]
+    found = spark.createDataFrame([r[:4] for r in rows], "subject int, rule string, message string, other string")
+    said = {r.subject: r.reason for r in browse.reasons(found).collect()}
+    assert said == {r[0]: r[4] for r in rows}
