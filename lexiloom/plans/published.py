@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.plans.registry import Tables, query
 from lexiloom.session import keep_until_end, shared_dir
-from lexiloom.sources import publish
+from lexiloom.sources import publish, sinks
 
 
 def _root(t: Tables, name: str) -> str:
@@ -65,3 +65,26 @@ def rebuilt_parts(t: Tables) -> DataFrame:
     now = publish.current_rows(spark, root).groupBy("part").agg(F.max("run").alias("built"), F.count("*").alias("rows"))
     reason = F.when(F.col("reason").startswith("hash changed"), "changed").otherwise(F.col("reason"))
     return plan.select("part", reason.alias("reason")).join(now, "part", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+
+
+@query(
+    """
+    WITH l AS (SELECT l_orderkey, list(struct_pack(line := l_linenumber, part := 'p' || l_partkey) ORDER BY l_linenumber, l_partkey) AS lines FROM lineitem GROUP BY 1),
+    o AS (SELECT o_custkey, list(struct_pack(lines := coalesce(lines, []), number := o_orderkey, status := o_orderstatus) ORDER BY o_orderkey) AS orders FROM orders LEFT JOIN l ON o_orderkey = l_orderkey GROUP BY 1),
+    b AS (SELECT p_type, p_brand, list(p_partkey ORDER BY p_partkey) AS parts FROM part GROUP BY ALL)
+    SELECT 'customer' AS kind, CAST(c_custkey AS VARCHAR) AS key, CAST(to_json(struct_pack(name := c_name, orders := coalesce(orders, []), segment := c_mktsegment)) AS VARCHAR) AS body FROM customer LEFT JOIN o ON c_custkey = o_custkey
+    UNION ALL SELECT 'brand', p_type || '/' || p_brand, CAST(to_json(struct_pack(brand := p_brand, parts := parts, type := p_type)) AS VARCHAR) FROM b
+    """
+)
+def site_documents(t: Tables) -> DataFrame:
+    """Customers with their orders and those with their lines, and brands with their parts: written in one job, then read back."""
+    lines = t.lineitem.select("l_orderkey", F.col("l_linenumber").alias("line"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("part"), F.struct("l_linenumber", "l_partkey").alias("at"))
+    lines = sinks.children(lines, "l_orderkey", "lines", "at", "line", "part")
+    orders = t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_custkey", F.col("o_orderkey").alias("number"), F.col("o_orderstatus").alias("status"), F.coalesce("lines", F.array().cast(lines.schema["lines"].dataType)).alias("lines"))
+    orders = sinks.children(orders, "o_custkey", "orders", "number", "number", "status", "lines")
+    customers = t.customer.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
+    customers = customers.select("c_custkey", F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.coalesce("orders", F.array().cast(orders.schema["orders"].dataType)).alias("orders"))
+    brands = t.part.groupBy(F.col("p_type").alias("type"), F.col("p_brand").alias("brand")).agg(F.array_sort(F.collect_list("p_partkey")).alias("parts")).withColumn("key", F.concat_ws("/", "type", "brand"))
+    path = _root(t, "documents")
+    sinks.write_documents([sinks.document("customer", customers, "c_custkey", "name", "segment", "orders"), sinks.document("brand", brands, "key", "type", "brand", "parts")], path)
+    return sinks.read_documents(t.spark, path)

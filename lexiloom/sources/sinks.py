@@ -159,3 +159,33 @@ def between_marks(text: Column, begin: str, end: str, new: Column) -> Column:
 def envelope(total: Column, size: int = 100_000) -> Column:
     """The paging head of a list that comes as one page."""
     return F.struct(F.lit(0).alias("page"), F.lit(size).alias("page_size"), total.alias("total"), F.lit(1).alias("total_pages"))
+
+
+def document(kind: str, rows: DataFrame, key: str, *columns: str) -> DataFrame:
+    """kind, key and body of a document a row: JSON text of the columns, its fields sorted by name."""
+    body = F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(columns))), {"ignoreNullFields": "false"})
+    return rows.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"), body.alias("body"))
+
+
+def children(rows: DataFrame, parent: str, name: str, order: str, *columns: str) -> DataFrame:
+    """parent and a list of its rows in this order, each a struct of the columns, its fields sorted by name: a level of a document."""
+    item = F.struct(F.col(order).alias("_o"), F.struct(*(F.col(f"`{c}`") for c in sorted(columns))).alias("_v"))
+    return rows.groupBy(parent).agg(F.transform(F.array_sort(F.collect_list(item)), lambda i: i["_v"]).alias(name))
+
+
+def write_documents(documents: list[DataFrame], path: str) -> None:
+    """Write documents (kind, key, body) of several kinds in one job: a folder a kind, JSON lines {"key", "body"} in the keys' order.
+
+    Documents are dealt by ranges of kind and key, so a large kind takes many files and a small one few. A kind and key that
+    come twice are an error, and then nothing is written.
+    """
+    rows = reduce(DataFrame.unionByName, documents)
+    again = rows.groupBy("kind", "key").count().where("count > 1").first()
+    if again:
+        raise ValueError(f"{again['kind']} {again['key']}: more than one document")
+    rows.repartitionByRange("kind", "key").sortWithinPartitions("kind", "key").write.partitionBy("kind").json(path)
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """kind, key, body of what write_documents wrote."""
+    return spark.read.schema("key string, body string, kind string").json(path).select("kind", "key", "body")
