@@ -30,11 +30,11 @@ def search(queries: DataFrame, lexicon: DataFrame) -> DataFrame:
     """
     forms = queries.select("query_id", F.posexplode(token_suffixes(F.col("text"))).alias("form_no", "form"))
     forms = forms.select("query_id", "form_no", F.col("form.phrase").alias("variant"), F.col("form.start").alias("suffix_start"))
-    hits = forms.join(lexicon, "variant")
-    first = F.min("form_no").over(Window.partitionBy("query_id"))
-    hits = hits.withColumn("_first", first).where("form_no = _first")
-    entry = Window.partitionBy("query_id", "term_id").orderBy("row_no", "label_no")
-    hits = hits.withColumn("_n", F.row_number().over(entry)).where("_n = 1")
+    # which form wins is known before any term is fetched, so a common form costs its terms once for each query that it wins
+    known = forms.join(lexicon.select("variant").distinct(), "variant", "left_semi")
+    won = known.groupBy("query_id").agg(F.min(F.struct("form_no", "variant", "suffix_start")).alias("w")).select("query_id", "w.variant", "w.suffix_start")
+    entry = F.min(F.struct("row_no", "label_no", "label", "label_kind", "variant", "suffix_start")).alias("e")
+    hits = won.join(lexicon, "variant").groupBy("query_id", "term_id").agg(entry).select("query_id", "term_id", "e.*")
     order = Window.partitionBy("query_id").orderBy("row_no", "label_no", "term_id")
     kind = F.when(F.col("suffix_start") == 0, "lexical").otherwise("lexical-suffix")
     return hits.select("query_id", "term_id", "label", "label_kind", F.col("variant").alias("matched_on"), kind.alias("match_kind"), "suffix_start", F.row_number().over(order).alias("hit_no"))

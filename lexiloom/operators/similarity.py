@@ -71,6 +71,22 @@ def _batch(query: list[np.ndarray], target: list[np.ndarray], part: list[str], s
 _FOUND = "query_id long, target_id long, part string, similarity double"
 
 
+def _best(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and place of each row's k highest finite scores, by score; ties to the smaller place, as ids ascend in a block.
+
+    The k-th score is found without sorting; only what reaches it is sorted.
+    """
+    if not k:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+    row, at = np.nonzero((s >= least[:, None]) & np.isfinite(s))
+    order = np.lexsort((at, -s[row, at], row))
+    row, at = row[order], at[order]
+    first = np.searchsorted(row, np.arange(len(s)))
+    kept = np.arange(len(row)) - first[row] < k
+    return row[kept], at[kept]
+
+
 def _top(k: int, others: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,14 +97,10 @@ def _top(k: int, others: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
                 s = np.round(q @ x.T, PLACES)
                 if others:
                     s[q_ids[:, None] == ids[None, :]] = -np.inf
-                n = min(k, len(ids))
-                # ids ascend in a block, so a stable order gives ties to the smaller id
-                best = np.argsort(-s, axis=1, kind="stable")[:, :n]
-                scores = np.take_along_axis(s, best, axis=1)
-                kept = np.isfinite(scores)
-                query.append(np.repeat(q_ids, kept.sum(axis=1)))
-                target.append(ids[best][kept])
-                score.append(scores[kept])
+                row, at = _best(s, min(k, len(ids)))
+                query.append(q_ids[row])
+                target.append(ids[at])
+                score.append(s[row, at])
                 part.append(name)
             yield _batch(query, target, part, score)
 

@@ -136,16 +136,29 @@ def read_embeddings(spark: SparkSession, path: str, model: str | None = None) ->
     return spark.read.parquet(f"{path}/vectors")
 
 
-def read_stores(spark: SparkSession, root: str, own: str, model: str | None = None) -> DataFrame:
-    """The vectors of every store under root but the vocabulary's own, with `ontology`, the store's name."""
+def read_stores(spark: SparkSession, root: str, own: str, model: str | None = None, only: tuple[str, ...] | None = None) -> DataFrame:
+    """The vectors of every store under root but the vocabulary's own, with `ontology`, the store's name, and `provenance`, a map.
+
+    With `only`, just the stores of these names are opened; a name that is not there is an error.
+    """
     hadoop = spark._jvm.org.apache.hadoop.fs
     folder = hadoop.Path(root)
     listed = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
     names = sorted(s.getPath().getName() for s in listed if s.isDirectory() and s.getPath().getName() != own)
+    if only is not None:
+        if missing := sorted(set(only) - set(names)):
+            raise FileNotFoundError(f"no store {', '.join(missing)} under {root}")
+        names = sorted(only)
     if not names:
         raise FileNotFoundError(f"no other store under {root}")
-    stores = (read_embeddings(spark, f"{root}/{n}", model).withColumn("ontology", F.lit(n)) for n in names)
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), stores)
+
+    def opened(name: str) -> DataFrame:
+        said = spark.read.parquet(f"{root}/{name}/provenance").collect()  # a handful of keys
+        pairs = [F.lit(x) for r in said for x in (r["key"], r["value"])]
+        origin = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+        return read_embeddings(spark, f"{root}/{name}", model).withColumns({"ontology": F.lit(name), "provenance": origin})
+
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(opened, names))
 
 
 def between_marks(text: Column, begin: str, end: str, new: Column) -> Column:

@@ -160,3 +160,29 @@ def test_reasons_in_full(spark):
     found = spark.createDataFrame([r[:4] for r in rows], "subject int, rule string, message string, other string")
     said = {r.subject: r.reason for r in browse.reasons(found).collect()}
     assert said == {r[0]: r[4] for r in rows}
+
+
+def test_one_store_asked_opens_one(spark, tmp_path):
+    from lexiloom.sources import sinks
+
+    vectors = spark.createDataFrame([(1, [1.0, 0.0])], "id long, embedding array<double>")
+    for name in ("own", "so", "edam"):
+        sinks.write_embeddings(vectors, str(tmp_path / name), {"model_name": "m" if name != "edam" else "other", "source": name})
+    found = sinks.read_stores(spark, str(tmp_path), "own", "m", only=("so",)).collect()  # the other model's store is not looked at
+    assert [(r.ontology, r.provenance["source"], r.id) for r in found] == [("so", "so", 1)]
+    assert {r.ontology for r in sinks.read_stores(spark, str(tmp_path), "own").collect()} == {"so", "edam"}
+    with pytest.raises(FileNotFoundError, match="zfa"):
+        sinks.read_stores(spark, str(tmp_path), "own", only=("so", "zfa"))
+
+
+def test_documents_of_several_kinds(spark, tmp_path):
+    from lexiloom.sources import sinks
+
+    rows = spark.createDataFrame([(k, f"n{k}", [k, None]) for k in range(5)], "id long, name string, list array<int>")
+    made = [sinks.document("a", rows, "id", "name", "list"), sinks.document("b", rows.limit(2), "name", "id")]
+    sinks.write_documents(made, str(tmp_path / "out"))
+    found = {(r.kind, r.key): r.body for r in sinks.read_documents(spark, str(tmp_path / "out")).collect()}
+    assert len(found) == 7 and found["a", "3"] == '{"list":[3,null],"name":"n3"}' and found["b", "n0"] == '{"id":0}'
+    with pytest.raises(ValueError, match="more than one"):
+        sinks.write_documents([made[0], made[0]], str(tmp_path / "again"))
+    assert not (tmp_path / "again").exists()
