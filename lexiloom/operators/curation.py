@@ -353,7 +353,7 @@ def apply_facet(terms: DataFrame, decompositions: DataFrame, ledger: DataFrame,
     Each adds a decomposition row, takes the term away, and marks its id as faceted; tables are never changed in place.
     """
     gone = operations.select("subject").distinct()
-    rows = operations.select(F.col("label").alias("encode_term"), "base", "axis", "value")
+    rows = operations.select(F.col("label").alias("term"), "base", "axis", "value")
     done = ledger.join(gone.withColumn("_gone", F.lit(True)), "subject", "left")
     done = done.withColumn("status", F.when(F.col("_gone"), "faceted").otherwise(F.col("status"))).drop("_gone")
     return terms.join(gone, "subject", "left_anti"), decompositions.unionByName(rows), done

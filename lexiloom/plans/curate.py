@@ -505,7 +505,7 @@ def curation_edits(t: Tables) -> DataFrame:
     terms = t.part.select(F.col("p_partkey").alias("subject"), F.col("p_name").alias("label"))
     ledger = terms.select("subject", F.lit("live").alias("status"))
     operations = t.part.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("subject"), F.col("p_name").alias("label"), F.col("p_type").alias("base"), F.lit("brand").alias("axis"), F.col("p_brand").alias("value"))
-    empty = operations.limit(0).select(F.col("label").alias("encode_term"), "base", "axis", "value")
+    empty = operations.limit(0).select(F.col("label").alias("term"), "base", "axis", "value")
     left, rows, done = curation.apply_facet(terms, empty, ledger, operations)
     merges = t.part.where("p_partkey % 10 = 3").select(F.col("p_partkey").alias("subject"), (F.col("p_partkey") - 1).alias("into"))
     merged = curation.retired(ledger.withColumn("replaced_by", F.lit(None).cast("long")), merges)

@@ -136,16 +136,16 @@ def test_instances(spark, read):
 
 def test_entries_at_any_depth(spark):
     document = {
-        "so": {"requests": [{"id": 1, "motivating_terms": [{"term": "a", "category": "X"}, {"no": "term"}, "text", ["b"]], "deep": [[{"onga_terms": [{"term": "b", "enum": "Y", "category": "Z"}]}]]}]},
-        "motivating_terms": {"term": "not in a list"}, "other": [{"term": "c"}], "onga_terms": [{"term": "d", "motivating_terms": [{"term": "a"}]}],
+        "so": {"requests": [{"id": 1, "motivating_terms": [{"term": "a", "category": "X"}, {"no": "term"}, "text", ["b"]], "deep": [[{"own_terms": [{"term": "b", "enum": "Y", "category": "Z"}]}]]}]},
+        "motivating_terms": {"term": "not in a list"}, "other": [{"term": "c"}], "own_terms": [{"term": "d", "motivating_terms": [{"term": "a"}]}],
     }
     documents = spark.createDataFrame([("r", json.dumps(document)), ("bad", "{"), ("none", None), ("flat", "3")], "key_of string, document string")
-    found = schema.nested_entries(documents, ("motivating_terms", "onga_terms"), {"term": ("term",), "category": ("enum", "category")})
+    found = schema.nested_entries(documents, ("motivating_terms", "own_terms"), {"term": ("term",), "category": ("enum", "category")})
     assert rows(found, "path", "term", "category") == [
-        ("$.onga_terms[0]", "d", None), ("$.onga_terms[0].motivating_terms[0]", "a", None), ("$.so.requests[0].deep[0][0].onga_terms[0]", "b", "Y"), ("$.so.requests[0].motivating_terms[0]", "a", "X"),
+        ("$.own_terms[0]", "d", None), ("$.own_terms[0].motivating_terms[0]", "a", None), ("$.so.requests[0].deep[0][0].own_terms[0]", "b", "Y"), ("$.so.requests[0].motivating_terms[0]", "a", "X"),
     ]
     terms = spark.createDataFrame([("t1", "a", "X"), ("t2", "a", "Q"), ("t3", "b", "Z")], "subject string, label string, enum string")
-    assert rows(schema.citing(found, terms), "subject", "path") == [("t1", "$.onga_terms[0].motivating_terms[0]"), ("t1", "$.so.requests[0].motivating_terms[0]"), ("t2", "$.onga_terms[0].motivating_terms[0]")]
+    assert rows(schema.citing(found, terms), "subject", "path") == [("t1", "$.own_terms[0].motivating_terms[0]"), ("t1", "$.so.requests[0].motivating_terms[0]"), ("t2", "$.own_terms[0].motivating_terms[0]")]
     empty = schema.nested_entries(documents.where("key_of = 'flat'"), ("a",), {"term": ("term",)})
     assert empty.columns == ["key_of", "path", "key", "term"] and empty.count() == 0
 
