@@ -244,6 +244,22 @@ def test_each_id_is_scored_once_by_its_own_context(model):
     assert mine == pytest.approx(want, rel=1e-4)
 
 
+def test_words_encoded_together_are_the_tokenizers_own():
+    path = queries.tokenizer_path()
+    words = "the the, don't 'tis a.b x-y. été, ÉTÉ straße! İx 日本語 42 4th. <|endoftext|> end<|x naïve?! ... ,".split() + ["w" * 70, "q" * 63 + "!" * 40, "tab\x1esign", "ﬁ", "ß", "a" + "!" * 33]
+    words = [w.encode().translate(lm_scoring._LOWER) for w in dict.fromkeys(words)] + [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}{'.' * (k % 3)}".encode() for k in range(600)]
+    words = list(dict.fromkeys(words))
+    table = lm_scoring.WordTable(path, {b"the": -1.0})
+    for _ in range(2):
+        ids, size, logs = table(words)
+        want = [np.frombuffer(x, "<u4").tolist() for x in lm_scoring.WordTokens(path).encode(words)]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == want
+        assert logs[words.index(b"the")] == -1.0 and np.isnan(logs).sum() == len(words) - 1
+    table.limit = 10
+    ids, size, _ = table([b"new", *words[:20]])
+    assert np.array_equal(ids[size[0] :], np.concatenate(want[:20])) and len(table.number) == 21
+
+
 def test_slices_do_not_matter(model, monkeypatch):
     tree, w, texts = model
     whole = lm_scoring.Scorer(w, tree)(texts)
