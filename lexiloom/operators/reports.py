@@ -101,6 +101,24 @@ def current_state(terms: DataFrame) -> DataFrame:
     )
 
 
+def vocabulary_stats(terms: DataFrame) -> DataFrame:
+    """total, types, mapped, mapped_percent, not_applicable of terms (category, mapped, not_applicable): one row, one pass.
+
+    A null flag is false; mapped_percent is a whole number, 0 for no terms.
+    """
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    mapped, total = F.count_if(flag("mapped")), F.count("*")
+    percent = F.coalesce(F.round(F.try_divide(100 * mapped, total)).cast("long"), F.lit(0).cast("long"))
+    return terms.agg(total.alias("total"), F.count_distinct("category").alias("types"), mapped.alias("mapped"), percent.alias("mapped_percent"), F.count_if(flag("not_applicable")).alias("not_applicable"))
+
+
+def frequency_totals(counts: DataFrame, seeds: DataFrame) -> DataFrame:
+    """what, n of counts (label, n) and seeds (label): total (of counts), labels, unseeded (labels without a seed), unused (seeds without a count)."""
+    named = lambda what, df, n=F.count("*"): df.agg(F.coalesce(n, F.lit(0)).alias("n")).select(F.lit(what).alias("what"), "n")
+    out = named("total", counts, F.sum("n")).union(named("labels", counts.select("label").distinct()))
+    return out.union(named("unseeded", counts.join(seeds, "label", "left_anti"))).union(named("unused", seeds.join(counts, "label", "left_anti")))
+
+
 #: Levels of overview() by what grouping_id(kind, enum, layer, predicate) says: a bit for each column that is not grouped by.
 LEVELS = {15: "all", 7: "kind", 11: "enum", 5: "layer", 14: "predicate"}
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.operators import curation, resolve, validate
+from lexiloom.operators import curation, reports, resolve, validate
 from lexiloom.plans.match import _BEST, _PAIRS, _matches, _six, best_match, self_pairs
 from lexiloom.plans.registry import Tables, query
 
@@ -463,10 +463,7 @@ def current_state(t: Tables) -> DataFrame:
     """
 )
 def vocabulary_stats(t: Tables) -> DataFrame:
-    mapped = F.count_if(F.col("p_size") % 4 != 0)
-    return t.part.agg(
-        F.count("*").alias("total"), F.count_distinct("p_type").alias("types"), mapped.alias("mapped"), F.round(100 * mapped / F.count("*")).cast("long").alias("mapped_percent"), F.count_if(F.col("p_size") % 9 == 0).alias("not_applicable")
-    )
+    return reports.vocabulary_stats(t.part.select(F.col("p_type").alias("category"), (F.col("p_size") % 4 != 0).alias("mapped"), (F.col("p_size") % 9 == 0).alias("not_applicable")))
 
 
 @query(
@@ -477,12 +474,11 @@ def vocabulary_stats(t: Tables) -> DataFrame:
     """
 )
 def frequency_totals(t: Tables) -> DataFrame:
-    users = t.events.groupBy("user_id").agg(F.count("*").alias("n"))
-    customers = t.customer.select(F.col("c_custkey").alias("user_id"))
-    named = lambda what, df, n=F.count("*"): df.agg(n.alias("n")).select(F.lit(what).alias("what"), "n")
-    return (
-        named("total", users, F.sum("n")).union(named("types", t.events.select("event_type").distinct())).union(named("no customer", users.join(customers, "user_id", "left_anti"))).union(named("customers without", customers.join(users, "user_id", "left_anti")))
-    )
+    users = t.events.groupBy(F.col("user_id").alias("label")).agg(F.count("*").alias("n"))
+    found = reports.frequency_totals(users, t.customer.select(F.col("c_custkey").alias("label"))).where("what <> 'labels'")
+    types = t.events.agg(F.count_distinct("event_type").alias("n")).select(F.lit("types").alias("what"), "n")
+    said = F.when(F.col("what") == "unseeded", "no customer").when(F.col("what") == "unused", "customers without").otherwise(F.col("what"))
+    return found.select(said.alias("what"), "n").union(types)
 
 
 @query(
