@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.operators import browse, schema, verdicts
+from lexiloom.plans import catalog
 from lexiloom.sources import schemas
 
 CORE = """
@@ -146,10 +147,29 @@ def test_entries_at_any_depth(spark):
     ]
     terms = spark.createDataFrame([("t1", "a", "X"), ("t2", "a", "Q"), ("t3", "b", "Z")], "subject string, label string, enum string")
     assert rows(schema.citing(found, terms), "subject", "path") == [("t1", "$.own_terms[0].motivating_terms[0]"), ("t1", "$.so.requests[0].motivating_terms[0]"), ("t2", "$.own_terms[0].motivating_terms[0]")]
+    once = [("t1", "r"), ("t2", "r")]  # an entry without an enum and one with are one citation
+    assert rows(schema.cited_in(found, terms), "subject", "key_of") == once
+    twice = terms.unionByName(spark.createDataFrame([("t3", "b", "Y"), ("t1", "a", "R"), ("t1", "a", "X")], terms.schema))
+    assert rows(schema.cited_in(found, twice), "subject", "key_of") == [*once, ("t3", "r")]
     empty = schema.nested_entries(documents.where("key_of = 'flat'"), ("a",), {"term": ("term",)})
     assert empty.columns == ["key_of", "path", "key", "term"] and empty.count() == 0
 
 
+def test_entries_deeper_than_one_pass(spark):
+    document = {"own_terms": [{"term": "t0"}]}
+    for k in range(1, 12):
+        document = {"in": [document], "own_terms": [{"term": f"t{k}"}]}
+    found = schema.nested_entries(spark.createDataFrame([("r", json.dumps(document))], "key_of string, document string"), ("own_terms",), {"term": ("term",)})
+    assert rows(found, "term", "path") == sorted((f"t{k}", "$" + ".in[0]" * (11 - k) + ".own_terms[0]") for k in range(12))
+
+
+def test_a_citation_is_not_compared_with_others(spark):
+    """Pairs of subject and request are as many as the product of a name's terms and requests: none of them is shuffled."""
+    found = catalog.queries()["nested_citations"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == found.distinct().count() > 0 and plan.count("Aggregate") == 1  # of subjects with several labels
+
+
 def decided(spark, *decisions):
     return spark.createDataFrame([(k, *d) for k, d in enumerate(decisions)], "id int, kind string, verdict string, rationale string, origin string, operation string")
 
