@@ -76,10 +76,16 @@ def finding_id(prefix: str, *parts: Column, ordered: bool = True) -> Column:
 
     An empty part has no id: the result is null, for a rule to report.
     """
-    given = F.array(*parts)
-    joined = F.array_join(given if ordered else F.array_sort(given), "|")
-    some_empty = F.exists(given, lambda p: F.coalesce(p, F.lit("")) == "")
-    return F.when(~some_empty, F.concat(F.lit(f"{prefix}:"), F.substring(F.sha1(joined), 1, 12)))
+    if ordered:
+        joined = F.concat_ws("|", *parts)
+    elif len(parts) == 2:
+        joined = F.concat_ws("|", F.least(*parts), F.greatest(*parts))
+    else:
+        joined = F.array_join(F.array_sort(F.array(*parts)), "|")
+    all_given = F.lit(True)
+    for part in parts:
+        all_given = all_given & (F.coalesce(part, F.lit("")) != "")
+    return F.when(all_given, F.concat(F.lit(f"{prefix}:"), F.substring(F.sha1(joined), 1, 12)))
 
 
 def content_hash(c: Column) -> Column:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.operators import curation, reports, resolve, validate
-from lexiloom.plans.match import _BEST, _PAIRS, _matches, _six, best_match, self_pairs
+from lexiloom.plans.match import _BEST, _PAIRS, _best_of, _matches, _six, near_pairs
 from lexiloom.plans.registry import Tables, query
+from lexiloom.session import durable
 
 
 def _checks(t: Tables) -> dict[str, DataFrame]:
@@ -160,9 +161,10 @@ def operation_validation(t: Tables) -> DataFrame:
 )
 def findings_normalize(t: Tables) -> DataFrame:
     name = lambda c, p="t": F.concat(F.lit(p), F.col(c).cast("string"))
-    pairs = self_pairs(t).select(name("id1").alias("id1"), name("id2").alias("id2"), "similarity")
-    gaps = best_match(t).where("max_similarity < 0.3").select(name("query_id").alias("id"), "max_similarity")
-    maps = _six(_matches(t)).select(name("query_id").alias("id"), name("target_id", "o").alias("object"), "similarity")
+    pairs = _six(near_pairs(t)).select(name("id1").alias("id1"), name("id2").alias("id2"), "similarity")
+    matches = durable(_matches(t), "matches")
+    gaps = _best_of(t, matches).where("max_similarity < 0.3").select(name("query_id").alias("id"), "max_similarity")
+    maps = _six(matches).select(name("query_id").alias("id"), name("target_id", "o").alias("object"), "similarity")
     return curation.findings(pairs, gaps, maps)
 
 

@@ -67,10 +67,13 @@ _PAIRS = f"""
     """
 
 
+def near_pairs(t: Tables) -> DataFrame:
+    return similarity.self_pairs(t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), PAIR)
+
+
 @query(_PAIRS)
 def self_pairs(t: Tables) -> DataFrame:
-    rows = t.embeddings
-    pairs = similarity.self_pairs(rows.select(F.col("vec_id").alias("id"), "embedding"), PAIR)
+    rows, pairs = t.embeddings, near_pairs(t)
     a, b = (rows.select(F.col("vec_id").alias(f"id{k}"), F.col("label").alias(f"label{k}")) for k in (1, 2))
     crosses = F.col("label1") != F.col("label2")
     pairs = pairs.join(a, "id1").join(b, "id2").withColumn("crosses", crosses)
@@ -107,9 +110,13 @@ _BEST = f"""
           FROM v LEFT JOIN m ON v.vec_id = m.query_id GROUP BY 1, 2)"""
 
 
+def _best_of(t: Tables, matches: DataFrame) -> DataFrame:
+    return similarity.best_match(_vectors(t), matches).withColumn("max_similarity", F.round("max_similarity", 6))
+
+
 @query(f"WITH {_BEST} SELECT query_id, max_similarity, best_id FROM b")
 def best_match(t: Tables) -> DataFrame:
-    return similarity.best_match(_vectors(t), _matches(t)).withColumn("max_similarity", F.round("max_similarity", 6))
+    return _best_of(t, _matches(t))
 
 
 @query(

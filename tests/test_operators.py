@@ -236,3 +236,37 @@ def test_promotion_and_lookup(spark):
     assert index.where(lexical.is_known("Copy-number Variation")).first().term_id == "SO:0001019"
     forms = validate.element_forms(spark.createDataFrame([("a", "SO:1| bad |x:"), ("b", "not_applicable")], "term string, element_type string"))
     assert sorted(r.message for r in forms.collect()) == ["bad", "x:"]
+
+
+def test_nearest_of_many_tiles(spark, monkeypatch):
+    """Groups of several blocks, parts of several lengths, ties, null parts: the nearest by brute force, from many tiles side by side."""
+    import numpy as np
+
+    monkeypatch.setattr(similarity, "BLOCK", 16)
+    monkeypatch.setattr(similarity, "GROUPS", 3)
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.integers(-1, 2, 6).astype(float).tolist(), ("a", "b", None)[k % 5 % 3]) for k in range(300)]
+    frame = spark.createDataFrame(rows, "id long, embedding array<double>, part string")
+    x = np.array([r[1] for r in rows])
+    norms = np.sqrt((x * x).sum(axis=1))
+    s = np.round((x / np.where(norms > 0, norms, 1)[:, None]) @ (x / np.where(norms > 0, norms, 1)[:, None]).T, 12)
+    for by_part in (False, True):
+        want = set()
+        for q, _, _ in rows:
+            for part in (("a", "b", None) if by_part else ("*",)):
+                best = sorted((-s[q, i], i) for i, _, p in rows if i != q and part in ("*", p) and s[q, i] >= 0.5)[:4]
+                want |= {(q, i, n + 1) for n, (_, i) in enumerate(best)}
+        found = similarity.top_k(frame, frame, 4, 0.5, by_part=by_part, others=True)
+        assert {(r.query_id, r.target_id, r["rank"]) for r in found.collect()} == want
+    pairs = similarity.self_pairs(frame.drop("part"), 0.5)
+    assert sorted((r.id1, r.id2) for r in pairs.collect()) == [(i, j) for i in range(300) for j in range(i + 1, 300) if s[i, j] >= 0.5]
+    blocks, _, n = similarity._grouped(similarity._dealt(frame.withColumn("part", F.lit(""))), "column")
+    assert n >= 3 and blocks.groupBy("column").count().agg(F.max("count")).first()[0] <= similarity.GROUP
+    assert met_partitions(similarity.top_k(frame, frame, 4)) >= n * n
+
+
+def met_partitions(found):
+    """Partitions of the exchange that tiles come by."""
+    import re
+
+    return max(map(int, re.findall(r"hashpartitioning\(dim#\d+, row#\d+L?, column#\d+L?, (\d+)\)", found._jdf.queryExecution().executedPlan().toString())), default=0)
