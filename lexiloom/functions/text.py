@@ -42,24 +42,38 @@ def _singular(word: Column) -> Column:
     return F.coalesce(F.element_at(known, word), ruled)
 
 
-def _with_singular(phrase: Column) -> Column:
-    head = F.regexp_replace(phrase, "[^ ]*$", "")
-    singular = _singular(F.regexp_extract(phrase, "([^ ]*)$", 1))
-    return F.when(singular.isNull(), F.array(phrase)).otherwise(F.array(phrase, F.concat(head, singular)))
+def _once(value: Column, use) -> Column:
+    """use(value), with value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _head(phrase: Column) -> Column:
+    """What stands before the last word, with its space."""
+    return F.regexp_replace(phrase, "[^ ]*$", "")
 
 
 def variants(c: Column) -> Column:
     """The normal form, and then the form with its last word in the singular where that differs."""
-    return _with_singular(normalize(c))
+
+    def both(phrase: Column) -> Column:
+        singular = F.concat(_head(phrase), _singular(F.substring_index(phrase, " ", -1)))
+        return F.when(phrase.isNotNull(), F.array_compact(F.array(phrase, singular))).otherwise(F.array(phrase))
+
+    return _once(normalize(c), both)
 
 
 def token_suffixes(c: Column) -> Column:
-    """Array of (phrase, start): the variants of each suffix of the words, the longest suffix first; none for no words."""
-    words = F.split(normalize(c), " ")
-    starts = F.when(normalize(c) == "", F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.size(words) - 1))
-    suffix = lambda k: F.array_join(F.slice(words, k + 1, F.size(words)), " ")
-    forms = F.transform(starts, lambda k: F.transform(_with_singular(suffix(k)), lambda p: F.struct(p.alias("phrase"), k.alias("start"))))
-    return F.flatten(forms)
+    """Array of (phrase, start): the variants of each suffix of the words, the longest suffix first; none for no words.
+
+    All suffixes end in the same word, so its singular is found once and each suffix is cut from either form.
+    """
+
+    def suffixes(forms: Column) -> Column:
+        cut = lambda words, k: F.struct(F.array_join(F.slice(words, k + 1, F.size(words)), " ").alias("phrase"), k.alias("start"))
+        each = _once(F.transform(forms, lambda f: F.split(f, " ")), lambda words: F.transform(F.sequence(F.lit(0), F.size(words[0]) - 1), lambda k: F.transform(words, lambda w: cut(w, k))))
+        return F.when(forms[0] == "", F.array().cast("array<struct<phrase: string, start: int>>")).otherwise(F.flatten(each))
+
+    return _once(variants(c), suffixes)
 
 
 def slugify(c: Column) -> Column:

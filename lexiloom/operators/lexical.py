@@ -28,6 +28,8 @@ def search(queries: DataFrame, lexicon: DataFrame) -> DataFrame:
     A query's suffixes are tried from the longest on, each in its normal form and then in the singular; the first with
     any entry wins. A term counts once, by its first entry in the order of the index.
     """
+    # written, the index is known to be small where it is, and is sent to the forms instead of these to it
+    lexicon = durable(lexicon, "lexicon")
     forms = queries.select("query_id", F.posexplode(token_suffixes(F.col("text"))).alias("form_no", "form"))
     forms = forms.select("query_id", "form_no", F.col("form.phrase").alias("variant"), F.col("form.start").alias("suffix_start"))
     # which form wins is known before any term is fetched, so a common form costs its terms once for each query that it wins

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexiloom.operators import lexical, reports, similarity
 from lexiloom.plans.registry import Tables, query
 from lexiloom.plans.textual import _NORM, _SING
+from lexiloom.session import durable
 
 #: On these vectors the reference thresholds find nothing; the operators take any.
 NEAR, PAIR = 0.25, 0.30
@@ -200,7 +201,7 @@ def lexical_search(t: Tables) -> DataFrame:
     """
 )
 def lexical_semi(t: Tables) -> DataFrame:
-    asked, lexicon = _asked(t), _lexicon(t)
+    asked, lexicon = _asked(t), durable(_lexicon(t), "lexicon")
     count = lambda kind, df: df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
     return count("whole", lexical.whole_name_matches(asked, lexicon)).union(count("any", lexical.any_matches(asked, lexicon)))
 

@@ -270,3 +270,14 @@ def met_partitions(found):
     import re
 
     return max(map(int, re.findall(r"hashpartitioning\(dim#\d+, row#\d+L?, column#\d+L?, (\d+)\)", found._jdf.queryExecution().executedPlan().toString())), default=0)
+
+
+def test_suffixes_normalize_a_text_once(spark):
+    from lexiloom.functions import text
+
+    frame = spark.createDataFrame([("Old blue peaks",), (None,), ("-",)], "c string").select(text.token_suffixes(F.col("c")).alias("s"))
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") <= 4 and plan.count("split(") == 1
+    first, none, empty = (r.s for r in frame.collect())
+    assert [(f.phrase, f.start) for f in first] == [(p, k) for k, w in enumerate(("old blue ", "blue ", "")) for p in (f"{w}peaks", f"{w}peak")]
+    assert none is None and empty == []
