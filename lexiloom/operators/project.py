@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -137,26 +138,32 @@ def projection_edits(have: DataFrame, state: DataFrame, slots: tuple[str, ...])
 def ancestors(edges: DataFrame, classes: DataFrame) -> DataFrame:
     """class, ancestor, path, distance of edges (class, parent, ord) and classes (class), each class its own at distance 0.
 
-    Of several ways to an ancestor the one whose path comes first is kept, round by round, so that diamonds cost one row
-    and not one for each way. A round is a join with what the last one changed; there are as many as the longest way up.
+    Of several ways to an ancestor the one whose path comes first is kept. A round holds the ways of one more step, of each
+    length the first, so that diamonds cost one row a length and not one for each way; there are as many rounds as the
+    longest way up. What earlier rounds found is not shuffled again until all is known, and then once.
     A class that is its own ancestor is an error.
     """
     code = F.lpad((F.lit(10**9) - 1 - F.col("ord")).cast("string"), 9, "0")
     steps = durable(edges.select("class", "parent", code.alias("code")), "edges")
     order = F.struct("path", "distance")
-    best = durable(classes.select("class").distinct().select("class", F.col("class").alias("ancestor"), F.lit("").alias("path"), F.lit(0).cast("long").alias("distance")), "ancestors")
-    changed = best
+    # with one step up from a class at most, there is one way to an ancestor and nothing to choose from
+    single = steps.groupBy("class").count().where("count > 1").isEmpty()
+    last = durable(classes.select("class").distinct().select("class", F.col("class").alias("ancestor"), F.lit("").alias("path"), F.lit(0).cast("long").alias("distance")), "ancestors")
+    rounds = [last]
     while True:
-        up = steps.join(changed.withColumnRenamed("class", "parent"), "parent").select("class", "ancestor", F.concat("code", "path").alias("path"), (F.col("distance") + 1).alias("distance"))
-        up = durable(up.groupBy("class", "ancestor").agg(F.min(order).alias("new")), "up")
-        if not up.where("class = ancestor").isEmpty():
+        up = steps.join(last.withColumnRenamed("class", "parent"), "parent").select("class", "ancestor", F.concat("code", "path").alias("path"), (F.col("distance") + 1).alias("distance"))
+        if not single:
+            up = up.groupBy("class", "ancestor").agg(F.min(order).alias("o")).select("class", "ancestor", "o.path", "o.distance")
+        last = durable(up, "up")
+        if not last.where("class = ancestor").isEmpty():
             raise ValueError("a class is its own ancestor")
-        known = best.select("class", "ancestor", order.alias("old"))
-        up = up.join(known, ["class", "ancestor"], "left").where("old is null or new < old")
-        changed = durable(up.select("class", "ancestor", "new.path", "new.distance"), "changed")
-        if changed.isEmpty():
-            return best
-        best = durable(best.unionByName(changed).groupBy("class", "ancestor").agg(F.min(order).alias("o")).select("class", "ancestor", "o.path", "o.distance"), "ancestors")
+        if last.isEmpty():
+            break
+        rounds.append(last)
+    found = reduce(DataFrame.unionByName, rounds)
+    if single:
+        return found
+    return found.groupBy("class", "ancestor").agg(F.min(order).alias("o")).select("class", "ancestor", "o.path", "o.distance")
 
 
 def class_slots(edges: DataFrame, slots: DataFrame, usage: DataFrame | None = None) -> DataFrame:

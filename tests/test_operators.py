@@ -281,3 +281,11 @@ def test_suffixes_normalize_a_text_once(spark):
     first, none, empty = (r.s for r in frame.collect())
     assert [(f.phrase, f.start) for f in first] == [(p, k) for k, w in enumerate(("old blue ", "blue ", "")) for p in (f"{w}peaks", f"{w}peak")]
     assert none is None and empty == []
+
+
+def test_a_class_that_has_one_parent_has_one_way_up(spark):
+    edges = spark.createDataFrame([(f"C{k}", f"C{k // 2}", 0) for k in range(2, 40)], "class string, parent string, ord int")
+    up = project.ancestors(edges, edges.select("class").union(edges.select("parent")))
+    want = {(f"C{k}", f"C{k >> d}", d) for k in range(1, 40) for d in range(k.bit_length())}
+    assert {(r["class"], r.ancestor, r.distance) for r in up.collect()} == want
+    assert "Aggregate" not in up._jdf.queryExecution().optimizedPlan().toString()  # rounds are not gathered again and again
