@@ -135,6 +135,15 @@ def test_instances(spark, read):
     )
 
 
+def test_a_level_of_instances_is_written_once(spark, read, monkeypatch):
+    model, written, durable = schema.compiled(read), [], schema.durable
+    monkeypatch.setattr(schema, "durable", lambda df, name, *more: written.append(name) or durable(df, name, *more))
+    deep = {"id": "f:1", "label": "a", "kind": "zebras", "size": 1, "note": "a", "parts": [{"id": "f:2", "label": None, "parts": [{"id": 3, "label": "c", "parts": []}]}]}
+    found = schema.instance_violations(spark.createDataFrame([("deep", json.dumps(deep))], "record string, document string"), model, "File")
+    assert rows(found, "path", "rule") == [("$.kind", "enum"), ("$.parts[0]", "required"), ("$.parts[0].parts[0].id", "type")]
+    assert written.count("checked") == 3 and len(written) == 5  # and the compiled fields, and the values of their enums
+
+
 def test_entries_at_any_depth(spark):
     document = {
         "so": {"requests": [{"id": 1, "motivating_terms": [{"term": "a", "category": "X"}, {"no": "term"}, "text", ["b"]], "deep": [[{"own_terms": [{"term": "b", "enum": "Y", "category": "Z"}]}]]}]},
