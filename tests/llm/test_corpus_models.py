@@ -295,6 +295,19 @@ def test_training_learns_what_follows_what():
     assert before < -30 and after > 0.25 * before
 
 
+def test_every_training_text_is_fitted_once(spark, monkeypatch):
+    """Where the windows are many parts, the rounds take all of them between them, and no text is left out."""
+    docs, path, taken, windows = docs_of(spark, real(spark)), queries.tokenizer_path(), [], lm_scoring.training_windows
+    tree = lm_scoring.Tree(counts := lm_scoring.id_counts(lm_scoring.word_counts(docs), path))
+    monkeypatch.setattr(lm_scoring, "LEAST_IDS", 1000, raising=False)
+    monkeypatch.setattr(lm_scoring, "PART_IDS", 20_000)
+    monkeypatch.setattr(lm_scoring, "training_windows", lambda *a: taken.append(windows(*a)) or taken[-1])
+    fitted = lm_scoring.train(docs, tree, path, int(counts.sum()))
+    rows = np.frombuffer(b"".join(r["window"] for r in taken[0].collect()), np.int16).reshape(-1, lm_scoring.CONTEXT + 1)
+    assert (rows[:, 1:] >= 0).sum() == counts.sum() and counts.sum() > 2 * lm_scoring.PART_IDS
+    assert all(np.isfinite(x).all() for x in fitted.values())
+
+
 def test_model_beats_its_unigram_start_on_held_out_texts(spark):
     found = queries.op12_lm(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert found[0] > found[1]
