@@ -308,6 +308,18 @@ def test_every_training_text_is_fitted_once(spark, monkeypatch):
     assert all(np.isfinite(x).all() for x in fitted.values())
 
 
+def test_training_and_scores_read_what_was_encoded_once(spark, monkeypatch):
+    """No text is encoded for training and again for its score; windows of encoded texts are those of the texts, many to a row."""
+    docs, path, calls, encoded, train = docs_of(spark, real(spark) + ODD), queries.tokenizer_path(), [], lm_scoring.encoded, lm_scoring.train
+    monkeypatch.setattr(lm_scoring, "encoded", lambda *a: calls.append("encoded") or encoded(*a))
+    monkeypatch.setattr(lm_scoring, "train", lambda d, *a: calls.append("line" in d.columns and "text" not in d.columns) or train(d, *a))
+    lm_scoring.scores(docs, path)
+    assert calls == ["encoded", True]
+    tree = lm_scoring.Tree(lm_scoring.id_counts(lm_scoring.word_counts(docs), path))
+    found = [sorted(map(tuple, lm_scoring.training_windows(d, tree, path).collect())) for d in (docs, encoded(docs, tree, path, {}))]
+    assert found[0] == found[1] and len(found[0]) < sum(len(r[1]) for r in found[0]) / (2 * (lm_scoring.CONTEXT + 1))
+
+
 def test_model_beats_its_unigram_start_on_held_out_texts(spark):
     found = queries.op12_lm(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert found[0] > found[1]
