@@ -144,6 +144,33 @@ def test_a_level_of_instances_is_written_once(spark, read, monkeypatch):
     assert written.count("checked") == 3 and len(written) == 5  # and the compiled fields, and the values of their enums
 
 
+def written_plans(monkeypatch, name):
+    """Plans of the tables that durable() writes under a name from now on."""
+    plans, durable = [], schema.durable
+    monkeypatch.setattr(schema, "durable", lambda df, n, *more: plans.extend([df._jdf.queryExecution().executedPlan().toString()] * (n == name)) or durable(df, n, *more))
+    return plans
+
+
+def test_instances_are_opened_as_rows(spark, read, monkeypatch):
+    """A value meets no function that is interpreted for each item, and no path that may lead nowhere: both cost some microseconds."""
+    model, plans = schema.compiled(read), written_plans(monkeypatch, "checked")
+    schema.instance_violations(spark.createDataFrame([("r", '{"id": "f:1"}')], "record string, document string"), model, "File")
+    assert plans and all("lambdafunction" not in p and "$[0]" not in p for p in plans)
+
+
+def test_null_and_empty_values_of_instances(spark, read):
+    model = schema.compiled(read)
+    texts = [("a", '{"id": null, "label": "x", "parts": [null, {}, []]}'), ("b", '{"id": "f:1", "label": "x", "parts": []}'), ("c", '{"id": "f:1", "label": "x", "parts": {}, "size": 3.0}')]
+    found = schema.instance_violations(spark.createDataFrame(texts, "record string, document string"), model, "File")
+    assert rows(found, "record", "path", "rule", "message") == sorted(
+        [
+            ("a", "$", "required", "missing id"), ("a", "$.parts[0]", "type", "void"), ("a", "$.parts[1]", "required", "missing id"), ("a", "$.parts[1]", "required", "missing label"), ("a", "$.parts[2]", "type", "array"),
+            ("c", "$.parts", "list", "one value, not a list"), ("c", "$.size", "type", "decimal"),
+        ],
+        key=repr,
+    )
+
+
 def test_entries_at_any_depth(spark):
     document = {
         "so": {"requests": [{"id": 1, "motivating_terms": [{"term": "a", "category": "X"}, {"no": "term"}, "text", ["b"]], "deep": [[{"own_terms": [{"term": "b", "enum": "Y", "category": "Z"}]}]]}]},
