@@ -191,6 +191,13 @@ def test_entries_at_any_depth(spark):
     assert empty.columns == ["key_of", "path", "key", "term"] and empty.count() == 0
 
 
+def test_documents_are_walked_as_rows(spark, monkeypatch):
+    """A node meets no function that is interpreted for each item, and no path that may lead nowhere."""
+    plans = written_plans(monkeypatch, "level")
+    schema.nested_entries(spark.createDataFrame([("r", '{"own_terms": [{"term": "a"}]}')], "key_of string, document string"), ("own_terms",), {"term": ("term",)})
+    assert plans and all("lambdafunction" not in p and "$.term" not in p for p in plans)
+
+
 def test_entries_deeper_than_one_pass(spark):
     document = {"own_terms": [{"term": "t0"}]}
     for k in range(1, 12):
@@ -206,6 +213,18 @@ def test_a_citation_is_not_compared_with_others(spark):
     assert found.count() == found.distinct().count() > 0 and plan.count("Aggregate") == 1  # of subjects with several labels
 
 
+def test_citations_meet_lists_of_subjects(spark, monkeypatch):
+    """A label's subjects come in lists of bounded length, and all of them are cited."""
+    monkeypatch.setattr(schema, "_LIST", 4)
+    written, durable = {}, schema.durable
+    monkeypatch.setattr(schema, "durable", lambda df, name, *more: written.setdefault(name, durable(df, name, *more)))
+    terms = spark.createDataFrame([(k, "a", "X" if k % 3 else "Y") for k in range(30)] + [(90, "b", "X"), (91, "b", "X"), (91, "a", "Y")], "subject int, label string, enum string")
+    entries = spark.createDataFrame([("r", "a", None), ("r", "a", "Y"), ("q", "a", "Y"), ("q", "b", " ")], "key_of string, term string, category string")
+    found = rows(schema.cited_in(entries, terms), "subject", "key_of")
+    assert found == sorted([(k, "r") for k in range(30)] + [(k, "q") for k in range(0, 30, 3)] + [(90, "q"), (91, "q"), (91, "r")], key=repr)
+    assert written["lists"].agg(F.max(F.size("subjects")), F.sum(F.size("subjects"))).first()[:] == (4, 31)
+
+
 def decided(spark, *decisions):
     return spark.createDataFrame([(k, *d) for k, d in enumerate(decisions)], "id int, kind string, verdict string, rationale string, origin string, operation string")
 
